@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat, quality, simhash, urls
+from marlstone.llm import bpe, chat, decontaminate, langid, quality, simhash, toxicity, urls
 from marlstone.llm.common import table
 
 
@@ -115,10 +115,45 @@ WITH parts AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM ranked LEFT JOIN best USING (r)
 """
 
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out_of_training = langid.held_out(F.col("doc_id"), 4, 2)
+    model = langid.fit(langid.training_sample(docs.filter(~out_of_training)))
+    return langid.identify(docs, model).select("doc_id", out_of_training.alias("held_out"), "lang_pred", "score")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def vocabulary() -> tuple[str, str]:
+    """The rank file and pattern of the registered encoding."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), *vocabulary())
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out_of_training = langid.held_out(F.col("doc_id"), 5, 0)
+    rows = toxicity.training_sample(docs, table(spark, sf_dir, "labels").filter(~out_of_training))
+    scored = toxicity.score_documents(docs, toxicity.train(rows))
+    return scored.select("doc_id", out_of_training.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_chat_format": op3_chat_format,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_byte_bpe": op5_byte_bpe,
     "op6_simhash": op6_simhash,
     "op8_quality_rules": op8_quality_rules,
+    "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
 }
 SQL = {"op3_chat_format": OP3_SQL, "op8_quality_rules": OP8_SQL, "op10_url_filter": OP10_SQL}
