@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, chat, decontaminate, langid, quality, simhash, toxicity, urls
+from marlstone.llm import bpe, chat, decontaminate, langid, quality, simhash, substring, toxicity, urls, warc
 from marlstone.llm.common import table
 
 
@@ -146,14 +146,53 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out_of_training.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.cut_repeats(table(spark, sf_dir, "documents"))
+
+
+def damaged(pages: DataFrame) -> DataFrame:
+    """Pages as a replica holds them that lost a byte of some: those whose size leaves 5 modulo 97."""
+    hit = (F.octet_length("html") % 97 == 5) & (F.length("html") > 16)
+    return pages.withColumn("html", F.when(hit, F.overlay("html", F.lit("#"), F.lit(16), F.lit(1))).otherwise(F.col("html")))
+
+
+def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of all pages against a replica of it with damaged records."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.audit(warc.archive(pages), warc.archive(damaged(pages)))
+
+
+OP7_SQL = f"""
+WITH both_sides AS (
+  SELECT page_id, url, coalesce(html, '') AS html, 0 AS side FROM pages
+  UNION ALL
+  SELECT page_id, url, CASE WHEN strlen(html) % 97 = 5 AND length(html) > 16 THEN html[1:15] || '#' || html[17:] ELSE coalesce(html, '') END, 1 FROM pages
+), texts AS (
+  SELECT side, page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '')
+    || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html AS t
+  FROM both_sides
+), records AS (
+  SELECT side, coalesce(CAST(page_id // {warc.PAGES_PER_FILE} AS BIGINT), -1) AS file, page_id, strlen(t) + 4 AS length, sha256(t) AS sha256 FROM texts
+), placed AS (
+  SELECT side, file, length, sha256, sum(length) OVER (PARTITION BY side, file ORDER BY page_id NULLS FIRST, sha256 ROWS UNBOUNDED PRECEDING) - length AS "offset" FROM records
+), a AS (SELECT * FROM placed WHERE side = 0), b AS (SELECT * FROM placed WHERE side = 1)
+SELECT coalesce(a.file, b.file) AS file, CAST(coalesce(a."offset", b."offset") AS BIGINT) AS "offset",
+  CASE WHEN b.file IS NULL THEN 'missing' WHEN a.file IS NULL THEN 'extra' ELSE 'changed' END AS status,
+  CAST(a.length AS BIGINT) AS length, a.sha256, CAST(b.length AS BIGINT) AS replica_length, b.sha256 AS replica_sha256
+FROM a FULL JOIN b ON a.file = b.file AND a."offset" = b."offset"
+WHERE a.sha256 IS DISTINCT FROM b.sha256 OR a.length IS DISTINCT FROM b.length
+"""
+
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language_id": op2_language_id,
     "op3_chat_format": op3_chat_format,
     "op4_decontaminate": op4_decontaminate,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_simhash": op6_simhash,
+    "op7_warc_audit": op7_warc_audit,
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
 }
-SQL = {"op3_chat_format": OP3_SQL, "op8_quality_rules": OP8_SQL, "op10_url_filter": OP10_SQL}
+SQL = {"op3_chat_format": OP3_SQL, "op7_warc_audit": OP7_SQL, "op8_quality_rules": OP8_SQL, "op10_url_filter": OP10_SQL}
