@@ -219,7 +219,7 @@ def simhash_components(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return prints.join(classes(prints).drop("root"), "fp").select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """The rows of ``docs`` whose doc_id is their component's smallest; one row of each component.
 
     Columns stay as they are.  Components whose ids are all null keep one row.
