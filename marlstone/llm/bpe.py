@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.stage import import_on_workers
 
-#: Distinct pieces a worker remembers; the memory is emptied when full.
+#: Distinct pieces a worker remembers, twice: when the newer memory is full it becomes the older one.
+#: Prefixes are kept as they come; a full memory starts anew after many that found no room.
 PIECE_MEMORY = 1 << 18
 PAIR_MEMORY = 1 << 19
 PREFIX_MEMORY = 1 << 19
@@ -51,9 +52,11 @@ class PrefixBPE:
         self.parts: dict[int, tuple[int, int]] = {}
         self.apart: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         #: Prefixes of pieces as numbered nodes, and each one's last token; bounded, then begun anew.
         self.prefixes: dict[int, int] = {}
         self.prefix_last: list[int] = [-1]
+        self.passed = 0
 
     def _merge(self, piece: bytes, below: int) -> list[bytes]:
         """Merging by rank, lowest first and leftmost on ties, of pairs ranked under ``below``."""
@@ -164,9 +167,12 @@ class PrefixBPE:
             self.fill(piece, last)
             if len(tokens) + len(piece) < PREFIX_MEMORY:
                 self._remember(piece, last, met)
-            elif len(piece) < 256:
-                known.clear()
-                del tokens[1:]
+            else:
+                self.passed += 1
+                if self.passed > 4 * PREFIX_MEMORY:
+                    known.clear()
+                    del tokens[1:]
+                    self.passed = 0
         return tuple(self.walk_back(last))
 
     def _remember(self, piece: bytes, last: list[int], met: int) -> None:
@@ -181,10 +187,10 @@ class PrefixBPE:
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         got = self.pieces.get(piece)
         if got is None:
-            got = self.encode_bytes(piece.encode("utf-8", "surrogatepass"))
+            got = self.older.get(piece) or self.encode_bytes(piece.encode("utf-8", "surrogatepass"))
             if len(piece) < 256:
                 if len(self.pieces) >= PIECE_MEMORY:
-                    self.pieces.clear()
+                    self.older, self.pieces = self.pieces, {}
                 self.pieces[piece] = got
         return got
 
