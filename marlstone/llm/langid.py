@@ -3,7 +3,7 @@
 1. Words are runs of letters, lower-cased.  The script of a word (by code
    ranges) leaves the languages that training has seen in that script; a word in
    a script that no language uses says nothing.
-2. Each word scores every language: log-probability of its character n-grams
+2. Each word scores every language: log-probability of its character pairs and triples
    (with word borders) under that language, capped so that one odd word can't
    decide a span.
 3. A Viterbi walk over the words with a penalty for each switch labels spans.
@@ -15,11 +15,12 @@ language, chosen by a hash of the id); everything else covers all rows.
 
 from __future__ import annotations
 
-import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,33 +47,38 @@ _STARTS = [s for s, _ in SCRIPTS]
 
 
 def script_of(word: str) -> str:
-    from bisect import bisect_right
-
     return SCRIPTS[max(0, bisect_right(_STARTS, ord(word[0])) - 1)][1]
 
 
 def grams(word: str) -> list[str]:
-    w = f" {word} "
-    return [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1) if w[i : i + n] != " "]
+    """Character pairs and triples of a word with its borders; of a very long one those of its ends."""
+    w = f" {word} " if len(word) <= 64 else f" {word[:32]}{word[-32:]} "
+    return [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)]
 
 
 @dataclass
 class LanguageModel:
-    """Log-probabilities of n-grams by language, and the scripts of each language."""
+    """Log-probabilities of n-grams by language (row 0: unseen ones), and the scripts of each language."""
 
     languages: list[str]
-    weights: dict[str, np.ndarray]
-    unseen: np.ndarray
+    rows: dict[str, int]
+    weights: np.ndarray
     scripts: dict[str, np.ndarray]
 
-    def word_scores(self, word: str) -> np.ndarray:
-        """Scores of a word, 0 for the likeliest language; zero for all if its script says nothing."""
-        use = self.scripts.get(script_of(word))
-        if use is None:
-            return np.zeros(len(self.languages), np.float32)
-        found = [self.weights.get(g, self.unseen) for g in grams(word[:64])]
-        score = np.where(use, np.sum(found, axis=0), -np.inf)
-        return np.maximum(score - score.max(), -WORD_CAP).astype(np.float32)
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Scores of words, 0 for the likeliest language; zero for all where the script says nothing."""
+        row = self.rows.get
+        found = [[row(g, 0) for g in grams(w)] for w in words]
+        sizes = np.array([len(f) for f in found], np.int64)
+        flat = np.fromiter((x for f in found for x in f), np.int64, int(sizes.sum()))
+        score = np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0)
+        none = np.zeros(len(self.languages), bool)
+        use = np.stack([self.scripts.get(script_of(w), none) for w in words])
+        score[~use] = -np.inf
+        best = np.where(use.any(axis=1), score.max(axis=1), 0)[:, None]
+        score = np.maximum(score - best, -WORD_CAP)
+        score[~use.any(axis=1)] = 0
+        return score.astype(np.float32)
 
 
 def fit(rows: list[tuple[str, str]]) -> LanguageModel:
@@ -85,18 +91,18 @@ def fit(rows: list[tuple[str, str]]) -> LanguageModel:
     letters: dict[str, np.ndarray] = {}
     for k, lang in enumerate(languages):
         for w, n in words[lang].items():
-            for g in grams(w[:64]):
+            for g in grams(w):
                 counts[k][g] += n
             letters.setdefault(script_of(w), np.zeros(len(languages)))[k] += n * len(w)
     every = sum(counts, Counter())
     kept = [g for g, n in every.most_common(MOST_GRAMS) if n > 1]
     total = np.array([sum(c.values()) for c in counts], float)
     size = len(kept) + 1
-    weights = {g: np.log((np.array([c[g] for c in counts], float) + 0.3) / (total + 0.3 * size)) for g in kept}
-    unseen = np.log(0.3 / (total + 0.3 * size)) if languages else np.zeros(0)
+    table = np.array([[0] * len(languages), *([c[g] for c in counts] for g in kept)], float).reshape(size, len(languages))
+    weights = np.log((table + 0.3) / (total + 0.3 * size)).astype(np.float32)
     sums = sum(letters.values()) if letters else np.zeros(0)
     scripts = {s: n > 0.01 * sums for s, n in letters.items() if (n > 0.01 * sums).any()}
-    return LanguageModel(languages, weights, unseen, scripts)
+    return LanguageModel(languages, {g: k for k, g in enumerate(kept, 1)}, weights, scripts)
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
@@ -133,24 +139,19 @@ class Labeller:
     """Scores words once and walks over texts."""
 
     def __init__(self, model: LanguageModel):
-        self.model, self.rows, self.table = model, {}, [np.zeros(len(model.languages), np.float32)]
-
-    def row(self, word: str) -> int:
-        got = self.rows.get(word)
-        if got is None:
-            got = self.rows[word] = len(self.table)
-            self.table.append(self.model.word_scores(word))
-        return got
+        self.model, self.rows, self.scores = model, {}, np.zeros((0, len(model.languages)), np.float32)
 
     def label(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Labels (as numbers of languages) of the words of each text."""
         if len(self.rows) > WORD_MEMORY:
-            self.rows, self.table = {}, self.table[:1]
-        known, row = self.rows.get, self.row
+            self.rows, self.scores = {}, self.scores[:0]
+        fresh = list(set(chain.from_iterable(texts)) - self.rows.keys())
+        if fresh:
+            self.rows.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh)), strict=True))
+            self.scores = np.concatenate([self.scores, self.model.word_scores(fresh)])
         lengths = np.array([len(t) for t in texts], np.int64)
-        rows = np.fromiter((known(w) or row(w) for t in texts for w in t), np.int64, int(lengths.sum()))
-        labels = viterbi(np.stack(self.table)[rows], lengths)
-        return np.split(labels, np.cumsum(lengths)[:-1]) if len(texts) else []
+        rows = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(texts)), np.int64, int(lengths.sum()))
+        return np.split(viterbi(self.scores[rows], lengths), np.cumsum(lengths)[:-1]) if len(texts) else []
 
 
 def label_spans(text: str, labeller: Labeller) -> list[tuple[int, int, str]]:
@@ -174,18 +175,19 @@ def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str,
     return [(r["lang"], r["text"]) for lang in langs for r in some.filter(F.col("lang") == lang).orderBy("h", "text").limit(rows).collect()]
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``(doc_id, lang_pred, score, spans)`` for every row of ``docs(doc_id, text)``.
+def identify(docs: DataFrame, model: LanguageModel, with_spans: bool = False) -> DataFrame:
+    """``(doc_id, lang_pred, score)`` for every row of ``docs(doc_id, text)``.
 
     ``lang_pred`` is the language of most letters, ``score`` its share of them;
     a null text or one without letters is ``und`` with score 0, and so is any
-    text under a model without languages.  ``spans`` is the labelled runs.
-    Repeated rows are labelled each; an empty table gives no row.
+    text under a model without languages.  ``with_spans`` adds the labelled runs
+    of words as ``spans``.  Repeated rows are labelled each; an empty table gives
+    no row; other columns are not read.
     """
     spark = docs.sparkSession
     import_on_workers(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded by MOST_GRAMS
-    schema = "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
+    schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * with_spans
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,23 +195,22 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         languages = shared.value.languages
 
         def solve(ids: list, texts: list[str]) -> pa.RecordBatch:
-            found = [list(_WORD.finditer(t)) if languages else [] for t in texts]
-            labels = labeller.label([[m.group().lower() for m in f] for f in found]) if languages else [()] * len(texts)
+            words = [_WORD.findall(t.lower()) if languages else [] for t in texts]
+            labels = labeller.label(words) if languages else [()] * len(texts)
             preds, scores, spans = [], [], []
-            for f, own in zip(found, labels, strict=True):
-                if not f:
+            for text, w, own in zip(texts, words, labels, strict=True):
+                if not w:
                     preds.append(UNKNOWN)
                     scores.append(0.0)
                     spans.append([])
                     continue
-                edges = np.array([m.span() for m in f], np.int64)
-                mass = np.bincount(own, weights=edges[:, 1] - edges[:, 0], minlength=len(languages))
+                mass = np.bincount(own, weights=np.fromiter(map(len, w), np.int64, len(w)), minlength=len(languages))
                 preds.append(languages[int(mass.argmax())])
                 scores.append(float(mass.max() / mass.sum()))
-                cuts = np.flatnonzero(np.diff(own)) + 1
-                firsts, lasts = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(own)]]) - 1
-                spans.append([{"start": int(edges[a, 0]), "end": int(edges[b, 1]), "lang": languages[own[a]]} for a, b in zip(firsts, lasts, strict=True)])
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, span)], ["doc_id", "lang_pred", "score", "spans"])
+                if with_spans:
+                    spans.append([{"start": a, "end": b, "lang": lang} for a, b, lang in label_spans(text, labeller)])
+            columns = [pa.array(ids, pa.int64()), pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
+            return pa.RecordBatch.from_arrays(columns + [pa.array(spans, span)] * with_spans, ["doc_id", "lang_pred", "score", *["spans"] * with_spans])
 
         for batch in batches:
             ids, texts, held = [], [], 0
