@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import paths as P
@@ -79,25 +79,25 @@ def _searched(spark: SparkSession, sf_dir: str, **what) -> DataFrame:
     return search.query(T.files(spark, sf_dir), T.symbols(spark, sf_dir), search.Filters(**what))
 
 
-@query(_search_sql("thened", "substring", True))
+@query(_search_sql("thatin", "substring", True))
 def search_substring(spark, sf_dir):
-    return _searched(spark, sf_dir, text="thened")
+    return _searched(spark, sf_dir, text="thatin")
 
 
-@query(_search_sql("stion", "prefix", False))
+@query(_search_sql("thing", "prefix", False))
 def search_prefix(spark, sf_dir):
-    return _searched(spark, sf_dir, text="Stion", mode="prefix")
+    return _searched(spark, sf_dir, text="Thing", mode="prefix")
 
 
-@query(_search_sql("tions", "exact", False))
+@query(_search_sql("orantion", "exact", False))
 def search_exact(spark, sf_dir):
-    return _searched(spark, sf_dir, text="tions", mode="exact")
+    return _searched(spark, sf_dir, text="Orantion", mode="exact")
 
 
-@query(_search_sql("thened", "substring", True) + """ ORDER BY score DESC, confidence DESC, path, target, name NULLS FIRST, line, "column" LIMIT 20 OFFSET 5""")
+@query(_search_sql("thatin", "substring", True) + """ ORDER BY score DESC, confidence DESC, path, target, name NULLS FIRST, line, "column" LIMIT 20 OFFSET 5""")
 def search_page(spark, sf_dir):
-    """A page of results; high sorts before medium among equal scores nowhere, as a score has one confidence."""
-    return budget.page(_searched(spark, sf_dir, text="thened"), search.result_order(), offset=5, limit=20)
+    """A page of results in their order; each score has one confidence here."""
+    return budget.page(_searched(spark, sf_dir, text="thatin"), search.result_order(), offset=5, limit=20)
 
 
 @query(f"""WITH {FILES}, ranked AS (
@@ -466,10 +466,10 @@ def trigram_postings(spark, sf_dir):
     return index.trigram_counts(T.files(spark, sf_dir))
 
 
-@query(f"WITH {FILES} SELECT path FROM files WHERE contains({LOWER.format('text')}, 'ondthe')")
+@query(f"WITH {FILES} SELECT path FROM files WHERE contains({LOWER.format('text')}, 't hehely')")
 def trigram_search(spark, sf_dir):
     f = T.files(spark, sf_dir)
-    return index.search_index(index.postings(f), f, "OndThe")
+    return index.search_index(index.postings(f), f, "T Hehely")
 
 
 @query(f"""WITH {BUGS}, joined AS (
@@ -492,7 +492,7 @@ def inventory(spark, sf_dir):
     return topology.inventory(T.files(spark, sf_dir))
 
 
-@query(f"WITH {TOKEN_EDGES.replace('FROM documents)', 'FROM documents)')} SELECT source, ord, symbol, target FROM edges")
+@query(f"WITH {TOKEN_EDGES} SELECT source, ord, symbol, target FROM edges")
 def incremental_edges(spark, sf_dir):
     """Edges kept from a build without the last files, with those of the affected files made anew: equal to a cold build."""
     s = T.symbols(spark, sf_dir)
