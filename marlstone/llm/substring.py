@@ -41,7 +41,7 @@ from marlstone.functions.stage import import_on_workers, write_stage
 
 LENGTH, GRAM = 50, 20
 #: Input bytes for each bucket, windows that are hashed at once, bytes that are packed at once.
-BUCKET_BYTES, CHUNK, PACK_BYTES = 8 << 20, 1 << 19, 48 << 20
+BUCKET_BYTES, CHUNK, PACK_BYTES = 8 << 20, 1 << 19, 28 << 20
 #: Windows of one representative that form a run at most (periodic texts have longer ones).
 LONGEST_RUN = 1024
 #: Stands for a null doc_id, which is larger than any other.
