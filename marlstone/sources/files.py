@@ -23,7 +23,8 @@ def read_worktree(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, pa
     """``(path, size, text, language, classifications, ...)`` of the files under a folder.
 
     Size limits reach the scan; ignored paths and git's own are left out; text
-    is null where bytes hold a NUL.
+    is null where bytes hold a NUL.  Spark's readers pass over names that begin
+    with a dot or an underscore.
     """
     base = root.rstrip("/").removeprefix("file://")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= max_bytes)

@@ -186,9 +186,17 @@ def read_git(spark: SparkSession, source: str, repository: str, **options) -> Da
     return spark.read.format(source).options(path=repository, **{k: str(v) for k, v in options.items()}).load()
 
 
-def read_mailmap(spark: SparkSession, path: str) -> DataFrame:
-    """``(name, email, raw_name, raw_email)`` of a mailmap file; lines of one address rename it."""
-    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "#.*$", "")).alias("v")).filter("v <> ''")
+def blob_lines(spark: SparkSession, repository: str, path: str, most: int = 1 << 20) -> DataFrame:
+    """Lines of a small file of HEAD as ``value``; none if it isn't there or is larger than ``most`` bytes."""
+    listed = git(repository, "ls-tree", "-l", "--full-tree", "HEAD", "--", path).split()
+    small = len(listed) >= 4 and listed[3].isdigit() and int(listed[3]) <= most
+    text = git(repository, "cat-file", "blob", listed[2]) if small else ""
+    return spark.createDataFrame([(line,) for line in text.splitlines()], "value string")
+
+
+def mailmap(lines: DataFrame) -> DataFrame:
+    """``(name, email, raw_name, raw_email)`` of the lines of a mailmap; lines of one address rename it."""
+    lines = lines.select(F.trim(F.regexp_replace("value", "#.*$", "")).alias("v")).filter("v <> ''")
     two = r"^(.*?)\s*<([^>]*)>\s*(.*?)\s*<([^>]*)>$"
     one = r"^(.*?)\s*<([^>]*)>$"
     pair = F.col("v").rlike(two)
@@ -197,7 +205,7 @@ def read_mailmap(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(part(1, 1).alias("name"), part(2, 2).alias("email"), raw_name.alias("raw_name"), part(4, 2).alias("raw_email"))
 
 
-def read_submodules(spark: SparkSession, path: str) -> DataFrame:
-    """Paths that a submodule file declares."""
-    found = spark.read.text(path).select(F.regexp_extract("value", r"^\s*path\s*=\s*(.+?)\s*$", 1).alias("path"))
+def submodules(lines: DataFrame) -> DataFrame:
+    """Paths that the lines of a submodule file declare."""
+    found = lines.select(F.regexp_extract("value", r"^\s*path\s*=\s*(.+?)\s*$", 1).alias("path"))
     return found.filter((F.col("path") != "") & safe_path(F.col("path"))).distinct()
