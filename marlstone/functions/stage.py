@@ -17,6 +17,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = 1000
 _local: list[str] = []
 
 
@@ -47,8 +48,16 @@ def drop_stage(spark: SparkSession, path: str) -> None:
 
 
 def import_on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it."""
+    """Let Python workers import this package from where the driver found it, and send them small batches.
+
+    Rows hold whole documents, so Arrow batches are kept to ``BATCH_ROWS`` unless
+    the session was given its own size.
+    """
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if root not in paths:
         env["PYTHONPATH"] = ":".join([*paths, root])
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")  # gives freed batches back
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, BATCH_ROWS)
