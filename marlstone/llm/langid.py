@@ -212,8 +212,8 @@ def identify(docs: DataFrame, model: LanguageModel, with_spans: bool = False) ->
             columns = [pa.array(ids, pa.int64()), pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
             return pa.RecordBatch.from_arrays(columns + [pa.array(spans, span)] * with_spans, ["doc_id", "lang_pred", "score", *["spans"] * with_spans])
 
+        ids, texts, held = [], [], 0
         for batch in batches:
-            ids, texts, held = [], [], 0
             for i, t in zip(batch.column(0), batch.column(1), strict=True):
                 text = t.as_py() or ""
                 if texts and held + len(text) > 3 * WORDS_AT_ONCE:
@@ -222,8 +222,8 @@ def identify(docs: DataFrame, model: LanguageModel, with_spans: bool = False) ->
                 ids.append(i.as_py())
                 texts.append(text)
                 held += len(text)
-            if texts:
-                yield solve(ids, texts)
+        if texts:
+            yield solve(ids, texts)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 

@@ -28,11 +28,11 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.functions.stage import import_on_workers, write_stage
 from marlstone.llm.components import connected_components
@@ -71,14 +71,17 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(bits.view(np.uint64)[0])
 
 
-def fingerprint_column(text: Column, shingle: int = 4) -> Column:
-    """The fingerprint as a signed long (the same 64 bits)."""
+def with_fingerprints(docs: DataFrame, name: str, shingle: int = 4) -> DataFrame:
+    """``docs`` with the fingerprint of ``text`` as a signed long (the same 64 bits); rows pass through as they come."""
+    import_on_workers(docs.sparkSession)
+    at, schema = docs.columns.index("text"), T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
 
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(at)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], [*batch.schema.names, name])
 
-    return of(text)
+    return docs.mapInArrow(run, schema)
 
 
 def fingerprint_hex(fp: Column) -> Column:
@@ -214,8 +217,8 @@ def simhash_components(docs: DataFrame, shingle: int = 4) -> DataFrame:
     that repeat stay; a null doc_id is never a component's id unless all its ids
     are null.  An empty table gives no row.  Other columns are not read.
     """
-    import_on_workers(docs.sparkSession)
-    prints, _ = write_stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(F.col("text"), shingle).alias("fp")), "fingerprints")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints, _ = write_stage(with_fingerprints(own, "fp", shingle).drop("text"), "fingerprints")
     return prints.join(classes(prints).drop("root"), "fp").select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -224,9 +227,8 @@ def near_dedup(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
     Columns stay as they are.  Components whose ids are all null keep one row.
     """
-    import_on_workers(docs.sparkSession)
-    columns = [c for c in docs.columns]
-    marked, _ = write_stage(docs.withColumn("__fp", fingerprint_column(F.col("text"), shingle)), "marked")
+    columns = docs.columns
+    marked, _ = write_stage(with_fingerprints(docs, "__fp", shingle), "marked")
     named = classes(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp")))
     # A representative is one (fingerprint, id): rows of other ids need not meet their class.
     best = named.select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__id"))
