@@ -26,9 +26,9 @@ from marlstone.functions.stage import import_on_workers
 
 #: Distinct pieces a worker remembers, twice: when the newer memory is full it becomes the older one.
 #: Prefixes are kept as they come; a full memory starts anew after many that found no room.
-PIECE_MEMORY = 1 << 18
-PAIR_MEMORY = 1 << 19
-PREFIX_MEMORY = 1 << 19
+PIECE_MEMORY = 1 << 17
+PAIR_MEMORY = 1 << 18
+PREFIX_MEMORY = 1 << 18
 
 
 def read_ranks(lines: Iterator[bytes]) -> dict[bytes, int]:
