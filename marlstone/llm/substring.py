@@ -16,12 +16,14 @@ one representative form a run.
    document are covered by it: the sample's order decides for all their windows.
 3. Runs whose representative, but not whole string, is met elsewhere lie at the
    ends of repeats: their common prefixes are shorter than the run.  Only their
-   strings are fetched, and their windows are sorted one by one.
+   strings are fetched; a suffix array, sorted by induction, and the common
+   prefixes of its neighbours tell which windows an earlier document has.
 4. Documents meet their covered intervals and are cut.
 
 A bucket or a home of documents is sized by ``BUCKET_BYTES`` of input.  Texts
 travel compressed.  A copied document is spread over all buckets; a passage on a
-third of all documents puts a few tuples of each into one bucket.
+third of all documents puts a few tuples of each into one bucket, and the
+windows at its ends are spread over all buckets.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.functions.stage import import_on_workers, write_stage
+from marlstone.llm.induced import same_prefix, suffix_array
 
 LENGTH, GRAM = 50, 20
 #: Input bytes for each bucket, windows that are hashed at once, bytes that are packed at once.
@@ -46,6 +49,10 @@ BUCKET_BYTES, CHUNK, PACK_BYTES = 8 << 20, 1 << 19, 28 << 20
 LONGEST_RUN = 1024
 #: Stands for a null doc_id, which is larger than any other.
 LAST_ID = np.iinfo(np.int64).max
+#: A representative of more runs than this is hot: its windows go to buckets by their own content.
+HOT_ROWS = 4096
+#: In place of a representative: the run is covered, or its windows are spread.
+COVERED, SPREAD = -1, -2
 
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -234,7 +241,8 @@ def _resolve(buckets: int):
         most_edge = np.maximum.reduceat(np.where(edge, ids, np.iinfo(np.int64).min), starts)[of_rep]
         edge |= fresh & (ids < most_edge)  # the first of equal runs lends its windows to larger documents
         use = inside | edge
-        out = [ids[use], keys[use], place[use], size[use], np.where(edge, rep.astype(np.int64), -1)[use]]
+        hot = np.diff(np.append(starts, len(ids)))[of_rep] > HOT_ROWS
+        out = [ids[use], keys[use], place[use], size[use], np.where(hot & edge, SPREAD, np.where(edge, rep.astype(np.int64), COVERED))[use]]
         return pa.table([pa.array(_homes(out[0], out[1], buckets).astype(np.int32)), *map(pa.array, out[:3]), pa.array(out[3].astype(np.int32)), pa.array(out[4])], ["home", "doc_id", "tkey", "place", "windows", "rep"])
 
     return run
@@ -281,8 +289,12 @@ def _fetch(buckets: int, ids_at: int, text_at: int):
                     texts[i, k] = (raw, s, e)
             for i, k, place, size, rep in zip(*(marks.column(c).to_pylist() for c in ("doc_id", "tkey", "place", "windows", "rep")), strict=True):
                 raw, s, _ = texts[i, k]
-                for x, v in zip(out, (rep % buckets, i, k, place, raw[s + place : s + place + size + LENGTH - 1]), strict=True):
-                    x.append(v)
+                string = raw[s + place : s + place + size + LENGTH - 1]
+                pieces = [string] if rep != SPREAD else [string[n : n + LENGTH] for n in range(size)]
+                for n, piece in enumerate(pieces):
+                    bucket = rep % buckets if rep != SPREAD else xxhash.xxh32_intdigest(piece) % buckets
+                    for x, v in zip(out, (bucket, i, k, place + n, piece), strict=True):
+                        x.append(v)
         return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
 
     return run
@@ -296,11 +308,18 @@ def _resolve_windows(buckets: int):
         count = ends - begins - LENGTH + 1
         row = np.repeat(np.arange(len(count)), count)
         start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + begins[row]
-        one, two = (_Strings(data, b).digest(start, start + LENGTH) for b in _BASES)
-        order = np.lexsort((ids[row], two, one))
-        fresh = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
-        least = np.empty(len(row), np.int64)
-        least[order] = ids[row][order][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+        valid = np.zeros(len(data), bool)
+        valid[start] = True
+        one, two = (_Strings(data, b) for b in _BASES)
+        order = suffix_array(data, one.digest, LENGTH)
+        order = order[valid[order]]
+        same = same_prefix(order, one.digest, LENGTH, len(data)) & same_prefix(order, two.digest, LENGTH, len(data))
+        row_at = np.empty(len(data), np.int64)
+        row_at[start] = row
+        least_at = np.empty(len(data), np.int64)
+        if len(order):
+            least_at[order] = np.minimum.reduceat(ids[row_at[order]], np.flatnonzero(~same))[np.cumsum(~same) - 1]
+        least = least_at[start]
         hit = np.flatnonzero(least < ids[row])
         if not len(hit):
             hit_row, first, size = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -310,7 +329,7 @@ def _resolve_windows(buckets: int):
             hit_row = row[first]
             first = start[first] - begins[hit_row] + place[hit_row]
         out = [ids[hit_row], keys[hit_row], first]
-        return pa.table([pa.array(_homes(out[0], out[1], buckets).astype(np.int32)), *map(pa.array, out), pa.array(size.astype(np.int32)), pa.array(np.full(len(size), -1))], ["home", "doc_id", "tkey", "place", "windows", "rep"])
+        return pa.table([pa.array(_homes(out[0], out[1], buckets).astype(np.int32)), *map(pa.array, out), pa.array(size.astype(np.int32)), pa.array(np.full(len(size), COVERED))], ["home", "doc_id", "tkey", "place", "windows", "rep"])
 
     return run
 
@@ -382,9 +401,9 @@ def cut_repeats(docs: DataFrame, with_rows: bool = False, bucket_bytes: int = BU
     tuples = own.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_send_runs(buckets), "bucket int, blob binary")
     marks, _ = write_stage(tuples.groupBy("bucket").applyInArrow(_resolve(buckets), _MARKED), "runs")
     packed = own.mapInArrow(_send_rows(buckets, ids_at, text_at), "home int, blob binary")
-    edges = packed.groupBy("home").cogroup(marks.filter("rep >= 0").groupBy("home")).applyInArrow(_fetch(buckets, ids_at, text_at), "bucket int, doc_id long, tkey long, place long, string binary")
+    edges = packed.groupBy("home").cogroup(marks.filter(F.col("rep") != COVERED).groupBy("home")).applyInArrow(_fetch(buckets, ids_at, text_at), "bucket int, doc_id long, tkey long, place long, string binary")
     windows, _ = write_stage(edges.groupBy("bucket").applyInArrow(_resolve_windows(buckets), _MARKED), "windows")
-    found = marks.filter("rep < 0").unionByName(windows)
+    found = marks.filter(F.col("rep") == COVERED).unionByName(windows)
     measures = [T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()))]
     if with_rows:
         schema = T.StructType([*own.schema.fields, *(T.StructField(f"__{m.name}", m.dataType) for m in measures)])
