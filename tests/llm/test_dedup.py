@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from marlstone.llm import simhash, substring
+from marlstone.llm import induced, simhash, substring
 from marlstone.llm.queries import QUERIES
 
 DOC = "doc_id long, text string, fp string, n_bytes int, component_id string"
@@ -184,3 +184,22 @@ def test_registered_queries_against_brute_force(spark, sf_dir):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert sorted((tuple(r) for r in QUERIES["op6_simhash"](spark, sf_dir).collect()), key=repr) == plain_components(docs)
     assert sorted((tuple(r) for r in QUERIES["op1_suffix_dedup"](spark, sf_dir).collect()), key=repr) == [w[:5] for w in plain_cut(docs)]
+
+
+def test_suffix_arrays_against_sorting():
+    rng = random.Random(1)
+    for _ in range(400):
+        data = np.frombuffer("".join(rng.choice(rng.choice(["ab", "a", "abc", "é\0z"])) for _ in range(rng.randrange(1, 70))).encode(), np.uint8)
+        raw, digest = data.tobytes(), substring._Strings(data).digest
+        order = induced.suffix_array(data, digest, 1000)
+        assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+        same = induced.same_prefix(order, digest, 3, len(raw)).tolist()
+        assert same == [False] + [raw[a : a + 3] == raw[b : b + 3] and max(a, b) + 3 <= len(raw) for a, b in zip(order, order[1:], strict=False)]
+    assert induced.suffix_array(np.zeros(0, np.uint8), None, 5).tolist() == []
+
+
+def test_hot_passages_are_spread(spark, monkeypatch):
+    rows = passages(3)
+    want = [w[:5] for w in plain_cut(rows)]
+    monkeypatch.setattr(substring, "HOT_ROWS", 2)
+    assert sorted((tuple(r) for r in substring.cut_repeats(frame(spark, rows), bucket_bytes=3000).collect()), key=repr) == want
