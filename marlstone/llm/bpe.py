@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.stage import import_on_workers
+from marlstone.llm.common import give_back_memory
 
 #: Distinct pieces a worker remembers, twice: when the newer memory is full it becomes the older one.
 #: Prefixes are kept as they come; a full memory starts anew after many that found no room.
@@ -272,5 +273,6 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: b
                         kept.append(ids)
                 columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * with_ids, fields)
+        give_back_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

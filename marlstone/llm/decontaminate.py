@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.stage import import_on_workers
+from marlstone.llm.common import give_back_memory
 
 Q = 10
 PASSAGE, STEP = 120, 60
@@ -235,6 +236,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         ids, texts, held = [], [], 0
                 if ids:
                     yield solve(ids, texts)
+            give_back_memory()
 
         found = own.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
@@ -262,6 +264,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         bad = {r[0] for r in find_passages(texts, shared.value)}
                         yield batch.slice(start, len(texts)).filter(pa.array([n not in bad for n in range(len(texts))]))
                         start, held, texts = k + 1, 0, []
+            give_back_memory()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

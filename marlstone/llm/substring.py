@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.functions.stage import import_on_workers, write_stage
+from marlstone.llm.common import give_back_memory
 from marlstone.llm.induced import same_prefix, suffix_array
 
 LENGTH, GRAM = 50, 20
@@ -60,12 +61,15 @@ _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    if base not in _tables or len(_tables[base][0]) < n:
-        size = 1 << max(10, (n - 1).bit_length())
-        inverse = pow(base, -1, 1 << 64)
-        _tables[base] = tuple(np.concatenate([[_U(1)], np.multiply.accumulate(np.full(size - 1, b, _U))]) for b in (base, inverse))
-    return _tables[base]
+    """Powers of an odd base and of its inverse modulo 2**64; only those for a chunk are kept."""
+    known = _tables.get(base)
+    if known is not None and n <= len(known[0]):
+        return known
+    inverse = pow(base, -1, 1 << 64)
+    made = tuple(np.concatenate([[_U(1)], np.multiply.accumulate(np.full(max(n, 2 * CHUNK) - 1, b, _U))]) for b in (base, inverse))
+    if n <= 2 * CHUNK:
+        _tables[base] = made
+    return made
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -213,6 +217,7 @@ def _send_runs(buckets: int):
                 used, local = np.unique(doc[rows], return_inverse=True)
                 blob = _pack([(ids[used], 8), (keys[used], 4), (np.diff(local, prepend=0), 3), (place[rows], 5), (size[rows], 2), (rep[rows] & _U((1 << 48) - 1), 6), (whole[rows] >> _U(8), 7)])
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+            give_back_memory()
 
     return run
 
@@ -242,6 +247,7 @@ def _resolve(buckets: int):
         edge |= fresh & (ids < most_edge)  # the first of equal runs lends its windows to larger documents
         use = inside | edge
         hot = np.diff(np.append(starts, len(ids)))[of_rep] > HOT_ROWS
+        give_back_memory()
         out = [ids[use], keys[use], place[use], size[use], np.where(hot & edge, SPREAD, np.where(edge, rep.astype(np.int64), COVERED))[use]]
         return pa.table([pa.array(_homes(out[0], out[1], buckets).astype(np.int32)), *map(pa.array, out[:3]), pa.array(out[3].astype(np.int32)), pa.array(out[4])], ["home", "doc_id", "tkey", "place", "windows", "rep"])
 
@@ -264,6 +270,7 @@ def _send_rows(buckets: int, ids_at: int, text_at: int):
                 with pa.ipc.new_stream(sink, table.schema, options=options) as writer:
                     writer.write_table(table.take(pa.array(order[cuts[b] : cuts[b + 1]])))
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["home", "blob"])
+            give_back_memory()
 
     return run
 
@@ -329,6 +336,7 @@ def _resolve_windows(buckets: int):
             hit_row = row[first]
             first = start[first] - begins[hit_row] + place[hit_row]
         out = [ids[hit_row], keys[hit_row], first]
+        give_back_memory()
         return pa.table([pa.array(_homes(out[0], out[1], buckets).astype(np.int32)), *map(pa.array, out), pa.array(size.astype(np.int32)), pa.array(np.full(len(size), COVERED))], ["home", "doc_id", "tkey", "place", "windows", "rep"])
 
     return run
@@ -377,6 +385,7 @@ def _cut(ids_at: int, text_at: int, with_rows: bool):
                 tables.append(pa.table([*columns, *measures.values()], [*batch.schema.names, *(f"__{m}" for m in measures)]))
             else:
                 tables.append(pa.table([batch.column(ids_at), *measures.values()], ["doc_id", *measures]))
+        give_back_memory()
         return pa.concat_tables(tables) if tables else pa.table({})
 
     return run
