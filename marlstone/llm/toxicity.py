@@ -27,7 +27,11 @@ SAMPLE_ROWS = 1000
 WINDOW, STRIDE = 32, 24
 WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN, ATTEND = 1 << 14, 1 << 12, 8, 8, 8
 MOST_CHARS = 12
-STEPS, BATCH, SHARP = 240, 24, 2.0
+#: Spread of fresh word vectors, and the rate at which they learn.
+SPREAD, RATE = 0.1, 0.25
+STEPS, BATCH, SHARP = 300, 24, 2.0
+#: Share of words hidden in training, and what word vectors lose a step, so that rare words aren't learned by heart.
+DROPPED, FADE = 0.05, 0.003
 WINDOWS_AT_ONCE = 4096
 WORD_MEMORY = 1 << 17
 _WORD = re.compile(r"\w+")
@@ -57,7 +61,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fresh(seed: int = 7) -> dict[str, np.ndarray]:
     rng, f = np.random.default_rng(seed), np.float32
-    p = {"ew": rng.normal(0, 0.1, (WORD_ROWS, WIDTH)), "ec": rng.normal(0, 0.1, (CHAR_ROWS, WIDTH))}
+    p = {"ew": rng.normal(0, SPREAD, (WORD_ROWS, WIDTH)), "ec": rng.normal(0, SPREAD, (CHAR_ROWS, WIDTH))}
     for d in "fb":
         p["w" + d] = rng.normal(0, 0.35, (2 * WIDTH, 3 * HIDDEN))
         p["u" + d] = rng.normal(0, 0.35, (HIDDEN, 3 * HIDDEN))
@@ -194,8 +198,9 @@ def train(rows: list[tuple[str, int]], steps: int = STEPS, seed: int = 7) -> dic
     m1, m2 = ({k: np.zeros_like(p[k]) for k in dense} for _ in range(2))
     seen = {k: np.full(len(p[k]), 1e-3, np.float32) for k in ("ew", "ec")}
     for step in range(1, steps + 1):
-        pick = np.concatenate([rng.choice(yes, BATCH // 2), rng.choice(no, BATCH // 2)])
+        pick = np.concatenate([rng.choice(yes, BATCH // 3), rng.choice(no, BATCH - BATCH // 3)])
         at, mask, of = _windows([texts[k] for k in pick])
+        at[rng.random(at.shape) < DROPPED] = 0
         used, local = np.unique(at, return_inverse=True)
         local = local.reshape(at.shape)
         x = word_inputs(p, ids[used], chars[used], sizes[used])
@@ -218,7 +223,8 @@ def train(rows: list[tuple[str, int]], steps: int = STEPS, seed: int = 7) -> dic
         np.add.at(gc, chars[used][has], np.repeat(dx[:, WIDTH:] / np.maximum(sizes[used], 1)[:, None], has.sum(axis=1), axis=0))
         for k, gk in (("ew", gw), ("ec", gc)):
             seen[k] += (gk**2).sum(axis=1)
-            p[k] -= (0.25 * min(1.0, 2.2 * (1 - step / (steps + 1)))) * gk / np.sqrt(seen[k])[:, None]
+            p[k] *= 1 - FADE
+            p[k] -= (RATE * min(1.0, 2.2 * (1 - step / (steps + 1)))) * gk / np.sqrt(seen[k])[:, None]
     return p
 
 
