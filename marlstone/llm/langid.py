@@ -169,10 +169,22 @@ def label_spans(text: str, labeller: Labeller) -> list[tuple[int, int, str]]:
 
 
 def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """Up to ``rows`` labelled whole texts of each language, by the order of a hash of the id."""
-    some = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    langs = sorted(r["lang"] for r in some.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect())
-    return [(r["lang"], r["text"]) for lang in langs for r in some.filter(F.col("lang") == lang).orderBy("h", "text").limit(rows).collect()]
+    """Up to ``rows`` labelled whole texts of each of the 200 largest languages, by the order of a hash of the id.
+
+    A count by language sets the share of hashes that is read, with room to
+    spare; what comes is cut to ``rows`` in order.
+    """
+    some = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = some.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()
+    if not counts:
+        return []
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, (1.2 * rows + 40) / r["n"]))))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    near = some.select("lang", "text", place.alias("h")).filter(F.col("h") <= F.element_at(share, F.col("lang")) * float(1 << 40))
+    found: dict[str, list[tuple[int, str]]] = {}
+    for r in near.limit(2 * (rows + 40) * len(counts)).collect():
+        found.setdefault(r["lang"], []).append((r["h"], r["text"]))
+    return [(lang, text) for lang in sorted(found) for _, text in sorted(found[lang])[:rows]]
 
 
 def identify(docs: DataFrame, model: LanguageModel, with_spans: bool = False) -> DataFrame:
