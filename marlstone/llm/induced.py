@@ -20,13 +20,11 @@ import numpy as np
 
 def types(data: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the one after it; the last one is larger."""
-    n = len(data)
-    if not n:
+    if not len(data):
         return np.zeros(0, bool)
-    differ = np.flatnonzero(data[1:] != data[:-1])
-    nearest = np.searchsorted(differ, np.arange(n))
-    at = np.append(differ, n - 1)[nearest]
-    return np.where(at < n - 1, data[np.minimum(at, n - 1)] < data[np.minimum(at + 1, n - 1)], False)
+    last = np.flatnonzero(data[1:] != data[:-1])  # ends of runs of equal bytes, less the last run
+    rises = np.append(data[last] < data[last + 1], False)
+    return np.repeat(rises, np.diff(last, prepend=-1, append=len(data) - 1))
 
 
 def minima(small: np.ndarray) -> np.ndarray:

@@ -46,6 +46,8 @@ from marlstone.llm.induced import same_prefix, suffix_array
 LENGTH, GRAM = 50, 20
 #: Input bytes for each bucket, windows that are hashed at once, bytes that are packed at once.
 BUCKET_BYTES, CHUNK, PACK_BYTES = 8 << 20, 1 << 19, 28 << 20
+#: Shards of strings at the ends of repeats, for each bucket.
+SHARDS = 8
 #: Windows of one representative that form a run at most (periodic texts have longer ones).
 LONGEST_RUN = 1024
 #: Stands for a null doc_id, which is larger than any other.
@@ -279,8 +281,8 @@ def _rows_of(table: pa.Table) -> pa.Table:
     return pa.concat_tables(pa.ipc.open_stream(b.as_py()).read_all() for b in table.column("blob"))
 
 
-def _fetch(buckets: int, ids_at: int, text_at: int):
-    """The strings of marked runs, for the bucket of their representative."""
+def _fetch(shards: int, ids_at: int, text_at: int):
+    """The strings of marked runs for the shard of their representative; single windows of hot ones for one by content."""
 
     def run(rows: pa.Table, marks: pa.Table) -> pa.Table:
         names = ["bucket", "doc_id", "tkey", "place", "string"]
@@ -299,7 +301,7 @@ def _fetch(buckets: int, ids_at: int, text_at: int):
                 string = raw[s + place : s + place + size + LENGTH - 1]
                 pieces = [string] if rep != SPREAD else [string[n : n + LENGTH] for n in range(size)]
                 for n, piece in enumerate(pieces):
-                    bucket = rep % buckets if rep != SPREAD else xxhash.xxh32_intdigest(piece) % buckets
+                    bucket = rep % shards if rep != SPREAD else shards + xxhash.xxh32_intdigest(piece) % shards
                     for x, v in zip(out, (bucket, i, k, place + n, piece), strict=True):
                         x.append(v)
         return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
@@ -315,12 +317,18 @@ def _resolve_windows(buckets: int):
         count = ends - begins - LENGTH + 1
         row = np.repeat(np.arange(len(count)), count)
         start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + begins[row]
-        valid = np.zeros(len(data), bool)
-        valid[start] = True
         one, two = (_Strings(data, b) for b in _BASES)
-        order = suffix_array(data, one.digest, LENGTH)
-        order = order[valid[order]]
-        same = same_prefix(order, one.digest, LENGTH, len(data)) & same_prefix(order, two.digest, LENGTH, len(data))
+        if table.column("bucket")[0].as_py() < SHARDS * buckets:
+            valid = np.zeros(len(data), bool)
+            valid[start] = True
+            order = suffix_array(data, one.digest, LENGTH)
+            order = order[valid[order]]
+            same = same_prefix(order, one.digest, LENGTH, len(data)) & same_prefix(order, two.digest, LENGTH, len(data))
+        else:  # whole strings of one window each: no prefixes to share
+            key = one.digest(start, start + LENGTH), two.digest(start, start + LENGTH)
+            by = np.lexsort(key)
+            order = start[by]
+            same = np.append(False, (key[0][by][1:] == key[0][by][:-1]) & (key[1][by][1:] == key[1][by][:-1]))
         row_at = np.empty(len(data), np.int64)
         row_at[start] = row
         least_at = np.empty(len(data), np.int64)
@@ -410,7 +418,7 @@ def cut_repeats(docs: DataFrame, with_rows: bool = False, bucket_bytes: int = BU
     tuples = own.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_send_runs(buckets), "bucket int, blob binary")
     marks, _ = write_stage(tuples.groupBy("bucket").applyInArrow(_resolve(buckets), _MARKED), "runs")
     packed = own.mapInArrow(_send_rows(buckets, ids_at, text_at), "home int, blob binary")
-    edges = packed.groupBy("home").cogroup(marks.filter(F.col("rep") != COVERED).groupBy("home")).applyInArrow(_fetch(buckets, ids_at, text_at), "bucket int, doc_id long, tkey long, place long, string binary")
+    edges = packed.groupBy("home").cogroup(marks.filter(F.col("rep") != COVERED).groupBy("home")).applyInArrow(_fetch(SHARDS * buckets, ids_at, text_at), "bucket int, doc_id long, tkey long, place long, string binary")
     windows, _ = write_stage(edges.groupBy("bucket").applyInArrow(_resolve_windows(buckets), _MARKED), "windows")
     found = marks.filter(F.col("rep") == COVERED).unionByName(windows)
     measures = [T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()))]
