@@ -23,7 +23,7 @@ def read_worktree(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, pa
     """``(path, size, text, language, classifications, ...)`` of the files under a folder.
 
     Size limits reach the scan; ignored paths and git's own are left out; text
-    is null where bytes hold a NUL.  Spark's readers pass over names that begin
+    is null where bytes hold a NUL or aren't UTF-8.  Spark's readers pass over names that begin
     with a dot or an underscore.
     """
     base = root.rstrip("/").removeprefix("file://")
@@ -33,7 +33,7 @@ def read_worktree(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, pa
     if patterns:
         own = own.filter(~excluded(F.col("path"), list(patterns)))
     binary = F.position(F.lit(b"\0"), F.col("content")) > 0
-    text = F.when(~binary, F.try_validate_utf8(F.decode("content", F.lit("UTF-8"))))
+    text = F.when(~binary, F.try_validate_utf8(F.col("content").cast("string")))
     told = own.withColumn("text", text).withColumn("sha256", F.sha2("content", 256)).drop("content")
     first = F.substring_index("text", "\n", 1)
     classes = path_classes(F.col("path"))
