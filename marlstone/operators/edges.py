@@ -160,7 +160,7 @@ def edge_weight(symbol: Column, confidence: Column, visibility: Column) -> Colum
     return lexical * sure * seen
 
 
-def affected_files(symbols: DataFrame, changed: DataFrame, rounds: int = 32) -> DataFrame:
+def affected_files(symbols: DataFrame, changed: DataFrame) -> DataFrame:
     """Files whose edges a change can touch: the changed ones and, to a fixed point, those that refer to a name they define or define a name they refer to."""
     from marlstone.functions.stage import drop_stage, write_stage
 
@@ -169,7 +169,7 @@ def affected_files(symbols: DataFrame, changed: DataFrame, rounds: int = 32) ->
     refs = references(symbols).select("language", "name", "path").distinct()
     now, where = write_stage(changed.select("path").distinct(), "affected")
     count = now.count()
-    for _ in range(rounds):
+    while True:
         names = defs.join(now, "path", "left_semi").select("language", "name").unionByName(refs.join(now, "path", "left_semi").select("language", "name")).distinct()
         touched = refs.join(names, ["language", "name"], "left_semi").select("path").unionByName(defs.join(names, ["language", "name"], "left_semi").select("path"))
         after, new = write_stage(now.unionByName(touched).distinct(), "affected")

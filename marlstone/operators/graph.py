@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.stage import write_stage
+from marlstone.functions.stage import drop_stage, write_stage
 
 # Limits of walks and constants of the ranks (fixed values).
 DEPTH_MOST, WORK_DEFAULT, WORK_MOST, RESULTS_MOST = 64, 10_000, 100_000, 256
@@ -72,7 +72,7 @@ def walk(edges: DataFrame, anchors: DataFrame, direction: str = "out", depth: in
     links = adjacency(of_kinds(edges, kinds), direction)
     start = anchors.select(F.col("node")).distinct().orderBy("node").limit(WORK_MOST)
     start = start.withColumn("rank", F.row_number().over(Window.orderBy("node")).cast("long")).select("node", F.lit(0).alias("depth"), "rank", F.lit(None).cast(links.schema["other"].dataType).alias("parent"), F.lit(None).cast("string").alias("via"), F.lit("high").alias("confidence"), F.lit(False).alias("ambiguous"))
-    met, _ = write_stage(start, "walk")
+    met, where = write_stage(start, "walk")
     if projects is not None:
         links = links.join(projects.select(F.col("node").alias("node"), F.col("root").alias("__from")), "node").join(projects.select(F.col("node").alias("other"), F.col("root").alias("__to")), "other")
     used, level, boundaries, depth_limited, work_limited = 0, 0, 0, False, False
@@ -98,7 +98,9 @@ def walk(edges: DataFrame, anchors: DataFrame, direction: str = "out", depth: in
         chosen = fresh.groupBy("other").agg(F.min(F.struct("work", "node", "id", "confidence", "ambiguous")).alias("m"))
         base = 1 << 32
         added = chosen.select(F.col("other").alias("node"), F.lit(level + 1).alias("depth"), (F.lit((level + 1) * base) + F.col("m.work")).cast("long").alias("rank"), F.col("m.node").alias("parent"), F.col("m.id").cast("string").alias("via"), F.col("m.confidence").alias("confidence"), F.col("m.ambiguous").alias("ambiguous"))
-        met, _ = write_stage(met.unionByName(added), "walk")
+        met, new = write_stage(met.unionByName(added), "walk")
+        drop_stage(edges.sparkSession, where)
+        where = new
         used += min(total, work - used)
         level += 1
         if work_limited:
@@ -146,7 +148,7 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int = IMPACT_DEPTH, work:
     own = first.select(F.col("other").alias("node")).distinct().join(start, "node", "left_anti").select("node", F.lit(1).alias("depth"), F.lit("inferred").alias("reach"))
     own, _ = write_stage(own, "impact")
     left = max(1, work - first.count())
-    state, _ = write_stage(start.withColumn("depth", F.lit(0)).withColumn("reach", F.lit("seed")).withColumn("rank", F.row_number().over(Window.orderBy("node")).cast("long")), "impact")
+    state, where = write_stage(start.withColumn("depth", F.lit(0)).withColumn("reach", F.lit("seed")).withColumn("rank", F.row_number().over(Window.orderBy("node")).cast("long")), "impact")
     links = adjacency(edges, "in")
     for level in range(depth):
         now = state.filter(F.col("depth") == level)
@@ -160,7 +162,9 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int = IMPACT_DEPTH, work:
         fresh = ranked.join(state.select("node"), ranked["other"] == state["node"], "left_anti")
         chosen = fresh.withColumn("r", reach).groupBy("other").agg(F.min(F.struct("work", "r")).alias("m"))
         added = chosen.select(F.col("other").alias("node"), F.lit(level + 1).alias("depth"), F.col("m.r").alias("reach"), (F.lit((level + 1) << 32) + F.col("m.work")).cast("long").alias("rank"))
-        state, _ = write_stage(state.unionByName(added), "impact")
+        state, new = write_stage(state.unionByName(added), "impact")
+        drop_stage(edges.sparkSession, where)
+        where = new
     met = state.select("node", "depth", "reach")
     return met.unionByName(own.join(met.select("node"), "node", "left_anti"))
 
@@ -197,14 +201,17 @@ def pagerank(nodes: DataFrame, edges: DataFrame, personal: DataFrame | None = No
     shares, _ = write_stage(shares, "shares")
     base = p.join(summed.select(F.col("src").alias("node")).distinct().withColumn("flows", F.lit(True)), "node", "left").select("node", "p", F.coalesce("flows", F.lit(False)).alias("flows"))
     base, _ = write_stage(base, "personal")
-    rank = base.select("node", F.col("p").alias("score"))
+    rank, where = base.select("node", F.col("p").alias("score")), None
     for k in range(1, iterations + 1):
         flow = rank.join(shares, rank["node"] == shares["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         held = base.join(rank, "node")
         dangling = held.agg(F.coalesce(F.sum(F.when(~F.col("flows"), F.col("score"))), F.lit(0.0)).alias("loose"))  # one row
         rank = base.join(flow, "node", "left").crossJoin(F.broadcast(dangling)).select("node", ((1 - damping) * F.col("p") + damping * (F.col("loose") * F.col("p") + F.coalesce("got", F.lit(0.0)))).alias("score"))
         if k % every == 0 or k == iterations:
-            rank, _ = write_stage(rank, "rank")
+            rank, new = write_stage(rank, "rank")
+            if where:
+                drop_stage(nodes.sparkSession, where)
+            where = new
     return rank
 
 
@@ -252,4 +259,4 @@ def resolve_anchor(files: DataFrame, symbols: DataFrame, target: str) -> DataFra
     inside = files.filter(F.col("path").startswith(target.rstrip("/") + "/")).select(F.col("path").alias("node"), F.lit(2).alias("how"))
     every = exact.unionByName(named).unionByName(inside).distinct()
     best = every.agg(F.min("how").alias("best"))  # one row
-    return every.crossJoin(F.broadcast(best)).filter("how = best").select("node")
+    return every.filter(F.col("how") == best.scalar()).select("node")

@@ -76,7 +76,7 @@ def contributors(commits: DataFrame, now: int | None = None, days: int | None =
     first = F.struct("committer_seconds", "id")
     grouped = some.groupBy(key.alias("key")).agg(F.count("*").alias("commits"), F.max_by("author_name", first).alias("name"), F.max_by("author_email", first).alias("email"))
     total = some.agg(F.count("*").alias("total"))  # one row
-    return grouped.crossJoin(F.broadcast(total)).select("name", "email", "commits", F.expr("commits * 100 div total").alias("share"))
+    return grouped.select("name", "email", "commits", F.floor(F.col("commits") * 100 / total.scalar()).alias("share"))
 
 
 def keyword_commits(commits: DataFrame, keywords: list[str], now: int, days: int, mode: str = "word") -> DataFrame:

@@ -78,7 +78,7 @@ def primary_languages(files: DataFrame, most: int = 3) -> DataFrame:
     """Languages with a third of the files of the largest, at most three."""
     counts = files.filter("language is not null").groupBy("language").agg(F.count("*").alias("files"))
     top = counts.agg(F.max("files").alias("top"))  # one row
-    return counts.crossJoin(F.broadcast(top)).filter("files * 3 >= top").drop("top").orderBy(F.desc("files"), "language").limit(most)
+    return counts.filter(F.col("files") * 3 >= top.scalar()).orderBy(F.desc("files"), "language").limit(most)
 
 
 def omission_reason(path, size, text, symlink, language, max_bytes: int = 1 << 20):

@@ -166,9 +166,9 @@ def classify_paths(spark, sf_dir):
     return p.select("path", F.explode(F.transform(P.path_classes(F.col("path")), lambda c: F.concat_ws(" ", c["kind"], c["reason"]))).alias("class"))
 
 
-@query(f"WITH {FILES} SELECT doc_id, len(list_filter(regexp_split_to_array(left(text, 200), '[^\\pL\\pN]+'), lambda w: strlen(w) >= 3 AND {LOWER.format('w')} NOT IN ('a','an','and','at','by','for','from','in','into','is','of','on','or','the','to','with'))) AS terms FROM files")
+@query(f"WITH {FILES} SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[^\\pL\\pN]+'), lambda w: strlen(w) >= 3 AND {LOWER.format('w')} NOT IN ('a','an','and','at','by','for','from','in','into','is','of','on','or','the','to','with'))) AS terms FROM files")
 def task_term_counts(spark, sf_dir):
-    return T.files(spark, sf_dir).select("doc_id", F.size(task_terms(F.left("text", F.lit(200)))).cast("long").alias("terms"))
+    return T.files(spark, sf_dir).select("doc_id", F.size(task_terms(F.col("text"))).cast("long").alias("terms"))
 
 
 @query(f"WITH {FILES} SELECT path, greatest(1, CAST(ceil(length(text) / 4.0) AS BIGINT)) AS tokens FROM files")
@@ -320,13 +320,15 @@ def degree(spark, sf_dir):
     return edges.degrees(T.part_edges(spark, sf_dir), "src", "dst")
 
 
-ROOTS = "SELECT DISTINCT p_brand AS path FROM part WHERE p_partkey % 3 = 0 UNION SELECT DISTINCT p_brand || '/' || p_type FROM part WHERE p_partkey % 5 = 0"
+# Brands of large parts on average are roots, and types that have a very large one.
+ROOTS = "SELECT p_brand AS path FROM part GROUP BY 1 HAVING sum(p_size) > 25 * count(*) UNION SELECT DISTINCT p_brand || '/' || p_type FROM part WHERE p_size > 40"
 
 
 @query(f"""WITH {COMMITS}, roots AS ({ROOTS}) SELECT p.path, arg_max(r.path, length(r.path)) AS project_root FROM part_paths p LEFT JOIN roots r ON p.path = r.path OR starts_with(p.path, r.path || '/') GROUP BY p.path""")
 def deepest_root(spark, sf_dir):
     p = T.table(spark, sf_dir, "part")
-    roots = p.filter("p_partkey % 3 = 0").select(F.col("p_brand").alias("path")).union(p.filter("p_partkey % 5 = 0").select(F.concat_ws("/", "p_brand", "p_type"))).distinct()
+    brands = p.groupBy(F.col("p_brand").alias("path")).agg((F.sum("p_size") > 25 * F.count("*")).alias("large")).filter("large").select("path")
+    roots = brands.union(p.filter("p_size > 40").select(F.concat_ws("/", "p_brand", "p_type"))).distinct()
     return topology.deepest_root(T.part_paths(spark, sf_dir).select("path"), roots)
 
 
@@ -341,12 +343,12 @@ def suffix_join(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT o_custkey AS path, o_orderkey AS name, o_orderkey % 100 AS a, o_orderkey % 100 + o_orderkey % 7 AS b FROM orders),
-r AS (SELECT c_custkey AS path, c_custkey % 90 AS a, c_custkey % 90 + 5 AS b FROM customer WHERE c_custkey % 2 = 0)
+r AS (SELECT c_custkey AS path, c_custkey % 90 AS a, c_custkey % 90 + 5 AS b FROM customer)
 SELECT DISTINCT s.path, s.name, s.a AS "start", s.b AS "end" FROM s JOIN r ON s.path = r.path AND s.a <= r.b AND s.b >= r.a""")
 def interval_overlap(spark, sf_dir):
     o, c = T.table(spark, sf_dir, "orders"), T.table(spark, sf_dir, "customer")
     s = o.select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("name"), (F.col("o_orderkey") % 100).alias("start"), (F.col("o_orderkey") % 100 + F.col("o_orderkey") % 7).alias("end"))
-    r = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("path"), (F.col("c_custkey") % 90).alias("start"), (F.col("c_custkey") % 90 + 5).alias("end"))
+    r = c.select(F.col("c_custkey").alias("path"), (F.col("c_custkey") % 90).alias("start"), (F.col("c_custkey") % 90 + 5).alias("end"))
     return changes.changed_symbols(s, r)
 
 
