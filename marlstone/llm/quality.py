@@ -123,7 +123,8 @@ def _key(*parts: Column) -> Column:
 
 
 def frequent_lines(docs: DataFrame, rules: QualityRules) -> DataFrame:
-    """``(host, line)`` hashes of the lines that too many distinct texts of a host hold."""
+    """``(host, line)`` hashes of the lines that too many distinct texts of a host hold; a null text is an empty one."""
+    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     texts = docs.select(F.xxhash64("host").alias("host"), F.xxhash64("text").alias("print"), F.explode(F.array_distinct(F.transform(normalised_lines(F.col("text")), lambda x: F.xxhash64(x)))).alias("line"))
     held = texts.groupBy("host", "line").agg(F.count_distinct("print").alias("n"))
     hosts = docs.groupBy(F.xxhash64("host").alias("host")).agg(F.count_distinct(F.xxhash64("text")).alias("of"))

@@ -157,3 +157,11 @@ def test_frequent_lines_deplete(spark):
     assert kept.columns == [c.split()[0] for c in DOC.split(", ")]
     assert verdicts(spark, [])[0].count() == 0 and verdicts(spark, [])[1].count() == 0
     assert verdicts(spark, [(None, None, None)])[0].first()["kept"] is False
+
+
+def test_null_and_empty_texts_count_once_a_host(spark):
+    body = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    common = " ".join(f"c{i}" for i in range(300))
+    rules = quality.QualityRules(line_min_docs=1, line_host_percent=60)
+    rows = [(1, f"{body(1)}\n{common}", "a"), (2, f"{body(2)}\n{common}", "a"), (3, None, "a"), (4, "", "a")]
+    assert not any(r["kept"] for r in verdicts(spark, rows, rules)[0].collect())  # two of three texts hold the line
