@@ -25,7 +25,13 @@ from marlstone.llm.common import SPACES, let, words_of
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Limits. A line is removed from a host when its distinct documents exceed both line limits."""
+    """Limits. A line is removed from a host when its distinct documents exceed both line limits.
+
+    The count limit decides on hosts of up to ``100 * line_min_docs /
+    line_host_percent`` (400) distinct texts.  On larger ones the share does, whatever
+    their size: boilerplate is what stands on that part of a host, so a host of
+    3 million texts loses lines that stand on over 150,000 of them.
+    """
 
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -111,10 +117,13 @@ def base_failed(rules: QualityRules) -> Column:
     return (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
 
 
+def all_lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
 def normalised_lines(text: Column) -> Column:
     """The lines of a text that hold a word, trimmed and in lower case."""
-    lines = F.split(F.lower(F.coalesce(text, F.lit(""))), "\n", -1)
-    return F.filter(F.transform(lines, lambda x: F.btrim(x, F.lit(SPACES))), lambda x: x != "")
+    return F.filter(F.transform(all_lines(F.lower(text)), lambda x: F.btrim(x, F.lit(SPACES))), lambda x: x != "")
 
 
 def _key(*parts: Column) -> Column:
@@ -132,7 +141,10 @@ def frequent_lines(docs: DataFrame, rules: QualityRules) -> DataFrame:
 
 
 def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """Per row of ``docs(doc_id, source, text)``: measures, ``removed_chars``, ``base_failed``, ``kept``.
+    """Per row of ``docs(doc_id, source, text)``: measures, ``removed_chars``, ``lost_lines``, ``base_failed``, ``kept``.
+
+    ``lost_lines`` are the places of the frequent lines among all lines of the
+    text, null where it has none.
 
     ``source`` is the host; null hosts form one host.  A null text has no words
     and so fails the base rules.  Repeated rows get the same verdict each.  An
@@ -152,14 +164,25 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _lost_chars(keyed: DataFrame, frequent: DataFrame) -> DataFrame:
-    """``(key, removed_chars)`` of the rows that lose lines; rows of equal content count once."""
-    lines = F.transform(normalised_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).alias("chars")))
-    held = keyed.select(F.xxhash64("host").alias("host"), "key", F.posexplode(lines).alias("at", "l"))
-    hits = held.select("host", "key", "at", "l.line", "l.chars").join(frequent, ["host", "line"])
-    return hits.dropDuplicates(["key", "at"]).groupBy("key").agg(F.sum("chars").alias("removed_chars"))
+    """``(key, removed_chars, lost_lines)`` of the rows that lose lines; rows of equal content count once."""
+    lines = F.transform(all_lines(F.lower("text")), lambda x, k: F.struct(k.alias("at"), F.btrim(x, F.lit(SPACES)).alias("x")))
+    held = keyed.select(F.xxhash64("host").alias("host"), "key", F.explode(F.filter(lines, lambda l: l["x"] != "")).alias("l"))
+    hits = held.select("host", "key", "l.at", F.xxhash64("l.x").alias("line"), F.length("l.x").alias("chars")).join(frequent, ["host", "line"])
+    return hits.dropDuplicates(["key", "at"]).groupBy("key").agg(F.sum("chars").alias("removed_chars"), F.collect_list("at").alias("lost_lines"))
 
 
 def apply_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns as they were."""
-    rejected = quality_verdicts(docs, rules).filter(~F.col("kept")).select(F.col("key").alias("__key")).distinct()
-    return docs.withColumn("__key", _key(F.col("doc_id"), F.col("source"), F.col("text"))).join(rejected, "__key", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that pass, without their frequent lines.
+
+    ``n_chars``, where ``docs`` has it, is the new length of a text that lost
+    lines; all else stays as it was.
+    """
+    verdicts = quality_verdicts(docs, rules).filter(~F.col("kept") | F.col("lost_lines").isNotNull())
+    changes = verdicts.select(F.col("key").alias("__key"), F.col("kept").alias("__kept"), F.col("lost_lines").alias("__lost")).dropDuplicates(["__key"])
+    marked = docs.withColumn("__key", _key(F.col("doc_id"), F.col("source"), F.col("text")))
+    passed = marked.join(changes, "__key", "left").filter(F.coalesce("__kept", F.lit(True)))
+    left = F.array_join(F.filter(all_lines(F.col("text")), lambda x, k: ~F.array_contains("__lost", k)), "\n")
+    cut = passed.withColumn("text", F.when(F.col("__lost").isNull(), F.col("text")).otherwise(left))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("__lost").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return cut.select(*docs.columns)
