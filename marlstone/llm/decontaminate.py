@@ -1,6 +1,10 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Benchmark items are cut into overlapping passages.  A passage of ``m`` bytes is
+Benchmark items are cut into overlapping passages of ``WORDS`` words, one every
+``WORD_STEP``, so an excerpt of ``WORDS + WORD_STEP - 1`` (13) words or more holds
+a whole passage wherever it begins; a shorter item is one passage.  Words so long that a
+passage would exceed ``PASSAGE`` bytes (texts without spaces) are cut into
+pieces of ``PIECE`` bytes, one every ``PIECE_STEP``.  A passage of ``m`` bytes is
 found where a document has a region within ``e = m // EDIT_SHARE`` edits of it.
 Such a region shares ``m - q + 1 - q * e`` q-grams with the passage at least, all
 on diagonals (place in the document less place in the passage) that drift by
@@ -30,7 +34,11 @@ from marlstone.functions.stage import import_on_workers
 from marlstone.llm.common import give_back_memory
 
 Q = 10
-PASSAGE, STEP = 120, 60
+#: Words of a passage, and between the beginnings of two.
+WORDS, WORD_STEP = 11, 3
+#: Bound on the bytes of a passage, and the pieces of longer ones.
+PASSAGE = 240
+PIECE, PIECE_STEP = 60, 20
 EDIT_SHARE = 15
 #: Bytes of normalised benchmark text that are searched for in one pass.
 BLOCK_BYTES = 500_000
@@ -75,17 +83,29 @@ class PassageIndex:
     passage: np.ndarray
     place: np.ndarray
     seen: np.ndarray
+    alone: np.ndarray
+
+
+def _windows(n: int, size: int, step: int) -> list[int]:
+    """Beginnings of windows over ``n`` places; the last one ends with them."""
+    last = max(0, n - size)
+    return [*range(0, last, step), last]
 
 
 def passages(data: bytes) -> list[tuple[int, int]]:
     """``(start, end)`` of an item's passages; one shorter than ``Q`` bytes has none."""
-    n = len(data)
-    if n < Q:
+    if len(data) < Q:
         return []
-    starts = list(range(0, max(1, n - PASSAGE + 1), STEP))
-    if starts[-1] + PASSAGE < n:
-        starts.append(n - PASSAGE)
-    return [(s, min(n, s + PASSAGE)) for s in starts]
+    starts = [0, *(k + 1 for k, c in enumerate(data) if c == 32)]
+    ends = [*(s - 1 for s in starts[1:]), len(data)]
+    found = set()
+    for k in _windows(len(starts), WORDS, WORD_STEP):
+        s, e = starts[k], ends[min(k + WORDS, len(ends)) - 1]
+        if e - s <= PASSAGE:
+            found.add((s, e))
+        else:
+            found.update((s + at, s + at + PIECE) for at in _windows(e - s, PIECE, PIECE_STEP))
+    return sorted((s, e) for s, e in found if e - s >= Q)
 
 
 def build_index(items: list[tuple[int, bytes]]) -> PassageIndex:
@@ -106,7 +126,9 @@ def build_index(items: list[tuple[int, bytes]]) -> PassageIndex:
     unique, first = np.unique(flat[order], return_index=True)
     seen = np.zeros(1 << _TABLE_BITS, bool)
     seen[(unique >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
-    return PassageIndex(np.array(ids, np.int64), np.array(starts, np.int64), np.array(sizes, np.int64), text, unique, np.append(first, len(flat)), passage[order], place[order], seen)
+    # A passage of Q bytes is one q-gram: its bound is one, so it has no second to lie near.
+    alone = np.isin(unique, np.array([g[0] for g in all_grams if len(g) == 1], np.uint64))
+    return PassageIndex(np.array(ids, np.int64), np.array(starts, np.int64), np.array(sizes, np.int64), text, unique, np.append(first, len(flat)), passage[order], place[order], seen, alone)
 
 
 def banded_edits(text: np.ndarray, at: np.ndarray, index: PassageIndex, passage: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,11 +163,11 @@ def find_passages(texts: list[bytes], index: PassageIndex) -> list[tuple[int, in
     k = np.searchsorted(index.grams, h[places])
     ok = index.grams[np.minimum(k, len(index.grams) - 1)] == h[places]
     places, k = places[ok], k[ok]
-    # A region in budget holds two shared q-grams at least within a passage's length of each other.
+    # A region in budget holds two shared q-grams at least within a passage's length of each other, or is one q-gram.
     if not len(places):
         return []
     near = np.diff(places) <= PASSAGE + PASSAGE // EDIT_SHARE
-    use = np.append(near, False) | np.insert(near, 0, False)
+    use = np.append(near, False) | np.insert(near, 0, False) | index.alone[k]
     places, k = places[use], k[use]
     count = index.first[k + 1] - index.first[k]
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
