@@ -119,7 +119,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM ran
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out_of_training = langid.held_out(F.col("doc_id"), 4, 2)
-    model = langid.fit(langid.training_sample(docs.filter(~out_of_training)))
+    model = langid.train(docs.filter(~out_of_training))
     return langid.identify(docs, model).select("doc_id", out_of_training.alias("held_out"), "lang_pred", "score")
 
 
