@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 A text is cut into overlapping windows of ``WINDOW`` words, ``STRIDE`` apart, all
-of them scored.  A word enters as a hashed word vector beside the mean of its
+of them scored.  A run of word characters over ``PIECE`` is several words, pieces
+that overlap, so every place of a run without spaces is read.  A word enters as a hashed word vector beside the mean of its
 hashed character trigram vectors; two gated recurrent layers read the window in
 either direction; attention pools their states into a logit; the text's logit is
 its windows' largest.  Trained in numpy on a bounded sample of labelled rows
@@ -26,7 +27,8 @@ from marlstone.functions.stage import import_on_workers
 SAMPLE_ROWS = 1000
 WINDOW, STRIDE = 32, 24
 WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN, ATTEND = 1 << 14, 1 << 12, 8, 8, 8
-MOST_CHARS = 12
+#: Characters of a word at most, and between the beginnings of the pieces of a longer run.
+PIECE, PIECE_STEP = 24, 16
 #: Spread of fresh word vectors, and the rate at which they learn.
 SPREAD, RATE = 0.1, 0.25
 STEPS, BATCH, SHARP = 300, 24, 2.0
@@ -38,16 +40,17 @@ _WORD = re.compile(r"\w+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Words in order; a run over ``PIECE`` characters is cut into pieces that overlap."""
+    found = _WORD.findall((text or "").lower())
+    if not found or len(max(found, key=len)) <= PIECE:
+        return found
+    return [p for w in found for p in ([w] if len(w) <= PIECE else [w[k : k + PIECE] for k in range(0, len(w) - PIECE + PIECE_STEP, PIECE_STEP)])]
 
 
 def word_codes(word: str) -> tuple[int, list[int]]:
-    """The rows of a word in the word table and of its trigrams (first and last ones of long words)."""
+    """The rows of a word in the word table and of all its trigrams, borders included (``PIECE`` at most)."""
     w = f"<{word}>"
-    tri = [w[i : i + 3] for i in range(max(1, len(w) - 2))]
-    if len(tri) > MOST_CHARS:
-        tri = tri[: MOST_CHARS // 2] + tri[-(MOST_CHARS // 2) :]
-    return xxhash.xxh32_intdigest(word) % WORD_ROWS, [xxhash.xxh32_intdigest(t) % CHAR_ROWS for t in tri]
+    return xxhash.xxh32_intdigest(word) % WORD_ROWS, [xxhash.xxh32_intdigest(w[i : i + 3]) % CHAR_ROWS for i in range(max(1, len(w) - 2))]
 
 
 def windows_of(n: int) -> list[tuple[int, int]]:
@@ -165,9 +168,9 @@ class WordTable:
         return got
 
     def arrays(self, start: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        chars = np.full((len(self.ids) - start, MOST_CHARS), -1, np.int32)
+        chars = np.full((len(self.ids) - start, PIECE), -1, np.int32)
         sizes = np.array([len(c) for c in self.chars[start:]], np.int64)
-        chars[np.arange(MOST_CHARS)[None, :] < sizes[:, None]] = [x for c in self.chars[start:] for x in c]
+        chars[np.arange(PIECE)[None, :] < sizes[:, None]] = [x for c in self.chars[start:] for x in c]
         return np.array(self.ids[start:], np.int64), chars, sizes
 
 
@@ -264,6 +267,7 @@ def score_documents(docs: DataFrame, p: dict[str, np.ndarray]) -> DataFrame:
     """``(doc_id, score)`` for every row of ``docs(doc_id, text)``; null texts score as empty ones.
 
     Repeated rows are scored each; an empty table gives no row; other columns are not read.
+    A very long text has all its windows scored, ``WINDOWS_AT_ONCE`` at a time.
     """
     spark = docs.sparkSession
     import_on_workers(spark)
