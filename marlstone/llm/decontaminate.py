@@ -13,10 +13,15 @@ on diagonals (place in the document less place in the passage) that drift by
 1. its q-grams are looked up among the passages' by a table of bits;
 2. shared q-grams are counted in diagonal bands that overlap by half, so that
    any drift of ``2 e + 1`` lies wholly in one band;
-3. bands that reach the bound are verified by an alignment inside the band.
+3. bands that reach the bound are verified by an alignment inside the band, which
+   carries the diagonal it began on, so both ends of a region are known.
+
+An item of fewer than ``Q`` bytes has no q-gram; it is found where its words stand
+in a document as they are.
 
 Both sides are compared as lower-case words joined by single spaces.  Documents
-are never shuffled: benchmark passages go to them in blocks of a bounded size.
+are never shuffled, and read once for each ``PASS_BYTES`` of benchmark text, which
+a task searches block by block.
 """
 
 from __future__ import annotations
@@ -40,10 +45,10 @@ WORDS, WORD_STEP = 11, 3
 PASSAGE = 240
 PIECE, PIECE_STEP = 60, 20
 EDIT_SHARE = 15
-#: Bytes of normalised benchmark text that are searched for in one pass.
-BLOCK_BYTES = 500_000
-#: Normalised document bytes that are searched at once.
-BYTES_AT_ONCE = 1 << 20
+#: Bytes of normalised benchmark text that are indexed at once, and that go to the tasks for one scan of the documents.
+BLOCK_BYTES, PASS_BYTES = 500_000, 32 << 20
+#: Normalised document bytes that are searched at once, and that meet each block where there are several.
+BYTES_AT_ONCE, BYTES_HELD = 1 << 20, 8 << 20
 _TABLE_BITS = 22
 _WORD = re.compile(r"\w+")
 
@@ -84,6 +89,7 @@ class PassageIndex:
     place: np.ndarray
     seen: np.ndarray
     alone: np.ndarray
+    short: dict[bytes, list[int]]
 
 
 def _windows(n: int, size: int, step: int) -> list[int]:
@@ -109,8 +115,10 @@ def passages(data: bytes) -> list[tuple[int, int]]:
 
 
 def build_index(items: list[tuple[int, bytes]]) -> PassageIndex:
-    ids, starts, sizes, texts, base = [], [], [], [], 0
+    ids, starts, sizes, texts, base, short = [], [], [], [], 0, {}
     for item, data in items:
+        if 0 < len(data) < Q:
+            short.setdefault(data, []).append(item)
         for s, e in passages(data):
             ids.append(item)
             starts.append(base)
@@ -128,32 +136,52 @@ def build_index(items: list[tuple[int, bytes]]) -> PassageIndex:
     seen[(unique >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
     # A passage of Q bytes is one q-gram: its bound is one, so it has no second to lie near.
     alone = np.isin(unique, np.array([g[0] for g in all_grams if len(g) == 1], np.uint64))
-    return PassageIndex(np.array(ids, np.int64), np.array(starts, np.int64), np.array(sizes, np.int64), text, unique, np.append(first, len(flat)), passage[order], place[order], seen, alone)
+    return PassageIndex(np.array(ids, np.int64), np.array(starts, np.int64), np.array(sizes, np.int64), text, unique, np.append(first, len(flat)), passage[order], place[order], seen, alone, short)
 
 
-def banded_edits(text: np.ndarray, at: np.ndarray, index: PassageIndex, passage: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fewest edits, and the place after the match, of passages of one size in regions from ``at`` on.
+def banded_edits(text: np.ndarray, at: np.ndarray, index: PassageIndex, passage: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fewest edits, and the places of the match's begin and end, of passages of one size in regions from ``at`` on.
 
-    The alignment may begin on any of the ``width`` diagonals from ``at`` and stays on them.
+    The alignment may begin on any of the ``width`` diagonals from ``at`` and stays
+    on them.  A cell holds ``cost * width`` and, below it, how far left of the last
+    diagonal its alignment began: of equal costs the later begin stands.
     """
     m = int(index.sizes[passage[0]])
-    cost = np.zeros((len(at), width), np.int32)
     steps = np.arange(width, dtype=np.int32)
+    cell = np.zeros((len(at), width), np.int32) + (width - 1 - steps)
+    edit = np.int32(width)
     for i in range(m):
         want = index.text[index.starts[passage] + i][:, None]
         where = at[:, None] + i + steps[None, :]
         got = np.where((where >= 0) & (where < len(text)), text[np.clip(where, 0, len(text) - 1)], 0)
-        new = cost + (got != want)
-        new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
-        cost = np.minimum.accumulate(new - steps, axis=1) + steps
-    best = cost.argmin(axis=1)
-    return cost[np.arange(len(at)), best], at + m + best
+        new = cell + (got != want) * edit
+        new[:, :-1] = np.minimum(new[:, :-1], cell[:, 1:] + edit)
+        cell = np.minimum.accumulate(new - steps * edit, axis=1) + steps * edit
+    best = cell.argmin(axis=1)
+    value = cell[np.arange(len(at)), best]
+    return value // width, at + (width - 1 - value % width), at + m + best
+
+
+def find_short(texts: list[bytes], short: dict[bytes, list[int]]) -> list[tuple[int, int, int, int, int]]:
+    """``(text, item, start, end, 0)`` of the first place of each item too short for a q-gram, on whole words."""
+    found = []
+    for k in {x.count(b" ") for x in short}:
+        for t, text in enumerate(texts):
+            ends = [i for i, c in enumerate(text) if c == 32] + [len(text)]
+            starts, met = [0, *(e + 1 for e in ends[:-1])], set()
+            for s, e in zip(starts, ends[k:], strict=False):
+                piece = text[s:e] if e - s < Q else b""
+                if piece in short and piece not in met:
+                    met.add(piece)
+                    found += [(t, item, s, e, 0) for item in short[piece]]
+    return found
 
 
 def find_passages(texts: list[bytes], index: PassageIndex) -> list[tuple[int, int, int, int, int]]:
     """``(text, item, start, end, edits)`` of the best match of each item in each text."""
+    short = find_short(texts, index.short) if index.short else []
     if not len(index.grams) or not texts:
-        return []
+        return sorted(short)
     gap = PASSAGE + 2 * Q
     sizes = np.array([len(t) for t in texts], np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes + gap)[:-1]])
@@ -165,7 +193,7 @@ def find_passages(texts: list[bytes], index: PassageIndex) -> list[tuple[int, in
     places, k = places[ok], k[ok]
     # A region in budget holds two shared q-grams at least within a passage's length of each other, or is one q-gram.
     if not len(places):
-        return []
+        return sorted(short)
     near = np.diff(places) <= PASSAGE + PASSAGE // EDIT_SHARE
     use = np.append(near, False) | np.insert(near, 0, False) | index.alone[k]
     places, k = places[use], k[use]
@@ -198,66 +226,97 @@ def find_passages(texts: list[bytes], index: PassageIndex) -> list[tuple[int, in
         budget = edits_allowed(int(length))
         rows = np.flatnonzero(m == length)
         for part in (rows[i : i + 4096] for i in range(0, len(rows), 4096)):
-            edits, ends = banded_edits(data, low[part], index, passage[part], 2 * (2 * budget + 1) + 2 * budget)
-            for r, d, end in zip(part[edits <= budget].tolist(), edits[edits <= budget].tolist(), ends[edits <= budget].tolist(), strict=True):
+            edits, starts, ends = banded_edits(data, low[part], index, passage[part], 2 * (2 * budget + 1) + 2 * budget)
+            ok = edits <= budget
+            for r, d, start, end in zip(part[ok].tolist(), edits[ok].tolist(), starts[ok].tolist(), ends[ok].tolist(), strict=True):
                 t = int(np.searchsorted(begins, end - 1, side="right")) - 1
-                key, place = (t, int(index.items[passage[r]])), end - int(begins[t])
-                value = (d, max(0, place - int(length)), min(place, int(sizes[t])))
+                key = (t, int(index.items[passage[r]]))
+                value = (d, max(0, start - int(begins[t])), min(end - int(begins[t]), int(sizes[t])))
                 found[key] = min(found.get(key, value), value)
-    return [(t, item, s, e_, d) for (t, item), (d, s, e_) in sorted(found.items())]
+    return sorted([(t, item, s, e_, d) for (t, item), (d, s, e_) in found.items()] + short)
 
 
 def _budgets(m: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.minimum(m // EDIT_SHARE, (m - Q - 1) // Q))
 
 
-def benchmark_blocks(benchmark: DataFrame) -> Iterator[PassageIndex]:
-    """Indexes over blocks of the benchmark's items; each block is bounded by ``BLOCK_BYTES`` and one item."""
-    block, held = [], 0
+def benchmark_passes(benchmark: DataFrame) -> Iterator[list[list[tuple[int, bytes]]]]:
+    """The benchmark's normalised items in lists of blocks; a block is bounded by ``BLOCK_BYTES``, a list by ``PASS_BYTES``, and one item."""
+    blocks, held, size = [[]], 0, 0
     for r in benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id is not null").toLocalIterator():
         data = normalise(r[1])
-        if block and held + len(data) > BLOCK_BYTES:
-            yield build_index(block)
-            block, held = [], 0
-        block.append((r[0], data))
-        held += len(data)
-    yield build_index(block)
+        if blocks[-1] and held + len(data) > PASS_BYTES:
+            yield blocks
+            blocks, held, size = [[]], 0, 0
+        if blocks[-1] and size + len(data) > BLOCK_BYTES:
+            blocks.append([])
+            size = 0
+        blocks[-1].append((r[0], data))
+        held, size = held + len(data), size + len(data)
+    yield blocks
+
+
+class Search:
+    """Finds the items of one pass in texts; the index of a single block is kept, those of several are built in turn."""
+
+    def __init__(self, blocks: list[list[tuple[int, bytes]]]):
+        self.blocks, self.bytes = blocks, BYTES_AT_ONCE if len(blocks) == 1 else BYTES_HELD
+        self.only = build_index(blocks[0]) if len(blocks) == 1 else None
+
+    def __call__(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+        if self.only is not None:
+            return find_passages(texts, self.only)
+        found, cuts, held = [], [0], 0
+        for k, t in enumerate(texts):
+            held += len(t)
+            if held > BYTES_AT_ONCE or k == len(texts) - 1:
+                cuts.append(k + 1)
+                held = 0
+        for block in self.blocks:
+            index = build_index(block)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                found += [(r[0] + a, *r[1:]) for r in find_passages(texts[a:b], index)]
+        return sorted(found)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, start, end, edits)`` for each benchmark item that a row of ``docs`` holds.
 
-    Places are bytes of the normalised text; the row has the passage with the
-    fewest edits, the first on ties.  Null and empty texts and items, items
-    without an id and those shorter than ``Q`` bytes match nothing; repeated rows
-    are reported each; an empty table on either side gives no row.
+    Places are bytes of the normalised text, ``start`` the first and ``end`` the one
+    after the last; the row has the passage with the fewest edits, the first on
+    ties.  Null and empty texts and items and items without an id match nothing;
+    items shorter than ``Q`` bytes match whole words without an edit; repeated rows
+    are reported each; an empty table on either side gives no row.  A very long text
+    is searched whole; it meets the index on its own.
     """
     spark = docs.sparkSession
     import_on_workers(spark)
     schema = "doc_id long, item_id long, start int, end int, edits int"
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for index in benchmark_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(index)  # bounded by BLOCK_BYTES
+    for blocks in benchmark_passes(benchmark):
+        shared = spark.sparkContext.broadcast(blocks)  # bounded by PASS_BYTES
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            search = Search(shared.value)
+
             def solve(ids: list, texts: list[bytes]) -> pa.RecordBatch:
-                rows = find_passages(texts, shared.value)
+                rows = search(texts)
                 columns = [[ids[r[0]] for r in rows], *([r[k] for r in rows] for k in range(1, 5))]
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "start", "end", "edits"])
 
+            ids, texts, held = [], [], 0
             for batch in batches:
-                ids, texts, held = [], [], 0
                 for i, t in zip(batch.column(0), batch.column(1), strict=True):
                     ids.append(i.as_py())
                     texts.append(normalise(t.as_py()))
                     held += len(texts[-1])
-                    if held > BYTES_AT_ONCE:
+                    if held > search.bytes:
                         yield solve(ids, texts)
                         ids, texts, held = [], [], 0
-                if ids:
-                    yield solve(ids, texts)
+            if ids:
+                yield solve(ids, texts)
             give_back_memory()
 
         found = own.mapInArrow(run, schema)
@@ -273,17 +332,18 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     import_on_workers(spark)
     at = docs.columns.index("text")
-    for index in benchmark_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(index)  # bounded by BLOCK_BYTES
+    for blocks in benchmark_passes(benchmark):
+        shared = spark.sparkContext.broadcast(blocks)  # bounded by PASS_BYTES
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            search = Search(shared.value)
             for batch in batches:
                 start, held, texts = 0, 0, []
                 for k, t in enumerate(batch.column(at)):
                     texts.append(normalise(t.as_py()))
                     held += len(texts[-1])
-                    if held > BYTES_AT_ONCE or k == batch.num_rows - 1:
-                        bad = {r[0] for r in find_passages(texts, shared.value)}
+                    if held > search.bytes or k == batch.num_rows - 1:
+                        bad = {r[0] for r in search(texts)}
                         yield batch.slice(start, len(texts)).filter(pa.array([n not in bad for n in range(len(texts))]))
                         start, held, texts = k + 1, 0, []
             give_back_memory()
