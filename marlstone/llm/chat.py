@@ -5,7 +5,8 @@ An event belongs to a conversation and a turn and has a sequence number.  Kinds:
 turn's latest message), ``edit`` (replaces that message's text), ``regenerate``
 (starts that message again, with the event's text).  The fold keeps, for each
 message, the events from its last ``message``/``edit``/``regenerate`` on, and
-joins their texts by sequence.
+joins their texts by sequence.  A message's role is the last that any of its
+events names, so deltas and edits need not repeat it.
 
 One shuffle by conversation serves the windows, the fold and the rendering.
 
@@ -47,20 +48,23 @@ def _unescape_role(role: Column) -> Column:
 def messages(events: DataFrame) -> DataFrame:
     """The final ``(conv_id, turn, nth, role, text)`` messages of an event log.
 
-    Null kinds count as ``message``, null texts and roles as empty.  Equal
-    sequence numbers fall in order of kind, role and text; a repeated ``message``
-    row is a message of its own.  Events before a turn's first ``message`` form
+    Null kinds count as ``message``, null texts as empty; a null role names none,
+    and a message whose events name none has an empty one.  Equal sequence numbers
+    fall in order of kind, role (null first) and text, turns that are equal but for
+    null roles too; a repeated ``message`` row is a message of its own.  Events before a turn's first ``message`` form
     message 0 of the turn.
     """
-    own = events.select(*EVENT).repartition("conv_id").fillna({"kind": "message", "role": "", "text": ""})
+    own = events.select(*EVENT).repartition("conv_id").fillna({"kind": "message", "text": ""})
     order = [F.col("seq").asc_nulls_first(), (F.col("kind") != "message").asc(), "kind", "role", "text"]
     turn = Window.partitionBy("conv_id", "turn").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     message = Window.partitionBy("conv_id", "turn", "nth").orderBy(*order)
     placed = own.withColumn("nth", F.sum((F.col("kind") == "message").cast("int")).over(turn)).withColumn("at", F.row_number().over(message))
     whole = Window.partitionBy("conv_id", "turn", "nth")
-    last = placed.withColumn("reset", F.max(F.when(F.col("kind").isin(*RESETS), F.col("at"))).over(whole)).filter(F.col("at") >= F.coalesce("reset", F.lit(1)))
+    named = F.max(F.when(F.col("role").isNotNull(), F.struct("at", "role"))).over(whole)["role"]
+    placed = placed.withColumn("reset", F.max(F.when(F.col("kind").isin(*RESETS), F.col("at"))).over(whole)).withColumn("said", F.coalesce(named, F.lit("")))
+    last = placed.filter(F.col("at") >= F.coalesce("reset", F.lit(1)))
     parts = F.array_sort(F.collect_list(F.struct("at", "text")))
-    return last.groupBy("conv_id", "turn", "nth").agg(F.max_by("role", "at").alias("role"), F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"))
+    return last.groupBy("conv_id", "turn", "nth").agg(F.max("said").alias("role"), F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"))
 
 
 def format_chats(events: DataFrame) -> DataFrame:
