@@ -3,8 +3,9 @@
 Iterative operators (graph walks, components, rank propagation) need their
 state on storage that outlives any executor.  ``write_stage`` writes a parquet
 table under ``spark.checkpoint.dir`` and reads it back; ``drop_stage`` removes
-one that no later plan reads.  Only where the setting is absent (unit tests,
-local sessions) a private folder is created and removed at exit.
+one that no later plan reads.  Only where the setting is absent and the master is
+local (unit tests) a private folder is created and removed at exit; a cluster
+without the setting is an error, for its machines share no private folder.
 """
 
 from __future__ import annotations
@@ -13,19 +14,23 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_ROWS = 1000
 _local: list[str] = []
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or a private one if it is unset."""
+    """The folder of ``spark.checkpoint.dir``, or, under a local master, a private one if it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="marlstone-"))
         atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
@@ -48,16 +53,29 @@ def drop_stage(spark: SparkSession, path: str) -> None:
 
 
 def import_on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it, and send them small batches.
+    """Let Python workers import this package: a cluster gets it as an archive, once a session's context."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    sc.environment.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")  # gives freed batches back
+    if sc.master.startswith("local"):
+        paths = [p for p in sc.environment.get("PYTHONPATH", "").split(":") if p]
+        if str(root.parent) not in paths:
+            sc.environment["PYTHONPATH"] = ":".join([*paths, str(root.parent)])
+    elif sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        made = Path(tempfile.mkdtemp(prefix="marlstone-"))
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        archive = made / f"{root.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(archive))  # the driver serves it
 
-    Rows hold whole documents, so Arrow batches are kept to ``BATCH_ROWS`` unless
-    the session was given its own size.
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Send Python workers at most ``rows`` rows at once, unless the session was given its own size.
+
+    For jobs whose rows hold whole documents; callers ask for it, operators don't.
     """
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
-    if root not in paths:
-        env["PYTHONPATH"] = ":".join([*paths, root])
-    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")  # gives freed batches back
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not spark.sparkContext.getConf().contains(key):
-        spark.conf.set(key, BATCH_ROWS)
+        spark.conf.set(key, rows)
