@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions.stage import small_batches
+
 #: The separators of words in every contract here: space and the controls 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_GAP = "[ \\t\\n\\x0B\\f\\r]+"
@@ -22,6 +25,17 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_GAP, -1))
 
 
+def whole_texts(query):
+    """A query or stage whose rows hold whole documents: it asks for small batches."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *rest) -> DataFrame:
+        small_batches(spark)
+        return query(spark, *rest)
+
+    return run
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, even where lambdas in ``body`` use it."""
     return F.element_at(F.transform(F.array(value), body), 1)

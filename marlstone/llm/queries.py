@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, chat, decontaminate, langid, quality, simhash, substring, toxicity, urls, warc
-from marlstone.llm.common import table
+from marlstone.llm.common import table, whole_texts
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,15 +184,7 @@ WHERE a.sha256 IS DISTINCT FROM b.sha256 OR a.length IS DISTINCT FROM b.length
 """
 
 QUERIES = {
-    "op1_suffix_dedup": op1_suffix_dedup,
-    "op2_language_id": op2_language_id,
-    "op3_chat_format": op3_chat_format,
-    "op4_decontaminate": op4_decontaminate,
-    "op5_byte_bpe": op5_byte_bpe,
-    "op6_simhash": op6_simhash,
-    "op7_warc_audit": op7_warc_audit,
-    "op8_quality_rules": op8_quality_rules,
-    "op9_toxicity": op9_toxicity,
-    "op10_url_filter": op10_url_filter,
+    query.__name__: whole_texts(query)
+    for query in (op1_suffix_dedup, op2_language_id, op3_chat_format, op4_decontaminate, op5_byte_bpe, op6_simhash, op7_warc_audit, op8_quality_rules, op9_toxicity, op10_url_filter)
 }
 SQL = {"op3_chat_format": OP3_SQL, "op7_warc_audit": OP7_SQL, "op8_quality_rules": OP8_SQL, "op10_url_filter": OP10_SQL}
