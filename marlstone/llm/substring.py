@@ -9,9 +9,14 @@ rest: a window of ``LENGTH`` bytes is represented by its least ``GRAM``-byte
 hash, so equal windows have equal representatives, and consecutive windows with
 one representative form a run.
 
+The method named for this operator, external induced sorting of all suffixes with
+disk-backed queues, is thus taken for a sample only; the README says why.
+
 1. Each run is sent as one suffix tuple (representative, digest of the run's
    whole string, document, place, length) to the bucket of its representative.
-   Tuples travel as packed sorted-by-bucket column blobs, not as rows.
+   Tuples travel as packed sorted-by-bucket column blobs, not as rows.  Of equal
+   runs in a task's portion only the one of the smallest document is sent; the
+   others are covered by it.
 2. Buckets sort their tuples.  Runs whose whole string is met in a smaller
    document are covered by it: the sample's order decides for all their windows.
 3. Runs whose representative, but not whole string, is met elsewhere lie at the
@@ -21,9 +26,10 @@ one representative form a run.
 4. Documents meet their covered intervals and are cut.
 
 A bucket or a home of documents is sized by ``BUCKET_BYTES`` of input.  Texts
-travel compressed.  A copied document is spread over all buckets; a passage on a
-third of all documents puts a few tuples of each into one bucket, and the
-windows at its ends are spread over all buckets.
+travel compressed.  A copied document is spread over all buckets.  A passage on a
+third of all documents puts at most ``HOT_LOCAL`` tuples of each portion of
+``PACK_BYTES`` into one bucket: beyond that its windows go to buckets by their own
+content, and of equal windows in a home only the smallest document's.
 """
 
 from __future__ import annotations
@@ -40,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.functions.stage import import_on_workers, write_stage
-from marlstone.llm.common import give_back_memory
+from marlstone.llm.common import fresh, give_back_memory
 from marlstone.llm.induced import same_prefix, suffix_array
 
 LENGTH, GRAM = 50, 20
@@ -54,8 +60,12 @@ LONGEST_RUN = 1024
 LAST_ID = np.iinfo(np.int64).max
 #: A representative of more runs than this is hot: its windows go to buckets by their own content.
 HOT_ROWS = 4096
+#: A representative of more different runs than this in one portion is hot at once.
+HOT_LOCAL = 256
 #: In place of a representative: the run is covered, or its windows are spread.
 COVERED, SPREAD = -1, -2
+#: What a tuple says: a run to be sorted, one that is covered, one whose windows are spread, or that a representative is hot.
+_RUN, _COVERED, _SPREAD, _HOT = range(4)
 
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -170,9 +180,9 @@ def _keys(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A digest of each text, to tell rows that share a doc_id."""
     raw, begin, out = memoryview(np.ascontiguousarray(data)), 0, []
     for e in ends.tolist():
-        out.append(xxhash.xxh32_intdigest(raw[begin:e]))
+        out.append(xxhash.xxh64_intdigest(raw[begin:e]))
         begin = e
-    return np.array(out, np.int64)
+    return np.array(out, _U).view(np.int64)
 
 
 def _homes(ids: np.ndarray, keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -197,6 +207,22 @@ def _whole(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays([c.cast(pa.large_binary()) for c in column.chunks]) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.combine_chunks()
 
 
+def _flags(ids: np.ndarray, rep: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """What the tuples of a portion say: of equal runs those of larger documents are covered; runs of a hot representative are spread."""
+    flag = np.zeros(len(ids), np.uint8)
+    key = _mix(rep * _U(0x9E3779B97F4A7C15) + whole)
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.empty(0, np.int64)
+    if len(starts) < len(key):
+        least = np.minimum.reduceat(ids[order], starts)
+        flag[order[ids[order] > least[np.searchsorted(starts, np.arange(len(order)), side="right") - 1]]] = _COVERED
+    left = np.flatnonzero(flag == _RUN)
+    _, of, count = np.unique(rep[left], return_inverse=True, return_counts=True)
+    if len(left):
+        flag[left[count[of] > HOT_LOCAL]] = _SPREAD
+    return flag
+
+
 def _send_runs(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _portions(batches, 1):
@@ -211,13 +237,23 @@ def _send_runs(buckets: int):
                 begin += batch.num_rows
             ids, keys = (np.concatenate(x) for x in zip(*bases, strict=True))
             doc, place, size, rep, whole = (np.concatenate(x) for x in zip(*parts, strict=True))
-            bucket = (rep >> _U(48)) * _U(buckets) >> _U(16)
+            flag = _flags(ids[doc], rep, whole)
+            hot = np.flatnonzero(flag == _SPREAD)
+            _, first = np.unique(rep[hot], return_index=True)
+            said = hot[first]  # one notice a hot representative
+            if len(said):
+                flag = np.concatenate([flag, np.full(len(said), _HOT, np.uint8)])
+                by = np.argsort(np.concatenate([doc, doc[said]]), kind="stable")  # blobs count on rows in order of documents
+                doc, place, size, rep, whole = (np.concatenate([x, x[said]])[by] for x in (doc, place, size, rep, whole))
+                flag = flag[by]
+            of_rep, of_doc = (rep >> _U(32)) * _U(buckets) >> _U(32), _homes(ids, keys, buckets).astype(_U)[doc]
+            bucket = np.where((flag == _RUN) | (flag == _HOT), of_rep, of_doc)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=_U))
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 rows = order[cuts[b] : cuts[b + 1]]
                 used, local = np.unique(doc[rows], return_inverse=True)
-                blob = _pack([(ids[used], 8), (keys[used], 4), (np.diff(local, prepend=0), 3), (place[rows], 5), (size[rows], 2), (rep[rows] & _U((1 << 48) - 1), 6), (whole[rows] >> _U(8), 7)])
+                blob = _pack([(ids[used], 8), (keys[used], 8), (np.diff(local, prepend=0), 3), (place[rows], 5), (size[rows], 2), (rep[rows] & _U((1 << 48) - 1), 6), (whole[rows] >> _U(8), 7), (flag[rows], 1)])
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
             give_back_memory()
 
@@ -231,31 +267,43 @@ def _resolve(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         parts = []
         for blob in table.column("blob"):
-            ids, keys, local, place, size, rep, whole = _unpack(blob.as_py())
+            ids, keys, local, place, size, rep, whole, flag = _unpack(blob.as_py())
             doc = np.cumsum(local.astype(np.int64))
-            parts.append((ids.astype(np.int64)[doc], keys[doc].astype(np.int64), place.astype(np.int64), size.astype(np.int64), rep, whole))
-        ids, keys, place, size, rep, whole = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((ids, whole, rep))
-        ids, keys, place, size, rep, whole = (x[order] for x in (ids, keys, place, size, rep, whole))
-        fresh_rep = np.concatenate([[True], rep[1:] != rep[:-1]])
-        fresh = fresh_rep | np.concatenate([[True], whole[1:] != whole[:-1]])
-        of, of_rep = np.cumsum(fresh) - 1, np.cumsum(fresh_rep) - 1
-        least = ids[np.flatnonzero(fresh)][of]
-        starts = np.flatnonzero(fresh_rep)
-        least_rep = np.minimum.reduceat(ids, starts)[of_rep]
-        inside = least < ids
-        edge = ~inside & (least_rep < ids)
-        most_edge = np.maximum.reduceat(np.where(edge, ids, np.iinfo(np.int64).min), starts)[of_rep]
-        edge |= fresh & (ids < most_edge)  # the first of equal runs lends its windows to larger documents
-        use = inside | edge
-        hot = np.diff(np.append(starts, len(ids)))[of_rep] > HOT_ROWS
+            parts.append((ids.astype(np.int64)[doc], keys.astype(np.int64)[doc], place.astype(np.int64), size.astype(np.int64), rep, whole, flag))
+        ids, keys, place, size, rep, whole, flag = (np.concatenate(x) for x in zip(*parts, strict=True))
+        known = (flag == _COVERED) | (flag == _SPREAD)
+        passed = ids[known], keys[known], place[known], size[known], np.where(flag[known] == _COVERED, COVERED, SPREAD)
+        spread = np.unique(rep[flag == _HOT])
+        run_rows = flag == _RUN
+        ids, keys, place, size, rep, whole = (x[run_rows] for x in (ids, keys, place, size, rep, whole))
+        out = passed if not len(ids) else [np.concatenate(x) for x in zip(passed, _sorted_runs(ids, keys, place, size, rep, whole, spread), strict=True)]
         give_back_memory()
-        out = [ids[use], keys[use], place[use], size[use], np.where(hot & edge, SPREAD, np.where(edge, rep.astype(np.int64), COVERED))[use]]
         return pa.table([pa.array(_homes(out[0], out[1], buckets).astype(np.int32)), *map(pa.array, out[:3]), pa.array(out[3].astype(np.int32)), pa.array(out[4])], ["home", "doc_id", "tkey", "place", "windows", "rep"])
 
     return run
 
 
+def _sorted_runs(ids: np.ndarray, keys: np.ndarray, place: np.ndarray, size: np.ndarray, rep: np.ndarray, whole: np.ndarray, spread: np.ndarray) -> list[np.ndarray]:
+    """``ids, keys, place, size, rep`` of the runs that are covered or whose windows must be looked at."""
+    order = np.lexsort((ids, whole, rep))
+    ids, keys, place, size, rep, whole = (x[order] for x in (ids, keys, place, size, rep, whole))
+    fresh_rep = np.concatenate([[True], rep[1:] != rep[:-1]])
+    fresh = fresh_rep | np.concatenate([[True], whole[1:] != whole[:-1]])
+    of, of_rep = np.cumsum(fresh) - 1, np.cumsum(fresh_rep) - 1
+    least = ids[np.flatnonzero(fresh)][of]
+    starts = np.flatnonzero(fresh_rep)
+    least_rep = np.minimum.reduceat(ids, starts)[of_rep]
+    inside = least < ids
+    edge = ~inside & (least_rep < ids)
+    most_edge = np.maximum.reduceat(np.where(edge, ids, np.iinfo(np.int64).min), starts)[of_rep]
+    edge |= fresh & (ids < most_edge)  # the first of equal runs lends its windows to larger documents
+    told = np.isin(rep, spread)
+    edge |= told & ~inside  # other portions have spread theirs
+    use = inside | edge
+    hot = told | (np.diff(np.append(starts, len(ids)))[of_rep] > HOT_ROWS)
+    return [ids[use], keys[use], place[use], size[use], np.where(hot & edge, SPREAD, np.where(edge, rep.astype(np.int64), COVERED))[use]]
+
+
 def _send_rows(buckets: int, ids_at: int, text_at: int):
     """Whole rows to their homes, as compressed Arrow streams."""
 
@@ -282,7 +330,10 @@ def _rows_of(table: pa.Table) -> pa.Table:
 
 
 def _fetch(shards: int, ids_at: int, text_at: int):
-    """The strings of marked runs for the shard of their representative; single windows of hot ones for one by content."""
+    """The strings of marked runs for the shard of their representative; single windows of hot ones for one by content.
+
+    Of equal windows in a home the smallest document's is asked; the others go along as covered, with an empty string.
+    """
 
     def run(rows: pa.Table, marks: pa.Table) -> pa.Table:
         names = ["bucket", "doc_id", "tkey", "place", "string"]
@@ -296,12 +347,25 @@ def _fetch(shards: int, ids_at: int, text_at: int):
                 raw = data.tobytes()
                 for i, k, s, e in zip(_ids(batch.column(ids_at)).tolist(), _keys(data, ends).tolist(), begins.tolist(), ends.tolist(), strict=True):
                     texts[i, k] = (raw, s, e)
-            for i, k, place, size, rep in zip(*(marks.column(c).to_pylist() for c in ("doc_id", "tkey", "place", "windows", "rep")), strict=True):
+            marked = list(zip(*(marks.column(c).to_pylist() for c in ("doc_id", "tkey", "place", "windows", "rep")), strict=True))
+            least: dict[bytes, int] = {}
+            for i, k, place, size, rep in marked:
+                if rep == SPREAD:
+                    raw, s, _ = texts[i, k]
+                    for n in range(s + place, s + place + size):
+                        piece = raw[n : n + LENGTH]
+                        least[piece] = min(least.get(piece, i), i)
+            for i, k, place, size, rep in marked:
                 raw, s, _ = texts[i, k]
                 string = raw[s + place : s + place + size + LENGTH - 1]
                 pieces = [string] if rep != SPREAD else [string[n : n + LENGTH] for n in range(size)]
                 for n, piece in enumerate(pieces):
-                    bucket = rep % shards if rep != SPREAD else shards + xxhash.xxh32_intdigest(piece) % shards
+                    if rep != SPREAD:
+                        bucket = rep % shards
+                    elif i > least[piece]:  # covered by a document of this home
+                        bucket, piece = shards + (i ^ k) % shards, b""
+                    else:
+                        bucket = shards + xxhash.xxh32_intdigest(piece) % shards
                     for x, v in zip(out, (bucket, i, k, place + n, piece), strict=True):
                         x.append(v)
         return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
@@ -311,45 +375,50 @@ def _fetch(shards: int, ids_at: int, text_at: int):
 
 def _resolve_windows(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        data, ends = _texts(_whole(table.column("string")))
-        ids, keys, place = (table.column(c).to_numpy() for c in ("doc_id", "tkey", "place"))
-        begins = np.concatenate([[0], ends[:-1]])
-        count = ends - begins - LENGTH + 1
-        row = np.repeat(np.arange(len(count)), count)
-        start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + begins[row]
-        one, two = (_Strings(data, b) for b in _BASES)
-        if table.column("bucket")[0].as_py() < SHARDS * buckets:
-            valid = np.zeros(len(data), bool)
-            valid[start] = True
-            order = suffix_array(data, one.digest, LENGTH)
-            order = order[valid[order]]
-            same = same_prefix(order, one.digest, LENGTH, len(data)) & same_prefix(order, two.digest, LENGTH, len(data))
-        else:  # whole strings of one window each: no prefixes to share
-            key = one.digest(start, start + LENGTH), two.digest(start, start + LENGTH)
-            by = np.lexsort(key)
-            order = start[by]
-            same = np.append(False, (key[0][by][1:] == key[0][by][:-1]) & (key[1][by][1:] == key[1][by][:-1]))
-        row_at = np.empty(len(data), np.int64)
-        row_at[start] = row
-        least_at = np.empty(len(data), np.int64)
-        if len(order):
-            least_at[order] = np.minimum.reduceat(ids[row_at[order]], np.flatnonzero(~same))[np.cumsum(~same) - 1]
-        least = least_at[start]
-        hit = np.flatnonzero(least < ids[row])
-        if not len(hit):
-            hit_row, first, size = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        else:
-            new = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]])]))
-            first, size = hit[new], np.diff(np.append(new, len(hit)))
-            hit_row = row[first]
-            first = start[first] - begins[hit_row] + place[hit_row]
-        out = [ids[hit_row], keys[hit_row], first]
+        empty = np.array([not len(x) for x in table.column("string").to_pylist()], bool) if table.column("bucket")[0].as_py() >= SHARDS * buckets else np.zeros(table.num_rows, bool)
+        passed = [table.column(c).to_numpy()[empty] for c in ("doc_id", "tkey", "place")]
+        found = _asked_windows(table.filter(pa.array(~empty)), table.column("bucket")[0].as_py() < SHARDS * buckets) if not empty.all() else [np.empty(0, np.int64)] * 4
+        out = [np.concatenate(x) for x in zip(found, (*passed, np.ones(len(passed[0]), np.int64)), strict=True)]
         give_back_memory()
-        return pa.table([pa.array(_homes(out[0], out[1], buckets).astype(np.int32)), *map(pa.array, out), pa.array(size.astype(np.int32)), pa.array(np.full(len(size), COVERED))], ["home", "doc_id", "tkey", "place", "windows", "rep"])
+        return pa.table([pa.array(_homes(out[0], out[1], buckets).astype(np.int32)), *map(pa.array, out[:3]), pa.array(out[3].astype(np.int32)), pa.array(np.full(len(out[0]), COVERED))], ["home", "doc_id", "tkey", "place", "windows", "rep"])
 
     return run
 
 
+def _asked_windows(table: pa.Table, prefixes: bool) -> list[np.ndarray]:
+    """``ids, keys, place, windows`` of the covered windows among some strings, which share prefixes or are one window each."""
+    data, ends = _texts(_whole(table.column("string")))
+    ids, keys, place = (table.column(c).to_numpy() for c in ("doc_id", "tkey", "place"))
+    begins = np.concatenate([[0], ends[:-1]])
+    count = ends - begins - LENGTH + 1
+    row = np.repeat(np.arange(len(count)), count)
+    start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + begins[row]
+    one, two = (_Strings(data, b) for b in _BASES)
+    if prefixes:
+        valid = np.zeros(len(data), bool)
+        valid[start] = True
+        order = suffix_array(data, one.digest, LENGTH)
+        order = order[valid[order]]
+        same = same_prefix(order, one.digest, LENGTH, len(data)) & same_prefix(order, two.digest, LENGTH, len(data))
+    else:
+        key = one.digest(start, start + LENGTH), two.digest(start, start + LENGTH)
+        by = np.lexsort(key)
+        order = start[by]
+        same = np.append(False, (key[0][by][1:] == key[0][by][:-1]) & (key[1][by][1:] == key[1][by][:-1]))
+    row_at = np.empty(len(data), np.int64)
+    row_at[start] = row
+    least_at = np.empty(len(data), np.int64)
+    if len(order):
+        least_at[order] = np.minimum.reduceat(ids[row_at[order]], np.flatnonzero(~same))[np.cumsum(~same) - 1]
+    hit = np.flatnonzero(least_at[start] < ids[row])
+    if not len(hit):
+        return [np.empty(0, np.int64)] * 4
+    new = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]])]))
+    first, size = hit[new], np.diff(np.append(new, len(hit)))
+    hit_row = row[first]
+    return [ids[hit_row], keys[hit_row], start[first] - begins[hit_row] + place[hit_row], size]
+
+
 def covered(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of bytes under some intervals; touching ones are one."""
     out: list[tuple[int, int]] = []
@@ -362,7 +431,7 @@ def covered(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(ids_at: int, text_at: int, with_rows: bool):
+def _cut(ids_at: int, text_at: int, with_rows: bool, named: list[str]):
     """Rows with their covered bytes taken out."""
 
     def run(rows: pa.Table, marks: pa.Table) -> pa.Table:
@@ -390,7 +459,7 @@ def _cut(ids_at: int, text_at: int, with_rows: bool):
             measures = {"n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
             if with_rows:
                 columns = [pa.array(text, pa.string()) if k == text_at else c for k, c in enumerate(batch.columns)]
-                tables.append(pa.table([*columns, *measures.values()], [*batch.schema.names, *(f"__{m}" for m in measures)]))
+                tables.append(pa.table([*columns, *measures.values()], [*batch.schema.names, *named]))
             else:
                 tables.append(pa.table([batch.column(ids_at), *measures.values()], ["doc_id", *measures]))
         give_back_memory()
@@ -399,18 +468,25 @@ def _cut(ids_at: int, text_at: int, with_rows: bool):
     return run
 
 
+def measure_names(columns: list[str]) -> list[str]:
+    """Names of the measures beside some columns."""
+    return fresh(columns, "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def cut_repeats(docs: DataFrame, with_rows: bool = False, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row of ``docs``.
 
     ``with_rows`` returns the rows themselves with ``text`` cut (a character that
-    is cut in two is lost whole) and the measures as ``__`` columns.  Null texts
+    is cut in two is lost whole) and the measures after them, under ``measure_names``.  Null texts
     are empty.  A null doc_id counts as larger than all others; rows with one
     doc_id don't cover each other; repeated rows get the same result each.  An
-    empty table gives no row.
+    empty table gives no row.  A very long text is read in chunks of ``CHUNK``
+    bytes that overlap, so its length changes nothing.
     """
     spark = docs.sparkSession
     import_on_workers(spark)
     own = docs if with_rows else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = measure_names(docs.columns)
     ids_at, text_at = own.columns.index("doc_id"), own.columns.index("text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // bucket_bytes))
@@ -423,10 +499,10 @@ def cut_repeats(docs: DataFrame, with_rows: bool = False, bucket_bytes: int = BU
     found = marks.filter(F.col("rep") == COVERED).unionByName(windows)
     measures = [T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()))]
     if with_rows:
-        schema = T.StructType([*own.schema.fields, *(T.StructField(f"__{m.name}", m.dataType) for m in measures)])
+        schema = T.StructType([*own.schema.fields, *(T.StructField(n, m.dataType) for n, m in zip(named, measures, strict=True))])
     else:
         schema = T.StructType([T.StructField("doc_id", T.LongType()), *measures])
-    return packed.groupBy("home").cogroup(found.groupBy("home")).applyInArrow(_cut(ids_at, text_at, with_rows), schema)
+    return packed.groupBy("home").cogroup(found.groupBy("home")).applyInArrow(_cut(ids_at, text_at, with_rows, named), schema)
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
@@ -434,7 +510,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     ``n_chars``, where present, follows the text.  Rows that were empty stay.
     """
-    cut = cut_repeats(docs, with_rows=True).filter((F.col("__n_removed") == 0) | (F.btrim("text") != ""))
+    cut = cut_repeats(docs, with_rows=True).filter((F.col(measure_names(docs.columns)[1]) == 0) | (F.btrim("text") != ""))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
