@@ -36,6 +36,14 @@ def whole_texts(query):
     return run
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with ``_`` before them until none is among the columns."""
+    taken, mark = {c.lower() for c in columns}, "_"
+    while any(mark + n in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, even where lambdas in ``body`` use it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import SPACES, let, words_of
+from marlstone.llm.common import fresh, let, SPACES, words_of
 
 
 @dataclass(frozen=True)
@@ -175,14 +175,15 @@ def apply_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> Data
     """The rows of ``docs`` that pass, without their frequent lines.
 
     ``n_chars``, where ``docs`` has it, is the new length of a text that lost
-    lines; all else stays as it was.
+    lines; all else stays as it was, whatever the other columns' names.
     """
     verdicts = quality_verdicts(docs, rules).filter(~F.col("kept") | F.col("lost_lines").isNotNull())
-    changes = verdicts.select(F.col("key").alias("__key"), F.col("kept").alias("__kept"), F.col("lost_lines").alias("__lost")).dropDuplicates(["__key"])
-    marked = docs.withColumn("__key", _key(F.col("doc_id"), F.col("source"), F.col("text")))
-    passed = marked.join(changes, "__key", "left").filter(F.coalesce("__kept", F.lit(True)))
-    left = F.array_join(F.filter(all_lines(F.col("text")), lambda x, k: ~F.array_contains("__lost", k)), "\n")
-    cut = passed.withColumn("text", F.when(F.col("__lost").isNull(), F.col("text")).otherwise(left))
+    key, kept, lost = fresh(docs.columns, "key", "kept", "lost")
+    changes = verdicts.select(F.col("key").alias(key), F.col("kept").alias(kept), F.col("lost_lines").alias(lost)).dropDuplicates([key])
+    marked = docs.withColumn(key, _key(F.col("doc_id"), F.col("source"), F.col("text")))
+    passed = marked.join(changes, key, "left").filter(F.coalesce(kept, F.lit(True)))
+    left = F.array_join(F.filter(all_lines(F.col("text")), lambda x, k: ~F.array_contains(lost, k)), "\n")
+    cut = passed.withColumn("text", F.when(F.col(lost).isNull(), F.col("text")).otherwise(left))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("__lost").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        cut = cut.withColumn("n_chars", F.when(F.col(lost).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return cut.select(*docs.columns)

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.functions.stage import import_on_workers, write_stage
+from marlstone.llm.common import fresh
 from marlstone.llm.components import connected_components
 
 MAX_BITS = 4
@@ -225,12 +226,15 @@ def simhash_components(docs: DataFrame, shingle: int = 4) -> DataFrame:
 def near_dedup(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """The rows of ``docs`` whose doc_id is their component's smallest; one row of each component.
 
-    Columns stay as they are.  Components whose ids are all null keep one row.
+    Columns stay as they are, whatever their names.  Components whose ids are all
+    null keep one row.  Of several rows with that id the one with the least digest
+    stays.  An empty table gives no row; very long texts are read whole.
     """
-    columns = docs.columns
-    marked, _ = write_stage(with_fingerprints(docs, "__fp", shingle), "marked")
-    named = classes(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp")))
+    fp, root, best_id, digest = fresh(docs.columns, "fp", "root", "id", "digest")
+    marked, _ = write_stage(with_fingerprints(docs, fp, shingle), "marked")
+    named = classes(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp")))
     # A representative is one (fingerprint, id): rows of other ids need not meet their class.
-    best = named.select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__id"))
-    kept = marked.join(best, (marked["__fp"] == best["__fp"]) & marked["doc_id"].eqNullSafe(best["__id"])).drop(best["__fp"])
-    return kept.dropDuplicates(["__root"]).select(*columns)
+    best = named.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(best_id))
+    kept = marked.join(best.withColumnRenamed(fp, "_" + fp), (F.col(fp) == F.col("_" + fp)) & F.col("doc_id").eqNullSafe(F.col(best_id))).withColumn(digest, F.xxhash64(*docs.columns))
+    least = kept.groupBy(root).agg(F.min(digest).alias(digest))
+    return kept.join(least, [root, digest]).dropDuplicates([root]).select(*docs.columns)
