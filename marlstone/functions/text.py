@@ -12,8 +12,11 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 STOP_WORDS = ["a", "an", "and", "at", "by", "for", "from", "in", "into", "is", "of", "on", "or", "the", "to", "with"]
 #: Symbol names that say little about a target (fixed values).
 GENERIC_NAMES = ["data", "default", "error", "item", "key", "main", "new", "result", "self", "value"]
-#: Scores of the three ways a text can match (fixed values).
+#: Scores of the three modes of a match (fixed values).
 EXACT, PREFIX, SUBSTRING = 4_000_000_000, 3_000_000_000, 2_000_000_000
+MODE_SCORES = {"exact": EXACT, "prefix": PREFIX, "substring": SUBSTRING}
+#: How sure each mode is (fixed values).
+MODE_CONFIDENCE = {"exact": "high", "prefix": "high", "substring": "medium"}
 
 
 def ascii_lower(c: Column) -> Column:
@@ -33,24 +36,28 @@ def folded(text: str) -> str:
 
 def _graded(value: Column, query: str, mode: str) -> Column:
     hit = {"exact": value == query, "prefix": value.startswith(query), "substring": value.contains(query)}[mode]
-    grade = F.when(value == query, EXACT).when(value.startswith(query), PREFIX).when(value.contains(query), SUBSTRING)
-    return F.when(hit, grade).cast("long")
+    return F.when(hit, MODE_SCORES[mode]).cast("long")
 
 
 def text_score(c: Column, query: str, mode: str = "substring") -> Column:
-    """Match score of a text without regard to ASCII case; null where it doesn't match or the query is empty."""
+    """Match score of a text without regard to ASCII case; null where it doesn't match or the query is empty.
+
+    The mode alone sets the score: a substring query scores as one also where the text equals it.
+    """
     q = folded(query)
     return _graded(ascii_lower(c), q, mode) if q else F.lit(None).cast("long")
 
 
-def path_score(c: Column, query: str, mode: str = "substring") -> Column:
-    """Match score of a path; case counts, ``\\`` in the query is ``/`` and a leading ``./`` goes."""
-    q = re.sub(r"^(\./)+", "", query.strip().replace("\\", "/"))
-    return _graded(c, q, mode) if q else F.lit(None).cast("long")
+def query_path(text: str) -> str:
+    """A path as a query gives it: trimmed, ``\\`` is ``/``, a leading ``./`` goes."""
+    return re.sub(r"^(\./)+", "", text.strip().replace("\\", "/"))
 
 
-def match_confidence(score: Column) -> Column:
-    return F.when(score >= PREFIX, "high").when(score.isNotNull(), "medium")
+def path_score(c: Column, query: str, mode: str = "substring") -> Column:
+    """Match score of a path; case counts, and both sides are taken as ``query_path`` takes them."""
+    q = query_path(query)
+    subject = F.regexp_replace(F.replace(strip_space(c), F.lit("\\"), F.lit("/")), r"^(\./)+", "")
+    return _graded(subject, q, mode) if q else F.lit(None).cast("long")
 
 
 def matched_keywords(message: Column, keywords: list[str], mode: str = "word") -> Column:
@@ -69,6 +76,15 @@ def task_terms(task: Column) -> Column:
     return F.filter(words, lambda w: (F.octet_length(w) >= 3) & ~ascii_lower(w).isin(STOP_WORDS))
 
 
+def seeds(values: list[str]) -> list[str]:
+    """Seeds as a task gives them: trimmed, without empty ones, in order of the text without ASCII case, each once."""
+    kept: dict[str, str] = {}
+    for v in sorted((v.strip() for v in values), key=folded):
+        if v:
+            kept.setdefault(folded(v), v)
+    return list(kept.values())
+
+
 def token_estimate(c: Column) -> Column:
     """A quarter of the characters, rounded up, at least one."""
     return F.greatest(F.lit(1), F.ceil(F.length(c) / 4)).cast("long")

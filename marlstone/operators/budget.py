@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.stage import write_stage
+
 PAGE_DEFAULT, PAGE_MOST = 20, 256
 
 
@@ -36,21 +38,33 @@ def prefix_budget(df: DataFrame, order: list[Column], chars: Column, tokens: int
     return first.withColumn("cost", cost.cast("long")).filter(F.col("cost") <= tokens).drop("__chars")
 
 
-def skip_greedy(df: DataFrame, order: list[Column], cost: Column, budget: int, most: int = PAGE_MOST) -> DataFrame:
-    """Rows taken in order while they fit, passing over those that don't.
+def skip_greedy(df: DataFrame, order: list[Column], cost: Column, budget: int) -> DataFrame:
+    """Rows taken in order while they fit, passing over those that don't, to the end of the table."""
+    return taken_while_fitting(df.withColumn("__cost", cost.cast("long")), order, "__cost", budget).drop("__cost")
+
+
+def taken_while_fitting(rows: DataFrame, order: list[Column], cost: str, budget: int, portion: int = 4096) -> DataFrame:
+    """The rows that a fold over the whole table takes: each whose cost fits what is left.
 
-    A fold over the ``most`` first rows of the order.
+    The table is sorted once, distributed, and written with a place for each row.
+    A cost that doesn't fit now never will, so each step filters those out, takes
+    the first ``portion`` of the rest in order, and folds their places and costs on
+    the driver: two numbers a row, for at most ``portion`` rows a step.  A step
+    takes a row at least; the work ends when nothing fits.
     """
-    first = df.withColumn("__cost", cost.cast("long")).orderBy(*order).limit(most)
-    ranked = first.withColumn("__rn", F.row_number().over(Window.orderBy(*order)))
-    rows = ranked.groupBy().agg(F.array_sort(F.collect_list(F.struct("__rn", F.struct(*df.columns).alias("row"), "__cost"))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("taken"))
-    step = lambda a, x: F.when(
-        a["used"] + x["__cost"] <= budget, F.struct((a["used"] + x["__cost"]).alias("used"), F.concat(a["taken"], F.array(x["__rn"])).alias("taken"))
-    ).otherwise(a)
-    folded = rows.withColumn("taken", F.aggregate("rows", start, step)["taken"])
-    kept = F.filter("rows", lambda x: F.array_contains(F.col("taken"), x["__rn"]))
-    return folded.select(F.explode(kept).alias("x")).select("x.row.*")
+    ranked, _ = write_stage(rows.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()), "ranked")
+    left, after, taken = budget, -1, []
+    while True:
+        step = ranked.filter((F.col("__place") > after) & F.col(cost).between(1, left)).orderBy("__place").limit(portion).select("__place", cost).collect()
+        for at, n in step:
+            if n <= left:
+                left -= n
+                taken.append(at)
+        if len(step) < portion:
+            break
+        after = step[-1][0]
+    places = rows.sparkSession.createDataFrame([(p,) for p in taken], "__place long")
+    return ranked.filter(F.col(cost) <= 0).unionByName(ranked.filter(F.col(cost) > 0).join(places, "__place", "left_semi").select(*ranked.columns)).drop("__place")
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:

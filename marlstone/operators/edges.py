@@ -2,6 +2,10 @@
 
 ``symbols(path, ord, name, kind, role, evidence, context, visibility)`` with the
 file's ``language`` and, for packages, ``modules`` (an array).
+
+What a reference resolves to hangs on its file and name alone, for an import on
+its line as well.  So *questions* are resolved, each once, to an array of
+candidates; references meet these arrays, and only then are edges exploded.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.paths import parent, suffixes
+from marlstone.functions.stage import write_stage
 from marlstone.functions.text import is_generic_name
 from marlstone.operators.budget import top_per_key
 
@@ -17,7 +22,7 @@ MOST_CANDIDATES = 32
 #: Kinds of definitions that can be the target of an edge (fixed values).
 TARGET_KINDS = ["function", "struct", "enum", "trait", "type", "const", "static", "module", "macro", "class", "method", "interface"]
 #: Tiers of a resolution, strongest first, with their names and confidence.
-TIERS = {0: ("same_file", "high"), 1: ("same_module", "high"), 2: ("imported_module", "high"), 3: ("imported_name", "medium")}
+TIERS = {0: ("same_file_explicit", "high"), 1: ("same_module", "high"), 2: ("imported_module", "high"), 3: ("imported_name", "medium")}
 #: Endings that a module hint drops, one after another (fixed values).
 HINT_ENDINGS = ["/__init__", "/mod", ".js", ".ts", ".tsx", ".py", ".rb", ".rs", ".java", ".cs", ".go", ".lua", ".rockspec", ".zig"]
 
@@ -44,15 +49,28 @@ def normalise_hint(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.replace(c, F.lit("::"), F.lit("/")), "^/+|/+$", ""))
 
 
-def module_hints(context: Column) -> Column:
-    """What an import line says of its module: a quoted text, the word after ``from``, parts with ``::`` or ``/``."""
-    quoted = F.regexp_extract(context, "([\"'])(.*?)\\1", 2)
-    after = F.regexp_extract(context, r"(?:^|\s)from\s+(\S+)", 1)
+def module_hints(context: Column, language: Column) -> Column:
+    """What an import line says of its module: a quoted text (in Lua with dots as slashes too), the word after ``from``, parts with ``::`` or ``/``."""
+    double, single = F.regexp_extract(context, '"([^"]*)"', 1), F.regexp_extract(context, "'([^']*)'", 1)
+    quoted = normalise_hint(F.when(context.rlike('"[^"]*"'), double).otherwise(single))
+    dotted = F.when((language == "lua") & quoted.contains("."), F.replace(quoted, F.lit("."), F.lit("/")))
+    after = normalise_hint(F.regexp_extract(context, r"(?:^|\s)from\s+(\S+)", 1))
     parts = F.filter(F.split(context, r"[\s;,()]+", -1), lambda p: p.contains("::") | p.contains("/"))
-    hints = F.transform(F.concat(F.array(quoted, after), parts), normalise_hint)
+    hints = F.concat(F.array(quoted, F.coalesce(dotted, F.lit("")), after), F.transform(parts, normalise_hint))
     return F.array_sort(F.array_distinct(F.filter(hints, lambda h: h != "")))
 
 
+def import_names(name: Column, context: Column, hints: Column) -> Column:
+    """Names that an import can stand for: its own, what stands before ``as`` and after ``import``, and the last parts of its hints."""
+    words = F.filter(F.split(context, r"[^\p{L}\p{N}_]+", -1), lambda w: w != "")
+    places = F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+    at = lambda k: F.element_at(words, k)
+    before = F.transform(places, lambda k: F.when(at(k + 1) == "as", at(k)))
+    after = F.transform(places, lambda k: F.when(at(k) == "import", at(k + 1)))
+    last = F.transform(hints, lambda h: F.element_at(F.split(h, "/", -1), -1))
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array(name), before, after, last))))
+
+
 def hint_keys(hint: Column) -> Column:
     """What a path must end in, by component, to answer a hint: the hint, or its module without crate, self, super."""
     module = F.when(hint.contains("/"), F.regexp_replace(hint, "/[^/]*$", "")).otherwise(hint)
@@ -77,65 +95,113 @@ def hint_matches(hints: DataFrame, paths: DataFrame) -> DataFrame:
     return asked.join(answers, "key").select("source", "target").distinct()
 
 
-def resolve(symbols: DataFrame, candidates: int = MOST_CANDIDATES) -> DataFrame:
-    """Edges ``(source, ord, symbol, target, tier, n_candidates, ...)`` of all references.
+QUESTION = ["language", "source", "symbol", "context"]
 
-    Each candidate gets the tier by which it is reached: the same file; for Go,
-    the same folder with a common package; a file that an import of the source
-    names; any file, where the source imports the name.  Candidates of the
-    strongest tier stay, the first ``candidates`` by path; a reference that no
-    tier reaches has no edge.
 
-    A name that many files define is cut to ``candidates`` definitions before it
-    meets its references, so the join grows with the references.  Same-file,
-    same-module and hinted targets come from joins of their own.
-    """
-    refs = references(symbols).select("language", F.col("path").alias("source"), "ord", F.col("name").alias("symbol"), "modules")
-    defs = definitions(symbols)
-    imports = symbols.filter((F.col("role") == "definition") & (F.col("evidence") == "import"))
-    files = symbols.select("path", "language", "modules").dropDuplicates(["path"])
-
-    own = refs.join(defs.select("language", F.col("name").alias("symbol"), F.col("path").alias("source"), "visibility"), ["language", "symbol", "source"])
-    own = own.select("source", "ord", "symbol", F.col("source").alias("target"), "visibility", F.lit(0).alias("tier"))
-
-    go = defs.filter("language = 'go'").join(files.select("path", F.col("modules").alias("own")), "path").select(F.col("name").alias("symbol"), F.col("path").alias("target"), "visibility", "own", parent(F.col("path")).alias("dir"))
-    module = refs.filter("language = 'go'").withColumn("dir", parent(F.col("source"))).join(go, ["symbol", "dir"]).filter((F.col("source") != F.col("target")) & F.arrays_overlap("modules", "own"))
-    module = module.select("source", "ord", "symbol", "target", "visibility", F.lit(1).alias("tier"))
+def questions(symbols: DataFrame) -> DataFrame:
+    """``(language, source, symbol, context, modules)``: what there is to resolve, once each; ``context`` is null but for imports."""
+    line = F.when(F.col("role") == "definition", F.coalesce("context", F.lit("")))
+    refs = references(symbols).select("language", F.col("path").alias("source"), F.col("name").alias("symbol"), line.alias("context"), "modules")
+    return refs.dropDuplicates(QUESTION)
 
-    hints = imports.select(F.col("path").alias("source"), F.explode(module_hints(F.col("context"))).alias("hint")).distinct()
-    linked = hint_matches(hints, files.select("path"))
-    hinted = refs.join(linked, "source").join(defs.select("language", F.col("name").alias("symbol"), F.col("path").alias("target"), "visibility"), ["language", "symbol", "target"])
-    hinted = hinted.select("source", "ord", "symbol", "target", "visibility", F.lit(2).alias("tier"))
 
-    first = top_per_key(defs, ["language", "name"], [F.asc("path")], candidates)
-    names = imports.select(F.col("path").alias("source"), F.col("name").alias("symbol")).distinct()
-    named = refs.join(names, ["source", "symbol"], "left_semi").join(first.select("language", F.col("name").alias("symbol"), F.col("path").alias("target"), "visibility"), ["language", "symbol"])
-    named = named.select("source", "ord", "symbol", "target", "visibility", F.lit(3).alias("tier"))
+def answers(asked: DataFrame, symbols: DataFrame, candidates: int = MOST_CANDIDATES) -> DataFrame:
+    """``(language, source, symbol, context, tier, targets)`` for each of ``questions`` that has an answer.
 
-    every = own.unionByName(module).unionByName(hinted).unionByName(named)
-    ref = Window.partitionBy("source", "ord")
-    strongest = every.withColumn("best", F.min("tier").over(ref)).filter("tier = best").dropDuplicates(["source", "ord", "target"])
-    kept = top_per_key(strongest, ["source", "ord"], [F.asc("target")], candidates)
-    return kept.withColumn("n_candidates", F.count("*").over(ref)).drop("best")
+    Each candidate gets the tier by which it is reached: the same file; for Go,
+    the same folder with a common package; a file that an import of the source
+    names; any file, where the source imports the name.  Candidates of the
+    strongest tier stay, the first ``candidates`` by path, as an array of
+    ``(target, visibility)``.
 
+    An import also asks for the names that it renames or takes from a module, and
+    only in files that its own line names, if it names any; where that finds
+    nothing it asks as any reference does.  A name that many files define meets
+    its questions as one array of its first ``candidates`` files.
+    """
+    # Each is read several times below: written once, not made anew.
+    asked, _ = write_stage(asked.select(*QUESTION, "modules"), "questions")
+    defs, _ = write_stage(definitions(symbols), "definitions")
+    imports = symbols.filter("role = 'definition' and evidence = 'import'").withColumn("hints", module_hints(F.coalesce("context", F.lit("")), F.col("language")))
+    imports, _ = write_stage(imports.select("path", "name", "hints").distinct(), "imports")
+    files = symbols.select("path", "modules").dropDuplicates(["path"])
+    named = asked.withColumn("hints", F.when(F.col("context").isNotNull(), module_hints(F.col("context"), F.col("language"))))
+    named = named.withColumn("names", F.when(F.col("context").isNotNull(), import_names(F.col("symbol"), F.col("context"), F.col("hints"))))
+    hints = named.filter("size(hints) > 0").select(F.explode("hints").alias("hint")).unionByName(imports.join(asked.select("source"), F.col("path") == F.col("source"), "left_semi").select(F.explode("hints").alias("hint"))).distinct()
+    led = hint_matches(hints.select(F.col("hint").alias("source"), "hint"), files.select("path")).withColumnRenamed("source", "hint")
+    found = defs.select("language", F.col("name").alias("wanted"), F.col("path").alias("target"), "visibility")
+    of_file = [*QUESTION, "target", "visibility"]
+
+    # Imports whose own line names files.
+    strict = named.filter("size(hints) > 0").select(*QUESTION, "modules", F.explode("hints").alias("hint"), "names").join(led, "hint")
+    strict = strict.select(*QUESTION, "modules", "target", F.explode("names").alias("wanted")).distinct().join(found, ["language", "wanted", "target"]).join(files.select(F.col("path").alias("target"), F.col("modules").alias("own")), "target", "left")
+    same_folder = (F.col("language") == "go") & (parent(F.col("source")) == parent(F.col("target"))) & F.arrays_overlap("modules", "own")
+    strict = strict.select(*of_file, F.when(F.col("source") == F.col("target"), 0).when(same_folder, 1).otherwise(2).alias("tier"))
+
+    # All others, and imports whose line led to no definition.
+    done = strict.select(*QUESTION).distinct()
+    wide = named.filter("context is null").unionByName(named.filter("context is not null").join(done, QUESTION, "left_anti"))
+    plain_name = F.array("symbol")
+    wide = wide.withColumn("names", F.when(F.size("hints") == 0, F.col("names")).otherwise(plain_name)).withColumn("names", F.coalesce("names", plain_name))
+    asks = wide.select(*QUESTION, "modules", F.explode("names").alias("wanted"))
+    own = asks.join(found.withColumnRenamed("target", "source").withColumn("target", F.col("source")), ["language", "wanted", "source"]).select(*of_file, F.lit(0).alias("tier"))
+    go = found.filter("language = 'go'").join(files.select(F.col("path").alias("target"), F.col("modules").alias("own")), "target").withColumn("folder", parent(F.col("target")))
+    module = asks.filter("language = 'go'").withColumn("folder", parent(F.col("source"))).join(go.drop("language"), ["wanted", "folder"]).filter((F.col("source") != F.col("target")) & F.arrays_overlap("modules", "own")).select(*of_file, F.lit(1).alias("tier"))
+    linked = imports.select(F.col("path").alias("source"), F.explode("hints").alias("hint")).distinct().join(led, "hint").select("source", "target").distinct()
+    hinted = asks.join(linked, "source").join(found, ["language", "wanted", "target"]).select(*of_file, F.lit(2).alias("tier"))
+
+    near = strict.unionByName(own).unionByName(module).unionByName(hinted)
+    near = near.groupBy(*QUESTION, "tier", "target").agg(F.min("visibility").alias("visibility"))
+    first = top_per_key(near, [*QUESTION, "tier"], [F.asc("target")], candidates)
+    met = first.groupBy(*QUESTION).agg(F.min("tier").alias("tier"), F.array_sort(F.collect_list(F.struct("tier", "target", "visibility"))).alias("every"))
+    strong = met.select(*QUESTION, "tier", F.transform(F.filter("every", lambda x: x["tier"] == F.col("tier")), lambda x: F.struct(x["target"].alias("target"), x["visibility"].alias("visibility"))).alias("targets"))
+
+    # The weakest tier: the source imports the name itself.
+    lists = top_per_key(defs, ["language", "name"], [F.asc("path")], candidates).groupBy("language", F.col("name").alias("wanted")).agg(F.array_sort(F.collect_list(F.struct(F.col("path").alias("target"), "visibility"))).alias("targets"))
+    says = imports.select(F.col("path").alias("source"), F.col("name").alias("symbol")).distinct()
+    weak = asks.join(says, ["source", "symbol"], "left_semi").join(lists, ["language", "wanted"])
+    single = weak.filter("context is null").select(*QUESTION, "targets")
+    several = weak.filter("context is not null").groupBy(*QUESTION).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("targets")))).alias("all"))
+    # One file that defines two of the names stands once, with its smaller visibility label.
+    unique = F.filter("all", lambda x, k: (k == 0) | (x["target"] != F.col("all")[F.greatest(k - 1, F.lit(0))]["target"]))
+    weak = single.unionByName(several.select(*QUESTION, F.slice(unique, 1, candidates).alias("targets"))).withColumn("weak", F.lit(3))
+    both = strong.select(*QUESTION, "tier", F.col("targets").alias("strong")).join(weak.select(*(F.col(c).alias(f"_{c}") for c in QUESTION), "targets", "weak"), _same_question(), "full_outer")
+    return both.select(*(F.coalesce(c, f"_{c}").alias(c) for c in QUESTION[:3]), F.when(F.col("source").isNotNull(), F.col("context")).otherwise(F.col("_context")).alias("context"), F.coalesce("tier", "weak").alias("tier"), F.coalesce("strong", "targets").alias("targets"))
+
+
+def _same_question(other: str = "_") -> Column:
+    same = F.col("context").eqNullSafe(F.col(f"{other}context"))
+    for c in QUESTION[:3]:
+        same = same & (F.col(c) == F.col(f"{other}{c}"))
+    return same
+
+
+def resolve(symbols: DataFrame, candidates: int = MOST_CANDIDATES, asked: DataFrame | None = None) -> DataFrame:
+    """Edges ``(source, ord, symbol, target, visibility, tier, n_candidates)`` of all references, or of those of the questions ``asked``.
+
+    A reference that no tier reaches has no edge.
+    """
+    told = answers(questions(symbols) if asked is None else asked, symbols, candidates)
+    told = told.select(*(F.col(c).alias(f"_{c}") for c in QUESTION), "tier", "targets")
+    line = F.when(F.col("role") == "definition", F.coalesce("context", F.lit("")))
+    refs = references(symbols).select("language", F.col("path").alias("source"), "ord", F.col("name").alias("symbol"), line.alias("context"))
+    met = refs.join(told, _same_question())
+    return met.select("source", "ord", "symbol", "tier", F.size("targets").alias("n_candidates"), F.explode("targets").alias("t")).select("source", "ord", "symbol", "t.target", "t.visibility", "tier", "n_candidates")
 
-def describe(edges: DataFrame, cap: int | None = None) -> DataFrame:
-    """Edges with ambiguity, candidates, their group, reason and confidence; distinct after an optional cap.
 
-    The cap counts rows in order of source, symbol place and target, before
-    repeated edges are dropped.
-    """
-    if cap is not None:
-        edges = edges.orderBy("source", "ord", "target").limit(cap)
-    ref = Window.partitionBy("source", "ord")
-    paths = F.array_sort(F.collect_list("target").over(ref))
+def describe(told: DataFrame) -> DataFrame:
+    """Distinct edges of ``answers``, with ambiguity, candidates, their group, reason and confidence."""
     reason = F.element_at(F.create_map(*(x for t, (r, _) in TIERS.items() for x in (F.lit(t), F.lit(r)))), F.col("tier"))
     confidence = F.element_at(F.create_map(*(x for t, (_, c) in TIERS.items() for x in (F.lit(t), F.lit(c)))), F.col("tier"))
-    out = edges.withColumn("candidates", paths).withColumn("ambiguous", F.size("candidates") > 1).withColumn("resolution_reason", reason).withColumn("confidence", confidence)
-    group = F.concat_ws(":", "source", "symbol", "resolution_reason", F.sha2(F.array_join("candidates", "\0"), 256))
-    return out.withColumn("candidate_group", F.when(F.col("ambiguous"), group)).select(
-        "source", "target", "symbol", "ambiguous", "candidates", "candidate_group", "resolution_reason", "confidence", F.col("visibility").alias("target_visibility")
-    ).distinct()
+    whole = told.select("source", "symbol", "targets", F.transform("targets", lambda t: t["target"]).alias("candidates"), reason.alias("resolution_reason"), confidence.alias("confidence"))
+    whole = whole.dropDuplicates(["source", "symbol", "resolution_reason", "candidates"]).withColumn("ambiguous", F.size("candidates") > 1)
+    whole = whole.withColumn("candidate_group", F.concat_ws(":", "source", "symbol", "resolution_reason", F.sha2(F.array_join("candidates", "\0"), 256)))
+    return whole.withColumn("t", F.explode("targets")).select("source", "t.target", "symbol", "ambiguous", "candidates", "candidate_group", "resolution_reason", "confidence", F.col("t.visibility").alias("target_visibility"))
+
+
+def first_edges(resolved: DataFrame, cap: int) -> DataFrame:
+    """The first ``cap`` of the edges that ``resolve`` gives, in order of source, place and target, before repeats are dropped."""
+    return resolved.orderBy("source", "ord", "target").limit(cap)
 
 
 def ambiguity_findings(edges: DataFrame) -> DataFrame:
@@ -160,29 +226,53 @@ def edge_weight(symbol: Column, confidence: Column, visibility: Column) -> Colum
     return lexical * sure * seen
 
 
-def affected_files(symbols: DataFrame, changed: DataFrame) -> DataFrame:
-    """Files whose edges a change can touch: the changed ones and, to a fixed point, those that refer to a name they define or define a name they refer to."""
-    from marlstone.functions.stage import drop_stage, write_stage
-
-    spark = symbols.sparkSession
-    defs = definitions(symbols).select("language", "name", "path").distinct()
-    refs = references(symbols).select("language", "name", "path").distinct()
-    now, where = write_stage(changed.select("path").distinct(), "affected")
-    count = now.count()
-    while True:
-        names = defs.join(now, "path", "left_semi").select("language", "name").unionByName(refs.join(now, "path", "left_semi").select("language", "name")).distinct()
-        touched = refs.join(names, ["language", "name"], "left_semi").select("path").unionByName(defs.join(names, ["language", "name"], "left_semi").select("path"))
-        after, new = write_stage(now.unionByName(touched).distinct(), "affected")
-        drop_stage(spark, where)
-        now, where, last = after, new, count
-        count = now.count()
-        if count == last:
-            break
-    return now
-
-
-def update_edges(old: DataFrame, symbols: DataFrame, affected: DataFrame) -> DataFrame:
-    """Old edges of unaffected files with fresh edges of the affected ones; equals a cold build."""
-    hit = affected.select(F.col("path").alias("source"))
-    kept = old.join(hit, "source", "left_anti")
-    return kept.unionByName(resolve(symbols).join(hit, "source", "left_semi").select(*old.columns))
+def changed_names(symbols: DataFrame, changed: DataFrame) -> DataFrame:
+    """``(language, name)`` of the definitions in changed files."""
+    return definitions(symbols).join(changed.select("path").distinct(), "path", "left_semi").select("language", "name").distinct()
+
+
+def affected_questions(symbols: DataFrame, changed: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Questions whose answer a change can touch: those of changed files, and those that ask for a name that a changed file defines or, by the symbols ``before``, did.
+
+    An answer hangs on its file's own lines and on who defines its names, so no
+    further file can be touched.
+    """
+    names = changed_names(symbols, changed)
+    if before is not None:
+        names = names.unionByName(changed_names(before, changed)).distinct()
+    asked = questions(symbols)
+    wanted = F.when(F.col("context").isNull(), F.array("symbol")).otherwise(import_names(F.col("symbol"), F.col("context"), module_hints(F.col("context"), F.col("language"))))
+    spread = asked.select(*QUESTION, F.explode(wanted).alias("name")).join(names, ["language", "name"], "left_semi").select(*QUESTION)
+    inside = asked.join(changed.select(F.col("path").alias("source")).distinct(), "source", "left_semi").select(*QUESTION)
+    hit = inside.unionByName(spread).distinct().select(*(F.col(c).alias(f"_{c}") for c in QUESTION))
+    return asked.join(hit, _same_question(), "left_semi")
+
+
+def affected_files(symbols: DataFrame, changed: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """``(path)`` of the changed files and of those with an affected question."""
+    return affected_questions(symbols, changed, before).select(F.col("source").alias("path")).unionByName(changed.select("path")).distinct()
+
+
+def asked_symbols(symbols: DataFrame, asked: DataFrame) -> DataFrame:
+    """The symbols that answering some questions needs: all of their files, and the definitions of the names that they ask for."""
+    wanted = F.when(F.col("context").isNull(), F.array("symbol")).otherwise(import_names(F.col("symbol"), F.col("context"), module_hints(F.col("context"), F.col("language"))))
+    names = asked.select("language", F.explode(wanted).alias("name")).distinct()
+    files = asked.select(F.col("source").alias("path")).distinct()
+    inside = symbols.join(files, "path", "left_semi")
+    outside = symbols.filter("role = 'definition' and evidence <> 'import'").join(files, "path", "left_anti").join(names, ["language", "name"], "left_semi")
+    return inside.unionByName(outside.select(*inside.columns))
+
+
+def update_edges(old: DataFrame, symbols: DataFrame, changed: DataFrame, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(kept, fresh)``: old edges that a change can't touch, and the affected ones made anew; together they equal a cold build.
+
+    ``old`` are edges that ``resolve`` gave for the symbols ``before``, or for
+    fewer files; an edge goes with its question.  Only symbols that the affected
+    questions need are resolved.
+    """
+    asked, _ = write_stage(affected_questions(symbols, changed, before), "asked")
+    fresh = resolve(asked_symbols(symbols, asked), asked=asked)
+    told = references(symbols).select("language", F.col("path").alias("source"), "ord", F.col("name").alias("symbol"), F.when(F.col("role") == "definition", F.coalesce("context", F.lit(""))).alias("context"))
+    gone = told.join(asked.select(*(F.col(c).alias(f"_{c}") for c in QUESTION)), _same_question(), "left_semi").select("source", "ord").distinct()
+    left = old.join(changed.select(F.col("path").alias("source")).distinct(), "source", "left_anti")
+    return left.join(gone, ["source", "ord"], "left_anti").select(*old.columns), fresh.select(*old.columns)

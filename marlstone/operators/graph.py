@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.paths import is_test_path
 from marlstone.functions.stage import drop_stage, write_stage
 
 # Limits of walks and constants of the ranks (fixed values).
@@ -26,6 +27,17 @@ def confidence_rank(c: Column) -> Column:
     return F.when(c == "high", 0).when(c == "medium", 1).otherwise(2)
 
 
+#: Kinds of relations in the order that results have (fixed values).
+KINDS = ["dependency", "import", "reference", "type_reference", "call"]
+
+
+def kind_rank(c: Column) -> Column:
+    out = F.when(c == KINDS[0], 0)
+    for k, kind in enumerate(KINDS[1:], 1):
+        out = out.when(c == kind, k)
+    return out.otherwise(len(KINDS))
+
+
 def adjacency(edges: DataFrame, direction: str = "out") -> DataFrame:
     """``(node, other, ...)`` along edges, against them, or both."""
     rest = [c for c in edges.columns if c not in ("src", "dst")]
@@ -49,13 +61,22 @@ class Walk:
     omitted_boundaries: int
 
 
+def numbered(df: DataFrame, order: list, name: str) -> tuple[DataFrame, str]:
+    """Rows with growing numbers in an order, by a distributed sort, written."""
+    return write_stage(df.orderBy(*order).withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def _level(front: DataFrame, links: DataFrame, room: int) -> tuple[DataFrame, int]:
     """The first ``room`` edges of a level in order of discovery, numbered, and how many there are."""
-    joined = links.join(F.broadcast(front), links["node"] == front["at"]).drop("at")  # at most WORK_MOST rows
+    if front.count() <= WORK_MOST:
+        front = F.broadcast(front)
+    joined, where = write_stage(links.join(front, links["node"] == front["at"]).drop("at"), "level")
     total = joined.count()
-    order = ["parent_rank", confidence_rank(F.col("confidence")), F.col("ambiguous").cast("int"), "kind", "id", "other"]
+    order = ["parent_rank", confidence_rank(F.col("confidence")), F.col("ambiguous").cast("int"), kind_rank(F.col("kind")), "id", "other"]
     first = joined.orderBy(*order).limit(room)
-    return first.withColumn("work", F.row_number().over(Window.orderBy(*order))), total
+    first, _ = write_stage(first.withColumn("work", F.row_number().over(Window.orderBy(*order))), "first")  # WORK_MOST rows at most
+    drop_stage(links.sparkSession, where)
+    return first, total
 
 
 def walk(edges: DataFrame, anchors: DataFrame, direction: str = "out", depth: int = 1, work: int = WORK_DEFAULT, kinds: list[str] | None = None, projects: DataFrame | None = None, until=None) -> Walk:
@@ -70,8 +91,8 @@ def walk(edges: DataFrame, anchors: DataFrame, direction: str = "out", depth: in
     if not 0 <= depth <= DEPTH_MOST or not 1 <= work <= WORK_MOST:
         raise ValueError("depth or work out of bounds")
     links = adjacency(of_kinds(edges, kinds), direction)
-    start = anchors.select(F.col("node")).distinct().orderBy("node").limit(WORK_MOST)
-    start = start.withColumn("rank", F.row_number().over(Window.orderBy("node")).cast("long")).select("node", F.lit(0).alias("depth"), "rank", F.lit(None).cast(links.schema["other"].dataType).alias("parent"), F.lit(None).cast("string").alias("via"), F.lit("high").alias("confidence"), F.lit(False).alias("ambiguous"))
+    start, _ = numbered(anchors.select("node").distinct(), ["node"], "rank")
+    start = start.select("node", F.lit(0).alias("depth"), "rank", F.lit(None).cast(links.schema["other"].dataType).alias("parent"), F.lit(None).cast("string").alias("via"), F.lit("high").alias("confidence"), F.lit(False).alias("ambiguous"))
     met, where = write_stage(start, "walk")
     if projects is not None:
         links = links.join(projects.select(F.col("node").alias("node"), F.col("root").alias("__from")), "node").join(projects.select(F.col("node").alias("other"), F.col("root").alias("__to")), "other")
@@ -96,7 +117,7 @@ def walk(edges: DataFrame, anchors: DataFrame, direction: str = "out", depth: in
             first = first.filter(F.col("__from") == F.col("__to"))
         fresh = first.join(met.select("node"), first["other"] == met["node"], "left_anti")
         chosen = fresh.groupBy("other").agg(F.min(F.struct("work", "node", "id", "confidence", "ambiguous")).alias("m"))
-        base = 1 << 32
+        base = 1 << 40
         added = chosen.select(F.col("other").alias("node"), F.lit(level + 1).alias("depth"), (F.lit((level + 1) * base) + F.col("m.work")).cast("long").alias("rank"), F.col("m.node").alias("parent"), F.col("m.id").cast("string").alias("via"), F.col("m.confidence").alias("confidence"), F.col("m.ambiguous").alias("ambiguous"))
         met, new = write_stage(met.unionByName(added), "walk")
         drop_stage(edges.sparkSession, where)
@@ -136,37 +157,66 @@ def path_summary(path: DataFrame) -> DataFrame:
     return hops.agg(F.count("*").alias("edges"), F.bool_or("ambiguous").alias("ambiguous"), F.min_by("confidence", confidence_rank(F.col("confidence"))).alias("confidence"))
 
 
-def impact(edges: DataFrame, seeds: DataFrame, depth: int = IMPACT_DEPTH, work: int = IMPACT_WORK) -> DataFrame:
-    """``(node, depth, reach)`` of what depends on the seeds.
+@dataclass
+class Impact:
+    """``nodes(node, depth, reach)``, and what stopped the walk."""
+
+    nodes: DataFrame
+    work: int
+    depth_limited: bool
+    work_limited: bool
+
+
+def impact_walk(edges: DataFrame, seeds: DataFrame, depth: int = IMPACT_DEPTH, work: int = IMPACT_WORK, paths: DataFrame | None = None) -> Impact:
+    """What depends on ``seeds(node)``.
 
-    First the seeds' own targets, as inferred; then against the edges: direct at
-    depth one, transitive beyond, inferred from an ambiguous or weak edge on.
+    First all edges of the seeds are looked at, in order of seed, incoming before
+    outgoing: the targets of outgoing ones are related, as inferred, unless they
+    are seeds or, by ``paths(node, path)``, lie in the seed's own file.  Then
+    against the edges: direct at depth one, transitive beyond, inferred from an
+    ambiguous or weak edge on.  Every edge looked at is work; the walk stops where
+    it is used up.  Depth-limited is a walk with nodes at the greatest depth.
     """
-    start = seeds.select("node").distinct()
-    out = adjacency(edges, "out").join(F.broadcast(start.limit(WORK_MOST)), "node")
-    first = out.orderBy("node", confidence_rank(F.col("confidence")), "kind", "id").limit(work)
-    own = first.select(F.col("other").alias("node")).distinct().join(start, "node", "left_anti").select("node", F.lit(1).alias("depth"), F.lit("inferred").alias("reach"))
-    own, _ = write_stage(own, "impact")
-    left = max(1, work - first.count())
-    state, where = write_stage(start.withColumn("depth", F.lit(0)).withColumn("reach", F.lit("seed")).withColumn("rank", F.row_number().over(Window.orderBy("node")).cast("long")), "impact")
+    start, where = numbered(seeds.select("node").distinct(), ["node"], "rank")
     links = adjacency(edges, "in")
-    for level in range(depth):
+    around = links.withColumn("way", F.lit(0)).unionByName(adjacency(edges, "out").withColumn("way", F.lit(1))).join(start.select("node"), "node", "left_semi")
+    around, looked = write_stage(around, "around")
+    first = around.orderBy("node", "way", confidence_rank(F.col("confidence")), F.col("ambiguous").cast("int"), kind_rank(F.col("kind")), "id", "other").limit(work)
+    out = first.filter((F.col("way") == 1) & (F.col("other") != F.col("node")))
+    if paths is not None:
+        here, there = paths.select("node", F.col("path").alias("__here")), paths.select(F.col("node").alias("other"), F.col("path").alias("__there"))
+        out = out.join(here, "node", "left").join(there, "other", "left").filter(~F.col("__here").eqNullSafe(F.col("__there")))
+    related, _ = write_stage(out.select(F.col("other").alias("node")).distinct().join(start.select("node"), "node", "left_anti").select("node", F.lit(1).alias("depth"), F.lit("inferred").alias("reach")), "related")
+    total = around.count()
+    drop_stage(edges.sparkSession, looked)
+    left, stopped, deep = work - min(work, total), total > work, False
+    state, where = write_stage(start.select("node", F.lit(0).alias("depth"), F.lit("seed").alias("reach"), "rank"), "impact")
+    for level in range(depth + 1):
         now = state.filter(F.col("depth") == level)
-        if left <= 0 or now.isEmpty():
+        if stopped or now.isEmpty():
+            break
+        if level == depth:
+            deep = True
             break
         front = now.select(F.col("node").alias("at"), F.col("rank").alias("parent_rank"), F.col("reach").alias("parent_reach"))
         ranked, total = _level(front, links, left)
+        stopped = total > left
         left -= min(left, total)
         weak = F.col("ambiguous") | (F.col("confidence") == "low") | (F.col("parent_reach") == "inferred")
         reach = F.when(weak, "inferred").when(F.lit(level == 0), "direct").otherwise("transitive")
         fresh = ranked.join(state.select("node"), ranked["other"] == state["node"], "left_anti")
         chosen = fresh.withColumn("r", reach).groupBy("other").agg(F.min(F.struct("work", "r")).alias("m"))
-        added = chosen.select(F.col("other").alias("node"), F.lit(level + 1).alias("depth"), F.col("m.r").alias("reach"), (F.lit((level + 1) << 32) + F.col("m.work")).cast("long").alias("rank"))
+        added = chosen.select(F.col("other").alias("node"), F.lit(level + 1).alias("depth"), F.col("m.r").alias("reach"), (F.lit((level + 1) << 40) + F.col("m.work")).cast("long").alias("rank"))
         state, new = write_stage(state.unionByName(added), "impact")
         drop_stage(edges.sparkSession, where)
         where = new
     met = state.select("node", "depth", "reach")
-    return met.unionByName(own.join(met.select("node"), "node", "left_anti"))
+    return Impact(met.unionByName(related.join(met.select("node"), "node", "left_anti")), work - left, deep, stopped)
+
+
+def impact(edges: DataFrame, seeds: DataFrame, depth: int = IMPACT_DEPTH, work: int = IMPACT_WORK) -> DataFrame:
+    """``(node, depth, reach)`` of ``impact_walk``."""
+    return impact_walk(edges, seeds, depth, work).nodes
 
 
 def impact_priority(reach: Column, depth: Column) -> Column:
@@ -186,33 +236,38 @@ def seed_proximity(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return near.unionByName(two.select("node", F.lit(2).alias("distance"), "seed", F.lit(NEAR).cast("long").alias("score")))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, personal: DataFrame | None = None, iterations: int = ITERATIONS, damping: float = DAMPING, every: int = 6) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, personal: DataFrame | None = None, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
     """Personalised rank of ``nodes(node)`` over ``edges(src, dst, weight)``: a fixed number of rounds.
 
     Parallel edges add up, loops stay; weights are shared out over all of a
     node's edges before those that leave ``nodes`` are dropped; the rank of nodes
     without edges goes back by ``personal(node, p)`` (uniform by default).
+
+    Each round is one join and one grouping of the ranks before it, which are
+    written; the loose rank is read off them as one number.
     """
-    total = Window.partitionBy("src")
+    spark, total = nodes.sparkSession, Window.partitionBy("src")
     n = nodes.count()
     p = nodes.select("node").withColumn("p", F.lit(1.0 / max(n, 1))) if personal is None else nodes.select("node").join(personal, "node", "left").select("node", F.coalesce("p", F.lit(0.0)).alias("p"))
     summed = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w"))
-    shares = summed.withColumn("share", F.col("w") / F.sum("w").over(total)).join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "share")
+    shares = summed.withColumn("share", F.col("w") / F.sum("w").over(total))
     shares, _ = write_stage(shares, "shares")
-    base = p.join(summed.select(F.col("src").alias("node")).distinct().withColumn("flows", F.lit(True)), "node", "left").select("node", "p", F.coalesce("flows", F.lit(False)).alias("flows"))
+    base = p.join(shares.select(F.col("src").alias("node")).distinct().withColumn("flows", F.lit(True)), "node", "left").select("node", "p", F.coalesce("flows", F.lit(False)).alias("flows"))
     base, _ = write_stage(base, "personal")
-    rank, where = base.select("node", F.col("p").alias("score")), None
-    for k in range(1, iterations + 1):
-        flow = rank.join(shares, rank["node"] == shares["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        held = base.join(rank, "node")
-        dangling = held.agg(F.coalesce(F.sum(F.when(~F.col("flows"), F.col("score"))), F.lit(0.0)).alias("loose"))  # one row
-        rank = base.join(flow, "node", "left").crossJoin(F.broadcast(dangling)).select("node", ((1 - damping) * F.col("p") + damping * (F.col("loose") * F.col("p") + F.coalesce("got", F.lit(0.0)))).alias("score"))
-        if k % every == 0 or k == iterations:
-            rank, new = write_stage(rank, "rank")
-            if where:
-                drop_stage(nodes.sparkSession, where)
-            where = new
-    return rank
+    shares, _ = write_stage(shares.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "share"), "shares")
+    rank, where = base.withColumn("score", F.col("p")), None
+    for _ in range(iterations):
+        loose = rank.filter("not flows").agg(F.sum("score")).first()[0] or 0.0
+        flow = rank.join(shares, rank["node"] == shares["src"]).select(F.col("dst").alias("node"), (F.col("score") * F.col("share")).alias("got"))
+        own = base.select("node", (((1 - damping) + damping * loose) * F.col("p")).alias("held"), "p", "flows")
+        # A node's own row and what flows to it meet in one grouping.
+        rows = own.select("node", "held", F.lit(0.0).alias("got"), "p", "flows").unionByName(flow.select("node", F.lit(0.0).alias("held"), "got", F.lit(None).cast("double").alias("p"), F.lit(None).cast("boolean").alias("flows")))
+        after = rows.groupBy("node").agg(F.max("p").alias("p"), F.max("flows").alias("flows"), (F.sum("held") + damping * F.sum("got")).alias("score"))
+        rank, new = write_stage(after, "rank")
+        if where:
+            drop_stage(spark, where)
+        where = new
+    return rank.select("node", "score")
 
 
 def scaled_score(score: Column) -> Column:
@@ -229,7 +284,7 @@ def one_hop(edges: DataFrame, anchors: DataFrame, direction: str, kinds: list[st
     own = anchors.select("node").distinct()
     out = links.join(own, "node", "left_semi")
     away = out.join(own.select(F.col("node").alias("other")), "other", "left_anti")
-    return away.orderBy(confidence_rank(F.col("confidence")), F.col("ambiguous").cast("int"), "kind", "other", "id")
+    return away.orderBy(confidence_rank(F.col("confidence")), F.col("ambiguous").cast("int"), kind_rank(F.col("kind")), "other", "id")
 
 
 def callers(edges: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -248,6 +303,35 @@ def reverse_dependencies(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     return one_hop(edges, anchors, "in", ["dependency", "import"])
 
 
+def imports(edges: DataFrame, anchors: DataFrame) -> DataFrame:
+    return one_hop(edges, anchors, "out", ["import"])
+
+
+def tests(edges: DataFrame, anchors: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges from nodes of test files to the anchors; ``nodes(node, path)``."""
+    in_tests = nodes.filter(is_test_path(F.col("path"))).select(F.col("node").alias("other"))
+    return one_hop(edges, anchors, "in").join(in_tests, "other", "left_semi")
+
+
+def lexical_route(edges: DataFrame, sources: DataFrame, targets: DataFrame, most: int = 3) -> DataFrame:
+    """``(route, edges)``: the way of at most ``most`` steps from ``sources(node)`` to ``targets(node)`` over distinct edges.
+
+    Fewest steps, then the least nodes from the front; none where a source is a target.
+    """
+    links = edges.select("src", "dst").filter("src <> dst").distinct()
+    met = sources.select("node").distinct().select(F.array("node").alias("route"), F.col("node").alias("at"))
+    goal, found, seen = targets.select(F.col("node").alias("at")).distinct(), None, None
+    met = met.join(goal, "at", "left_anti")
+    for _ in range(most):
+        # Of the routes to one node the least stands, and no later one to it counts.
+        seen = met.select("at") if seen is None else seen.unionByName(met.select("at"))
+        step = met.join(links, met["at"] == links["src"]).filter(~F.array_contains("route", F.col("dst"))).select(F.concat("route", F.array("dst")).alias("route"), F.col("dst").alias("at"))
+        met = step.join(seen.distinct(), "at", "left_anti").groupBy("at").agg(F.min("route").alias("route")).select("route", "at")
+        hit = met.join(goal, "at", "left_semi")
+        found = hit if found is None else found.unionByName(hit)
+    return found.select("route", (F.size("route") - 1).alias("edges")).orderBy("edges", "route").limit(1)
+
+
 def resolve_anchor(files: DataFrame, symbols: DataFrame, target: str) -> DataFrame:
     """Files that a target names: the exact path, else files that define the symbol, else files in the folder."""
     from marlstone.functions.text import ascii_lower, folded

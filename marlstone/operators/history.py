@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.paths import in_scope
 from marlstone.functions.text import matched_keywords, month_of
+from marlstone.operators.budget import taken_while_fitting
 
 DAY = 86_400
 #: Churn is given for a thousand KiB of a file (fixed value).
@@ -31,13 +32,24 @@ def churn(commits: DataFrame, commit_paths: DataFrame, now: int, days: int, scop
     return changes_in(commits, commit_paths, now, days, scope).groupBy("path").agg(F.count("*").alias("commits"))
 
 
-def normalised_churn(churned: DataFrame, head_files: DataFrame, max_bytes: int = 1 << 20) -> DataFrame:
-    """Churn by size at head: ``head_files(path, size, binary, generated)``; sizes that say nothing are named."""
+def normalised_churn(churned: DataFrame, head_files: DataFrame, max_bytes: int = 1 << 20, total_bytes: int | None = None) -> DataFrame:
+    """Churn by size at head: ``head_files(path, size, binary, generated)``; sizes that say nothing are named.
+
+    With ``total_bytes``, files are looked into in order of commits and path while
+    their sizes fit into it; one that doesn't fit is ``resource_limit``.
+    """
     joined = churned.join(head_files, "path", "left")
+    beyond = F.lit(False)
+    if total_bytes is not None:
+        read = F.when(F.col("size").between(1, max_bytes), F.col("size")).otherwise(0)
+        read_rows = taken_while_fitting(joined.select("path", "commits", read.alias("__read")), [F.desc("commits"), F.asc("path")], "__read", total_bytes)
+        joined = joined.join(read_rows.select("path", F.lit(True).alias("__fits")), "path", "left")
+        beyond = F.col("__fits").isNull()
     status = (
         F.when(F.col("size").isNull(), "missing_at_head")
         .when(F.col("size") == 0, "empty")
         .when(F.col("size") > max_bytes, "oversized")
+        .when(beyond, "resource_limit")
         .when(F.col("binary"), "binary")
         .when(F.col("generated"), "generated")
         .otherwise("text")
@@ -48,12 +60,29 @@ def normalised_churn(churned: DataFrame, head_files: DataFrame, max_bytes: int =
 
 
 def with_identities(commits: DataFrame, mailmap: DataFrame) -> DataFrame:
-    """Commits under canonical names: ``mailmap(raw_email, name, email)``; an unknown author stays."""
-    known = mailmap.select(F.lower("raw_email").alias("__raw"), F.col("name").alias("__name"), F.col("email").alias("__email")).dropDuplicates(["__raw"])
-    return commits.join(known, F.lower("author_email") == F.col("__raw"), "left").select(
+    """Commits under canonical names: ``mailmap(raw_email, name, email)``, and maybe ``raw_name`` and ``line``; an unknown author stays.
+
+    An entry with a raw name holds for that name and address, any other for the
+    address; both without regard to case.  Of several entries of one key the last
+    line's name and address stand (without ``line``, the greatest).  Names come
+    trimmed, ``Unknown`` where empty, addresses in lower case.
+    """
+    columns = mailmap.columns
+    raw_name = F.lower(F.trim("raw_name")) if "raw_name" in columns else F.lit(None).cast("string")
+    line = F.col("line") if "line" in columns else F.lit(0)
+    rows = mailmap.select(F.lower(F.trim("raw_email")).alias("__email"), F.nullif(raw_name, F.lit("")).alias("__name"), "name", "email", line.alias("__line"))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("__line", c))).alias(c)
+    known = rows.groupBy("__email", "__name").agg(last("name"), last("email"))
+    exact = known.filter("__name is not null").select(F.col("__email").alias("__e1"), F.col("__name").alias("__n1"), F.col("name").alias("__name1"), F.col("email").alias("__email1"), F.lit(True).alias("__hit"))
+    plain = known.filter("__name is null").select(F.col("__email").alias("__e2"), F.col("name").alias("__name2"), F.col("email").alias("__email2"))
+    at_email, at_name = F.lower(F.trim("author_email")), F.lower(F.trim("author_name"))
+    met = commits.join(exact, (at_email == F.col("__e1")) & (at_name == F.col("__n1")), "left").join(plain, at_email == F.col("__e2"), "left")
+    name = F.trim(F.coalesce(F.when(F.col("__hit"), F.col("__name1")).otherwise(F.col("__name2")), "author_name"))
+    email = F.coalesce(F.when(F.col("__hit"), F.col("__email1")).otherwise(F.col("__email2")), "author_email")
+    return met.select(
         *(c for c in commits.columns if c not in ("author_name", "author_email")),
-        F.coalesce("__name", "author_name").alias("author_name"),
-        F.coalesce("__email", "author_email").alias("author_email"),
+        F.when(F.coalesce(name, F.lit("")) == "", "Unknown").otherwise(name).alias("author_name"),
+        F.lower(F.trim(email)).alias("author_email"),
         F.col("author_name").alias("raw_name"),
         F.col("author_email").alias("raw_email"),
     )

@@ -14,7 +14,8 @@ from marlstone.functions.text import stable_id, token_estimate
 from marlstone.operators import budget, changes, edges, graph, history, search, topology
 
 SCHEMA_VERSION = 1
-PURPOSES = ["orientation", "entry_point", "central", "history", "tests"]
+#: Purposes of a reading plan in their order (fixed values).
+PURPOSES = ["start_here", "architecture", "runtime", "tests", "supporting_context"]
 
 
 @dataclass(frozen=True)
@@ -107,11 +108,11 @@ def reading_candidates(f: Facts, ranks: DataFrame | None = None) -> DataFrame:
     ranks = f.ranking() if ranks is None else ranks
     marks = topology.landmarks(f.files)
     parts = [
-        marks.select(F.lit("orientation").alias("purpose"), "path", (F.col("priority") * 1_000_000).cast("long").alias("score"), F.concat(F.lit("landmark:"), "kind").alias("evidence")),
-        f.files.filter(snippet_role(F.col("path")) == "entry_point").select(F.lit("entry_point").alias("purpose"), "path", F.lit(1_000_000).cast("long").alias("score"), F.lit("entry_point_name").alias("evidence")),
-        ranks.filter("score > 0").select(F.lit("central").alias("purpose"), "path", "score", F.lit("graph_centrality").alias("evidence")),
-        edges.reference_counts(f.edges).groupBy(F.col("target").alias("path")).agg((F.sum("references") * 100).cast("long").alias("score")).select(F.lit("central").alias("purpose"), "path", "score", F.lit("referenced_definitions").alias("evidence")),
-        f.churn().join(f.files.select("path"), "path", "left_semi").select(F.lit("history").alias("purpose"), "path", (F.least("commits", F.lit(20)) * 25_000).cast("long").alias("score"), F.lit("recent_changes").alias("evidence")),
+        marks.select(F.lit("start_here").alias("purpose"), "path", (F.col("priority") * 1_000_000).cast("long").alias("score"), F.concat(F.lit("landmark:"), "kind").alias("evidence")),
+        f.files.filter(snippet_role(F.col("path")) == "entry_point").select(F.lit("runtime").alias("purpose"), "path", F.lit(1_000_000).cast("long").alias("score"), F.lit("entry_point_name").alias("evidence")),
+        ranks.filter("score > 0").select(F.lit("architecture").alias("purpose"), "path", "score", F.lit("graph_centrality").alias("evidence")),
+        edges.reference_counts(f.edges).groupBy(F.col("target").alias("path")).agg((F.sum("references") * 100).cast("long").alias("score")).select(F.lit("architecture").alias("purpose"), "path", "score", F.lit("referenced_definitions").alias("evidence")),
+        f.churn().join(f.files.select("path"), "path", "left_semi").select(F.lit("supporting_context").alias("purpose"), "path", (F.least("commits", F.lit(20)) * 25_000).cast("long").alias("score"), F.lit("recent_changes").alias("evidence")),
         f.files.filter(is_test_path(F.col("path"))).select(F.lit("tests").alias("purpose"), "path", F.lit(500_000).cast("long").alias("score"), F.lit("test_path").alias("evidence")),
     ]
     every = parts[0]
@@ -241,8 +242,8 @@ def doctor(spark: SparkSession) -> list[dict]:
     ]
 
 
-#: What a host's events ask for.
-LIFECYCLE = {"session_start": "orient", "prompt_submit": "context", "before_edit": "impact", "after_edit": "impact", "before_compact": "context", "session_end": "review"}
+#: What a host's events ask for (fixed values).
+LIFECYCLE = {"repository_open": "orient", "session_start": "orient", "task_change": "context", "before_edit": "context", "after_edit": "context", "before_review": "impact"}
 
 
 def dispatch(event: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.paths import ancestors, in_scope, is_test_path
-from marlstone.functions.text import ascii_lower, folded, path_score, text_score
+from marlstone.functions.text import MODE_CONFIDENCE, ascii_lower, folded, path_score, text_score
 
 CONTENT_SCORE, KIND_SCORE = 700_000_000, 800_000_000
 OMISSION_SCORE, CHANGED_SCORE = 500_000_000, 1_000_000_000
@@ -19,7 +19,7 @@ CONFIDENCE_ORDER = {"high": 0, "medium": 1, "low": 2}
 
 @dataclass(frozen=True)
 class Filters:
-    """What a query asks for; a part left out doesn't constrain."""
+    """What a query asks for; a part left out doesn't constrain.  ``modes`` names parts matched another way than ``mode``."""
 
     text: str | None = None
     symbol: str | None = None
@@ -33,6 +33,10 @@ class Filters:
     changed: str | None = None
     scope: str = "."
     extra: list[Column] = field(default_factory=list)
+    modes: dict[str, str] = field(default_factory=dict)
+
+    def mode_of(self, part: str) -> str:
+        return self.modes.get(part, self.mode)
 
 
 def content_score(text: Column, query: str, mode: str = "substring") -> Column:
@@ -46,11 +50,11 @@ def content_score(text: Column, query: str, mode: str = "substring") -> Column:
 def file_predicates(f: Filters) -> list[Column]:
     out = [in_scope(F.col("path"), f.scope), *f.extra]
     if f.path is not None:
-        out.append(path_score(F.col("path"), f.path, f.mode).isNotNull())
+        out.append(path_score(F.col("path"), f.path, f.mode_of("path")).isNotNull())
     if f.language is not None:
         out.append(F.col("language") == f.language)
     if f.project is not None:
-        out.append(path_score(F.coalesce("project_root", F.lit(".")), f.project, f.mode).isNotNull())
+        out.append(path_score(F.coalesce("project_root", F.lit(".")), f.project, f.mode_of("project")).isNotNull())
     if f.tests != "any":
         out.append(is_test_path(F.col("path")) if f.tests == "only" else ~is_test_path(F.col("path")))
     return out
@@ -73,72 +77,126 @@ def result_order() -> list[Column]:
     return [F.desc("score"), confidence_order(F.col("confidence")).desc(), F.asc("path"), F.asc("target"), F.asc_nulls_first("name"), F.asc("line"), F.asc("column")]
 
 
-def query(files: DataFrame, symbols: DataFrame, f: Filters, changed: DataFrame | None = None, ranking: DataFrame | None = None) -> DataFrame:
-    """All candidates as ``(target, path, name, line, column, score, confidence)``.
+def active_changes(files: DataFrame, changed: DataFrame | None) -> DataFrame:
+    """``(path)`` of the changes that a query speaks of: those given, with the paths they had before, else modified and untracked files."""
+    if changed is None:
+        return files.filter(F.col("worktree_state").isin("modified", "untracked")).select("path")
+    now = changed.select("path")
+    return now.unionByName(changed.select(F.col("previous_path").alias("path")).filter("path is not null")) if "previous_path" in changed.columns else now
+
+
+def ambiguous_paths(edges: DataFrame) -> DataFrame:
+    """``(path)`` of both ends of the ambiguous ones of ``edges(source, target, ambiguous)``."""
+    some = edges.filter("ambiguous")
+    return some.select(F.explode(F.array("source", "target")).alias("path")).distinct()
+
+
+RESULT = "target", "path", "name", "line", "column", "score", "confidence", "ambiguous", "partial"
+
+
+def _nowhere() -> list[Column]:
+    return [F.lit(None).cast("string").alias("name"), F.lit(0).alias("line"), F.lit(0).alias("column")]
+
+
+def _settled(confidence: Column) -> Column:
+    """The confidence of a row whose source is partial or ambiguous: weak evidence is lifted to medium, strong evidence stays."""
+    return F.when((F.col("ambiguous") | F.col("partial")) & (confidence == "low"), "medium").otherwise(confidence)
+
+
+def query(files: DataFrame, symbols: DataFrame, f: Filters, changed: DataFrame | None = None, ranking: DataFrame | None = None, ambiguous: DataFrame | None = None) -> DataFrame:
+    """All candidates as ``RESULT``.
 
     Symbols match by name, else by context, and, where only symbols are asked
     for, by path; a file row comes where no symbol of the file matched and its
     path or content did.  Without text or symbol constraints there is one row a
-    file.  ``ranking(path, score)`` adds a thousandth of a file's rank.
+    file.  Scores add up: a thousandth of ``ranking(path, score)``; for a symbol
+    the match of its name, ``KIND_SCORE`` where a kind is asked for, and the match
+    of the text; for a file those of path filter, text in the path, and content.
+    A symbol row is as sure as the surer of its name and text matches, a file row
+    is high.  ``ambiguous(path)`` marks files with ambiguous edges.
     """
     some = files.filter(reduce(lambda a, b: a & b, file_predicates(f)))
-    if f.changed is not None and changed is not None:
-        hit = changed.filter(path_score(F.col("path"), f.changed, f.mode).isNotNull())
-        some = related_paths(some, hit)
+    if f.changed is not None:
+        hit = active_changes(files, changed).filter(path_score(F.col("path"), f.changed, f.mode_of("changed")).isNotNull())
+        some = some.join(related_paths(files.select("path"), hit), "path", "left_semi")
     rank = F.lit(0).cast("long")
     if ranking is not None:
         some = some.join(ranking.select("path", F.expr("score div 1000").alias("__rank")), "path", "left")
         rank = F.coalesce("__rank", F.lit(0)).cast("long")
+    some = some.join(ambiguous.select("path", F.lit(True).alias("__many")).distinct(), "path", "left") if ambiguous is not None else some.withColumn("__many", F.lit(False))
+    base = some.withColumn("__base", rank).withColumn("ambiguous", F.coalesce("__many", F.lit(False))).withColumn("partial", F.col("status") == "partial" if "status" in files.columns else F.lit(False))
     only_symbols = any(x is not None for x in (f.symbol, f.kind, f.role))
-    base = some.withColumn("__base", rank)
+    zero = F.lit(0).cast("long")
+    by_path = F.coalesce(path_score(F.col("path"), f.path, f.mode_of("path")), zero) if f.path is not None else zero
     if f.text is None and not only_symbols:
-        score = path_score(F.col("path"), f.path, f.mode) if f.path is not None else F.lit(0).cast("long")
-        return base.select(
-            F.lit("file").alias("target"), "path", F.lit(None).cast("string").alias("name"), F.lit(0).alias("line"), F.lit(0).alias("column"),
-            (score + F.col("__base")).alias("score"), F.lit("medium" if f.path is None or f.mode == "substring" else "high").alias("confidence"),
-        )
-    own = symbols.join(base.select("path", "__base"), "path")
-    tests, scores = [], []
+        return base.select(F.lit("file").alias("target"), "path", *_nowhere(), (F.col("__base") + by_path).alias("score"), F.lit("high").alias("confidence"), "ambiguous", "partial")
+    own = symbols.join(base.select("path", "__base", "ambiguous", "partial"), "path")
+    tests, score, sure = [], F.col("__base"), [] if f.symbol is not None else ["high"]
     if f.symbol is not None:
-        tests.append(text_score(F.col("name"), f.symbol, f.mode).isNotNull())
-        scores.append(text_score(F.col("name"), f.symbol, f.mode))
+        match = text_score(F.col("name"), f.symbol, f.mode_of("symbol"))
+        tests.append(match.isNotNull())
+        score += match
+        sure.append(MODE_CONFIDENCE[f.mode_of("symbol")])
     if f.kind is not None:
         tests.append(F.col("kind") == f.kind)
-        scores.append(F.lit(KIND_SCORE).cast("long"))
+        score += KIND_SCORE
     if f.role is not None:
         tests.append(F.col("role") == f.role)
     if f.text is not None:
-        text = [text_score(F.col("name"), f.text, f.mode), text_score(F.col("context"), f.text, f.mode)]
-        if only_symbols:
-            text.append(text_score(F.col("path"), f.text, f.mode))
-        tests.append(F.coalesce(*text).isNotNull())
-        scores.append(F.coalesce(*text))
-    score = F.greatest(F.lit(0).cast("long"), F.lit(0).cast("long"), *scores)
+        tried = [F.col("name"), F.col("context"), *([F.col("path")] if only_symbols else [])]
+        match = F.coalesce(*(text_score(c, f.text, f.mode_of("text")) for c in tried))
+        tests.append(match.isNotNull())
+        score += match
+    sure.append(MODE_CONFIDENCE[f.mode_of("text")] if f.text is not None else "high")
+    strongest = min(sure, key=CONFIDENCE_ORDER.get)
     hits = own.filter(reduce(lambda a, b: a & b, tests)).select(
-        F.lit("symbol").alias("target"), "path", "name", "line", "column", (score + F.col("__base")).alias("score"),
-        F.when(score >= 3_000_000_000, "high").otherwise("medium").alias("confidence"),
+        F.lit("symbol").alias("target"), "path", "name", "line", "column", score.cast("long").alias("score"), F.lit(strongest).alias("confidence"), "ambiguous", "partial"
     )
     if f.text is None or only_symbols:
         return hits
     left = base.join(hits.select("path").distinct(), "path", "left_anti")
-    by_path, by_text = text_score(F.col("path"), f.text, f.mode), content_score(F.col("text"), f.text, f.mode)
-    whole = F.coalesce(by_path, by_text)
-    file_rows = left.filter(whole.isNotNull()).select(
-        F.lit("file").alias("target"), "path", F.lit(None).cast("string").alias("name"), F.lit(0).alias("line"), F.lit(0).alias("column"),
-        (whole + F.col("__base")).alias("score"), F.when(by_path >= 3_000_000_000, "high").otherwise("medium").alias("confidence"),
-    )
-    return hits.unionByName(file_rows)
+    in_path, in_text = text_score(F.col("path"), f.text, f.mode_of("text")), content_score(F.col("text"), f.text, f.mode_of("text"))
+    found = left.withColumn("__path", in_path).withColumn("__text", in_text).filter("__path is not null or __text is not null")
+    whole = F.col("__base") + by_path + F.coalesce("__path", zero) + F.coalesce("__text", zero)
+    return hits.unionByName(found.select(F.lit("file").alias("target"), "path", *_nowhere(), whole.alias("score"), F.lit("high").alias("confidence"), "ambiguous", "partial"))
+
 
+def _test_predicate(f: Filters) -> Column:
+    return F.lit(True) if f.tests == "any" else is_test_path(F.col("path")) if f.tests == "only" else ~is_test_path(F.col("path"))
 
-def with_omissions(candidates: DataFrame, omissions: DataFrame, sources: DataFrame, changed: DataFrame | None = None) -> DataFrame:
-    """Candidates with a row for each omitted path that is no source, and for each changed path that is none."""
 
-    def rows(paths: DataFrame, target: str, score: int) -> DataFrame:
-        left = paths.select("path").distinct().join(sources.select("path"), "path", "left_anti")
-        return left.select(F.lit(target).alias("target"), "path", F.lit(None).cast("string").alias("name"), F.lit(0).alias("line"), F.lit(0).alias("column"), F.lit(score).cast("long").alias("score"), F.lit("low").alias("confidence"))
+def with_omissions(candidates: DataFrame, f: Filters, omissions: DataFrame, files: DataFrame, changed: DataFrame | None = None, ambiguous: DataFrame | None = None) -> DataFrame:
+    """Candidates with a row for each omitted path that the query speaks of and that is no source, and for each changed path that is none.
 
-    out = candidates.unionByName(rows(omissions, "omission", OMISSION_SCORE))
-    return out if changed is None else out.unionByName(rows(changed, "changed", CHANGED_SCORE))
+    An omission counts where the path filter, the text, the changed-path filter or
+    the project filter meets ``omissions(path, project_root)``; a changed path only
+    where a changed-path filter meets it.  Such rows are partial and of medium confidence.
+    """
+    known = files.select("path")
+    meets = []
+    if f.path is not None:
+        meets.append(path_score(F.col("path"), f.path, f.mode_of("path")).isNotNull())
+    if f.text is not None:
+        meets.append(text_score(F.col("path"), f.text, f.mode_of("text")).isNotNull())
+    if f.project is not None:
+        meets.append(path_score(F.coalesce("project_root", F.lit(".")), f.project, f.mode_of("project")).isNotNull())
+    left = omissions.filter(_test_predicate(f)).join(known, "path", "left_anti")
+    hit = left.filter(reduce(lambda a, b: a | b, meets)) if meets else left.limit(0)
+    missing = None
+    if f.changed is not None:
+        active = active_changes(files, changed).filter(path_score(F.col("path"), f.changed, f.mode_of("changed")).isNotNull()).distinct()
+        hit = hit.unionByName(left.join(related_paths(left.select("path"), active), "path", "left_semi"))
+        missing = active.filter(_test_predicate(f)).join(known, "path", "left_anti")
+    many = ambiguous.select("path", F.lit(True).alias("__many")).distinct() if ambiguous is not None else None
+
+    def rows(paths: DataFrame, score: int) -> DataFrame:
+        paths = paths.join(many, "path", "left") if many is not None else paths.withColumn("__many", F.lit(False))
+        flagged = paths.withColumn("ambiguous", F.coalesce("__many", F.lit(False))).withColumn("partial", F.lit(True))
+        return flagged.select(F.lit("file").alias("target"), "path", *_nowhere(), F.lit(score).cast("long").alias("score"), _settled(F.lit("low")).alias("confidence"), "ambiguous", "partial")
+
+    # An omission is a row of its own; one met in several ways is one row.
+    out = candidates.unionByName(rows(hit.distinct(), OMISSION_SCORE))
+    return out if missing is None else out.unionByName(rows(missing, CHANGED_SCORE))
 
 
 def search_request(text: str | None, symbol: str | None, limit: int = 5) -> tuple[Filters, int]:

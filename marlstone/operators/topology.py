@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.paths import ancestors, ascii_lower, basename, in_scope, is_manifest, landmark_kinds, landmark_priority, manifest_family, parent, path_classes
+from marlstone.functions.paths import ancestors, ascii_lower, basename, excluded, generated_header, in_scope, is_manifest, landmark_kinds, landmark_priority, looks_minified, manifest_family, parent, path_classes
+from marlstone.functions.text import query_path
+from marlstone.operators.budget import taken_while_fitting
 
 #: States of a file from the mildest to the worst.
 STATES = ["tracked", "untracked", "modified"]
@@ -74,24 +76,68 @@ def classification_summary(files: DataFrame, samples: int = 64) -> DataFrame:
     return rows.groupBy("kind").agg(F.count("*").alias("paths")).join(some, "kind")
 
 
-def primary_languages(files: DataFrame, most: int = 3) -> DataFrame:
-    """Languages with a third of the files of the largest, at most three."""
-    counts = files.filter("language is not null").groupBy("language").agg(F.count("*").alias("files"))
+def focus_covers(path: Column, focus_paths: list[str]) -> Column:
+    """Whether a path is one of some focus paths or lies in one."""
+    out = F.lit(False)
+    for p in focus_paths:
+        p = query_path(p)
+        if p:
+            out = out | (path == p) | path.startswith(p + "/")
+    return out
+
+
+def file_classes(path: Column, text: Column | None = None) -> Column:
+    """``(kind, reason)`` of a file by its path and, where it is given, its text."""
+    classes = path_classes(path)
+    if text is None:
+        return classes
+    one = lambda kind, reason: F.struct(F.lit(kind).alias("kind"), F.lit(reason).alias("reason"))
+    read = F.array_compact(F.array(F.when(generated_header(text), one("generated", "generated_header_marker")), F.when(looks_minified(path, text), one("minified", "bounded_minification_heuristic"))))
+    return F.array_sort(F.array_distinct(F.concat(classes, read)))
+
+
+def primary_languages(files: DataFrame, most: int = 3, classified: Column | None = None) -> DataFrame:
+    """Languages with a third of the files of the largest, at most three; classified files (by their path, if not told) don't count."""
+    classed = F.size(path_classes(F.col("path"))) > 0 if classified is None else classified
+    counts = files.filter(F.col("language").isNotNull() & ~classed).groupBy("language").agg(F.count("*").alias("files"))
     top = counts.agg(F.max("files").alias("top"))  # one row
     return counts.filter(F.col("files") * 3 >= top.scalar()).orderBy(F.desc("files"), "language").limit(most)
 
 
-def omission_reason(path, size, text, symlink, language, max_bytes: int = 1 << 20):
-    """Why a file is no source: the first reason that holds, else null."""
+#: Extensions and names of source files that no parser here reads (fixed values).
+SOURCE_LIKE = [
+    "c", "cc", "cpp", "cxx", "h", "hh", "hpp", "hxx", "go", "fs", "fsi", "fsx", "ex", "exs", "erl", "hrl", "lua", "php", "swift", "kt", "kts", "scala", "sh", "bash", "zsh", "nu", "zig", "vue", "svelte", "dart", "html", "htm", "css", "scss",
+    "sass", "less", "sql",
+]
+SOURCE_NAMES = ["Dockerfile", "Justfile", "Makefile", "Rakefile"]
+
+
+def omission_reason(path: Column, size: Column, text: Column, symlink: Column, language: Column, max_bytes: int = 1 << 20, exclude: list[str] = (), focus_paths: list[str] = ()) -> Column:
+    """Why a file is no source, else null: the first that holds of excluded, symlink, classified by path, no known language, too large, binary, classified by text.
+
+    A file that a focus path covers is never left out for its class.
+    """
+    shown = focus_covers(path, list(focus_paths))
+    extension = ascii_lower(F.regexp_extract(basename(path), r".\.([^.]+)$", 1))
     return (
-        F.when(symlink, "symlink")
-        .when(F.size(path_classes(path)) > 0, "classified")
+        F.when(excluded(path, list(exclude)), "explicit_exclusion")
+        .when(symlink, "symlink")
+        .when((F.size(path_classes(path)) > 0) & ~shown, "classified")
+        .when(language.isNull() & (extension.isin(SOURCE_LIKE) | basename(path).isin(SOURCE_NAMES)), "unsupported_language")
+        .when(language.isNull(), "non_source")
         .when(size > max_bytes, "oversized")
-        .when(text.contains("\0"), "binary")
-        .when(language.isNull(), "unsupported")
+        .when(text.isNull() | text.contains("\0"), "binary")
+        .when((F.size(file_classes(path, text)) > 0) & ~shown, "classified")
     )
 
 
+def within_bytes(files: DataFrame, max_total: int) -> tuple[DataFrame, DataFrame]:
+    """Files in order of path while their ``size`` fits a running budget of bytes, passing over those that don't, and the paths passed over."""
+    taken = taken_while_fitting(files, [F.asc("path")], "size", max_total)
+    left = files.join(taken.select("path"), "path", "left_anti")
+    return taken, left.select("path", F.lit("oversized").alias("reason"))
+
+
 def merge_candidates(tracked: DataFrame, index: DataFrame, worktree: DataFrame) -> DataFrame:
     """All paths of the three listings, once each, with the state they have together."""
     rows = tracked.select("path", F.lit("t").alias("s")).unionByName(index.select("path", F.lit("i").alias("s"))).unionByName(worktree.select("path", F.lit("w").alias("s")))

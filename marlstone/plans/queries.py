@@ -60,46 +60,117 @@ CHURN = COMMITS + f""", churn AS (
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _search_sql(text: str, modes: str, content: bool) -> str:
-    name = LOWER.format("name")
-    grade = f"CASE WHEN {{0}} = '{text}' THEN 4000000000 WHEN starts_with({{0}}, '{text}') THEN 3000000000 WHEN contains({{0}}, '{text}') THEN 2000000000 END"
-    hit = {"exact": f"{{0}} = '{text}'", "prefix": f"starts_with({{0}}, '{text}')", "substring": f"contains({{0}}, '{text}')"}[modes]
-    path, body = LOWER.format("f.path"), LOWER.format("f.text")
-    by_text = f"WHEN contains({body}, '{text}') THEN 700000000" if content else ""
+SCORES = {"exact": 4_000_000_000, "prefix": 3_000_000_000, "substring": 2_000_000_000}
+
+
+def _match_sql(value: str, text: str, mode: str) -> str:
+    return {"exact": f"{value} = '{text}'", "prefix": f"starts_with({value}, '{text}')", "substring": f"contains({value}, '{text}')"}[mode]
+
+
+def _search_sql(text: str, mode: str) -> str:
+    """A text query, from what it means: one score a mode; symbols first; a file by its path and, for substrings, by its content, which add up."""
+    content = f"CASE WHEN {_match_sql(LOWER.format('text'), text, mode)} THEN 700000000 ELSE 0 END" if mode == "substring" else "0"
     return f"""WITH {SYMBOLS}, hits AS (
-  SELECT 'symbol' AS target, path, name, CAST(line AS INT) AS line, CAST("column" AS INT) AS "column", {grade.format(name)} AS score FROM symbols WHERE {hit.format(name)}
+  SELECT 'symbol' AS target, path, name, CAST(line AS INT) AS line, CAST("column" AS INT) AS "column", {SCORES[mode]} AS score FROM symbols WHERE {_match_sql(LOWER.format('name'), text, mode)}
 ), file_hits AS (
-  SELECT 'file' AS target, f.path, NULL AS name, 0 AS line, 0 AS "column", CASE WHEN {hit.format(path)} THEN {grade.format(path)} {by_text} END AS score
-  FROM files f WHERE f.path NOT IN (SELECT path FROM hits)
-), found AS (SELECT * FROM hits UNION ALL SELECT * FROM file_hits WHERE score IS NOT NULL)
-SELECT target, path, name, line, "column", CAST(score AS BIGINT) AS score, CASE WHEN score >= 3000000000 THEN 'high' ELSE 'medium' END AS confidence FROM found"""
+  SELECT 'file' AS target, path, NULL AS name, 0 AS line, 0 AS "column", CASE WHEN {_match_sql(LOWER.format('path'), text, mode)} THEN {SCORES[mode]} ELSE 0 END + {content} AS score
+  FROM files WHERE path NOT IN (SELECT path FROM hits)
+), found AS (SELECT * FROM hits UNION ALL SELECT * FROM file_hits WHERE score > 0)
+SELECT target, path, name, line, "column", CAST(score AS BIGINT) AS score, 'high' AS confidence, false AS ambiguous, status = 'partial' AS partial FROM found JOIN files USING (path)"""
 
 
 def _searched(spark: SparkSession, sf_dir: str, **what) -> DataFrame:
     return search.query(T.files(spark, sf_dir), T.symbols(spark, sf_dir), search.Filters(**what))
 
 
-@query(_search_sql("thatin", "substring", True))
+@query(_search_sql("thatin", "substring"))
 def search_substring(spark, sf_dir):
     return _searched(spark, sf_dir, text="thatin")
 
 
-@query(_search_sql("thing", "prefix", False))
+@query(_search_sql("thing", "prefix"))
 def search_prefix(spark, sf_dir):
     return _searched(spark, sf_dir, text="Thing", mode="prefix")
 
 
-@query(_search_sql("orantion", "exact", False))
+@query(_search_sql("orantion", "exact"))
 def search_exact(spark, sf_dir):
     return _searched(spark, sf_dir, text="Orantion", mode="exact")
 
 
-@query(_search_sql("thatin", "substring", True) + """ ORDER BY score DESC, confidence DESC, path, target, name NULLS FIRST, line, "column" LIMIT 20 OFFSET 5""")
+@query(_search_sql("doc_1", "substring"))
+def search_path_and_content(spark, sf_dir):
+    """No token holds the text, so files answer: by path, content, or both."""
+    return _searched(spark, sf_dir, text="doc_1")
+
+
+@query(_search_sql("thatin", "substring") + """ ORDER BY score DESC, confidence DESC, path, target, name NULLS FIRST, line, "column" LIMIT 20 OFFSET 5""")
 def search_page(spark, sf_dir):
     """A page of results in their order; each score has one confidence here."""
     return budget.page(_searched(spark, sf_dir, text="thatin"), search.result_order(), offset=5, limit=20)
 
 
+def _symbol_search_sql(where: str, score: int, confidence: str) -> str:
+    return f"""WITH {SYMBOLS} SELECT 'symbol' AS target, path, name, CAST(line AS INT) AS line, CAST("column" AS INT) AS "column", CAST({score} AS BIGINT) AS score, '{confidence}' AS confidence, false AS ambiguous, status = 'partial' AS partial
+FROM symbols JOIN files USING (path) WHERE {where}"""
+
+
+@query(_symbol_search_sql(f"contains({LOWER.format('name')}, 'thatin')", 2_800_000_000, "high"))
+def search_symbol_kind(spark, sf_dir):
+    """A kind adds to the match of the name; beside a name without a text the surer part is high."""
+    return _searched(spark, sf_dir, symbol="thatIN", kind="function")
+
+
+@query(_symbol_search_sql(f"contains({LOWER.format('name')}, 'thatin') AND role = 'reference' AND (contains({LOWER.format('name')}, 'ion') OR contains({LOWER.format('path')}, 'ion'))", 4_000_000_000, "medium"))
+def search_symbol_and_text(spark, sf_dir):
+    """Name and text both match by substring: their scores add up, and neither is sure."""
+    return _searched(spark, sf_dir, symbol="thatin", role="reference", text="ion")
+
+
+@query(_symbol_search_sql(f"{LOWER.format('name')} = 'thing'", 4_800_000_000, "high"))
+def search_symbol_exact(spark, sf_dir):
+    return _searched(spark, sf_dir, symbol="thing", kind="function", mode="exact")
+
+
+@query(f"""WITH {FILES} SELECT 'file' AS target, path, CAST(NULL AS VARCHAR) AS name, 0 AS line, 0 AS "column", CAST(2000000000 + n_chars * 7001 // 1000 AS BIGINT) AS score, 'high' AS confidence, doc_id % 11 = 0 AS ambiguous, status = 'partial' AS partial
+FROM files WHERE contains(path, 'src1/en')""")
+def search_paths_ranked(spark, sf_dir):
+    """Files by a path filter: its match and a thousandth of their rank; partial and ambiguous ones stay high."""
+    f = T.files(spark, sf_dir)
+    return search.query(f, T.symbols(spark, sf_dir), search.Filters(path="./src1\\en"), ranking=f.select("path", (F.col("n_chars") * 7001).alias("score")), ambiguous=f.filter("doc_id % 11 = 0"))
+
+
+@query(f"""WITH {FILES} SELECT 'file' AS target, path, CAST(NULL AS VARCHAR) AS name, 0 AS line, 0 AS "column", CAST(0 AS BIGINT) AS score, 'high' AS confidence, false AS ambiguous, status = 'partial' AS partial
+FROM files WHERE project_root = 'src2' AND language = 'de' AND NOT contains(path, '/tests/') AND (path = 'src2/de' OR starts_with(path, 'src2/de/'))""")
+def search_filters(spark, sf_dir):
+    return _searched(spark, sf_dir, project="src2", language="de", tests="exclude", scope="src2/de", mode="exact")
+
+
+CHANGED = """changed AS (SELECT path FROM files WHERE doc_id % 97 = 3 UNION ALL SELECT 'src1/en/gone_' || doc_id FROM files WHERE doc_id % 301 = 5 UNION ALL SELECT 'src2/fr')"""
+
+
+@query(f"""WITH {FILES}, {CHANGED}, hit AS (SELECT DISTINCT path FROM changed WHERE starts_with(path, 'src'))
+SELECT 'file' AS target, path, CAST(NULL AS VARCHAR) AS name, 0 AS line, 0 AS "column", CAST(0 AS BIGINT) AS score, 'high' AS confidence, false AS ambiguous, status = 'partial' AS partial
+FROM files WHERE path IN (SELECT path FROM hit) OR starts_with(path, 'src2/fr/')
+UNION ALL SELECT 'file', path, NULL, 0, 0, 1000000000, 'medium', false, true FROM hit WHERE path NOT IN (SELECT path FROM files)
+UNION ALL SELECT 'file', 'src2/fr/left_out.c', NULL, 0, 0, 500000000, 'medium', false, true""")
+def search_changed(spark, sf_dir):
+    """Files related to changed paths, changed paths that are no source, and omitted paths related to them."""
+    f = T.files(spark, sf_dir)
+    gone = f.filter("doc_id % 301 = 5").select(F.concat(F.lit("src1/en/gone_"), "doc_id").alias("path"))
+    changed = f.filter("doc_id % 97 = 3").select("path").unionByName(gone).unionByName(spark.createDataFrame([("src2/fr",)], "path string"))
+    omitted = spark.createDataFrame([("src2/fr/left_out.c", "src2"), ("elsewhere/x.c", ".")], "path string, project_root string")
+    what = search.Filters(changed="src", mode="prefix")
+    return search.with_omissions(search.query(f, T.symbols(spark, sf_dir), what, changed), what, omitted, f, changed)
+
+
+@query(f"""WITH {FILES} SELECT 'file' AS target, path, CAST(NULL AS VARCHAR) AS name, 0 AS line, 0 AS "column", CAST(0 AS BIGINT) AS score, 'high' AS confidence, false AS ambiguous, status = 'partial' AS partial
+FROM files WHERE worktree_state IN ('modified', 'untracked') AND contains(path, '/es/')""")
+def search_dirty(spark, sf_dir):
+    """Without given changes, modified and untracked files are the changed ones."""
+    return _searched(spark, sf_dir, changed="/es/")
+
+
 @query(f"""WITH {FILES}, ranked AS (
   SELECT path, length(text) AS chars, row_number() OVER (ORDER BY path) AS rn, sum(length(text)) OVER (ORDER BY path ROWS UNBOUNDED PRECEDING) AS total FROM files
 ) SELECT path, CAST(ceil((2 + total + rn - 1) / 4.0) AS BIGINT) AS cost FROM ranked WHERE rn <= 256 AND ceil((2 + total + rn - 1) / 4.0) <= 20000""")
@@ -108,7 +179,7 @@ def budget_prefix(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {FILES}, first AS (
-  SELECT path, CAST(greatest(1, ceil(length(text) / 4.0)) AS BIGINT) AS cost, row_number() OVER (ORDER BY path) AS rn FROM files QUALIFY rn <= 256
+  SELECT path, CAST(greatest(1, ceil(length(text) / 4.0)) AS BIGINT) AS cost, row_number() OVER (ORDER BY path) AS rn FROM files
 ), taken(rn, used, hit) AS (
   SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), false
   UNION ALL SELECT f.rn, CASE WHEN t.used + f.cost <= 10000 THEN t.used + f.cost ELSE t.used END, t.used + f.cost <= 10000 FROM taken t JOIN first f ON f.rn = t.rn + 1
@@ -282,16 +353,23 @@ TOKEN_EDGES = SYMBOLS + """, defs AS (SELECT DISTINCT language, name, path FROM
 ), edges AS (SELECT *, count(*) OVER (PARTITION BY source, ord) AS n_candidates FROM (SELECT * FROM own UNION ALL SELECT * FROM other))"""
 
 
-def _token_edges(spark, sf_dir):
+def _token_symbols(spark, sf_dir):
     """Every reference counts as the name's import, so that names resolve across files."""
     s = T.symbols(spark, sf_dir)
-    named = s.filter("role = 'reference'").select("path", "language", "name", "ord", "line", "column", F.lit("definition").alias("role"), F.lit("import_name").alias("kind"), F.lit("import").alias("evidence"), "context", "visibility", "modules")
-    imports = named.dropDuplicates(["path", "name"]).withColumn("ord", F.lit(-1).cast("long"))
-    both = s.unionByName(imports.withColumn("kind", F.lit("import")))
-    return edges.resolve(both).filter("ord >= 0")
+    imports = s.filter("role = 'reference'").dropDuplicates(["path", "name"]).withColumn("ord", F.lit(-1).cast("long")).withColumn("role", F.lit("definition")).withColumn("kind", F.lit("import")).withColumn("evidence", F.lit("import"))
+    return s.unionByName(imports)
+
+
+def _token_questions(symbols):
+    return edges.questions(symbols).filter("context is null")
+
+
+def _token_edges(spark, sf_dir):
+    s = _token_symbols(spark, sf_dir)
+    return edges.resolve(s, asked=_token_questions(s))
 
 
-@query(f"WITH {TOKEN_EDGES} SELECT source, ord, symbol, target, tier, n_candidates FROM edges")
+@query(f"WITH {TOKEN_EDGES} SELECT source, ord, symbol, target, tier, CAST(n_candidates AS INT) AS n_candidates FROM edges")
 def lexical_edges(spark, sf_dir):
     return _token_edges(spark, sf_dir).select("source", "ord", "symbol", "target", "tier", "n_candidates")
 
@@ -303,11 +381,12 @@ def edges_topk_candidates(spark, sf_dir):
 
 
 @query(f"""WITH {TOKEN_EDGES}, g AS (
-  SELECT source, symbol, CASE tier WHEN 0 THEN 'same_file' ELSE 'imported_name' END AS reason, count(DISTINCT target) AS candidates, string_agg(DISTINCT target, chr(0) ORDER BY target) AS paths
+  SELECT source, symbol, CASE tier WHEN 0 THEN 'same_file_explicit' ELSE 'imported_name' END AS reason, count(DISTINCT target) AS candidates, string_agg(DISTINCT target, chr(0) ORDER BY target) AS paths
   FROM edges WHERE n_candidates > 1 GROUP BY source, ord, symbol, tier)
 SELECT DISTINCT source || ':' || symbol || ':' || reason || ':' || sha256(paths) AS candidate_group, source, symbol, CAST(candidates AS INT) AS candidates FROM g""")
 def ambiguity_groups(spark, sf_dir):
-    return edges.ambiguity_findings(edges.describe(_token_edges(spark, sf_dir)))
+    s = _token_symbols(spark, sf_dir)
+    return edges.ambiguity_findings(edges.describe(edges.answers(_token_questions(s), s)))
 
 
 @query(f"WITH {TOKEN_EDGES} SELECT target, symbol, count(*) AS \"references\" FROM edges GROUP BY 1, 2")
@@ -484,9 +563,9 @@ def ranking_score(spark, sf_dir):
     return out.select("path", "centrality", "history", "focus", "score")
 
 
-@query(f"WITH {FILES}, c AS (SELECT language, count(*) AS files FROM files GROUP BY 1) SELECT language, files FROM c WHERE files * 3 >= (SELECT max(files) FROM c) ORDER BY files DESC, language LIMIT 3")
+@query(f"WITH {FILES}, p AS (SELECT language, {CLASSED} AS path FROM files), k AS (SELECT language FROM p WHERE NOT (list_has_any(string_split(lower(path), '/'), ['dist', 'vendor', 'node_modules', 'build']) OR ends_with(path, '.map') OR ends_with(path, '.min.js') OR ends_with(path, '_pb.go'))), c AS (SELECT language, count(*) AS files FROM k WHERE language IS NOT NULL GROUP BY 1) SELECT language, files FROM c WHERE files * 3 >= (SELECT max(files) FROM c) ORDER BY files DESC, language LIMIT 3")
 def primary_languages(spark, sf_dir):
-    return topology.primary_languages(T.files(spark, sf_dir))
+    return topology.primary_languages(T.files(spark, sf_dir).withColumn("path", F.expr(CLASSED)))
 
 
 @query(f"WITH {FILES} SELECT count(*) FILTER (worktree_state = 'tracked') AS tracked, count(*) FILTER (worktree_state = 'modified') AS modified, count(*) FILTER (worktree_state = 'untracked') AS untracked FROM files")
@@ -494,16 +573,31 @@ def inventory(spark, sf_dir):
     return topology.inventory(T.files(spark, sf_dir))
 
 
-@query(f"WITH {TOKEN_EDGES} SELECT source, ord, symbol, target FROM edges")
+LATE = TOKEN_EDGES + """, late AS (SELECT path FROM files WHERE doc_id % 100 = 7
+), names AS (SELECT DISTINCT language, name FROM defs WHERE path IN (SELECT path FROM late)
+), touched AS (SELECT e.* FROM edges e JOIN files f ON f.path = e.source WHERE e.source IN (SELECT path FROM late) OR (f.language, e.symbol) IN (SELECT (language, name) FROM names))"""
+
+
+def _updated(spark, sf_dir, old: bool):
+    """An update by the files that a hundredth of the ids name, which the old build lacks."""
+    s = _token_symbols(spark, sf_dir)
+    changed = T.files(spark, sf_dir).filter("doc_id % 100 = 7").select("path")
+    before = s.join(changed, "path", "left_anti")
+    build = edges.resolve(before) if old else spark.createDataFrame([], "source string, ord long, symbol string, target string, visibility string, tier int, n_candidates int")
+    return edges.update_edges(build, s, changed, before)
+
+
+@query(f"WITH {LATE} SELECT source, ord, symbol, target FROM touched")
 def incremental_edges(spark, sf_dir):
-    """Edges kept from a build without the last files, with those of the affected files made anew: equal to a cold build."""
-    s = T.symbols(spark, sf_dir)
-    imports = s.filter("role = 'reference'").dropDuplicates(["path", "name"]).withColumn("ord", F.lit(-1).cast("long")).withColumn("role", F.lit("definition")).withColumn("kind", F.lit("import")).withColumn("evidence", F.lit("import"))
-    both = s.unionByName(imports)
-    late = F.col("path").endswith("7")
-    old = edges.resolve(both.filter(~late))
-    changed = both.filter(late).select("path").distinct()
-    return edges.update_edges(old, both, edges.affected_files(both, changed)).filter("ord >= 0").select("source", "ord", "symbol", "target")
+    """What an update makes anew after a change of one file in a hundred; what it keeps is read from the old edges."""
+    return _updated(spark, sf_dir, False)[1].filter("ord >= 0").select("source", "ord", "symbol", "target")
+
+
+@query(f"WITH {TOKEN_EDGES} SELECT source, ord, symbol, target FROM edges")
+def incremental_merged(spark, sf_dir):
+    """Old edges that stay and those made anew: equal to a cold build."""
+    kept, fresh = _updated(spark, sf_dir, True)
+    return kept.unionByName(fresh).filter("ord >= 0").select("source", "ord", "symbol", "target")
 
 
 @query("""WITH x AS (SELECT DISTINCT l_orderkey, s_nationkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey), y AS (SELECT o_orderkey, c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey)

@@ -97,18 +97,137 @@ def test_edge_tiers(spark):
     )
     got = {(r["source"], r["target"], r["tier"]) for r in edges.resolve(s).filter("ord = 1").collect()}
     assert got == {("a.rs", "a.rs", 0), ("c.rs", "b.rs", 2), ("e.rs", "a.rs", 3), ("e.rs", "b.rs", 3), ("p/y.go", "p/x.go", 1)}
-    told = edges.describe(edges.resolve(s).filter("ord = 1"))
+    told = edges.describe(edges.answers(edges.questions(s), s))
     assert {r["confidence"] for r in told.filter("ambiguous").collect()} == {"medium"}
     assert edges.ambiguity_findings(told).first()["candidates"] == 2
+    assert told.filter("candidate_group is null").count() == 0 and told.filter("source = 'a.rs'").first()["resolution_reason"] == "same_file_explicit"
 
 
-def test_incremental_equals_cold(spark):
-    s = spark.createDataFrame([sym("a.rs", 0, "f", "definition", "syntax"), sym("b.rs", 0, "f", "definition", "import", "use a;", kind="import"), sym("b.rs", 1, "f"), sym("c.rs", 0, "g", "definition", "syntax"), sym("c.rs", 1, "g")], SYMBOL)
-    old = edges.resolve(s.filter("path <> 'a.rs'"))
-    hit = edges.affected_files(s, spark.createDataFrame([("a.rs",)], "path string"))
-    assert {r["path"] for r in hit.collect()} == {"a.rs", "b.rs"}
-    cold = edges.resolve(s)
-    assert sorted(map(tuple, edges.update_edges(old, s, hit).collect())) == sorted(map(tuple, cold.select(*old.columns).collect()))
+def test_imports_ask_for_other_names(spark):
+    make = lambda path, name, **k: sym(path, 0, name, "definition", "syntax", **k)
+    load = lambda path, name, context, language: sym(path, 5, name, "definition", "import", context, language=language, kind="import")
+    s = spark.createDataFrame(
+        [
+            make("src/util.ts", "parse", language="typescript"), make("src/other.ts", "parse", language="typescript"),
+            load("src/app.ts", "read", "import { parse as read } from './util'", "typescript"),
+            make("pkg/num.py", "num", language="python"), load("app.py", "n", "import num as n", "python"),
+            make("lib/net/http.lua", "http", language="lua"), load("main.lua", "client", 'local client = require("net.http")', "lua"),
+            make("x/thing.py", "thing", language="python"), load("lost.py", "thing", "from nowhere import thing", "python"),
+        ],
+        SYMBOL,
+    )
+    got = {(r["source"], r["symbol"], r["target"], r["tier"]) for r in edges.resolve(s).collect()}
+    assert got == {("src/app.ts", "read", "src/util.ts", 2), ("app.py", "n", "pkg/num.py", 3), ("main.lua", "client", "lib/net/http.lua", 2), ("lost.py", "thing", "x/thing.py", 3)}
+
+
+def random_symbols(spark, rng, n):
+    names, rows = [f"n{k}" for k in range(9)], []
+    for f in range(n):
+        path, lang = f"{rng.choice('abc')}/f{f}.{'go' if f % 4 == 0 else 'rs'}", "go" if f % 4 == 0 else "rust"
+        mods = [rng.choice("xy")] if lang == "go" else None
+        for k in range(rng.randrange(1, 8)):
+            what, name = rng.randrange(4), rng.choice(names)
+            if what == 0:
+                rows.append(sym(path, k, name, "definition", "syntax", language=lang, modules=mods))
+            elif what == 1:
+                line = rng.choice([f"use crate::f{rng.randrange(n)}::{name};", f"import {rng.choice(names)} as {name}", f"use {name}"])
+                rows.append(sym(path, k, name, "definition", "import", line, language=lang, kind="import", modules=mods))
+            else:
+                rows.append(sym(path, k, name, language=lang, modules=mods))
+    return spark.createDataFrame(rows, SYMBOL)
+
+
+def plain_edges(rows, most=32):
+    """Every reference by itself, one loop after another."""
+    import re
+
+    def norm(v):
+        v = re.sub(r"^(\./)+", "", v.strip("\"'`;,"))
+        for e in edges.HINT_ENDINGS:
+            while v.endswith(e):
+                v = v[: -len(e)]
+        return v.replace("::", "/").strip("/").lower()
+
+    def hints_of(line):
+        return sorted({h for h in (norm(p) for p in re.split(r"[\s;,()]+", line) if "::" in p or "/" in p) if h})
+
+    def matches(path, hints):
+        p = norm(path)
+        up = p.rpartition("/")[0]
+        for h in hints:
+            m = h.rpartition("/")[0] or h
+            for w in ("crate/", "self/", "super/"):
+                while m.startswith(w):
+                    m = m[len(w) :]
+            last = h.rpartition("/")[2]
+            if any(p == x or p.endswith("/" + x) for x in (h, m)) or up == last or up.endswith("/" + last):
+                return True
+        return False
+
+    defs, mods = {}, {}
+    for r in rows:
+        mods[r["path"]] = set(r["modules"] or [])
+        if r["role"] == "definition" and r["kind"] in edges.TARGET_KINDS:
+            defs.setdefault((r["language"], r["name"]), set()).add(r["path"])
+    imports = {}
+    for r in rows:
+        if r["evidence"] == "import":
+            imports.setdefault(r["path"], []).append((r["name"], hints_of(r["context"])))
+    out = set()
+    for r in rows:
+        if not (r["evidence"] == "import" or r["role"] == "reference"):
+            continue
+        every = defs.get((r["language"], r["name"]), set())
+        if r["evidence"] == "import":
+            own, words = hints_of(r["context"]), re.findall(r"\w+", r["context"])
+            names = {r["name"], *(a for a, b in zip(words, words[1:]) if b == "as"), *(b for a, b in zip(words, words[1:]) if a == "import"), *(h.rpartition("/")[2] for h in own)}
+            pool = {p for n in names for p in defs.get((r["language"], n), ()) if not own or matches(p, own)}
+            every = pool or every
+        here = imports.get(r["path"], [])
+        folder = lambda p: p.rpartition("/")[0]
+        same = {p for p in every if r["language"] == "go" and p != r["path"] and folder(p) == folder(r["path"]) and mods[p] & mods[r["path"]]}
+        far = {p for p in every if any(matches(p, h) for _, h in here)}
+        if r["path"] in every:
+            tier, got = 0, {r["path"]}
+        elif same:
+            tier, got = 1, same
+        elif far:
+            tier, got = 2, far
+        elif any(n == r["name"] for n, _ in here):
+            tier, got = 3, every
+        else:
+            continue
+        got = sorted(got)[:most]
+        out |= {(r["path"], r["ord"], r["name"], t, tier, len(got)) for t in got}
+    return out
+
+
+def test_edges_against_plain_loops_and_updates(spark):
+    import random
+
+    rng = random.Random(4)
+    s = random_symbols(spark, rng, 40)
+    rows = s.collect()
+    for most in (32, 2):
+        got = {(r["source"], r["ord"], r["symbol"], r["target"], r["tier"], r["n_candidates"]) for r in edges.resolve(s, most).collect()}
+        assert got == plain_edges(rows, most) and {t for *_, t, _ in got} == {0, 1, 2, 3}
+    after = random_symbols(spark, random.Random(9), 40).filter("path like 'a/%'").unionByName(s.filter("path not like 'a/%'"))
+    changed = s.unionByName(after).filter("path like 'a/f1%'").select("path").distinct()
+    now = after.join(changed, "path", "left_semi").unionByName(s.join(changed, "path", "left_anti"))
+    kept, fresh = edges.update_edges(edges.resolve(s), now, changed, s)
+    assert sorted(map(tuple, kept.unionByName(fresh).collect())) == sorted(map(tuple, edges.resolve(now).select(*kept.columns).collect()))
+    asked, every = edges.affected_questions(now, changed, s), edges.questions(now)
+    assert changed.count() < 9 and asked.count() < every.count()
+
+
+def test_an_update_resolves_few_rows(spark):
+    rows = [sym(f"f{k}.rs", 0, f"d{k}", "definition", "syntax") for k in range(200)] + [sym(f"f{k}.rs", 1, f"d{(k + 1) % 200}", "definition", "import", f"use d{(k + 1) % 200}", kind="import") for k in range(200)] + [sym(f"f{k}.rs", 2, f"d{(k + 1) % 200}") for k in range(200)]
+    s = spark.createDataFrame(rows, SYMBOL)
+    changed = spark.createDataFrame([("f7.rs",)], "path string")
+    asked = edges.affected_questions(s, changed)
+    assert sorted({r["source"] for r in asked.collect()}) == ["f6.rs", "f7.rs"]
+    assert {r["path"] for r in edges.affected_files(s, changed).collect()} == {"f6.rs", "f7.rs"}
+    assert edges.asked_symbols(s, asked).count() == 7
 
 
 def test_query_modes_and_files(spark):
@@ -122,8 +241,10 @@ def test_query_modes_and_files(spark):
     changed = spark.createDataFrame([("a",)], "path string")
     assert [r["path"] for r in search.query(f, s, search.Filters(changed="a", mode="exact"), changed).collect()] == ["a/parser.rs"]
     assert search.query(f, s, search.Filters(symbol="parse_all", mode="exact")).first()["confidence"] == "high"
-    more = search.with_omissions(search.query(f, s, search.Filters(text="parse")), changed, f)
-    assert more.filter("target = 'omission'").count() == 1
+    what = search.Filters(text="parse")
+    lost = spark.createDataFrame([("z/parse.c", "."), ("z/other.c", "."), ("a/parser.rs", "a")], "path string, project_root string")
+    more = search.with_omissions(search.query(f, s, what), what, lost, f)
+    assert [(r["path"], r["score"], r["confidence"]) for r in more.filter("partial").collect()] == [("z/parse.c", search.OMISSION_SCORE, "medium")]
     with pytest.raises(ValueError):
         search.search_request("a", "b")
 
@@ -167,8 +288,15 @@ def test_topology(spark):
 
 
 def test_snippets_spread():
-    c = [{"path": p, "role": r, "subsystem": s, "score": n, "cost": 10} for p, r, s, n in [("a", "source", "x", 10), ("b", "source", "x", 9), ("c", "test", "y", 8)]]
-    assert [x["path"] for x in ranking.choose_snippets(c, 20)] == ["a", "c"]
+    base = {"kind": "function", "name": "f", "scope": [], "line": 1, "column": 1, "end_line": 1, "end_column": 9, "project_root": ".", "language": "rust", "partial": False, "generated": False, "task_relevant": False, "context": "fn f()"}
+    rows = [{**base, "path": p, "role": r, "subsystem": s, "score": n} for p, r, s, n in [("a", "source", "x", 900), ("b", "source", "x", 890), ("c", "source", "y", 400), ("d", "test", "x", 1)]]
+    # The bonus of a role decides first; then "y" is new while "x" costs a third.
+    assert [x["path"] for x in ranking.choose_snippets(rows, 1000)] == ["d", "c", "a", "b"]
+    assert ranking.choose_snippets(rows, 5) == []
+    long = [{**base, "path": "a", "role": "source", "subsystem": "x", "score": 1, "context": "y" * 400}]
+    (cut,) = ranking.choose_snippets(long, 20)
+    assert cut["truncated"] and cut["cost"] == 20 and cut["context"].endswith("y…")
+    assert ranking.fit_snippet(long[0], 6) is None
 
 
 def test_manifests_and_symbols(spark):
@@ -187,9 +315,9 @@ def test_reports(spark):
     s = spark.createDataFrame([sym("src/main.rs", 0, "go", "definition", "syntax"), sym("tests/a.rs", 0, "go", "definition", "import", "use main;", kind="import"), sym("tests/a.rs", 1, "go")], SYMBOL)
     c = spark.createDataFrame([("1", "fix bug", "A", "a@x", 100, 100, False)], "id string, message string, author_name string, author_email string, author_seconds long, committer_seconds long, is_merge boolean")
     p = spark.createDataFrame([("1", "src/main.rs")], "id string, path string")
-    facts = reports.Facts(f, s, edges.describe(edges.resolve(s)), c, p, now=200)
+    facts = reports.Facts(f, s, edges.describe(edges.answers(edges.questions(s), s)), c, p, now=200)
     plan = reports.reading_plan(facts)
-    assert [x["purpose"] for x in plan] == ["orientation", "entry_point", "tests"] or plan[0]["path"] in ("README.md", "tests")
+    assert plan[0]["purpose"] == "start_here" and plan[0]["path"] in ("README.md", "tests")
     assert len({x["path"] for x in plan}) == len(plan)
     hit = reports.impact_report(facts, f.filter("path = 'src/main.rs'").select("path"))
     assert [r["path"] for r in hit["tests"].collect()] == ["tests/a.rs"]

@@ -10,17 +10,24 @@ def test_relationship_graph(spark):
     s = spark.createDataFrame([sym("a.rs", 0, "run", "definition", "syntax"), sym("b.rs", 0, "run", "definition", "import", "use crate::a::run;", kind="import"), sym("b.rs", 1, "go", "definition", "syntax"), sym("b.rs", 2, "run", kind="call")], SYMBOL)
     s = s.withColumn("scope", F.when(F.col("ord") == 2, F.array(F.lit("go"))).otherwise(F.array().cast("array<string>")))
     f = spark.createDataFrame([("a.rs", "rust", "analyzed"), ("b.rs", "rust", "partial")], "path string, language string, status string")
-    told = edges.describe(edges.resolve(s).filter("target <> source"))
-    rel = relationships.build(told, s)
+    told = edges.describe(edges.answers(edges.questions(s), s)).filter("target <> source")
+    rel = relationships.build(f, told, s)
     got = {(r["kind"], r["source"], r["target"]) for r in rel.collect()}
-    assert ("import", "file:b.rs", "file:a.rs") in got and ("call", "symbol:b.rs:go:1:1", "symbol:a.rs:run:0:1") in got
+    go, run = "symbol:b.rs:1:1:1:1:definition:function:go", "symbol:a.rs:0:1:0:1:definition:function:run"
+    assert ("import", "file:b.rs", "file:a.rs") in got and ("call", go, run) in got
     assert rel.select("id").distinct().count() == rel.count()
+    assert {r["confidence"] for r in rel.collect()} == {"medium"}  # one end is partial
     n = relationships.nodes(f, s)
     assert n.count() == 6 and relationships.named(n, "RUN", "definition").count() == 2
     assert relationships.provenance(n, rel).first()["partial_nodes"] == 4
-    back = graph.callers(relationships.as_graph(rel), spark.createDataFrame([("symbol:a.rs:run:0:1",)], "node string"))
-    assert [r["other"] for r in back.collect()] == ["symbol:b.rs:go:1:1"]
-    assert rel.orderBy(*relationships.relation_order()).first()["confidence"] == "high"
+    back = graph.callers(relationships.as_graph(rel), spark.createDataFrame([(run,)], "node string"))
+    assert [r["other"] for r in back.collect()] == [go]
+    page = relationships.report(n, rel, "reverse_dependencies", "a.rs")
+    assert page["bounds"]["total"] == 1 and page["bounds"]["continuation"] is None and page["matches"].first()["node"] == "file:b.rs"
+    assert relationships.report(n, rel, "callers", "run", tokens=5)["omissions"] == [{"reason": "token_budget", "count": 1}]
+    walked = relationships.traverse(n, rel, "neighbors", "b.rs", depth=2)
+    assert [r["node"] for r in walked["nodes"].collect()] == ["file:a.rs"] and walked["omissions"] == []
+    assert relationships.traverse(n, rel, "path", "go", "a.rs")["path"].count() == 0
 
 
 def test_cache_index_and_records(spark, tmp_path):
