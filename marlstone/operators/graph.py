@@ -221,7 +221,7 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int = IMPACT_DEPTH, work:
 
 def impact_priority(reach: Column, depth: Column) -> Column:
     base = F.when(reach == "direct", 3_000_000_000).when(reach == "transitive", 2_000_000_000).otherwise(1_000_000_000)
-    return base.cast("long") - (F.greatest(depth, F.lit(1)) - 1) * 75_000_000
+    return F.greatest(F.lit(0).cast("long"), base.cast("long") - (F.greatest(depth, F.lit(1)) - 1) * 75_000_000)
 
 
 def seed_proximity(edges: DataFrame, seeds: DataFrame) -> DataFrame:

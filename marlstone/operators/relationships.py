@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.paths import is_test_path
+from marlstone.functions.stage import write_stage
 from marlstone.functions.text import ascii_lower, folded, query_path
 from marlstone.operators.budget import page
 from marlstone.operators.edges import TARGET_KINDS, import_names
@@ -62,6 +63,7 @@ def build(files: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
     it.  An id holds both ends, kind, name and candidate group, and stands once; an
     end that is partial lowers high to medium.
     """
+    edges, _ = write_stage(edges, "edges")  # read several times
     own = _placed(symbols)
     known = files.select("path", (F.col("status") == "partial").alias("partial"))
     some = edges.join(known.select(F.col("path").alias("source"), F.col("partial").alias("__a")), "source").join(known.select(F.col("path").alias("target"), F.col("partial").alias("__b")), "target")
