@@ -37,10 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[0]}"
 
 
+def stage_path(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_dir(spark)}/marlstone/{label}-{uuid.uuid4().hex}"
+
+
 def write_stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` as parquet in the shared folder; return it reread, and its path."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/marlstone/{label}-{uuid.uuid4().hex}"
+    path = stage_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -32,6 +32,15 @@ def detect_renames(diff: DataFrame) -> DataFrame:
     return rest.unionByName(renamed)
 
 
+def bounded_changes(found: DataFrame, most: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """Distinct changes, the first ``most`` by path, previous path and kind, and ``(reason, detail)`` of what is uncertain: deleted sources, and a cut."""
+    distinct = found.select("kind", "path", "previous_path").distinct()
+    kept = distinct.orderBy("path", F.asc_nulls_first("previous_path"), "kind").limit(most)
+    gone = kept.filter("kind = 'deleted'").select(F.lit("deleted_source").alias("reason"), F.col("path").alias("detail"))
+    cut = distinct.agg(F.count("*").alias("n")).filter(F.col("n") > most).select(F.lit("truncated").alias("reason"), F.lit(str(most)).alias("detail"))
+    return kept, gone.unionByName(cut)
+
+
 def changed_range(before: Column, after: Column) -> Column:
     """The one range of lines of ``after`` that common lines at both ends leave, 1-based; null if none differ.
 

@@ -240,7 +240,7 @@ def affected_questions(symbols: DataFrame, changed: DataFrame, before: DataFrame
     names = changed_names(symbols, changed)
     if before is not None:
         names = names.unionByName(changed_names(before, changed)).distinct()
-    asked = questions(symbols)
+    asked, _ = write_stage(questions(symbols), "questions")  # read three times
     wanted = F.when(F.col("context").isNull(), F.array("symbol")).otherwise(import_names(F.col("symbol"), F.col("context"), module_hints(F.col("context"), F.col("language"))))
     spread = asked.select(*QUESTION, F.explode(wanted).alias("name")).join(names, ["language", "name"], "left_semi").select(*QUESTION)
     inside = asked.join(changed.select(F.col("path").alias("source")).distinct(), "source", "left_semi").select(*QUESTION)

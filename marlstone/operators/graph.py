@@ -135,20 +135,26 @@ def neighbours(edges: DataFrame, anchors: DataFrame, results: int = RESULTS_MOST
     return found.orderBy("rank").limit(results).orderBy("depth", "node")
 
 
-def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int = DEPTH_MOST, work: int = WORK_MOST, direction: str = "out") -> DataFrame:
-    """``(step, node, parent, via, confidence, ambiguous)`` of the path met first; empty if there is none.
+def path_search(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int = DEPTH_MOST, work: int = WORK_MOST, direction: str = "out") -> tuple[DataFrame, Walk]:
+    """``(step, node, parent, via, confidence, ambiguous)`` of the path met first, empty if there is none, and the walk that looked for it.
 
     Parents are followed back by one join a step over the nodes met.
     """
     goal = targets.select("node").distinct()
-    met = walk(edges, sources, direction, depth, work, until=goal).nodes
+    walked = walk(edges, sources, direction, depth, work, until=goal)
+    met = walked.nodes
     last = met.join(goal, "node", "left_semi").orderBy("depth", "rank").limit(1)
     path = last
     row = last.first()
     for _ in range(row["depth"] if row else 0):
         last = met.join(F.broadcast(last.select(F.col("parent").alias("__p"))), F.col("node") == F.col("__p"), "left_semi")  # one row
         path = path.unionByName(last)
-    return path.select(F.col("depth").alias("step"), "node", "parent", "via", "confidence", "ambiguous").orderBy("step")
+    return path.select(F.col("depth").alias("step"), "node", "parent", "via", "confidence", "ambiguous").orderBy("step"), walked
+
+
+def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int = DEPTH_MOST, work: int = WORK_MOST, direction: str = "out") -> DataFrame:
+    """The path of ``path_search``."""
+    return path_search(edges, sources, targets, depth, work, direction)[0]
 
 
 def path_summary(path: DataFrame) -> DataFrame:

@@ -16,10 +16,13 @@ def postings(files: DataFrame) -> DataFrame:
 
 
 def trigram_counts(files: DataFrame) -> DataFrame:
-    """``(trigram, files)`` as hex, without gathering positions."""
-    raw = files.select("path", F.to_binary(ascii_lower(F.col("text")), F.lit("utf-8")).alias("b")).filter(F.octet_length("b") >= 3)
-    grams = raw.select("path", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.octet_length("b") - 2), lambda i: F.substr("b", i, F.lit(3))))).alias("g"))
-    return grams.groupBy(F.lower(F.hex("g")).alias("trigram")).agg(F.count("*").alias("files"))
+    """``(trigram, files)`` as hex, without gathering positions.
+
+    A text's trigrams are made distinct as hex strings, for which the engine keeps a hash set; for binaries it compares all pairs.
+    """
+    raw = files.select(F.to_binary(ascii_lower(F.col("text")), F.lit("utf-8")).alias("b")).filter(F.octet_length("b") >= 3)
+    grams = raw.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.octet_length("b") - 2), lambda i: F.hex(F.substr("b", i, F.lit(3)))))).alias("g"))
+    return grams.groupBy("g").agg(F.count("*").alias("files")).select(F.lower("g").alias("trigram"), "files")
 
 
 def search_index(index: DataFrame, files: DataFrame, query: str, anchors: int = 8) -> DataFrame:

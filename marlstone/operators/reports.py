@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.paths import is_test_path, snippet_role
+from marlstone.functions.paths import ancestors, is_test_path, snippet_role
 from marlstone.functions.text import stable_id, token_estimate
 from marlstone.operators import budget, changes, edges, graph, history, search, topology
 
@@ -72,16 +72,19 @@ def map_report(f: Facts, limits: Limits = Limits()) -> dict[str, DataFrame]:
     ranks = f.ranking()
     out = {
         "files": budget.first_rows(f.files.drop("text"), [F.asc("path")], limits.max_files),
-        "symbols": budget.first_rows(budget.top_per_key(f.symbols, ["path"], [F.asc("ord")], limits.max_symbols_per_file), [F.asc("path"), F.asc("ord")], limits.max_symbols),
+        "symbols": bounded_symbols(f.symbols, limits.max_symbols_per_file, limits.max_symbols),
         "edges": budget.first_rows(f.edges, [F.asc("source"), F.asc("symbol"), F.asc("target")], limits.max_edges),
         "findings": budget.first_rows(edges.ambiguity_findings(f.edges), [F.asc("candidate_group")], limits.max_findings),
         "ranking": budget.first_rows(ranks, [F.desc("score"), F.asc("path")], limits.max_files),
         "landmarks": topology.landmarks(f.files, most=limits.max_landmarks),
         "project_roots": budget.first_rows(topology.project_roots(f.files), [F.asc("path")], limits.max_roots),
     }
-    caps = {"files": (f.files, limits.max_files), "symbols": (f.symbols, limits.max_symbols), "edges": (f.edges, limits.max_edges)}
-    summaries = [budget.collection_summary(df, cap).withColumn("collection", F.lit(name)) for name, (df, cap) in caps.items()]
-    out["summaries"] = summaries[0].unionByName(summaries[1]).unionByName(summaries[2])
+    caps = {"files": (f.files, limits.max_files), "symbols": (f.symbols, limits.max_symbols), "edges": (f.edges, limits.max_edges), "findings": (edges.ambiguity_findings(f.edges), limits.max_findings), "ranking": (f.files, limits.max_files), "landmarks": (topology.landmarks(f.files), limits.max_landmarks), "project_roots": (topology.project_roots(f.files), limits.max_roots)}
+    summaries = None
+    for name, (df, cap) in caps.items():
+        one = budget.collection_summary(df, cap).withColumn("collection", F.lit(name))
+        summaries = one if summaries is None else summaries.unionByName(one)
+    out["summaries"] = summaries
     return out
 
 
@@ -103,6 +106,29 @@ def history_report(f: Facts, bug_words: list[str], fire_words: list[str]) -> dic
     }
 
 
+#: How much of each collection a compact map shows (fixed values).
+COMPACT = {"files": 32, "symbols_per_file": 16, "symbols": 128, "omissions": 8, "findings": 32, "edges": 32, "ranking": 16, "landmarks": 48, "project_roots": 16}
+
+
+def bounded_symbols(symbols: DataFrame, per_file: int, total: int) -> DataFrame:
+    """The first symbols of each file, and of those the first in all, by path and place."""
+    return budget.first_rows(budget.top_per_key(symbols, ["path"], [F.asc("ord")], per_file), [F.asc("path"), F.asc("ord")], total)
+
+
+def compact_map(report: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """A map report cut to what its compact form shows, each collection in its own order; the summaries stay those of the whole."""
+    order = {"files": ["path"], "edges": ["source", "symbol", "target"], "findings": ["candidate_group"], "ranking": [F.desc("score"), "path"], "landmarks": [F.desc("priority"), F.desc("focus_matches"), "path", "kind"], "project_roots": ["path"]}
+    out = {k: budget.first_rows(report[k], by, COMPACT[k]) for k, by in order.items()}
+    shown = report["symbols"].join(out["files"].select("path"), "path", "left_semi")
+    return {**report, **out, "symbols": bounded_symbols(shown, COMPACT["symbols_per_file"], COMPACT["symbols"])}
+
+
+def merged_reading(rows: DataFrame) -> DataFrame:
+    """One row a purpose and path of ``rows(purpose, path, score, evidence, confidence)``: scores add up, evidence is gathered, the surest confidence stands."""
+    surest = F.min_by("confidence", graph.confidence_rank(F.col("confidence")))
+    return rows.groupBy("purpose", "path").agg(F.sum("score").alias("score"), F.array_sort(F.collect_set("evidence")).alias("evidence"), surest.alias("confidence"))
+
+
 def reading_candidates(f: Facts, ranks: DataFrame | None = None) -> DataFrame:
     """``(purpose, path, score, evidence)``: reasons to read a file; scores of one purpose add up."""
     ranks = f.ranking() if ranks is None else ranks
@@ -168,18 +194,64 @@ def context(f: Facts, text: str, tokens: int = 1_000) -> DataFrame:
     return budget.skip_greedy(found, search.result_order(), token_estimate(row), tokens)
 
 
-def impact_report(f: Facts, changed: DataFrame, depth: int = graph.IMPACT_DEPTH) -> dict[str, DataFrame]:
-    """What depends on changed files, with projects and tests by priority."""
+REACH_RANK = {"direct": 3, "transitive": 2, "inferred": 1}
+#: What a test of the changed project scores, by its place alone (fixed value).
+LIKELY_TEST = 1_000_000_000
+TESTS_MOST = 16
+
+
+def likely_tests(files: DataFrame, changed: DataFrame, test_roots: DataFrame, project_roots: DataFrame) -> DataFrame:
+    """``(path, project_root)`` of files in a test root whose project holds a changed path: equi-joins on ancestors and roots."""
+    roots = test_roots.select(F.col("path").alias("__at"))
+    inside = files.select("path").withColumn("__at", F.explode(ancestors(F.col("path")))).join(roots, "__at", "left_semi").select("path").distinct()
+    placed = topology.deepest_root(inside, project_roots)
+    theirs = topology.deepest_root(changed.select("path").distinct(), project_roots).select(F.col("project_root").alias("__root")).distinct()
+    return placed.join(theirs, F.col("project_root").eqNullSafe(F.col("__root")), "left_semi")
+
+
+def merged_targets(rows: DataFrame) -> DataFrame:
+    """One row a path of ``rows(path, score, reach, depth, evidence, reason, confidence)``.
+
+    The greatest score, and the reach and depth of the row that has it (then the
+    stronger reach, then the smaller depth); all evidence and reasons; confidence is
+    medium, or low where any row's is.
+    """
+    rank = F.element_at(F.create_map(*(x for k, v in REACH_RANK.items() for x in (F.lit(k), F.lit(v)))), F.col("reach"))
+    best = F.max_by(F.struct("reach", "depth"), F.struct("score", rank.alias("r"), (-F.col("depth")).alias("d")))
+    grouped = rows.groupBy("path").agg(F.max("score").alias("score"), best.alias("b"), F.array_sort(F.collect_set("evidence")).alias("evidence"), F.array_sort(F.collect_set("reason")).alias("reasons"), F.bool_or(F.col("confidence") == "low").alias("low"))
+    return grouped.select("path", "score", "b.reach", "b.depth", F.when(F.col("low"), "low").otherwise("medium").alias("confidence"), "evidence", "reasons")
+
+
+def top_tests(rows: DataFrame, most: int = TESTS_MOST) -> DataFrame:
+    """The ``most`` best-scored of ``rows(path, score)``, each path by its greatest score, then by path."""
+    return budget.first_rows(rows.groupBy("path").agg(F.max("score").alias("score")), [F.desc("score"), F.asc("path")], most)
+
+
+def impact_projects(targets: DataFrame) -> DataFrame:
+    """``(project_root, score, paths, tests)`` of targets with their project."""
+    test = F.when(is_test_path(F.col("path")), F.col("path"))
+    return targets.groupBy("project_root").agg(F.max("score").alias("score"), F.array_sort(F.collect_set("path")).alias("paths"), F.array_sort(F.collect_set(test)).alias("tests"))
+
+
+def impact_report(f: Facts, changed: DataFrame, depth: int = graph.IMPACT_DEPTH, ranks: DataFrame | None = None) -> dict[str, DataFrame | dict]:
+    """What depends on changed files, with projects and tests by priority, and what limited the walk."""
     links = f.edges.select(F.col("source").alias("src"), F.col("target").alias("dst"), F.lit("reference").alias("kind"), "confidence", "ambiguous", F.concat_ws(":", "source", "target", "symbol").alias("id"))
-    reached = graph.impact(links, changed.select(F.col("path").alias("node")), depth)
-    scored = reached.filter("depth > 0").select(F.col("node").alias("path"), "depth", "reach", graph.impact_priority(F.col("reach"), F.col("depth")).alias("score"))
-    placed = scored.join(f.files.select("path", "project_root"), "path", "left")
-    tests = placed.filter(is_test_path(F.col("path")))
+    walked = graph.impact_walk(links, changed.select(F.col("path").alias("node")), depth)
+    roots = topology.project_roots(f.files)
+    marks = topology.landmarks(f.files).filter("kind = 'test_root'")
+    met = walked.nodes.filter("depth > 0").select(F.col("node").alias("path"), graph.impact_priority(F.col("reach"), F.col("depth")).alias("score"), "reach", "depth", F.lit("graph").alias("evidence"), F.concat(F.lit("reached by "), "reach", F.lit(" relations")).alias("reason"), F.when(F.col("reach") == "inferred", "low").otherwise("medium").alias("confidence"))
+    near = likely_tests(f.files, changed, marks, roots).select("path", F.lit(LIKELY_TEST).cast("long").alias("score"), F.lit("inferred").alias("reach"), F.lit(0).alias("depth"), F.lit("structural").alias("evidence"), F.lit("in a test root of the changed project").alias("reason"), F.lit("low").alias("confidence"))
+    rows = met.unionByName(near)
+    if ranks is not None:
+        rows = rows.join(ranks.select("path", F.col("score").alias("__rank")), "path", "left").withColumn("score", F.col("score") + F.coalesce("__rank", F.lit(0))).drop("__rank")
+    targets = merged_targets(rows).join(f.files.select("path", "project_root"), "path", "left")
+    tests = met.filter(is_test_path(F.col("path"))).select("path", "score").unionByName(near.select("path", "score"))
     return {
-        "targets": placed.orderBy(F.desc("score"), "path"),
-        "projects": placed.groupBy("project_root").agg(F.max("score").alias("score"), F.count("*").alias("paths")).orderBy(F.desc("score"), "project_root"),
-        "tests": budget.first_rows(tests, [F.desc("score"), F.asc("path")], 16),
+        "targets": targets.orderBy(F.desc("score"), "path"),
+        "projects": impact_projects(targets).orderBy(F.desc("score"), "project_root"),
+        "tests": top_tests(tests),
         "missing": changes.missing_changed(changed, f.files),
+        "bounds": {"work_used": walked.work, "depth_limited": walked.depth_limited, "work_limited": walked.work_limited},
     }
 
 

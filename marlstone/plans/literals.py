@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import paths as P
 from marlstone.functions import text as X
 from marlstone.functions.stage import write_stage
-from marlstone.operators import changes, edges, graph, history, ranking, relationships, search, topology
+from marlstone.operators import budget, changes, edges, graph, history, ranking, relationships, reports, search, topology
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -505,3 +505,84 @@ def snippet_candidates(spark):
 @case("node VARCHAR, p DOUBLE", [("a", 0.5), ("b", 0.5), ("c", 0.0)])
 def personal_shares(spark):
     return ranking.personalisation(_at(spark, "a", "b", "c"), _at(spark, "a", "b", "z").filter("node <> 'z'"))
+
+
+# Reports
+
+@case("path VARCHAR, score BIGINT, reach VARCHAR, depth INTEGER, confidence VARCHAR, evidence VARCHAR", [("a", 3_000, "direct", 1, "medium", "graph|structural"), ("b", 1_000, "inferred", 0, "low", "structural"), ("c", 50, "transitive", 2, "low", "graph")])
+def impact_target_merge(spark):
+    """The best score decides reach and depth, ties by the stronger reach, then the smaller depth; nothing is surer than medium."""
+    rows = [("a", 3_000, "direct", 1, "graph", "r1", "high"), ("a", 1_000, "inferred", 0, "structural", "r2", "medium"), ("b", 1_000, "inferred", 0, "structural", "r2", "low"), ("c", 50, "inferred", 1, "graph", "r1", "low"), ("c", 50, "transitive", 3, "graph", "r1", "medium"), ("c", 50, "transitive", 2, "graph", "r3", "medium")]
+    out = reports.merged_targets(spark.createDataFrame(rows, "path string, score long, reach string, depth int, evidence string, reason string, confidence string"))
+    return out.select("path", "score", "reach", "depth", "confidence", F.array_join("evidence", "|").alias("evidence"))
+
+
+@case("path VARCHAR, project_root VARCHAR", [("p/tests/a.rs", "p"), ("p/tests/deep/b.rs", "p")])
+def tests_of_changed_projects(spark):
+    """Files in a test root of a project that holds a change."""
+    one = lambda *p: _texts(spark, *p).select(F.col("x").alias("path"))
+    return reports.likely_tests(one("p/tests/a.rs", "p/tests/deep/b.rs", "q/tests/c.rs", "tests/d.rs", "p/src/x.rs"), one("p/src/x.rs", "p/new.rs"), one("p/tests", "q/tests", "tests"), one(".", "p", "q"))
+
+
+@case("path VARCHAR, score BIGINT", [("a", 9), ("c", 7)])
+def top_scored_tests(spark):
+    """The best by score, equal ones by path; a path counts once."""
+    return reports.top_tests(spark.createDataFrame([("a", 3), ("a", 9), ("d", 7), ("c", 7), ("e", 1)], "path string, score long"), 2)
+
+
+@case("root VARCHAR, score BIGINT, paths VARCHAR, tests VARCHAR", [("p", 9, "p/a|p/tests/t", "p/tests/t"), (None, 2, "x", "")])
+def projects_of_targets(spark):
+    rows = spark.createDataFrame([("p/a", 5, "p"), ("p/tests/t", 9, "p"), ("x", 2, None)], "path string, score long, project_root string")
+    return reports.impact_projects(rows).select(F.col("project_root").alias("root"), "score", F.array_join("paths", "|").alias("paths"), F.array_join("tests", "|").alias("tests"))
+
+
+@case("purpose VARCHAR, path VARCHAR, score BIGINT, evidence VARCHAR, confidence VARCHAR", [("tests", "a", 12, "x|y", "high"), ("runtime", "a", 1, "x", "low")])
+def reading_merge(spark):
+    """Reasons to read a file add up."""
+    rows = spark.createDataFrame([("tests", "a", 5, "y", "medium"), ("tests", "a", 7, "x", "high"), ("runtime", "a", 1, "x", "low")], "purpose string, path string, score long, evidence string, confidence string")
+    return reports.merged_reading(rows).select("purpose", "path", "score", F.array_join("evidence", "|").alias("evidence"), "confidence")
+
+
+@case("path VARCHAR, ord INTEGER", [("a", 0), ("a", 1), ("b", 0)])
+def symbol_caps(spark):
+    """Two symbols a file, three in all, in order of path and place."""
+    return reports.bounded_symbols(spark.createDataFrame([("b", 1), ("b", 0), ("a", 2), ("a", 1), ("a", 0), ("c", 0)], "path string, ord int"), 2, 3)
+
+
+@case("source VARCHAR, target VARCHAR", [("a", "x"), ("a", "y")])
+def edge_cap(spark):
+    """The cap counts edges before repeats are dropped."""
+    rows = spark.createDataFrame([("a", 1, "y"), ("a", 0, "x"), ("a", 1, "x"), ("b", 0, "z")], "source string, ord int, target string")
+    return edges.first_edges(rows, 3).select("source", "target").distinct()
+
+
+@case("path VARCHAR, name VARCHAR", [("a", "hub"), ("b", "shown")])
+def best_definitions(spark):
+    """Most referred to, then public, then first by place."""
+    s = spark.createDataFrame([("a", "first", 0, "definition", "public"), ("a", "hub", 1, "definition", "private"), ("b", "hidden", 0, "definition", "private"), ("b", "shown", 1, "definition", "public"), ("b", "later", 2, "definition", "public"), ("b", "ref", 3, "reference", "public")], "path string, name string, ord int, role string, visibility string")
+    refs = spark.createDataFrame([("a", "hub", 4)], "target string, symbol string, references long")
+    return ranking.best_definitions(s, refs).select("path", "name")
+
+
+@case("name VARCHAR, ordinal INTEGER", [("b", 1), ("c", 2)])
+def ordinals(spark):
+    return reports.bounded_order(_texts(spark, "c", "d", "b").select(F.col("x").alias("name")), [F.asc("name")], 2)
+
+
+@case("total BIGINT, returned BIGINT, truncated BOOLEAN, reason VARCHAR", [(3, 2, True, "collection_limit")])
+def collection_summaries(spark):
+    return budget.collection_summary(_texts(spark, "a", "b", "c"), 2)
+
+
+@case("event VARCHAR, command VARCHAR", [("repository_open", "orient"), ("session_start", "orient"), ("task_change", "context"), ("before_edit", "context"), ("after_edit", "context"), ("before_review", "impact")])
+def lifecycle_events(spark):
+    return spark.createDataFrame([(e, reports.dispatch(e)) for e in reports.LIFECYCLE], "event string, command string")
+
+
+@case("place INTEGER, path VARCHAR, cost INTEGER, truncated BOOLEAN", [(1, "d", 8, False), (2, "c", 8, False), (3, "a", 8, False), (4, "b", 8, False)])
+def snippet_choice(spark):
+    """A role's bonus first; then what brings a new subsystem, for which the others are cut to a third."""
+    base = {"kind": "function", "name": "f", "scope": [], "line": 1, "column": 1, "end_line": 1, "end_column": 9, "project_root": ".", "language": "rust", "partial": False, "generated": False, "task_relevant": False, "context": "fn f()"}
+    rows = [{**base, "path": p, "role": r, "subsystem": s, "score": n} for p, r, s, n in [("a", "source", "x", 900), ("b", "source", "x", 890), ("c", "source", "y", 400), ("d", "test", "x", 1)]]
+    chosen = ranking.choose_snippets(rows, 1000)
+    return spark.createDataFrame([(k, c["path"], c["cost"], c["truncated"]) for k, c in enumerate(chosen, 1)], "place int, path string, cost int, truncated boolean")

@@ -503,11 +503,12 @@ def neighbors_depth2(spark, sf_dir):
     return graph.walk(T.part_edges(spark, sf_dir), _anchor(spark, 1), "out", depth=2, work=graph.WORK_MOST).nodes.filter("depth > 0").select("node", "depth")
 
 
-@query(_reach_sql("out", 6) + "SELECT depth AS edges FROM best WHERE node = (SELECT max(p_partkey) FROM part)")
+@query(_reach_sql("out", 6) + "SELECT depth AS edges, false AS work_limited FROM best WHERE node = (SELECT max(p_partkey) FROM part)")
 def shortest_path(spark, sf_dir):
+    """Steps to the last part, and whether the walk stopped at its work limit (where it does, a longer table needs another start)."""
     last = T.table(spark, sf_dir, "part").agg(F.max("p_partkey").alias("node"))
-    path = graph.shortest_path(T.part_edges(spark, sf_dir), _anchor(spark, 1), last, depth=6)
-    return path.agg(F.max("step").alias("edges")).filter("edges is not null")
+    path, walked = graph.path_search(T.part_edges(spark, sf_dir), _anchor(spark, 1), last, depth=6)
+    return path.agg(F.max("step").alias("edges")).filter("edges is not null").withColumn("work_limited", F.lit(walked.work_limited))
 
 
 @query(_reach_sql("in", 2) + """, own AS (SELECT DISTINCT dst AS node FROM edges WHERE src = 1 AND dst <> 1)

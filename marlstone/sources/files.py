@@ -12,34 +12,33 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions.paths import basename, excluded, generated_header, language_of, looks_minified, path_classes
+from marlstone.functions.paths import basename, in_scope, language_of
 from marlstone.functions.stage import import_on_workers
+from marlstone.operators.topology import file_classes, omission_reason
 
 MAX_BYTES = 1 << 20
 ITEMS_MOST = 16
 
 
-def read_worktree(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, patterns: list[str] = ()) -> DataFrame:
-    """``(path, size, text, language, classifications, ...)`` of the files under a folder.
+def read_worktree(spark: SparkSession, repository: str, max_bytes: int = MAX_BYTES, exclude: list[str] = (), focus_paths: list[str] = (), recursive: bool = False, scope: str = ".") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(sources, omissions, nested)`` of a worktree.
 
-    Size limits reach the scan; ignored paths and git's own are left out; text
-    is null where bytes hold a NUL or aren't UTF-8.  Spark's readers pass over names that begin
-    with a dot or an underscore.
+    Sources are ``(path, size, text, sha256, language, classifications)``.  Every
+    other path stands among the omissions with its reason, ignored and oversized
+    ones too; ``nested`` are the repositories inside.  Text is null where bytes hold
+    a NUL or aren't UTF-8.  Dot names are files like any other.
     """
-    base = root.rstrip("/").removeprefix("file://")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= max_bytes)
-    path = F.regexp_replace("path", "^.*?" + re.escape(base) + "/", "")
-    own = raw.select(path.alias("path"), F.col("length").alias("size"), "content").filter(~F.col("path").rlike(r"(^|/)\.git(/|$)"))
-    if patterns:
-        own = own.filter(~excluded(F.col("path"), list(patterns)))
+    from marlstone.sources.git import read_git
+
+    raw = read_git(spark, "git_worktree", repository.removeprefix("file://"), max_bytes=max_bytes, recursive=str(recursive).lower()).filter(in_scope(F.col("path"), scope))
+    nested = raw.filter("kind = 'nested_repository'").select("path")
     binary = F.position(F.lit(b"\0"), F.col("content")) > 0
-    text = F.when(~binary, F.try_validate_utf8(F.col("content").cast("string")))
-    told = own.withColumn("text", text).withColumn("sha256", F.sha2("content", 256)).drop("content")
-    first = F.substring_index("text", "\n", 1)
-    classes = path_classes(F.col("path"))
-    made = F.when(generated_header(F.col("text")), F.struct(F.lit("generated").alias("kind"), F.lit("generated_header_marker").alias("reason")))
-    small = F.when(looks_minified(F.col("path"), F.col("text")), F.struct(F.lit("minified").alias("kind"), F.lit("bounded_minification_heuristic").alias("reason")))
-    return told.withColumn("language", language_of(F.col("path"), first)).withColumn("classifications", F.array_sort(F.array_distinct(F.concat(classes, F.array_compact(F.array(made, small))))))
+    told = raw.filter("kind <> 'nested_repository'").withColumn("text", F.when(~binary, F.try_validate_utf8(F.col("content").cast("string")))).withColumn("sha256", F.sha2("content", 256)).drop("content")
+    told = told.withColumn("language", language_of(F.col("path"), F.substring_index("text", "\n", 1))).withColumn("classifications", file_classes(F.col("path"), F.coalesce("text", F.lit(""))))
+    reason = omission_reason(F.col("path"), F.col("size"), F.col("text"), F.col("kind") == "symlink", F.col("language"), max_bytes, exclude, focus_paths)
+    reason = F.when(~F.col("visible"), "ignored_untracked").when(F.col("kind") == "unreadable", "read_error").otherwise(reason)
+    judged = told.withColumn("reason", reason)
+    return judged.filter("reason is null").select("path", "size", "text", "sha256", "language", "classifications"), judged.filter("reason is not null").select("path", "size", "reason", "classifications"), nested
 
 
 def manifest_items(name: str, text: str) -> list[tuple[str, str, str]]:

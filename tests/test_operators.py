@@ -326,7 +326,7 @@ def test_reports(spark):
     assert {r["issue"] for r in reports.quality_issues(facts).collect()} == {"partial_files"}
     assert reports.context(facts, "go").count() > 0
     assert reports.explain(facts, "src/main.rs")["definitions"].count() == 1
-    assert reports.map_report(facts)["summaries"].count() == 3
+    assert reports.map_report(facts)["summaries"].count() == 7
     assert reports.history_report(facts, ["bug"], ["hotfix"])["bugs"].first()["path"] == "src/main.rs"
     assert reports.markdown("T", {"s": [{"a": "x" * 500}] * 20}, 200).endswith("budget._\n")
     with pytest.raises(ValueError):

@@ -53,9 +53,43 @@ def test_mailmap_and_worktree(spark, repository):
     assert git.blob_lines(spark, repository, "none").count() == 0
     lines = spark.createDataFrame([("path = a/b",), (" path=../x",), ("url = y",)], "value string")
     assert [r["path"] for r in git.submodules(lines).collect()] == ["a/b"]
-    tree = {r["path"]: r for r in sources.read_worktree(spark, f"file://{repository}", patterns=["*.txt"]).collect()}
-    assert set(tree) == {"a.py", "blob.bin"}
-    assert tree["a.py"]["language"] == "python" and tree["blob.bin"]["text"] is None
+
+
+def test_worktree(spark, repository):
+    import os
+
+    os.makedirs(f"{repository}/inner/.git", exist_ok=True)
+    os.makedirs(f"{repository}/.github", exist_ok=True)
+    for path, text in {"inner/x.py": "x = 1\n", ".github/run.py": "y = 2\n", ".gitignore": "skipped.py\n", "skipped.py": "z = 3\n", "_own.py": "w = 4\n", "large.py": "#" * 5000}.items():
+        with open(f"{repository}/{path}", "w") as f:
+            f.write(text)
+    if not os.path.islink(f"{repository}/link.py"):
+        os.symlink("a.py", f"{repository}/link.py")
+    found, left, nested = sources.read_worktree(spark, repository, max_bytes=4000, exclude=["*.txt"])
+    own = {r["path"]: r["language"] for r in found.collect()}
+    assert own == {"a.py": "python", ".github/run.py": "python", "_own.py": "python"}
+    assert {r["path"]: r["reason"] for r in left.collect()} == {
+        ".gitignore": "non_source", ".mailmap": "non_source", "blob.bin": "non_source", "c.txt": "explicit_exclusion", "sub/b.txt": "explicit_exclusion", "skipped.py": "ignored_untracked", "large.py": "oversized", "link.py": "symlink",
+    }
+    assert [r["path"] for r in nested.collect()] == ["inner"]
+    with pytest.raises(ValueError):
+        os.symlink(repository, f"{repository}/loop") if not os.path.islink(f"{repository}/loop") else None
+        git.scope_of(repository, f"{repository}/loop")
+
+
+def test_resolved_changes(spark, repository):
+    found, unsure = git.resolve_changes(spark, repository, revisions="HEAD~1..HEAD")
+    assert [tuple(r) for r in found.collect()] == [("added", "c.txt", None)] and unsure.count() == 0
+    with open(f"{repository}/a.py", "a") as f:
+        f.write("# more\n")
+    found, _ = git.resolve_changes(spark, repository, dirty=True)
+    got = {(r["kind"], r["path"]) for r in found.collect()}
+    assert ("modified", "a.py") in got and ("untracked", "blob.bin") in got and not any(p == "c.txt" for _, p in got)
+    back, lost = git.resolve_changes(spark, repository, base="HEAD", head="HEAD~1")
+    assert [tuple(r) for r in lost.collect()] == [("deleted_source", "c.txt")] and back.count() == 1
+    with pytest.raises(ValueError):
+        git.revision_ends(revisions="a...b")
+    assert git.commit_summary(repository, most=2) == {"total": 4, "returned": 2, "truncated": True}
 
 
 def test_streamed_activity_equals_batch(spark, sf_dir, tmp_path):
