@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions.stage import drop_stage, stage_path
 from marlstone.llm import bpe, chat, decontaminate, langid, quality, simhash, substring, toxicity, urls, warc
 from marlstone.llm.common import table, whole_texts
 
@@ -157,9 +158,13 @@ def damaged(pages: DataFrame) -> DataFrame:
 
 
 def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The archive of all pages against a replica of it with damaged records."""
+    """The index of the archive that all pages make, against a replica: WARC files with damaged records, written to the shared folder, read and parsed."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return warc.audit(warc.archive(pages), warc.archive(damaged(pages)))
+    replica = stage_path(spark, "replica")
+    warc.write_warc(damaged(pages), replica, compression="gzip")
+    found = warc.audit(warc.archive(pages), warc.read_warc(spark, replica, bodies=False))
+    drop_stage(spark, replica)  # the audit has taken down what it holds
+    return found
 
 
 OP7_SQL = f"""

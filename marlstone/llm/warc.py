@@ -58,25 +58,36 @@ def archive(pages: DataFrame, per_file: int = PAGES_PER_FILE) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str, per_file: int = PAGES_PER_FILE, compression: str = "none") -> None:
-    """Write pages as WARC files under ``path``, records in order of id; compressed ones are a stream each."""
-    file = F.floor(F.col("page_id") / per_file)
-    rows = pages.withColumn("__file", file).repartition("__file").sortWithinPartitions("__file", "page_id")
-    rows.select(record_text(F.col("page_id"), F.col("url"), F.col("html")).alias("value")).write.option("lineSep", END).option("compression", compression).text(path)
+    """Write pages as the WARC files of ``archive``, one folder ``file=n`` each, records in its order; compressed ones are a stream each."""
+    text = record_text(F.col("page_id"), F.col("url"), F.col("html"))
+    rows = pages.select(F.coalesce(F.floor(F.col("page_id") / per_file).cast("long"), F.lit(-1).cast("long")).alias("file"), F.col("page_id").cast("long").alias("page_id"), text.alias("value"))
+    rows = rows.repartition("file").sortWithinPartitions("file", F.col("page_id").asc_nulls_first(), F.sha2("value", 256))
+    rows.select("file", "value").write.option("lineSep", END).option("compression", compression).partitionBy("file").text(path)
+
+
+def plain_bytes(data: bytes) -> bytes:
+    """A file's bytes, unpacked if they are gzip, by member or whole; a damaged end is left out."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    parts = []
+    try:
+        while data:
+            member = zlib.decompressobj(31)
+            parts.append(member.decompress(data))
+            parts.append(member.flush())
+            data = member.unused_data
+    except zlib.error:
+        pass
+    return b"".join(parts)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """``(offset, length, headers, body)`` of the records in a file, plain or gzip (by member or whole).
+    """``(offset, length, headers, body)`` of the records in a file's bytes, unpacked where needed.
 
     Offsets are those of the uncompressed stream.  Reading ends at the first
     bytes that are no record; a record cut short has a shorter body.
     """
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(data) + member.flush())
-            data = member.unused_data
-        data = b"".join(parts)
+    data = plain_bytes(data)
     at = 0
     while data.startswith(b"WARC/", at):
         end = data.find(b"\r\n\r\n", at)
@@ -90,20 +101,34 @@ def parse_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes
         at = stop
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, offset, length, sha256, uri, type, body)`` of all records of the WARC files under ``path``."""
+def read_warc(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
+    """``(name, file, offset, length, sha256, uri, type, body)`` of all records of the WARC files under ``path``.
+
+    ``file`` is the number in a folder ``file=n``, ``sha256`` the digest of a record
+    without the blank lines that end it.  Bodies are left out where not asked for.
+    A task holds a file at a time.
+    """
     import_on_workers(spark)
-    schema = "file string, offset long, length long, sha256 string, uri string, type string, body binary"
+    schema = "name string, file long, offset long, length long, sha256 string, uri string, type string, body binary"
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
+        import re
 
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                for at, size, headers, body in parse_records(content.as_py()):
-                    row = [name.as_py(), at, size, hashlib.sha256(body).hexdigest(), headers.get("warc-target-uri"), headers.get("warc-type"), body]
-                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], ["file", "offset", "length", "sha256", "uri", "type", "body"])
+                number = re.search(r"file=(-?\d+)/", name.as_py())
+                rows: list[tuple] = []
+                data = plain_bytes(content.as_py())
+                for at, size, headers, body in parse_records(data):
+                    end = at + size - len(END) if data.endswith(END.encode(), at, at + size) else at + size
+                    rows.append((name.as_py(), int(number.group(1)) if number else None, at, size, hashlib.sha256(data[at:end]).hexdigest(), headers.get("warc-target-uri"), headers.get("warc-type"), body if bodies else None))
+                    if len(rows) == 256:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", "content").mapInArrow(run, schema)
