@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.stage import drop_stage, stage_path
-from marlstone.llm import bpe, chat, decontaminate, langid, quality, simhash, substring, toxicity, urls, warc
+from marlstone.llm import alignment, bpe, chat, decontaminate, langid, quality, simhash, substring, toxicity, urls, warc
 from marlstone.llm.common import table, whole_texts
 
 
@@ -139,6 +139,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out_of_training = langid.held_out(F.col("doc_id"), 5, 0)
@@ -190,6 +196,6 @@ WHERE a.sha256 IS DISTINCT FROM b.sha256 OR a.length IS DISTINCT FROM b.length
 
 QUERIES = {
     query.__name__: whole_texts(query)
-    for query in (op1_suffix_dedup, op2_language_id, op3_chat_format, op4_decontaminate, op5_byte_bpe, op6_simhash, op7_warc_audit, op8_quality_rules, op9_toxicity, op10_url_filter)
+    for query in (op1_suffix_dedup, op2_language_id, op3_chat_format, op4_decontaminate, op5_byte_bpe, op6_simhash, op7_warc_audit, op8_quality_rules, op9_toxicity, op10_url_filter, op11_cross_tokenizer)
 }
 SQL = {"op3_chat_format": OP3_SQL, "op7_warc_audit": OP7_SQL, "op8_quality_rules": OP8_SQL, "op10_url_filter": OP10_SQL}
