@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.stage import drop_stage, stage_path
-from marlstone.llm import alignment, bpe, chat, decontaminate, langid, quality, simhash, substring, toxicity, urls, warc
-from marlstone.llm.common import table, whole_texts
+from marlstone.llm import alignment, bpe, chat, decontaminate, langid, quality, simhash, substring, tandem, toxicity, urls, warc
+from marlstone.llm.common import let, table, whole_texts, words_of
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +145,27 @@ def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def periodic(docs: DataFrame) -> DataFrame:
+    """Documents, of which a tenth by a digest of their id repeat some of their words to the end, with the period and from the word that the digest says."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(words):
+        n = F.size(words)
+
+        def of(a):
+            period = 1 + F.floor((n - a) / (3 + g % 8))
+            return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % period).cast("int")))), " ")
+
+        return F.when(n > 0, let(g % n, of)).otherwise(F.lit(""))
+
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words_of(F.col("text")), repeated)).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tandem.collapse_runs(periodic(table(spark, sf_dir, "documents")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out_of_training = langid.held_out(F.col("doc_id"), 5, 0)
@@ -196,6 +217,6 @@ WHERE a.sha256 IS DISTINCT FROM b.sha256 OR a.length IS DISTINCT FROM b.length
 
 QUERIES = {
     query.__name__: whole_texts(query)
-    for query in (op1_suffix_dedup, op2_language_id, op3_chat_format, op4_decontaminate, op5_byte_bpe, op6_simhash, op7_warc_audit, op8_quality_rules, op9_toxicity, op10_url_filter, op11_cross_tokenizer)
+    for query in (op1_suffix_dedup, op2_language_id, op3_chat_format, op4_decontaminate, op5_byte_bpe, op6_simhash, op7_warc_audit, op8_quality_rules, op9_toxicity, op10_url_filter, op11_cross_tokenizer, op13_periodic_runs)
 }
 SQL = {"op3_chat_format": OP3_SQL, "op7_warc_audit": OP7_SQL, "op8_quality_rules": OP8_SQL, "op10_url_filter": OP10_SQL}
