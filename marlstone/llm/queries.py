@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.stage import drop_stage, stage_path
-from marlstone.llm import alignment, bpe, chat, decontaminate, langid, quality, simhash, substring, tandem, toxicity, urls, warc
+from marlstone.llm import alignment, bpe, chat, decontaminate, langid, passages, quality, simhash, substring, tandem, toxicity, urls, warc
 from marlstone.llm.common import let, table, whole_texts, words_of
 
 
@@ -145,6 +145,28 @@ def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.cut_passages(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM docs, unnest(generate_series(1, len(w) - 12)) AS t(i)
+), hit AS (
+  SELECT r, i FROM win JOIN (SELECT s, min(doc_id) AS first_id FROM win GROUP BY s) USING (s) WHERE doc_id > first_id
+), lost AS (
+  SELECT DISTINCT r, i + k AS i FROM hit, (SELECT unnest(generate_series(0, 12)) AS k)
+), kept AS (
+  SELECT p.r, count(lost.i) AS n_removed, string_agg(CASE WHEN lost.i IS NULL THEN p.word END, ' ' ORDER BY p.i) AS left_over
+  FROM (SELECT r, unnest(generate_series(1, len(w))) AS i, unnest(w) AS word FROM docs) AS p LEFT JOIN lost ON lost.r = p.r AND lost.i = p.i GROUP BY p.r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
+
 def periodic(docs: DataFrame) -> DataFrame:
     """Documents, of which a tenth by a digest of their id repeat some of their words to the end, with the period and from the word that the digest says."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -217,6 +239,6 @@ WHERE a.sha256 IS DISTINCT FROM b.sha256 OR a.length IS DISTINCT FROM b.length
 
 QUERIES = {
     query.__name__: whole_texts(query)
-    for query in (op1_suffix_dedup, op2_language_id, op3_chat_format, op4_decontaminate, op5_byte_bpe, op6_simhash, op7_warc_audit, op8_quality_rules, op9_toxicity, op10_url_filter, op11_cross_tokenizer, op13_periodic_runs)
+    for query in (op1_suffix_dedup, op2_language_id, op3_chat_format, op4_decontaminate, op5_byte_bpe, op6_simhash, op7_warc_audit, op8_quality_rules, op9_toxicity, op10_url_filter, op11_cross_tokenizer, op12_substring_dedup, op13_periodic_runs)
 }
-SQL = {"op3_chat_format": OP3_SQL, "op7_warc_audit": OP7_SQL, "op8_quality_rules": OP8_SQL, "op10_url_filter": OP10_SQL}
+SQL = {"op3_chat_format": OP3_SQL, "op7_warc_audit": OP7_SQL, "op8_quality_rules": OP8_SQL, "op10_url_filter": OP10_SQL, "op12_substring_dedup": OP12_SQL}

@@ -36,7 +36,7 @@ def coded_words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def portions(batches: Iterator[pa.RecordBatch], text_at: int, pack_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Rows whose texts make ``pack_bytes`` or, where one text is longer, that text; long columns as 64-bit strings."""
+    """Rows whose texts make ``pack_bytes`` or, where one text is longer, that text; texts as 64-bit strings."""
     held, size = [], 0
     for batch in batches:
         length = np.diff(np.append(0, text_bytes(batch.column(text_at))[1]))
@@ -48,14 +48,14 @@ def portions(batches: Iterator[pa.RecordBatch], text_at: int, pack_bytes: int) -
             size += int(total[end - 1]) - before
             begin = end
             if size >= pack_bytes:
-                yield _joined(held)
+                yield _joined(held, text_at)
                 held, size = [], 0
     if held:
-        yield _joined(held)
+        yield _joined(held, text_at)
 
 
-def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    wide = {pa.string(): pa.large_string(), pa.binary(): pa.large_binary()}
-    schema = pa.schema([f.with_type(wide.get(f.type, f.type)) for f in held[0].schema])
+def _joined(held: list[pa.RecordBatch], text_at: int) -> pa.RecordBatch:
+    schema = held[0].schema
+    schema = schema.set(text_at, schema.field(text_at).with_type(pa.large_string()))
     table = pa.Table.from_batches([b.cast(schema) for b in held]).combine_chunks()
     return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], schema)
