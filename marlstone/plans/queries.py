@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import paths as P
@@ -12,19 +10,7 @@ from marlstone.functions.text import matched_keywords, task_terms, token_estimat
 from marlstone.operators import budget, changes, edges, graph, history, index, ranking, search, topology
 from marlstone.plans import literals
 from marlstone.plans import tables as T
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+from marlstone.plans.registry import QUERIES, SQL, query
 
 
 # Logical tables in SQL, put before a query that names them.
