@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ast
 import json
-import re
 import tomllib
 from collections.abc import Iterator
 
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.paths import basename, in_scope, language_of
 from marlstone.functions.stage import import_on_workers
 from marlstone.operators.topology import file_classes, omission_reason
+from marlstone.sources.lexing import Symbol, lexed_symbols
 
 MAX_BYTES = 1 << 20
 ITEMS_MOST = 16
@@ -102,76 +102,82 @@ def manifests(files: DataFrame) -> DataFrame:
     return asked.join(known, "__at", "left").drop("__at")
 
 
-#: Definitions and imports of languages without a parser here, by line; what they say is marked as partial.
-PATTERNS = {
-    "rust": [("function", r"^\s*(?P<v>pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+(?P<n>\w+)"), ("struct", r"^\s*(?P<v>pub\s+)?struct\s+(?P<n>\w+)"), ("enum", r"^\s*(?P<v>pub\s+)?enum\s+(?P<n>\w+)"), ("trait", r"^\s*(?P<v>pub\s+)?trait\s+(?P<n>\w+)"), ("module", r"^\s*(?P<v>pub\s+)?mod\s+(?P<n>\w+)"), ("import", r"^\s*(?:pub\s+)?use\s+[\w:]*?(?P<n>\w+)\s*;")],
-    "javascript": [("function", r"^\s*(?P<v>export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<n>\w+)"), ("class", r"^\s*(?P<v>export\s+)?(?:default\s+)?class\s+(?P<n>\w+)"), ("const", r"^(?P<v>export\s+)?(?:const|let|var)\s+(?P<n>\w+)\s*="), ("import", r"^\s*import\s+\{?\s*(?P<n>\w+)")],
-    "go": [("function", r"^func\s+(?P<n>\w+)"), ("method", r"^func\s+\([^)]*\)\s*(?P<n>\w+)"), ("type", r"^type\s+(?P<n>\w+)"), ("module", r"^package\s+(?P<n>\w+)")],
-    "ruby": [("method", r"^\s*def\s+(?:self\.)?(?P<n>\w+[?!]?)"), ("class", r"^\s*class\s+(?P<n>\w+)"), ("module", r"^\s*module\s+(?P<n>\w+)"), ("import", r"^\s*require(?:_relative)?\s+['\"](?:.*/)?(?P<n>[\w-]+)['\"]")],
-    "lua": [("function", r"^\s*(?P<l>local\s+)?function\s+(?:[\w.]+[.:])?(?P<n>\w+)"), ("import", r"^\s*local\s+(?P<n>\w+)\s*=\s*require")],
-    "zig": [("function", r"^\s*(?P<v>pub\s+)?fn\s+(?P<n>\w+)"), ("import", r"^\s*const\s+(?P<n>\w+)\s*=\s*@import"), ("const", r"^\s*(?P<v>pub\s+)?const\s+(?P<n>\w+)")],
-    "java": [("class", r"^\s*(?P<v>public\s+)?(?:abstract\s+|final\s+)*class\s+(?P<n>\w+)"), ("interface", r"^\s*(?P<v>public\s+)?interface\s+(?P<n>\w+)"), ("enum", r"^\s*(?P<v>public\s+)?enum\s+(?P<n>\w+)"), ("import", r"^\s*import\s+(?:static\s+)?[\w.]*?(?P<n>\w+)\s*;"), ("method", r"^\s+(?P<v>public\s+)?(?:private\s+|protected\s+|static\s+|final\s+)*[\w<>\[\]]+\s+(?P<n>\w+)\s*\([^;]*$")],
-    "csharp": [("class", r"^\s*(?P<v>public\s+)?(?:internal\s+|static\s+|sealed\s+|abstract\s+)*class\s+(?P<n>\w+)"), ("interface", r"^\s*(?P<v>public\s+)?interface\s+(?P<n>\w+)"), ("import", r"^\s*using\s+[\w.]*?(?P<n>\w+)\s*;")],
-}
-PATTERNS["typescript"] = [*PATTERNS["javascript"], ("interface", r"^\s*(?P<v>export\s+)?interface\s+(?P<n>\w+)"), ("type", r"^\s*(?P<v>export\s+)?type\s+(?P<n>\w+)")]
-_CALL = re.compile(r"\b([A-Za-z_]\w*)\s*\(")
-_KEYWORDS = {"if", "for", "while", "switch", "return", "match", "catch", "function", "fn", "func", "def", "elif", "else", "and", "or", "not", "sizeof", "require"}
-SYMBOL_SCHEMA = "path string, ord int, name string, kind string, role string, scope array<string>, line int, column int, end_line int, context string, visibility string, evidence string, status string"
-
-
-def python_symbols(text: str) -> list[tuple]:
-    """Symbols of a Python text by its syntax tree: ``(name, kind, role, scope, line, column, end_line, visibility, evidence)``."""
-    out: list[tuple] = []
-
-    def visible(name: str) -> str:
-        return "private" if name.startswith("_") and not name.endswith("__") else "public"
-
-    def visit(node: ast.AST, scope: list[str], in_class: bool) -> None:
-        for child in ast.iter_child_nodes(node):
-            at = (getattr(child, "lineno", 1), getattr(child, "col_offset", 0) + 1, getattr(child, "end_lineno", None) or getattr(child, "lineno", 1))
-            if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef):
-                out.append((child.name, "method" if in_class else "function", "definition", scope, *at, visible(child.name), "syntax"))
-                visit(child, [*scope, child.name], False)
-            elif isinstance(child, ast.ClassDef):
-                out.append((child.name, "class", "definition", scope, *at, visible(child.name), "syntax"))
-                visit(child, [*scope, child.name], True)
+SYMBOL_SCHEMA = "path string, ord int, name string, kind string, role string, scope array<string>, line int, column int, end_line int, end_column int, context string, visibility string, evidence string, status string"
+
+
+def python_symbols(text: str) -> list[Symbol]:
+    """Symbols of a Python text by its syntax tree; places count code points."""
+    lines, out = text.split("\n"), []
+
+    def place(node: ast.AST, name: str = "") -> tuple[int, int, int, int]:
+        """Where a node lies; a definition from its name on."""
+        line, byte = node.lineno, node.col_offset
+        column = len(lines[line - 1].encode()[:byte].decode(errors="ignore")) + 1
+        if name:
+            word = "class" if isinstance(node, ast.ClassDef) else "def"
+            column = lines[line - 1].find(name, lines[line - 1].find(word, column - 1) + len(word)) + 1 or column
+        end = node.end_lineno or line
+        return line, column, end, len(lines[end - 1].encode()[: node.end_col_offset or 0].decode(errors="ignore")) + 1
+
+    def refer(node: ast.AST, scope: tuple[str, ...], evidence: str) -> None:
+        if isinstance(node, ast.Name):
+            out.append((node.id, "type" if evidence == "type_reference" else "identifier", "reference", scope, *place(node), "unknown", evidence))
+        elif isinstance(node, ast.Attribute):
+            line, column, end, last = place(node)
+            out.append((node.attr, "identifier", "reference", scope, end, max(1, last - len(node.attr)), end, last, "unknown", "member_reference" if evidence == "bare_reference" else evidence))
+            visit(node.value, scope, False)
+        elif isinstance(node, ast.Constant) or node is None:
+            return
+        else:
+            for child in ast.iter_child_nodes(node):
+                refer(child, scope, evidence) if evidence == "type_reference" else visit(child, scope, False)
+
+    def visit(node: ast.AST, scope: tuple[str, ...], in_class: bool) -> None:
+        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
+            is_class = isinstance(node, ast.ClassDef)
+            hidden = node.name.startswith("_") and not node.name.endswith("__")
+            out.append((node.name, "class" if is_class else "method" if in_class else "function", "definition", scope, *place(node, node.name), "private" if hidden else "public", "declaration"))
+            for decorator in node.decorator_list:
+                visit(decorator, scope, False)
+            if is_class:
+                for base in node.bases:
+                    refer(base, scope, "type_reference")
             else:
-                if isinstance(child, ast.Import | ast.ImportFrom):
-                    out.extend(((a.asname or a.name).split(".")[-1], "import", "definition", scope, *at, "unknown", "import") for a in child.names)
-                elif isinstance(child, ast.Call):
-                    f = child.func
-                    name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
-                    if name:
-                        out.append((name, "call", "reference", scope, *at, "unknown", "call"))
+                args = node.args
+                for a in (*args.posonlyargs, *args.args, *args.kwonlyargs, *filter(None, (args.vararg, args.kwarg))):
+                    refer(a.annotation, scope, "type_reference")
+                refer(node.returns, scope, "type_reference")
+                for default in (*args.defaults, *(d for d in args.kw_defaults if d)):
+                    visit(default, scope, False)
+            for child in node.body:
+                visit(child, (*scope, node.name), is_class)
+        elif isinstance(node, ast.Import | ast.ImportFrom):
+            out.extend(((a.asname or a.name).split(".")[-1], "import", "definition", scope, *place(node), "unknown", "import") for a in node.names)
+        elif isinstance(node, ast.Call):
+            refer(node.func, scope, "call") if isinstance(node.func, ast.Name | ast.Attribute) else visit(node.func, scope, False)
+            for child in (*node.args, *(k.value for k in node.keywords)):
+                visit(child, scope, False)
+        elif isinstance(node, ast.AnnAssign):
+            refer(node.annotation, scope, "type_reference")
+            visit(node.target, scope, False)
+            if node.value:
+                visit(node.value, scope, False)
+        elif isinstance(node, ast.Name | ast.Attribute):
+            if isinstance(node.ctx, ast.Load) or isinstance(node, ast.Attribute):
+                refer(node, scope, "bare_reference")
+        else:
+            for child in ast.iter_child_nodes(node):
                 visit(child, scope, in_class)
 
-    visit(ast.parse(text), [], False)
-    return out
-
-
-def line_symbols(text: str, language: str) -> list[tuple]:
-    """Symbols by line patterns: definitions, imports, and names before a parenthesis as calls."""
-    out: list[tuple] = []
-    rules = [(k, re.compile(p)) for k, p in PATTERNS.get(language, [])]
-    for n, line in enumerate(text.split("\n"), 1):
-        names = set()
-        for kind, rule in rules:
-            if m := rule.match(line):
-                if m["n"] in names:
-                    continue
-                names.add(m["n"])
-                groups = m.groupdict()
-                shown = "unknown" if kind == "import" else "public" if groups.get("v") or (language == "go" and m["n"][:1].isupper()) else "private"
-                out.append((m["n"], kind, "definition", [], n, m.start("n") + 1, n, shown, "import" if kind == "import" else "syntax"))
-        out.extend((m[1], "call", "reference", [], n, m.start(1) + 1, n, "unknown", "call") for m in _CALL.finditer(line) if m[1] not in names and m[1] not in _KEYWORDS)
+    visit(ast.parse(text), (), False)
     return out
 
 
 def extract_symbols(files: DataFrame, most: int = 2048) -> DataFrame:
     """Symbols of source files, up to ``most`` a file in order of place.
 
-    Python is parsed; other languages are read by line patterns and marked
-    ``partial``, as is Python that doesn't parse.
+    Python is parsed, other languages are read by the lexer.  Files whose blocks don't
+    close, Python that doesn't parse and files with more symbols are ``partial``.
     """
     import_on_workers(files.sparkSession)
     own = files.filter(F.col("language").isNotNull() & F.col("text").isNotNull()).select("path", "language", "text")
@@ -181,19 +187,19 @@ def extract_symbols(files: DataFrame, most: int = 2048) -> DataFrame:
         for f in frames:
             rows = []
             for path, language, text in f[["path", "language", "text"]].itertuples(index=False):
-                status, found = "partial", []
+                found, whole = [], False
                 if language == "python":
                     try:
-                        found, status = python_symbols(text), "analyzed"
+                        found, whole = python_symbols(text), True
                     except (SyntaxError, ValueError, RecursionError):
                         found = []
                 else:
-                    found = line_symbols(text, language)
-                lines = text.split("\n")
-                found = sorted(set((*x[:3], tuple(x[3]), *x[4:]) for x in found), key=lambda x: (x[4], x[5], x[0], x[2]))[:most]
-                for k, (name, kind, role, scope, line, column, end, shown, evidence) in enumerate(found):
+                    found, whole = lexed_symbols(text, language)
+                lines, found = text.split("\n"), sorted(set(found), key=lambda x: (x[4], x[5], x[2], x[0], x[6:]))
+                status = "analyzed" if whole and len(found) <= most else "partial"
+                for k, (name, kind, role, scope, line, column, end, last, shown, evidence) in enumerate(found[:most]):
                     context = " ".join(lines[line - 1].split())[:180] if line <= len(lines) else ""
-                    rows.append((path, k, name, kind, role, list(scope), line, column, end, context, shown, evidence, status))
+                    rows.append((path, k, name, kind, role, list(scope), line, column, end, last, context, shown, evidence, status))
             yield pd.DataFrame(rows, columns=columns)
 
     return own.mapInPandas(run, SYMBOL_SCHEMA)
