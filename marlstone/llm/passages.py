@@ -200,14 +200,18 @@ def _send_rows(homes: int, parted: dict[int, int], ids_at: int, text_at: int):
     return run
 
 
-def _kept_words(batch: pa.RecordBatch, ids_at: int, text_at: int, window: int, doc: np.ndarray, digest: np.ndarray) -> Iterator[tuple[int, list[bytes], list[tuple[int, int]]]]:
-    """For each row its words' number, those that stay, and the maximal stretches of the others."""
+def _kept_words(batch: pa.RecordBatch, ids_at: int, text_at: int, window: int, doc: np.ndarray, known: np.ndarray) -> Iterator[tuple[int, list[bytes], list[tuple[int, int]]]]:
+    """For each row its words' number, those that stay, and the maximal stretches of the others.
+
+    ``doc`` are the documents with covered windows, ``known`` the mixed ids and digests of these; both sorted.
+    """
     ids = _ids(batch.column(ids_at))
     marked = np.isin(ids, doc)
     some = pa.array(np.flatnonzero(marked))
     made = _Portion(batch.column(text_at).take(some), window)
-    known = _mix(doc.astype(_U) * _U(31) + digest)
-    hit = made.at[np.isin(_mix(ids[marked][made.row[made.at]].astype(_U) * _U(31) + made.digests()), known)]
+    asked = _mix(ids[marked][made.row[made.at]].astype(_U) * _U(31) + made.digests())
+    place = np.searchsorted(known, asked)
+    hit = made.at[known[np.minimum(place, len(known) - 1)] == asked] if len(known) else made.at[:0]
     lost = np.zeros(len(made.words) + 1, np.int32)
     np.add.at(lost, hit, 1)
     np.add.at(lost, hit + window, -1)
@@ -231,9 +235,10 @@ def _cut(ids_at: int, text_at: int, window: int, named: list[str] | None):
         parts = [_unpack(b.as_py()) for b in marks.column("blob")]
         doc = np.concatenate([np.cumsum(x[0]).view(np.int64) for x in parts]) if parts else np.zeros(0, np.int64)
         digest = np.concatenate([x[1] for x in parts]) if parts else np.zeros(0, _U)
+        known, doc = np.sort(_mix(doc.astype(_U) * _U(31) + digest)), np.unique(doc)
         tables = []
-        for batch in _rows_of(rows).to_batches() if rows.num_rows else ():
-            found = [(n, n - len(words), b" ".join(words), spans) for n, words, spans in _kept_words(batch, ids_at, text_at, window, doc, digest)]
+        for batch in _rows_of(rows).combine_chunks().to_batches() if rows.num_rows else ():
+            found = [(n, n - len(words), b" ".join(words), spans) for n, words, spans in _kept_words(batch, ids_at, text_at, window, doc, known)]
             n_words, removed, left, spans = zip(*found, strict=True) if found else ([], [], [], [])
             measures = [pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())]
             if named is None:
