@@ -306,7 +306,7 @@ def test_manifests_and_symbols(spark):
     assert ("library_export", "main", "index.js") in got and ("role", "workspace", None) in got and ("entry_point", "t", None) in got
     s = {(r["path"], r["name"], r["kind"], r["role"], tuple(r["scope"])) for r in sources.extract_symbols(f).collect()}
     assert ("m.py", "f", "method", "definition", ("A",)) in s and ("m.py", "g", "identifier", "reference", ("A", "f")) in s
-    assert ("index.js", "go", "function", "definition", ()) in s and ("index.js", "run", "identifier", "reference", ()) in s
+    assert ("index.js", "go", "function", "definition", ()) in s and ("index.js", "run", "identifier", "reference", ("go",)) in s
     assert not any(x[0] == "bad.py" for x in s)
 
 
