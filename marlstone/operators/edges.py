@@ -10,6 +10,8 @@ candidates; references meet these arrays, and only then are edges exploded.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,37 +122,42 @@ def answers(asked: DataFrame, symbols: DataFrame, candidates: int = MOST_CANDIDA
     its questions as one array of its first ``candidates`` files.
     """
     # Each is read several times below: written once, not made anew.
-    asked, _ = write_stage(asked.select(*QUESTION, "modules"), "questions")
+    hinted_asks = asked.select(*QUESTION, "modules", F.when(F.col("context").isNotNull(), module_hints(F.col("context"), F.col("language"))).alias("hints"))
+    named, _ = write_stage(hinted_asks.withColumn("names", F.when(F.col("context").isNotNull(), import_names(F.col("symbol"), F.col("context"), F.col("hints")))), "questions")
     defs, _ = write_stage(definitions(symbols), "definitions")
     imports = symbols.filter("role = 'definition' and evidence = 'import'").withColumn("hints", module_hints(F.coalesce("context", F.lit("")), F.col("language")))
     imports, _ = write_stage(imports.select("path", "name", "hints").distinct(), "imports")
-    files = symbols.select("path", "modules").dropDuplicates(["path"])
-    named = asked.withColumn("hints", F.when(F.col("context").isNotNull(), module_hints(F.col("context"), F.col("language"))))
-    named = named.withColumn("names", F.when(F.col("context").isNotNull(), import_names(F.col("symbol"), F.col("context"), F.col("hints"))))
-    hints = named.filter("size(hints) > 0").select(F.explode("hints").alias("hint")).unionByName(imports.join(asked.select("source"), F.col("path") == F.col("source"), "left_semi").select(F.explode("hints").alias("hint"))).distinct()
-    led = hint_matches(hints.select(F.col("hint").alias("source"), "hint"), files.select("path")).withColumnRenamed("source", "hint")
     found = defs.select("language", F.col("name").alias("wanted"), F.col("path").alias("target"), "visibility")
     of_file = [*QUESTION, "target", "visibility"]
-
-    # Imports whose own line names files.
-    strict = named.filter("size(hints) > 0").select(*QUESTION, "modules", F.explode("hints").alias("hint"), "names").join(led, "hint")
-    strict = strict.select(*QUESTION, "modules", "target", F.explode("names").alias("wanted")).distinct().join(found, ["language", "wanted", "target"]).join(files.select(F.col("path").alias("target"), F.col("modules").alias("own")), "target", "left")
-    same_folder = (F.col("language") == "go") & (parent(F.col("source")) == parent(F.col("target"))) & F.arrays_overlap("modules", "own")
-    strict = strict.select(*of_file, F.when(F.col("source") == F.col("target"), 0).when(same_folder, 1).otherwise(2).alias("tier"))
-
-    # All others, and imports whose line led to no definition.
-    done = strict.select(*QUESTION).distinct()
-    wide = named.filter("context is null").unionByName(named.filter("context is not null").join(done, QUESTION, "left_anti"))
+    hints = named.filter("size(hints) > 0").select(F.explode("hints").alias("hint")).unionByName(imports.filter("size(hints) > 0").join(named.select("source"), F.col("path") == F.col("source"), "left_semi").select(F.explode("hints").alias("hint"))).distinct()
+    some_hints = not hints.isEmpty()
+    some_go = not defs.filter("language = 'go'").isEmpty()
+    if some_hints or some_go:
+        files, _ = write_stage(symbols.select("path", "modules").dropDuplicates(["path"]), "files")
     plain_name = F.array("symbol")
+    wide, near = named, []
+    if some_hints:
+        led, _ = write_stage(hint_matches(hints.select(F.col("hint").alias("source"), "hint"), files.select("path")).withColumnRenamed("source", "hint"), "led")
+        # Imports whose own line names files.
+        strict = named.filter("size(hints) > 0").select(*QUESTION, "modules", F.explode("hints").alias("hint"), "names").join(led, "hint")
+        strict = strict.select(*QUESTION, "modules", "target", F.explode("names").alias("wanted")).distinct().join(found, ["language", "wanted", "target"]).join(files.select(F.col("path").alias("target"), F.col("modules").alias("own")), "target", "left")
+        same_folder = (F.col("language") == "go") & (parent(F.col("source")) == parent(F.col("target"))) & F.arrays_overlap("modules", "own")
+        strict, _ = write_stage(strict.select(*of_file, F.when(F.col("source") == F.col("target"), 0).when(same_folder, 1).otherwise(2).alias("tier")), "strict")
+        near.append(strict)
+        # All others, and imports whose line led to no definition.
+        done = strict.select(*QUESTION).distinct()
+        wide = named.filter("context is null").unionByName(named.filter("context is not null").join(done, QUESTION, "left_anti"))
     wide = wide.withColumn("names", F.when(F.size("hints") == 0, F.col("names")).otherwise(plain_name)).withColumn("names", F.coalesce("names", plain_name))
-    asks = wide.select(*QUESTION, "modules", F.explode("names").alias("wanted"))
-    own = asks.join(found.withColumnRenamed("target", "source").withColumn("target", F.col("source")), ["language", "wanted", "source"]).select(*of_file, F.lit(0).alias("tier"))
-    go = found.filter("language = 'go'").join(files.select(F.col("path").alias("target"), F.col("modules").alias("own")), "target").withColumn("folder", parent(F.col("target")))
-    module = asks.filter("language = 'go'").withColumn("folder", parent(F.col("source"))).join(go.drop("language"), ["wanted", "folder"]).filter((F.col("source") != F.col("target")) & F.arrays_overlap("modules", "own")).select(*of_file, F.lit(1).alias("tier"))
-    linked = imports.select(F.col("path").alias("source"), F.explode("hints").alias("hint")).distinct().join(led, "hint").select("source", "target").distinct()
-    hinted = asks.join(linked, "source").join(found, ["language", "wanted", "target"]).select(*of_file, F.lit(2).alias("tier"))
-
-    near = strict.unionByName(own).unionByName(module).unionByName(hinted)
+    asks, _ = write_stage(wide.select(*QUESTION, "modules", F.explode("names").alias("wanted")), "asks")
+    near.append(asks.join(found.withColumnRenamed("target", "source").withColumn("target", F.col("source")), ["language", "wanted", "source"]).select(*of_file, F.lit(0).alias("tier")))
+    if some_go:
+        go = found.filter("language = 'go'").join(files.select(F.col("path").alias("target"), F.col("modules").alias("own")), "target").withColumn("folder", parent(F.col("target")))
+        near.append(asks.filter("language = 'go'").withColumn("folder", parent(F.col("source"))).join(go.drop("language"), ["wanted", "folder"]).filter((F.col("source") != F.col("target")) & F.arrays_overlap("modules", "own")).select(*of_file, F.lit(1).alias("tier")))
+    if some_hints:
+        linked = imports.select(F.col("path").alias("source"), F.explode("hints").alias("hint")).distinct().join(led, "hint").select("source", "target").distinct()
+        near.append(asks.join(linked, "source").join(found, ["language", "wanted", "target"]).select(*of_file, F.lit(2).alias("tier")))
+
+    near = reduce(DataFrame.unionByName, near)
     near = near.groupBy(*QUESTION, "tier", "target").agg(F.min("visibility").alias("visibility"))
     first = top_per_key(near, [*QUESTION, "tier"], [F.asc("target")], candidates)
     met = first.groupBy(*QUESTION).agg(F.min("tier").alias("tier"), F.array_sort(F.collect_list(F.struct("tier", "target", "visibility"))).alias("every"))

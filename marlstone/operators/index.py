@@ -1,51 +1,144 @@
-"""A trigram index over texts, and fingerprints of what was indexed."""
+"""A positional trigram index over texts, and fingerprints of what was indexed.
+
+Postings are ``(bucket, trigram, path, positions)``: where a trigram (three bytes of the
+text with ASCII letters in lower case, as one number) begins in a file.  They are stored by
+bucket of trigram, positions as deltas.  A search meets postings at shifted positions and reads no text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import ascii_lower, folded
+from marlstone.functions.parts import BucketedTable
+from marlstone.functions.stage import import_on_workers
+from marlstone.functions.text import folded
 
+BUCKETS = 256
+_POSTINGS = "bucket int, trigram int, path string, positions array<int>"
+_IS_CAPITAL = np.zeros(256, np.uint8)
+_IS_CAPITAL[65:91] = 32
 
-def postings(files: DataFrame) -> DataFrame:
-    """``(trigram, path, positions)``: byte windows of the lower-cased text; shorter texts have none."""
-    raw = files.select("path", F.to_binary(ascii_lower(F.col("text")), F.lit("utf-8")).alias("b")).filter(F.octet_length("b") >= 3)
-    windows = raw.select("path", F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("b") - 2), lambda i: F.substr("b", i, F.lit(3)))).alias("at", "trigram"))
-    return windows.groupBy("trigram", "path").agg(F.array_sort(F.collect_list("at")).alias("positions"))
 
+def _grams(text: str) -> np.ndarray:
+    """The trigrams of a text as numbers, in order of place."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    b = (raw + _IS_CAPITAL[raw]).astype(np.int32)
+    return (b[:-2] << 16) | (b[1:-1] << 8) | b[2:] if len(b) >= 3 else b[:0]
 
-def trigram_counts(files: DataFrame) -> DataFrame:
-    """``(trigram, files)`` as hex, without gathering positions.
 
-    A text's trigrams are made distinct as hex strings, for which the engine keeps a hash set; for binaries it compares all pairs.
+def postings(files: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """``(bucket, trigram, path, positions)`` of ``files(path, text)``, positions from 0 as deltas; shorter texts have none.
+
+    A file's postings are made where its row lies: nothing is shuffled.
     """
-    raw = files.select(F.to_binary(ascii_lower(F.col("text")), F.lit("utf-8")).alias("b")).filter(F.octet_length("b") >= 3)
-    grams = raw.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.octet_length("b") - 2), lambda i: F.hex(F.substr("b", i, F.lit(3)))))).alias("g"))
-    return grams.groupBy("g").agg(F.count("*").alias("files")).select(F.lower("g").alias("trigram"), "files")
+    import_on_workers(files.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(batch.column(0), batch.column(1), strict=True):
+                grams = _grams(text.as_py() or "")
+                if not len(grams):
+                    continue
+                at = np.argsort(grams, kind="stable").astype(np.int32)
+                first = np.flatnonzero(np.diff(grams[at], prepend=-1))
+                deltas = np.diff(at, prepend=np.int32(0))
+                deltas[first] = at[first]
+                own = grams[at[first]]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(deltas, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(own % buckets, pa.int32()), pa.array(own, pa.int32()), pa.array([path.as_py()] * len(own), pa.string()), lists], ["bucket", "trigram", "path", "positions"])
 
-def search_index(index: DataFrame, files: DataFrame, query: str, anchors: int = 8) -> DataFrame:
-    """Paths whose text holds the query: files with its rarest trigrams, then verified; under three bytes nothing."""
-    q = folded(query)
-    raw = q.encode()
-    if len(raw) < 3:
-        return files.select("path").limit(0)
-    grams = sorted({bytes(raw[i : i + 3]) for i in range(len(raw) - 2)})
-    own = index.filter(F.col("trigram").isin(*[bytearray(g) for g in grams]))
-    sizes = {bytes(r["trigram"]): r["n"] for r in own.groupBy("trigram").agg(F.count("*").alias("n")).collect()}  # a row a trigram of the query
-    rare = sorted(grams, key=lambda g: (sizes.get(g, 0), g))[:anchors]
-    hit = own.filter(F.col("trigram").isin(*[bytearray(g) for g in rare])).groupBy("path").agg(F.count_distinct("trigram").alias("n")).filter(F.col("n") == len(rare))
-    return files.join(hit, "path", "left_semi").filter(ascii_lower(F.col("text")).contains(q)).select("path")
+    return files.select("path", "text").mapInArrow(run, _POSTINGS)
 
 
-def remove_from_index(index: DataFrame, paths: DataFrame) -> DataFrame:
-    return index.join(paths.select("path"), "path", "left_anti")
+def trigram_counts(files: DataFrame) -> DataFrame:
+    """``(trigram, files)`` as hex: how many texts hold each; counted in batches before they are added up."""
+    import_on_workers(files.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << 24, np.int32)
+        for batch in batches:
+            for text in batch.column(0):
+                counts[np.unique(_grams(text.as_py() or ""))] += 1
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())], ["g", "n"])
 
-def add_to_index(index: DataFrame, files: DataFrame) -> DataFrame:
-    """The index with files added or replaced."""
-    return remove_from_index(index, files).unionByName(postings(files))
+    found = files.select("text").mapInArrow(run, "g int, n long").groupBy("g").agg(F.sum("n").alias("files"))
+    return found.select(F.lower(F.lpad(F.hex("g"), 6, "0")).alias("trigram"), "files")
+
+
+def find_in_postings(index: DataFrame, query: str) -> DataFrame:
+    """``(path)`` of the files whose folded text holds the folded query; under three bytes none.
+
+    Every trigram of the query must begin at one common place plus its own offset: postings are
+    moved by the offset and met at equal places.  Files that lack one of the trigrams are left out first.
+    """
+    raw = folded(query).encode()
+    spark = index.sparkSession
+    if len(raw) < 3:
+        return index.select("path").limit(0)
+    grams = [(raw[k] << 16) | (raw[k + 1] << 8) | raw[k + 2] for k in range(len(raw) - 2)]
+    distinct = sorted(set(grams))
+    own = index.filter(F.col("trigram").isin(distinct))
+    holds = own.groupBy("path").agg(F.count_distinct("trigram").alias("n")).filter(F.col("n") == len(distinct)).select("path")
+    offsets = spark.createDataFrame(list(zip(grams, range(len(grams)), strict=True)), "trigram int, offset int")
+    met = own.join(holds, "path", "left_semi").join(F.broadcast(offsets), "trigram")
+    decoded = _positions(met.select("path", "offset", "positions"))
+    return decoded.groupBy("path", "start").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams)).select("path").distinct()
+
+
+def _positions(met: DataFrame) -> DataFrame:
+    """``(path, start)``: positions of deltas, moved back by the offset."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            total = np.cumsum(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+            begin = np.cumsum(size) - size
+            base = np.where(begin > 0, total[np.maximum(begin - 1, 0)], 0)
+            which = np.repeat(np.arange(len(size)), size)
+            start = total - base[which] - batch.column(1).to_numpy()[which]
+            keep = start >= 0
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which[keep])), pa.array(start[keep], pa.int64())], ["path", "start"])
+
+    return met.mapInArrow(run, "path string, start long")
+
+
+class StoredIndex:
+    """Postings in a folder, in buckets of trigrams; an update writes the touched buckets anew and no others."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.table, self.buckets = BucketedTable(spark, path, _POSTINGS, ["trigram", "path"]), buckets
+
+    def create(self, files: DataFrame) -> list[int]:
+        """Index ``files(path, text)``, whose paths are unique; returns the buckets."""
+        return self.table.create(postings(files, self.buckets))
+
+    def search(self, query: str) -> DataFrame:
+        """Paths whose text holds the query, from its trigrams' buckets alone."""
+        raw = folded(query).encode()
+        buckets = {((raw[k] << 16) | (raw[k + 1] << 8) | raw[k + 2]) % self.buckets for k in range(len(raw) - 2)}
+        return find_in_postings(self.table.read(sorted(buckets)).drop("bucket"), query)
+
+    def update(self, added: DataFrame, removed: DataFrame | None = None) -> list[int]:
+        """Take in the files ``added(path, text)`` (in place of older ones) and drop the paths ``removed``; returns the buckets rewritten.
+
+        A file's old postings are looked for by its path, which reads the paths of all parts but writes only the touched ones.
+        """
+        gone = added.select("path") if removed is None else added.select("path").unionByName(removed.select("path"))
+        gone, fresh = gone.distinct(), postings(added, self.buckets)
+        hit = self.table.read().join(gone, "path", "left_semi").select("bucket").unionByName(fresh.select("bucket")).distinct()
+        touched = sorted(r[0] for r in hit.collect())  # numbers of buckets
+        self.table.replace(touched, self.table.read(touched).join(gone, "path", "left_anti").unionByName(fresh))
+        return touched
+
+    def drop(self) -> None:
+        self.table.drop()
 
 
 def fingerprint(files: DataFrame) -> DataFrame:

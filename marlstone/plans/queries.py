@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import paths as P
+from marlstone.functions.stage import stage_path, write_stage
 from marlstone.functions.text import matched_keywords, task_terms, token_estimate
 from marlstone.operators import budget, changes, edges, graph, history, index, ranking, search, topology
 from marlstone.plans import literals
@@ -342,9 +343,9 @@ TOKEN_EDGES = SYMBOLS + """, defs AS (SELECT DISTINCT language, name, path FROM
 
 def _token_symbols(spark, sf_dir):
     """Every reference counts as the name's import, so that names resolve across files."""
-    s = T.symbols(spark, sf_dir)
+    s, _ = write_stage(T.symbols(spark, sf_dir), "tokens")  # texts are cut into tokens once
     imports = s.filter("role = 'reference'").dropDuplicates(["path", "name"]).withColumn("ord", F.lit(-1).cast("long")).withColumn("role", F.lit("definition")).withColumn("kind", F.lit("import")).withColumn("evidence", F.lit("import"))
-    return s.unionByName(imports)
+    return write_stage(s.unionByName(imports), "symbols")[0]
 
 
 def _token_questions(symbols):
@@ -535,10 +536,27 @@ def trigram_postings(spark, sf_dir):
     return index.trigram_counts(T.files(spark, sf_dir))
 
 
+def _found(spark, ix, text):
+    found, _ = write_stage(ix.search(text), "found")
+    ix.drop()
+    return found
+
+
 @query(f"WITH {FILES} SELECT path FROM files WHERE contains({LOWER.format('text')}, 't hehely')")
 def trigram_search(spark, sf_dir):
-    f = T.files(spark, sf_dir)
-    return index.search_index(index.postings(f), f, "T Hehely")
+    """A text found by positions in a stored index alone; short texts have no trigram."""
+    ix = index.StoredIndex(spark, stage_path(spark, "trigrams"), buckets=32)
+    ix.create(T.files(spark, sf_dir))
+    return _found(spark, ix, "T Hehely")
+
+
+@query(f"WITH {FILES} SELECT path FROM files WHERE contains({LOWER.format('text')}, 'that in') AND doc_id % 100 <> 9")
+def trigram_updated(spark, sf_dir):
+    """An index from which some files were missing, some had another text and some are gone since, brought up to date."""
+    f, ix = T.files(spark, sf_dir), index.StoredIndex(spark, stage_path(spark, "trigrams"), buckets=32)
+    ix.create(f.filter("doc_id % 100 <> 7").withColumn("text", F.when(F.col("doc_id") % 100 == 8, "that in another text").otherwise(F.col("text"))))
+    ix.update(f.filter("doc_id % 100 in (7, 8)"), f.filter("doc_id % 100 = 9"))
+    return _found(spark, ix, "That In")
 
 
 @query(f"""WITH {BUGS}, joined AS (

@@ -266,15 +266,35 @@ def test_snapshot_and_retention(spark):
     assert {tuple(r) for r in changes.snapshot_check(a, b).collect()} == {("new", "x"), ("gone", "z")}
 
 
-def test_trigrams(spark):
-    f = spark.createDataFrame([("a", "abcabc"), ("b", "xabCab"), ("c", "ab"), ("d", "bcab")], "path string, text string")
+def test_trigrams(spark, tmp_path):
+    texts = {"a": "abcabc", "b": "xabCab", "c": "ab", "d": "bcab", "e": None, "f": "aaaaab", "g": "ébcÉab", "h": "abc-bca-cab"}
+    f = spark.createDataFrame(list(texts.items()), "path string, text string")
     ix = index.postings(f)
-    assert ix.filter("path = 'a'").filter(F.col("trigram") == F.lit(b"abc")).first()["positions"] == [0, 3]
-    find = lambda q: sorted(r["path"] for r in index.search_index(ix, f, q).collect())
-    assert find("ABCA") == ["a", "b"] and find("ab") == [] and find("bcab") == ["a", "b", "d"]
-    assert index.remove_from_index(ix, f.filter("path = 'a'")).filter("path = 'a'").count() == 0
-    new = f.filter("path = 'b'").withColumn("text", F.lit("zzz"))
-    assert index.add_to_index(ix, new).filter("path = 'b'").count() == 1
+    gram = lambda t: int.from_bytes(t.encode(), "big")
+    assert ix.filter(f"path = 'a' and trigram = {gram('abc')}").first()["positions"] == [0, 3]
+    assert ix.filter(f"path = 'f' and trigram = {gram('aaa')}").first()["positions"] == [0, 1, 1]
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    for q in ("ABCA", "ab", "bcab", "aaab", "aaaa", "bc\u00c9a", "abcab", "nothing", ""):
+        want = sorted(p for p, t in texts.items() if t and len(q.encode()) > 2 and lower(q) in lower(t))
+        assert sorted(r["path"] for r in index.find_in_postings(ix, q).collect()) == want, q
+
+
+def test_stored_trigrams_rewrite_touched_buckets_only(spark, tmp_path):
+    f = spark.createDataFrame([(f"p{k}", f"text {k} of many words {k * 7919}") for k in range(50)] + [("q", "zzz yyy")], "path string, text string")
+    ix = index.StoredIndex(spark, str(tmp_path / "ix"), buckets=256)
+    made = ix.create(f)
+    find = lambda q: sorted(r["path"] for r in ix.search(q).collect())
+    assert len(find("many WORDS")) == 50 and find("zz y") == ["q"]
+    old, new = ({g % 256 for g in index._grams(t).tolist()} for t in ("zzz yyy", "zzz xxx"))
+    touched = ix.update(spark.createDataFrame([("q", "zzz xxx")], "path string, text string"))
+    assert set(touched) == old | new and len(touched) < len(made) / 5
+    assert find("zz y") == [] and find("zz x") == ["q"] and len(find("many words")) == 50
+    gone = spark.createDataFrame([("q",), ("p3",)], "path string")
+    ix.update(f.limit(0), gone)
+    assert find("zzz") == [] and len(find("many words")) == 49
+    assert {r["path"] for r in ix.table.read().select("path").distinct().collect()} == {f"p{k}" for k in range(50) if k != 3}
+    counts = {r["trigram"]: r["files"] for r in index.trigram_counts(f).collect()}
+    assert counts["7a7a7a"] == 1 and counts["657874"] == 50
 
 
 def test_topology(spark):
