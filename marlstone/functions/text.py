@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -85,6 +85,12 @@ def seeds(values: list[str]) -> list[str]:
     return list(kept.values())
 
 
+def seed_rows(rows: DataFrame, value: Column, order: Column) -> DataFrame:
+    """``(key, seed)`` of a table's seeds as in ``seeds``; of equal ones the first in an order stands."""
+    own = rows.select(strip_space(value).alias("v"), order.alias("o")).filter("v <> ''")
+    return own.groupBy(ascii_lower(F.col("v")).alias("key")).agg(F.min_by("v", "o").alias("seed"))
+
+
 def token_estimate(c: Column) -> Column:
     """A quarter of the characters, rounded up, at least one."""
     return F.greatest(F.lit(1), F.ceil(F.length(c) / 4)).cast("long")

@@ -43,28 +43,46 @@ def skip_greedy(df: DataFrame, order: list[Column], cost: Column, budget: int) -
     return taken_while_fitting(df.withColumn("__cost", cost.cast("long")), order, "__cost", budget).drop("__cost")
 
 
-def taken_while_fitting(rows: DataFrame, order: list[Column], cost: str, budget: int, portion: int = 4096) -> DataFrame:
+def taken_while_fitting(rows: DataFrame, order: list[Column], cost: str, budget: int) -> DataFrame:
     """The rows that a fold over the whole table takes: each whose cost fits what is left.
 
-    The table is sorted once, distributed, and written with a place for each row.
-    A cost that doesn't fit now never will, so each step filters those out, takes
-    the first ``portion`` of the rest in order, and folds their places and costs on
-    the driver: two numbers a row, for at most ``portion`` rows a step.  A step
-    takes a row at least; the work ends when nothing fits.
+    The table is sorted once, distributed, and written with a place for each row.  Rounds of running totals then stand
+    in for the fold (``fitting_rounds``); what they took is a condition on place and cost, so no row passes the driver.
+    A cost of nothing or less always fits and takes nothing.
     """
     ranked, _ = write_stage(rows.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()), "ranked")
-    left, after, taken = budget, -1, []
-    while True:
-        step = ranked.filter((F.col("__place") > after) & F.col(cost).between(1, left)).orderBy("__place").limit(portion).select("__place", cost).collect()
-        for at, n in step:
-            if n <= left:
-                left -= n
-                taken.append(at)
-        if len(step) < portion:
+    taken = F.col(cost) <= 0
+    for after, stop, left, large in fitting_rounds(ranked, cost, budget):
+        inside = (F.col("__place") > after) & (F.col(cost) > 0) & (F.col(cost) * 2 <= left)
+        taken |= inside if stop is None else inside & (F.col("__place") <= stop)
+        if large:
+            taken |= F.col("__place") == stop
+    return ranked.filter(taken).drop("__place")
+
+
+def fitting_rounds(ranked: DataFrame, cost: str, budget: int) -> list[tuple[int, int | None, int, bool]]:
+    """``(after, stop, left, large)`` of rounds over rows with a ``__place``: each takes the rows after a place up to another that cost at most half of what is left, and the row at ``stop`` too if it is ``large``.
+
+    Rows that cost over half of what is left can be taken once a round at most; the first that fits beside the
+    small ones before it ends the round, as does the small row at which half is used.  Either halves what is
+    left, so there are at most as many rounds as the budget has bits.  The driver holds a place and a sum.
+    """
+    out, after, left = [], -1, budget
+    while left > 0:
+        small = F.when(F.col(cost) * 2 <= left, F.col(cost)).otherwise(0)
+        some = ranked.filter((F.col("__place") > after) & F.col(cost).between(1, left)).select("__place", F.col(cost).alias("n"), small.alias("small"), F.shiftright("__place", 33).alias("part"))
+        parts = some.groupBy("part").agg(F.sum("small").alias("sum"))
+        offsets = parts.select("part", F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))  # a row a partition
+        inside = F.coalesce(F.sum("small").over(Window.partitionBy("part").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        used = F.col("offset") + F.col("inside") + F.col("n")
+        ends = F.when(F.col("small") > 0, used * 2 > left).otherwise(used <= left)
+        stop = some.withColumn("inside", inside).join(F.broadcast(offsets), "part").filter(ends).agg(F.min(F.struct("__place", used.alias("used"), (F.col("small") == 0).alias("large"))).alias("stop")).first()["stop"]
+        if stop is None:
+            out.append((after, None, left, False))
             break
-        after = step[-1][0]
-    places = rows.sparkSession.createDataFrame([(p,) for p in taken], "__place long")
-    return ranked.filter(F.col(cost) <= 0).unionByName(ranked.filter(F.col(cost) > 0).join(places, "__place", "left_semi").select(*ranked.columns)).drop("__place")
+        out.append((after, stop["__place"], left, stop["large"]))
+        after, left = stop["__place"], left - stop["used"]
+    return out
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:

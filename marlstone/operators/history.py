@@ -28,6 +28,13 @@ def changes_in(commits: DataFrame, commit_paths: DataFrame, now: int, days: int,
     return commit_paths.filter(in_scope(F.col("path"), scope)).join(some, "id")
 
 
+def commits_in_scope(commits: DataFrame, commit_paths: DataFrame, scope: str = ".") -> DataFrame:
+    """Commits that change a path of a scope; all of them in the whole tree.  Every signal of a scope is that of these commits."""
+    if scope == ".":
+        return commits
+    return commits.join(commit_paths.filter(in_scope(F.col("path"), scope)).select("id").distinct(), "id", "left_semi")
+
+
 def churn(commits: DataFrame, commit_paths: DataFrame, now: int, days: int, scope: str = ".") -> DataFrame:
     return changes_in(commits, commit_paths, now, days, scope).groupBy("path").agg(F.count("*").alias("commits"))
 

@@ -9,7 +9,6 @@ from marlstone.functions import paths as P
 from marlstone.functions.stage import stage_path, write_stage
 from marlstone.functions.text import matched_keywords, task_terms, token_estimate
 from marlstone.operators import budget, changes, edges, graph, history, index, ranking, search, topology
-from marlstone.plans import literals
 from marlstone.plans import tables as T
 from marlstone.plans.registry import QUERIES, SQL, query
 
@@ -638,7 +637,3 @@ SELECT id, repo FROM w WHERE n <= 8 AND total <= 1000000""")
 def cache_retention(spark, sf_dir):
     r = T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("repo"), F.col("o_orderdate").alias("modified"), F.round("o_totalprice").cast("long").alias("bytes"))
     return budget.retention(r, "repo", 8, 1_000_000).select("id", "repo")
-
-
-QUERIES.update(literals.QUERIES)
-SQL.update(literals.SQL)

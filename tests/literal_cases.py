@@ -1,9 +1,4 @@
-"""Registered queries over small literal tables, each with the rows that it must give.
-
-What these operators mean hangs on cases rather than on size: which rule wins,
-how ties fall, what a limit leaves out.  So the tables are written out, and the
-SQL is the expected result, set down by hand from the meaning of each operator.
-"""
+"""Small tables for operators whose meaning hangs on cases, with the rows expected, set down by hand."""
 
 from __future__ import annotations
 
@@ -17,30 +12,15 @@ from marlstone.functions import text as X
 from marlstone.functions.stage import write_stage
 from marlstone.operators import budget, changes, edges, graph, history, ranking, relationships, reports, search, topology
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def _literal(value) -> str:
-    if value is None:
-        return "NULL"
-    if isinstance(value, bool):
-        return str(value).lower()
-    if isinstance(value, int | float):
-        return repr(value)
-    text = str(value).replace("'", "''")
-    return f"'{text}'"
+CASES: dict[str, tuple[Callable[[SparkSession], DataFrame], list[str], list[tuple]]] = {}
 
 
 def case(columns: str, rows: list[tuple]):
-    """Register a query with its expected rows; ``columns`` as ``name type`` pairs of SQL types."""
-    named = [c.split() for c in columns.split(", ")]
+    """Keep a function with its expected rows; ``columns`` as ``name type`` pairs."""
+    names = [c.split()[0] for c in columns.split(", ")]
 
     def add(f):
-        head = ", ".join(f'CAST(c{k} AS {t}) AS "{n}"' for k, (n, t) in enumerate(named))
-        body = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark)
-        SQL[f.__name__] = f"SELECT {head} FROM (VALUES {body}) AS t({', '.join(f'c{k}' for k in range(len(named)))})"
+        CASES[f.__name__] = f, names, rows
         return f
 
     return add
@@ -351,15 +331,6 @@ def edges_by_tier(spark):
     return _edges(spark).select("source", "target", "symbol", "ambiguous", F.col("resolution_reason").alias("reason"), "confidence", F.col("target_visibility").alias("visibility"), F.array_join("candidates", "|").alias("candidates"))
 
 
-def candidate_groups(spark):
-    """Every edge has the group of its file, name, reason and candidates."""
-    return _edges(spark).select("source", "symbol", "candidate_group").distinct()
-
-
-QUERIES["candidate_groups"] = lambda spark, sf_dir: candidate_groups(spark)
-SQL["candidate_groups"] = """SELECT DISTINCT source, symbol, source || ':' || symbol || ':' || reason || ':' || sha256(replace(c, '|', chr(0))) AS candidate_group FROM (VALUES """ + ", ".join(f"('{r[0]}', '{r[2]}', '{r[4]}', '{r[7]}')" for r in EDGES) + ") AS t(source, symbol, reason, c)"
-
-
 NODE = {
     "read_call": "symbol:src/app.ts:4:3:4:3:reference:function:read", "read_import": "symbol:src/app.ts:1:1:1:1:definition:import:read", "start": "symbol:src/app.ts:3:1:3:1:definition:function:start", "start_call": "symbol:src/app.ts:6:1:6:1:reference:function:start",
     "parse": "symbol:src/util.ts:1:1:1:1:definition:function:parse", "test_import": "symbol:tests/app.ts:1:1:1:1:definition:import:start", "test_call": "symbol:tests/app.ts:3:1:3:1:reference:function:start",

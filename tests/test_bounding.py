@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import bounding as B
+from marlstone.operators import budget
 
 
 def text_of(report):
@@ -104,3 +105,35 @@ def test_places_and_totals_over_many_partitions(spark):
     assert sorted((r["place"], r["id"]) for r in got.collect()) == [(k, k) for k in range(1000)]
     got, _ = B.running_total(rows, [F.asc("id")], "id")
     assert sorted((r["id"], r["before"]) for r in got.collect()) == [(k, k * (k - 1) // 2) for k in range(1000)]
+
+
+def plain_fold(costs, left):
+    out = []
+    for k, c in enumerate(costs):
+        if c <= 0:
+            out.append(k)
+        elif c <= left:
+            left -= c
+            out.append(k)
+    return out
+
+
+@pytest.mark.parametrize(("seed", "scale", "left"), [(1, 50, 1000), (2, 5000, 4000), (3, 3, 10**9), (4, 1 << 24, 64 << 20)])
+def test_skip_greedy_equals_a_fold(spark, seed, scale, left):
+    rng = random.Random(seed)
+    costs = [rng.choice([rng.randrange(-1, 3), rng.randrange(scale), int(scale ** rng.random())]) for _ in range(700)]
+    rows = spark.createDataFrame(list(enumerate(costs)), "k int, c long").repartition(5)
+    got = sorted(r["k"] for r in budget.skip_greedy(rows, [F.asc("k")], F.col("c"), left).collect())
+    assert got == plain_fold(costs, left)
+
+
+def test_rounds_are_bounded_by_the_bits_of_the_budget(spark):
+    # Small rows with large ones between them that just don't fit: a round a pair, if rounds ended at each misfit.
+    costs, left = [], 1 << 12
+    for _ in range(300):
+        costs += [10, max(1, left - 5)]
+        left -= 10
+        if left < 20:
+            break
+    ranked = spark.createDataFrame(list(enumerate(costs)), "k long, c long").coalesce(1).withColumn("__place", F.monotonically_increasing_id())
+    assert len(budget.fitting_rounds(ranked, "c", 1 << 12)) <= 13

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__
-from marlstone.plans.queries import QUERIES, SQL
+from marlstone.plans.registered import QUERIES, SQL
 from tests.oracle import connect, rows_of_spark, rows_of_sql
 
 
