@@ -49,6 +49,8 @@ EDIT_SHARE = 15
 BLOCK_BYTES, PASS_BYTES = 500_000, 32 << 20
 #: Normalised document bytes that are searched at once, and that meet each block where there are several.
 BYTES_AT_ONCE, BYTES_HELD = 1 << 20, 8 << 20
+#: Bytes that two pieces of a long text share, more than a passage with its edits takes.
+OVERLAP = 1 << 10
 _TABLE_BITS = 22
 _WORD = re.compile(r"\w+")
 
@@ -177,6 +179,30 @@ def find_short(texts: list[bytes], short: dict[bytes, list[int]]) -> list[tuple[
     return found
 
 
+def _portions(text: bytes) -> Iterator[tuple[int, bytes]]:
+    """``(begin, piece)`` of a long text: pieces of ``BYTES_AT_ONCE`` that overlap by more than any match."""
+    for begin in range(0, max(1, len(text) - OVERLAP), BYTES_AT_ONCE):
+        yield begin, text[begin : begin + BYTES_AT_ONCE + OVERLAP]
+
+
+def find_everywhere(texts: list[bytes], index: PassageIndex) -> list[tuple[int, int, int, int, int]]:
+    """As ``find_passages``; a text of over ``BYTES_AT_ONCE`` and ``OVERLAP`` bytes is searched piece by piece, so memory doesn't hang on its length."""
+    usual = [t if len(t) <= BYTES_AT_ONCE + OVERLAP else b"" for t in texts]
+    found = find_passages(usual, index) if any(usual) else []
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for k, text in enumerate(texts):
+        if usual[k] or not text:
+            continue
+        for begin, piece in _portions(text):
+            for _, item, s, e, d in find_passages([piece], index):
+                cut = (s == 0 and begin and text[begin - 1] != 32) or (e == len(piece) and begin + e < len(text) and text[begin + e] != 32)
+                if cut and e - s < Q:  # part of a word
+                    continue
+                value = (d, begin + s, begin + e)
+                best[k, item] = min(best.get((k, item), value), value)
+    return sorted(found + [(t, item, s, e, d) for (t, item), (d, s, e) in best.items()])
+
+
 def find_passages(texts: list[bytes], index: PassageIndex) -> list[tuple[int, int, int, int, int]]:
     """``(text, item, start, end, edits)`` of the best match of each item in each text."""
     short = find_short(texts, index.short) if index.short else []
@@ -265,7 +291,7 @@ class Search:
 
     def __call__(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         if self.only is not None:
-            return find_passages(texts, self.only)
+            return find_everywhere(texts, self.only)
         found, cuts, held = [], [0], 0
         for k, t in enumerate(texts):
             held += len(t)
@@ -275,7 +301,7 @@ class Search:
         for block in self.blocks:
             index = build_index(block)
             for a, b in zip(cuts, cuts[1:], strict=False):
-                found += [(r[0] + a, *r[1:]) for r in find_passages(texts[a:b], index)]
+                found += [(r[0] + a, *r[1:]) for r in find_everywhere(texts[a:b], index)]
         return sorted(found)
 
 
@@ -287,7 +313,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ties.  Null and empty texts and items and items without an id match nothing;
     items shorter than ``Q`` bytes match whole words without an edit; repeated rows
     are reported each; an empty table on either side gives no row.  A very long text
-    is searched whole; it meets the index on its own.
+    is searched whole, in pieces that overlap.
     """
     spark = docs.sparkSession
     import_on_workers(spark)

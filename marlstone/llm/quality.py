@@ -134,7 +134,9 @@ def _key(*parts: Column) -> Column:
 def frequent_lines(docs: DataFrame, rules: QualityRules) -> DataFrame:
     """``(host, line)`` hashes of the lines that too many distinct texts of a host hold; a null text is an empty one."""
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    texts = docs.select(F.xxhash64("host").alias("host"), F.xxhash64("text").alias("print"), F.explode(F.array_distinct(F.transform(normalised_lines(F.col("text")), lambda x: F.xxhash64(x)))).alias("line"))
+    # Digests of a text are made before its lines are rows: beside an explode they would be made for each line.
+    texts = docs.select(F.xxhash64("host").alias("host"), F.xxhash64("text").alias("print"), F.array_distinct(F.transform(normalised_lines(F.col("text")), lambda x: F.xxhash64(x))).alias("lines"))
+    texts = texts.select("host", "print", F.explode("lines").alias("line"))
     held = texts.groupBy("host", "line").agg(F.count_distinct("print").alias("n"))
     hosts = docs.groupBy(F.xxhash64("host").alias("host")).agg(F.count_distinct(F.xxhash64("text")).alias("of"))
     return held.filter(F.col("n") > rules.line_min_docs).join(hosts, "host").filter(100 * F.col("n") > rules.line_host_percent * F.col("of")).select("host", "line")
@@ -182,7 +184,8 @@ def apply_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> Data
     changes = verdicts.select(F.col("key").alias(key), F.col("kept").alias(kept), F.col("lost_lines").alias(lost)).dropDuplicates([key])
     marked = docs.withColumn(key, _key(F.col("doc_id"), F.col("source"), F.col("text")))
     passed = marked.join(changes, key, "left").filter(F.coalesce(kept, F.lit(True)))
-    left = F.array_join(F.filter(all_lines(F.col("text")), lambda x, k: ~F.array_contains(lost, k)), "\n")
+    # Numbers of lines are set apart by hash, so the cut is linear in them.
+    left = let(all_lines(F.col("text")), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(lost)), lambda k: F.get(ls, k)), "\n"))
     cut = passed.withColumn("text", F.when(F.col(lost).isNull(), F.col("text")).otherwise(left))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col(lost).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

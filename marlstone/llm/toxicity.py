@@ -254,13 +254,16 @@ class Scorer:
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
     """Up to ``rows`` labelled whole texts of each class, by the order of a hash of the id.
 
-    A document labelled both ways counts as toxic; null labels and ids don't count.
+    A document labelled both ways counts as toxic; null labels and ids don't count.  Of rows that share
+    an id the text with the least digest stands.
     """
     voted = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [r for y in (0, 1) for r in voted.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]
     ids = docs.sparkSession.createDataFrame([(int(r["doc_id"]), int(r["toxic"])) for r in chosen], "doc_id long, toxic int")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")  # 2 * rows ids at most
-    return [(r["text"] or "", r["toxic"]) for r in found.dropDuplicates(["doc_id"]).orderBy("doc_id").collect()]
+    text = F.coalesce("text", F.lit(""))
+    one = found.groupBy("doc_id", "toxic").agg(F.min_by(text, F.struct(F.xxhash64(text), text)).alias("text"))
+    return [(r["text"], r["toxic"]) for r in one.orderBy("doc_id").collect()]
 
 
 def score_documents(docs: DataFrame, p: dict[str, np.ndarray]) -> DataFrame:

@@ -85,7 +85,9 @@ def parse_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes
     """``(offset, length, headers, body)`` of the records in a file's bytes, unpacked where needed.
 
     Offsets are those of the uncompressed stream.  Reading ends at the first
-    bytes that are no record; a record cut short has a shorter body.
+    bytes that are no record; a record cut short has a shorter body.  A record whose
+    length is missing a number, or is below nothing, ends it too: it and all that follows are one record
+    of the type ``damaged``, without a body.
     """
     data = plain_bytes(data)
     at = 0
@@ -95,7 +97,11 @@ def parse_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes
             return
         lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        size = int(headers.get("content-length") or 0)
+        said = headers.get("content-length") or "0"
+        if not (said.isascii() and said.isdigit()):
+            yield at, len(data) - at, headers | {"warc-type": "damaged"}, b""
+            return
+        size = int(said)
         stop = min(len(data), end + 4 + size + 4)
         yield at, stop - at, headers, data[end + 4 : end + 4 + size]
         at = stop
