@@ -6,6 +6,8 @@ committer_seconds, is_merge)`` and ``commit_paths(id, path)``, distinct.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,17 +153,41 @@ def history_weight(churned: DataFrame, bug_overlap: DataFrame, firefighting: Dat
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("path").agg(F.sum("commits").alias("weight"))
 
 
-def observations(commits: DataFrame, contributors_all: DataFrame, contributors_recent: DataFrame, bug_overlap: DataFrame) -> DataFrame:
-    """Statements that the signals support, one row each: ``(kind, detail, value)``."""
-    top = contributors_all.orderBy(F.desc("commits"), F.asc_nulls_first("email"), "name").limit(1)
-    gone = top.join(contributors_recent.select(F.col("email").alias("e")), F.col("email").eqNullSafe(F.col("e")), "left_anti")
-    rows = [
-        busiest_month(commits).select(F.lit("busiest_month").alias("kind"), F.col("month").alias("detail"), F.col("commits").alias("value")),
-        top.select(F.lit("top_contributor").alias("kind"), F.coalesce("email", "name").alias("detail"), F.col("share").alias("value")),
-        gone.select(F.lit("top_contributor_inactive").alias("kind"), F.coalesce("email", "name").alias("detail"), F.col("commits").alias("value")),
-        bug_overlap.agg(F.count("*").alias("n")).filter("n > 0").select(F.lit("bugs_on_churned_paths").alias("kind"), F.lit(None).cast("string").alias("detail"), F.col("n").alias("value")),
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+#: Paths that an observation names, and what makes one worth stating: commits of a path or contributor, months and commits seen (fixed values).
+NAMED_PATHS, FEW_COMMITS, FEW_MONTHS, FEW_SEEN = 3, 2, 2, 3
+
+
+def _first_paths(rows: DataFrame, value: str = "commits") -> DataFrame:
+    """One row with the ``NAMED_PATHS`` most changed paths, most first, and how many paths there are."""
+    top = rows.orderBy(F.desc(value), "path").limit(NAMED_PATHS).agg(F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("n"), "path"))).alias("top"))
+    return top.join(F.broadcast(rows.agg(F.count("*").alias("all"))), how="cross").select(F.transform("top", lambda t: t["path"]).alias("paths"), F.transform("top", lambda t: -t["n"]).alias("counts"), "all")  # one row on both sides
+
+
+def observations(churned: DataFrame, contributors_all: DataFrame, contributors_recent: DataFrame, bug_overlap: DataFrame, bug_paths: DataFrame, commits: DataFrame, fire: DataFrame, commit_paths: DataFrame) -> DataFrame:
+    """Statements that the signals support: ``(kind, paths, detail, value, of)``, one row a kind.
+
+    ``churn`` where a path has two commits or two paths have any; ``contributors``, the first of the recent ones or, if they have too few
+    commits, of all, with two commits at least; ``bug_overlap`` where paths of bug commits are among the
+    changed; ``activity``, the busiest month (the later on ties), from two months and three commits on; ``firefighting`` where there is such a commit.
+    """
+    none, no_paths = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    head = _first_paths(churned).filter((F.coalesce(F.get("counts", F.lit(0)), F.lit(0)) >= FEW_COMMITS) | (F.col("all") >= 2))
+    rows = [head.select(F.lit("churn").alias("kind"), "paths", none.alias("detail"), F.get("counts", F.lit(0)).cast("long").alias("value"), F.col("all").cast("long").alias("of"))]
+
+    both = contributors_recent.withColumn("recent", F.lit(1)).unionByName(contributors_all.withColumn("recent", F.lit(0)))
+    order = F.struct(-F.col("commits"), F.coalesce("email", F.lit("")), "name")
+    sides = both.groupBy("recent").agg(F.min_by(F.struct("commits", F.coalesce("email", "name").alias("who")), order).alias("first"), F.sum("commits").alias("total")).filter(F.col("first.commits") >= FEW_COMMITS)
+    chosen = sides.orderBy(F.desc("recent")).limit(1)
+    rows.append(chosen.select(F.lit("contributors").alias("kind"), no_paths.alias("paths"), F.col("first.who").alias("detail"), F.col("first.commits").cast("long").alias("value"), F.col("total").cast("long").alias("of")))
+
+    bugs = bug_paths.agg(F.count("*").alias("n")).filter("n > 0")
+    rows.append(_first_paths(bug_overlap).filter("all > 0").join(F.broadcast(bugs), how="cross").select(F.lit("bug_overlap").alias("kind"), "paths", none.alias("detail"), F.get("counts", F.lit(0)).cast("long").alias("value"), F.col("all").cast("long").alias("of")))
+
+    months = activity(commits)
+    seen = months.agg(F.max(F.struct("commits", "month")).alias("m"), F.count("*").alias("months"), F.sum("commits").alias("all")).filter((F.col("months") >= FEW_MONTHS) & (F.col("all") >= FEW_SEEN))
+    rows.append(seen.select(F.lit("activity").alias("kind"), no_paths.alias("paths"), F.col("m.month").alias("detail"), F.col("m.commits").cast("long").alias("value"), F.col("all").cast("long").alias("of")))
+
+    touched = commit_paths.join(fire.select("id"), "id").groupBy("path").agg(F.count("*").alias("commits"))
+    number = fire.agg(F.count("*").alias("n")).filter("n > 0")
+    rows.append(_first_paths(touched).join(F.broadcast(number), how="cross").select(F.lit("firefighting").alias("kind"), "paths", none.alias("detail"), F.col("n").cast("long").alias("value"), F.col("all").cast("long").alias("of")))
+    return reduce(DataFrame.unionByName, rows)

@@ -9,13 +9,12 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.paths import ancestors, is_test_path, snippet_role
+from marlstone.functions.paths import ancestors, is_test_path
+from marlstone.functions.stage import write_stage
 from marlstone.functions.text import stable_id, token_estimate
-from marlstone.operators import budget, changes, edges, graph, history, search, topology
+from marlstone.operators import budget, changes, edges, graph, history, reading, search, topology
 
 SCHEMA_VERSION = 1
-#: Purposes of a reading plan in their order (fixed values).
-PURPOSES = ["start_here", "architecture", "runtime", "tests", "supporting_context"]
 
 
 @dataclass(frozen=True)
@@ -56,6 +55,8 @@ class Facts:
     commit_paths: DataFrame
     now: int
     days: int = 365
+    bug_words: tuple[str, ...] = ("fix", "bug", "broken")
+    fire_words: tuple[str, ...] = ("revert", "hotfix", "emergency", "rollback")
 
     def churn(self) -> DataFrame:
         return history.churn(self.commits, self.commit_paths, self.now, self.days)
@@ -102,7 +103,7 @@ def history_report(f: Facts, bug_words: list[str], fire_words: list[str]) -> dic
         "activity": history.activity(f.commits).orderBy("month"),
         "firefighting": history.keyword_commits(f.commits, fire_words, f.now, f.days).orderBy(F.desc("committer_seconds"), "id"),
         "span": history.history_span(f.commits),
-        "observations": history.observations(f.commits, everyone, recent, both),
+        "observations": history.observations(churned, everyone, recent, both, bugs, f.commits, history.keyword_commits(f.commits, fire_words, f.now, f.days), f.commit_paths),
     }
 
 
@@ -130,34 +131,20 @@ def merged_reading(rows: DataFrame) -> DataFrame:
 
 
 def reading_candidates(f: Facts, ranks: DataFrame | None = None) -> DataFrame:
-    """``(purpose, path, score, evidence)``: reasons to read a file; scores of one purpose add up."""
+    """Reasons to read each file of a snapshot, by purpose."""
     ranks = f.ranking() if ranks is None else ranks
-    marks = topology.landmarks(f.files)
-    parts = [
-        marks.select(F.lit("start_here").alias("purpose"), "path", (F.col("priority") * 1_000_000).cast("long").alias("score"), F.concat(F.lit("landmark:"), "kind").alias("evidence")),
-        f.files.filter(snippet_role(F.col("path")) == "entry_point").select(F.lit("runtime").alias("purpose"), "path", F.lit(1_000_000).cast("long").alias("score"), F.lit("entry_point_name").alias("evidence")),
-        ranks.filter("score > 0").select(F.lit("architecture").alias("purpose"), "path", "score", F.lit("graph_centrality").alias("evidence")),
-        edges.reference_counts(f.edges).groupBy(F.col("target").alias("path")).agg((F.sum("references") * 100).cast("long").alias("score")).select(F.lit("architecture").alias("purpose"), "path", "score", F.lit("referenced_definitions").alias("evidence")),
-        f.churn().join(f.files.select("path"), "path", "left_semi").select(F.lit("supporting_context").alias("purpose"), "path", (F.least("commits", F.lit(20)) * 25_000).cast("long").alias("score"), F.lit("recent_changes").alias("evidence")),
-        f.files.filter(is_test_path(F.col("path"))).select(F.lit("tests").alias("purpose"), "path", F.lit(500_000).cast("long").alias("score"), F.lit("test_path").alias("evidence")),
-    ]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("purpose", "path").agg(F.sum("score").alias("score"), F.array_sort(F.collect_set("evidence")).alias("evidence"))
-
-
-def reading_plan(f: Facts, picks: int = 5, ranks: DataFrame | None = None) -> list[dict]:
-    """Up to ``picks`` files in order of purpose, each once: the best of every purpose that no earlier one took."""
-    if not 1 <= picks <= len(PURPOSES):
-        raise ValueError("a plan has one to five picks")
-    best = budget.top_per_key(reading_candidates(f, ranks), ["purpose"], [F.desc("score"), F.asc("path")], len(PURPOSES)).collect()  # 25 rows at most
-    out: list[dict] = []
-    for purpose in PURPOSES:
-        rows = sorted((r for r in best if r["purpose"] == purpose and r["path"] not in {o["path"] for o in out}), key=lambda r: (-r["score"], r["path"]))
-        if rows and len(out) < picks:
-            out.append({"order": len(out) + 1, **rows[0].asDict()})
-    return out
+    ends = f.edges.select(F.col("source").alias("path")).unionByName(f.edges.select(F.col("target").alias("path")))
+    links = ends.groupBy("path").agg(F.count("*").alias("links"))
+    churned = f.churn()
+    bugs = history.overlap(history.keyword_paths(f.commits, f.commit_paths, f.bug_words, f.now, f.days), churned)
+    fire = f.commit_paths.join(history.keyword_commits(f.commits, f.fire_words, f.now, f.days).select("id"), "id").groupBy("path").agg(F.count("*").alias("commits"))
+    return reading.candidates(f.files, ranks, links, topology.landmarks(f.files), topology.project_roots(f.files), churned, bugs, fire)
+
+
+def reading_plan(f: Facts, picks: int = reading.MOST_PICKS, ranks: DataFrame | None = None) -> list[dict]:
+    """Up to ``picks`` files in order of purpose, each once."""
+    found, _ = write_stage(reading_candidates(f, ranks), "reading")
+    return reading.plan(found, topology.project_roots(f.files), picks)
 
 
 def orient(f: Facts) -> dict:
