@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.stage import write_stage
+
 
 def tree_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """``(path, kind, before_oid, after_oid)`` of paths that differ: both sides ``(path, oid)``."""
@@ -15,6 +17,49 @@ def tree_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("path", kind.alias("kind"), "before_oid", "after_oid")
 
 
+def tree_entries(tree: DataFrame) -> DataFrame:
+    """``(path, parent, depth, file, digest)`` of the files ``(path, oid)`` of a tree and of all its folders.
+
+    A folder's digest says what lies below it, in any order: counts and sums of hashes, so that tasks
+    add it up in parts.  Equal digests are equal subtrees but for collisions of 128 bits.
+    """
+    parts = F.split("path", "/", -1)
+    depth = F.size(parts)
+    above = F.when(depth > 1, F.sequence(F.lit(1), depth - 1)).otherwise(F.array().cast("array<int>"))
+    up = lambda k: F.array_join(F.slice(parts, 1, k), "/")
+    files = tree.select("path", up(depth - 1).alias("parent"), depth.alias("depth"), F.lit(True).alias("file"), F.col("oid").cast("string").alias("digest"))
+    h = F.xxhash64("path", F.coalesce(F.col("oid").cast("string"), F.lit("")))
+    held = tree.select(F.explode(F.transform(above, lambda k: F.struct(up(k).alias("path"), up(k - 1).alias("parent"), k.alias("depth")))).alias("f"), h.alias("h"), F.xxhash64(h, F.lit(1)).alias("g"))
+    digest = F.concat_ws(":", F.count("*"), F.sum(F.col("h").cast("decimal(38,0)")), F.bit_xor("g"))
+    folders = held.groupBy("f").agg(digest.alias("digest")).select("f.path", "f.parent", "f.depth", F.lit(False).alias("file"), "digest")
+    return files.unionByName(folders)
+
+
+def pruned_diff(before: DataFrame, after: DataFrame, levels: list[int] | None = None) -> DataFrame:
+    """``tree_diff`` of two tables of ``tree_entries``, level by level, going down only where folders differ.
+
+    Each level meets only the entries of folders that differ, so the joins stay near what changed however
+    large the trees are.  ``levels``, where given, gets the number of entries met at each level.
+    Tables stored by ``depth`` are read level by level as well.
+    """
+    spark, depth, out = before.sparkSession, 1, None
+    frontier = spark.createDataFrame([("",)], "parent string")
+    while True:
+        a, b = (t.filter(F.col("depth") == depth).join(frontier, "parent", "left_semi").select("path", "file", F.col("digest").alias(c)) for t, c in ((before, "before_oid"), (after, "after_oid")))
+        met, _ = write_stage(a.join(b, ["path", "file"], "full_outer"), "level")
+        if levels is not None:
+            levels.append(met.count())
+        differ = met.filter(~F.col("before_oid").eqNullSafe(F.col("after_oid")))
+        files = differ.filter("file").select("path", "before_oid", "after_oid")
+        out = files if out is None else out.unionByName(files)
+        frontier = differ.filter(~F.col("file")).select(F.col("path").alias("parent")).distinct()
+        if frontier.isEmpty():
+            break
+        depth += 1
+    kind = F.when(F.col("before_oid").isNull(), "added").when(F.col("after_oid").isNull(), "deleted").otherwise("modified")
+    return out.select("path", kind.alias("kind"), "before_oid", "after_oid")
+
+
 def detect_renames(diff: DataFrame) -> DataFrame:
     """Changes with exact renames: the n-th deleted path of a content goes with its n-th added one, by path order.
 

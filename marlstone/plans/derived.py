@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
-from marlstone.operators import budget, edges, graph, history, ranking, reports, search, topology
+from marlstone.functions.stage import write_stage
+from marlstone.operators import budget, changes, edges, graph, history, ranking, reports, search, topology
 from marlstone.operators.bounding import placed
 from marlstone.plans import tables as T
 from marlstone.plans.queries import BUGS, CHURN, CLASSED, COMMITS, FILES, NAMED, SYMBOLS, TOKEN_EDGES, WINDOW_DAYS, _named, _token_edges, _word_sql
@@ -185,3 +186,16 @@ def ordinals(spark, sf_dir):
 @query("SELECT count(*) AS total, least(count(*), 100) AS returned, count(*) > 100 AS truncated, CASE WHEN count(*) > 100 THEN 'collection_limit' END AS reason FROM documents")
 def collection_summaries(spark, sf_dir):
     return budget.collection_summary(T.files(spark, sf_dir), 100)
+
+
+SOME_CHANGED = f"""WITH {COMMITS}, before AS (SELECT path, 'v' || size AS oid FROM part_paths WHERE p_partkey % 401 <> 5), after AS (SELECT path, CASE WHEN p_partkey % 499 = 7 THEN 'new' ELSE 'v' || size END AS oid FROM part_paths WHERE p_partkey % 601 <> 9)"""
+
+
+@query(SOME_CHANGED + """ SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'deleted' ELSE 'modified' END AS kind, b.oid AS before_oid, a.oid AS after_oid
+FROM before b FULL JOIN after a ON a.path = b.path WHERE b.oid IS DISTINCT FROM a.oid""")
+def tree_diff_pruned(spark, sf_dir):
+    """Two trees that differ in a few files, met only in folders whose digests differ."""
+    p, oid = T.part_paths(spark, sf_dir), F.concat(F.lit("v"), "size")
+    before = changes.tree_entries(p.filter("p_partkey % 401 <> 5").select("path", oid.alias("oid")))
+    after = changes.tree_entries(p.filter("p_partkey % 601 <> 9").select("path", F.when(F.col("p_partkey") % 499 == 7, "new").otherwise(oid).alias("oid")))
+    return changes.pruned_diff(write_stage(before, "before")[0], write_stage(after, "after")[0])

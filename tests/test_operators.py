@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,6 +299,25 @@ def test_stored_trigrams_rewrite_touched_buckets_only(spark, tmp_path):
     assert counts["7a7a7a"] == 1 and counts["657874"] == 50
 
 
+def test_pruned_diff_meets_changed_folders_only(spark):
+    rng = random.Random(2)
+    tree = {f"d{rng.randrange(8)}/e{rng.randrange(8)}/f{rng.randrange(4)}/x{k}": str(k) for k in range(600)} | {"top": "1", "a": "file", "b/c": "2"}
+    after = dict(tree)
+    after["top"] = "other"
+    del after["a"]
+    after["a/now/a/folder"] = "3"
+    del after["b/c"]
+    gone, changed = sorted(tree)[40], sorted(tree)[300]
+    del after[gone]
+    after[changed] = "new"
+    one = lambda t: changes.tree_entries(spark.createDataFrame(list(t.items()), "path string, oid string"))
+    met = []
+    got = {(r["path"], r["kind"], r["before_oid"], r["after_oid"]) for r in changes.pruned_diff(one(tree), one(after), met).collect()}
+    want = {(p, "added" if p not in tree else "deleted" if p not in after else "modified", tree.get(p), after.get(p)) for p in tree.keys() | after.keys() if tree.get(p) != after.get(p)}
+    assert got == want and sum(met) < 100
+    assert changes.pruned_diff(one(tree), one(tree)).count() == 0
+
+
 def test_topology(spark):
     f = spark.createDataFrame([("package.json", "tracked"), ("a/Cargo.toml", "tracked"), ("a/go.mod", "modified"), ("a/src/x.rs", "tracked"), ("README.md", "untracked"), ("a/tests/t.rs", "modified")], "path string, worktree_state string")
     roles = spark.createDataFrame([("package.json", "workspace")], "path string, role string")
