@@ -165,10 +165,13 @@ def cached(files: DataFrame, cache: DataFrame, pack: str) -> tuple[DataFrame, Da
     return files.join(own, ["path", "fingerprint"]), files.join(own, ["path", "fingerprint"], "left_anti")
 
 
-def index_status(manifest: dict | None, identity: dict, schema: int) -> str:
-    """``missing``, ``incompatible``, ``stale`` or ``hit`` of a stored index by its manifest row."""
-    if manifest is None:
-        return "missing"
-    if manifest.get("schema") != schema:
-        return "incompatible"
-    return "hit" if all(manifest.get(k) == v for k, v in identity.items()) else "stale"
+def cached_manually(files: DataFrame, cache: DataFrame, pack: str) -> DataFrame:
+    """``files(path, fingerprint)`` with the newest cache record of their path, and ``state``: ``hit``, ``stale`` or ``miss``.
+
+    In manual mode the newest record stands (by ``created``, then ``modified``, then the smallest ``id``), whatever it was
+    made from; one of another fingerprint is stale.  ``record`` holds its columns, null for a miss.
+    """
+    own = cache.filter(F.col("pack") == pack)
+    newest = own.groupBy("path").agg(F.max_by(F.struct(*(c for c in own.columns if c not in ("path", "pack"))), F.struct("created", "modified", (-F.col("id")).alias("i"))).alias("record"))
+    state = F.when(F.col("record").isNull(), "miss").when(F.col("record.fingerprint") == F.col("fingerprint"), "hit").otherwise("stale")
+    return files.join(newest, "path", "left").withColumn("state", state)

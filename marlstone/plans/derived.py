@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
 from marlstone.functions.stage import write_stage
-from marlstone.operators import budget, changes, edges, graph, history, ranking, reports, search, topology
+from marlstone.operators import budget, changes, edges, graph, history, index, ranking, reports, search, topology
 from marlstone.operators.bounding import placed
 from marlstone.plans import tables as T
 from marlstone.plans.queries import BUGS, CHURN, CLASSED, COMMITS, FILES, NAMED, SYMBOLS, TOKEN_EDGES, WINDOW_DAYS, _named, _token_edges, _word_sql
@@ -199,3 +199,17 @@ def tree_diff_pruned(spark, sf_dir):
     before = changes.tree_entries(p.filter("p_partkey % 401 <> 5").select("path", oid.alias("oid")))
     after = changes.tree_entries(p.filter("p_partkey % 601 <> 9").select("path", F.when(F.col("p_partkey") % 499 == 7, "new").otherwise(oid).alias("oid")))
     return changes.pruned_diff(write_stage(before, "before")[0], write_stage(after, "after")[0])
+
+
+@query(f"""WITH {FILES}, own AS (SELECT path, doc_id, sha256(text) AS fingerprint FROM files), records AS (
+  SELECT doc_id * 4 AS id, path, fingerprint, doc_id % 3 AS created, 1 AS modified FROM own WHERE doc_id % 5 <> 4
+  UNION ALL SELECT doc_id * 4 + 1, path, 'older', 1, doc_id % 2 FROM own WHERE doc_id % 7 <> 6
+), newest AS (SELECT path, arg_max(id, (created, modified, -id)) AS id, arg_max(fingerprint, (created, modified, -id)) AS print FROM records GROUP BY path)
+SELECT path, CASE WHEN n.id IS NULL THEN 'miss' WHEN print = fingerprint THEN 'hit' ELSE 'stale' END AS state, n.id AS record FROM own LEFT JOIN newest n USING (path)""")
+def cache_states(spark, sf_dir):
+    """Files against the newest record of each, of the text as it is or as it was."""
+    own = T.files(spark, sf_dir).select("path", "doc_id", F.sha2("text", 256).alias("fingerprint"))
+    fresh = own.filter("doc_id % 5 <> 4").select((F.col("doc_id") * 4).alias("id"), "path", "fingerprint", (F.col("doc_id") % 3).alias("created"), F.lit(1).cast("long").alias("modified"))
+    old = own.filter("doc_id % 7 <> 6").select((F.col("doc_id") * 4 + 1).alias("id"), "path", F.lit("older").alias("fingerprint"), F.lit(1).cast("long").alias("created"), (F.col("doc_id") % 2).alias("modified"))
+    cache = fresh.unionByName(old).withColumn("pack", F.lit("text-v1"))
+    return index.cached_manually(own.select("path", "fingerprint"), cache, "text-v1").select("path", "state", F.col("record.id").alias("record"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.functions.stage import drop_stage
 from marlstone.operators.budget import retention
-from marlstone.operators.index import index_status
 
 CACHE_SCHEMA, INDEX_SCHEMA = 2, 3
 CACHE_ROWS, CACHE_BYTES, CACHE_DAYS = 256, 32 << 20, 30
@@ -45,18 +50,55 @@ def clear_cache(spark: SparkSession, path: str) -> None:
     drop_stage(spark, path)
 
 
-def write_index(postings: DataFrame, path: str, identity: dict[str, str]) -> None:
-    """An index as a table, with its identity in a manifest row written last."""
-    spark = postings.sparkSession
-    postings.write.mode("overwrite").parquet(f"{path}/postings")
-    spark.createDataFrame([(INDEX_SCHEMA, identity)], "schema int, identity map<string,string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
-
-
-def read_index(spark: SparkSession, path: str, identity: dict[str, str]) -> tuple[str, DataFrame | None]:
-    """``(status, postings)``: the postings only where the stored identity is the one asked for."""
-    row = spark.read.parquet(f"{path}/manifest").first() if exists(spark, f"{path}/manifest") else None
-    status = index_status(None if row is None else {"schema": row["schema"], **row["identity"]}, identity, INDEX_SCHEMA)
-    return status, spark.read.parquet(f"{path}/postings") if status == "hit" else None
+def _digest(rows: DataFrame) -> DataFrame:
+    """``(rows, sum, mix)`` of a table, whatever its order: counts and sums of hashes, added up in parts."""
+    h = F.xxhash64(*rows.columns)
+    return rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum"), F.coalesce(F.bit_xor(F.xxhash64(h, F.lit(1))), F.lit(0)).alias("mix"))
+
+
+def publish_index(postings: DataFrame, path: str, analysis: dict[str, str], state: dict[str, str]) -> str:
+    """Store postings and publish them by a pointer that is written last; returns ``refreshed``.
+
+    The pointer names the folder of the postings and holds their digest, the options of the
+    ``analysis`` that made them and the ``state`` of what was read.  A publication that fails leaves the one before.
+    """
+    spark, part = postings.sparkSession, uuid.uuid4().hex
+    postings.write.parquet(f"{path}/postings-{part}")
+    seen = _digest(spark.read.schema(postings.schema).parquet(f"{path}/postings-{part}")).first().asDict()
+    pointer = json.dumps({"schema": INDEX_SCHEMA, "part": part, "columns": postings.schema.json(), "digest": seen, "analysis": analysis, "state": state}, sort_keys=True)
+    spark.createDataFrame([(pointer,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/pointer")
+    return "refreshed"
+
+
+def index_state(spark: SparkSession, path: str | None, analysis: dict[str, str], state: dict[str, str]) -> tuple[str, DataFrame | None]:
+    """``(status, postings)`` of a stored index; postings only for ``hit`` and ``stale``.
+
+    ``bypassed`` without a path; ``missing`` without a pointer; ``failed`` where it can't be read; ``corrupt`` where it is no pointer, or
+    postings are gone or don't have its digest; ``incompatible`` for another schema or analysis; ``stale`` where what was read has changed since; else ``hit``.
+    """
+    if path is None:
+        return "bypassed", None
+    if not exists(spark, f"{path}/pointer"):
+        return "missing", None
+    try:
+        lines = [r[0] for r in spark.read.text(f"{path}/pointer", wholetext=True).collect()]
+    except (PySparkException, Py4JJavaError):
+        return "failed", None
+    try:
+        told = json.loads("".join(lines))
+        kind, part, digest = T.StructType.fromJson(json.loads(told["columns"])), told["part"], told["digest"]
+        known, own, schema = told["analysis"], told["state"], told["schema"]
+    except (ValueError, KeyError, TypeError):
+        return "corrupt", None
+    if schema != INDEX_SCHEMA or known != analysis:
+        return "incompatible", None
+    try:
+        rows = spark.read.schema(kind).parquet(f"{path}/postings-{part}")
+        if _digest(rows).first().asDict() != digest:
+            return "corrupt", None
+    except (PySparkException, Py4JJavaError):
+        return "corrupt", None
+    return ("hit" if own == state else "stale"), rows
 
 
 def add_task_record(spark: SparkSession, path: str, task_id: str, now: int, body: str) -> None:

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,10 +43,48 @@ def test_cache_index_and_records(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "pruned")).collect()) == [3, 4, 5]
     store.clear_cache(spark, at)
     assert not store.exists(spark, at)
-    ix, f = str(tmp_path / "index"), spark.createDataFrame([("a", "abcd")], "path string, text string")
-    assert store.read_index(spark, ix, {"head": "1"}) == ("missing", None)
-    store.write_index(index.postings(f), ix, {"head": "1"})
-    assert store.read_index(spark, ix, {"head": "1"})[0] == "hit" and store.read_index(spark, ix, {"head": "2"}) == ("stale", None)
     store.add_task_record(spark, str(tmp_path / "tasks"), "t1", 5, "x")
     with pytest.raises(FileExistsError):
         store.add_task_record(spark, str(tmp_path / "tasks"), "t1", 6, "y")
+
+
+def test_index_states(spark, tmp_path):
+    at, options, now = str(tmp_path / "index"), {"profile": "compact"}, {"head": "1"}
+    made = index.postings(spark.createDataFrame([("a", "abcd"), ("b", "bcde")], "path string, text string"))
+    state = lambda o=options, s=now, p=at: store.index_state(spark, p, o, s)[0]
+    assert state(p=None) == "bypassed" and state() == "missing"
+    made.write.parquet(f"{at}/postings-half")  # a publication that got no further
+    assert state() == "missing"
+    assert store.publish_index(made, at, options, now) == "refreshed"
+    assert state() == "hit" and state(s={"head": "2"}) == "stale" and state(o={"profile": "evidence"}) == "incompatible"
+    assert store.index_state(spark, at, options, now)[1].count() == made.count()
+    store.publish_index(made.filter("path = 'a'"), at, options, {"head": "2"})
+    assert state() == "stale" and store.index_state(spark, at, options, now)[1].count() < made.count()
+    told = json.loads(next((tmp_path / "index" / "pointer").glob("part-*")).read_text())
+    part = tmp_path / "index" / f"postings-{told['part']}"
+    file = max(part.glob("part-*.parquet"), key=lambda p: p.stat().st_size)
+    whole = file.read_bytes()
+    for crc in part.glob(".*.crc"):
+        crc.unlink()
+    file.write_bytes(whole[: len(whole) // 2])
+    assert state() == "corrupt"
+    file.unlink()
+    assert state() == "corrupt"
+    pointer = next((tmp_path / "index" / "pointer").glob("part-*"))
+    for crc in (tmp_path / "index" / "pointer").glob(".*.crc"):
+        crc.unlink()
+    pointer.write_text("no pointer")
+    assert state() == "corrupt"
+    pointer.write_text('{"schema": 0, "part": "x", "columns": "{\\"type\\":\\"struct\\",\\"fields\\":[]}", "digest": {}, "analysis": {}, "state": {}}')
+    assert state() == "incompatible"
+    pointer.unlink()
+    (tmp_path / "index" / "pointer" / "part-0.txt.gz").write_bytes(b"not packed")
+    assert state() == "failed"
+
+
+def test_manual_cache_takes_the_newest_record(spark):
+    files = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1"), ("d", "1")], "path string, fingerprint string")
+    rows = [(1, "a", "1", "p", 5, 5), (2, "a", "0", "p", 4, 9), (3, "b", "1", "p", 1, 1), (4, "b", "0", "p", 2, 1), (5, "c", "1", "other", 9, 9), (7, "d", "2", "p", 3, 3), (6, "d", "1", "p", 3, 3)]
+    cache = spark.createDataFrame(rows, "id long, path string, fingerprint string, pack string, created long, modified long")
+    got = {r["path"]: (r["state"], r["record"]["id"] if r["record"] else None) for r in index.cached_manually(files, cache, "p").collect()}
+    assert got == {"a": ("hit", 1), "b": ("stale", 4), "c": ("miss", None), "d": ("hit", 6)}
