@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.stage import drop_stage, write_stage
+from marlstone.operators.budget import fitting_rounds
 
 #: The order in which collections give up items, at usual budgets and at those under ``SMALL_TOKENS`` (fixed values).
 POP_ORDER = ["findings", "edges", "ranking", "files", "omissions", "landmarks", "project_roots", "snippets"]
@@ -202,3 +203,34 @@ def evidence_bound(collections: list[Collection], symbols: Collection, key: str,
     for path in [*paths, per_path, file_path]:
         drop_stage(spark, path)
     return _counts(spark, total, kept, "output_budget")
+
+
+def fill_sections(sections: list[Collection], tokens: int) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The rows that unlike sections keep under one token budget, and ``(name, total, returned, truncated, reason)``.
+
+    Sections are filled one after another: each item in its section's order is added if the JSON of all
+    that is in then still fits, and passed over if not.  The first item that a section takes needs no
+    comma, all others do; so it is looked for by itself, and the rest are taken by rounds of running
+    totals over the section (``budget.fitting_rounds``).  The driver holds what is left of the budget.
+    """
+    spark, left, kept, counts = sections[0].rows.sparkSession, 4 * tokens - frame_size([s.name for s in sections]), {}, {}
+    for s in sections:
+        ranked, _ = write_stage(s.rows.withColumn("__size", s.size).orderBy(*s.order).withColumn("__place", F.monotonically_increasing_id()), s.name)
+        first = ranked.filter(F.col("__size") <= left).agg(F.min(F.struct("__place", "__size")).alias("first")).first()["first"] if left > 0 else None
+        if first is None:
+            own = ranked.filter(F.lit(False))
+        else:
+            left -= first["__size"]
+            rest = ranked.withColumn("__cost", F.col("__size") + 1).filter(F.col("__place") > first["__place"])
+            taken = F.lit(False)
+            for after, stop, had, large in fitting_rounds(rest, "__cost", left):
+                inside = (F.col("__place") > after) & (F.col("__cost") * 2 <= had)
+                taken |= inside if stop is None else inside & (F.col("__place") <= stop)
+                if large:
+                    taken |= F.col("__place") == stop
+            more = rest.filter(taken)
+            left -= more.agg(F.coalesce(F.sum("__cost"), F.lit(0))).first()[0]
+            own = ranked.filter(F.col("__place") == first["__place"]).unionByName(more.drop("__cost"))
+        kept[s.name] = own.drop("__size", "__place")
+        counts[s.name] = (ranked.count(), own.count())
+    return kept, _counts(spark, {n: t for n, (t, _) in counts.items()}, {n: k for n, (_, k) in counts.items()}, "token_budget")

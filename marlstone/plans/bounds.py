@@ -120,3 +120,39 @@ def evidence_bound(spark, sf_dir):
     rows = T.symbols(spark, sf_dir).select("path", "ord", *_SYMBOL)
     symbols = Collection("symbols", rows, [F.asc("ord")], bounding.json_bytes(*_SYMBOL))
     return bounding.evidence_bound(_collections(spark, sf_dir, bounding.json_bytes), symbols, "path", JSON_BYTES)
+
+
+SECTION_TOKENS = 700
+_SECTIONS = [
+    ("findings", "SELECT path, 'parse_error' AS kind FROM files WHERE status = 'partial'", ["path", "kind"], "path"),
+    ("files", "SELECT path, coalesce(language, '') AS language, status FROM files WHERE doc_id % 50 = 0", ["path", "language", "status"], "path"),
+    ("edges", "SELECT src, dst, weight FROM edges WHERE src <= 3 OR dst <= 3", ["src", "dst", "weight"], "weight DESC, src, dst"),
+    ("snippets", "SELECT path, n_chars, doc_id FROM files WHERE n_chars > 3000 AND doc_id % 7 = 0", ["path", "n_chars", "doc_id"], "n_chars DESC, doc_id"),
+]
+
+
+def _sections_sql() -> str:
+    one = lambda k, name, source, columns, order: f"SELECT {k} AS section, '{name}' AS name, row_number() OVER (ORDER BY {order}) AS place, length(CAST(to_json(struct_pack({', '.join(f'{c} := {c}' for c in columns)})) AS VARCHAR)) AS size FROM ({source})"
+    rows = " UNION ALL ".join(one(k, *s) for k, s in enumerate(_SECTIONS))
+    room = 4 * SECTION_TOKENS - bounding.frame_size([s[0] for s in _SECTIONS])
+    return f"""WITH RECURSIVE {FILES}, {STEPS}, items AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY section, place) AS rn FROM ({rows})
+), fold(rn, section, filled, used, hit) AS (
+  SELECT CAST(0 AS BIGINT), -1, false, CAST(0 AS BIGINT), false
+  UNION ALL SELECT i.rn, i.section, (i.section = f.section AND f.filled) OR f.used + i.size + (i.section = f.section AND f.filled)::INT <= {room},
+    CASE WHEN f.used + i.size + (i.section = f.section AND f.filled)::INT <= {room} THEN f.used + i.size + (i.section = f.section AND f.filled)::INT ELSE f.used END,
+    f.used + i.size + (i.section = f.section AND f.filled)::INT <= {room} FROM fold f JOIN items i ON i.rn = f.rn + 1
+), n AS (SELECT name, count(*) AS total, count(*) FILTER (hit) AS returned FROM items JOIN fold USING (rn) GROUP BY name)
+SELECT s.name, coalesce(total, 0) AS total, coalesce(returned, 0) AS returned, coalesce(returned < total, false) AS truncated, CASE WHEN returned < total THEN 'token_budget' END AS reason
+FROM (SELECT unnest([{', '.join(repr(s[0]) for s in _SECTIONS)}]) AS name) s LEFT JOIN n ON n.name = s.name"""
+
+
+@query(_sections_sql())
+def section_budget(spark, sf_dir):
+    """Unlike sections, filled one after another under one token budget, passing over what doesn't fit."""
+    given = {c.name: c for c in _collections(spark, sf_dir, bounding.json_chars)}
+    f = T.files(spark, sf_dir).select("path", F.coalesce("language", F.lit("")).alias("language"), "status", "doc_id", "n_chars")
+    some = {
+        "findings": given["findings"].rows, "files": f.filter("doc_id % 50 = 0").select("path", "language", "status"),
+        "edges": given["edges"].rows.filter("src <= 3 or dst <= 3"), "snippets": f.filter("n_chars > 3000 and doc_id % 7 = 0").select("path", "n_chars", "doc_id"),
+    }
+    return bounding.fill_sections([Collection(n, rows, given[n].order, bounding.json_chars(*rows.columns)) for n, rows in some.items()], SECTION_TOKENS)[1]

@@ -137,3 +137,24 @@ def test_rounds_are_bounded_by_the_bits_of_the_budget(spark):
             break
     ranked = spark.createDataFrame(list(enumerate(costs)), "k long, c long").coalesce(1).withColumn("__place", F.monotonically_increasing_id())
     assert len(budget.fitting_rounds(ranked, "c", 1 << 12)) <= 13
+
+
+def plain_sections(report, tokens):
+    kept = {n: [] for n in report}
+    for n, items in report.items():
+        for x in items:
+            kept[n].append(x)
+            if -(-len(text_of(kept)) // 4) > tokens:
+                kept[n].pop()
+    return {n: [x["at"] for x in items] for n, items in kept.items()}
+
+
+@pytest.mark.parametrize("tokens", [5, 60, 200, 700])
+def test_sections_share_a_budget_as_in_a_loop(spark, tokens):
+    rng = random.Random(tokens)
+    report = {n: [{"at": k, "x": "y" * int(120 ** rng.random())} for k in range(rng.randrange(30))] for n in ("risks", "files", "edges", "none", "next")}
+    report["none"] = []
+    kept, said = B.fill_sections([B.Collection(n, spark.createDataFrame([(x["at"], x["x"]) for x in items], "at int, x string"), [F.asc("at")], B.json_chars("at", "x")) for n, items in report.items()], tokens)
+    want = plain_sections(report, tokens)
+    assert {n: sorted(r["at"] for r in df.collect()) for n, df in kept.items()} == want
+    assert {r["name"]: (r["total"], r["returned"]) for r in said.collect()} == {n: (len(report[n]), len(want[n])) for n in report}
