@@ -8,6 +8,7 @@ The driver holds a few numbers for each collection, never items.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -54,10 +55,13 @@ def running_total(rows: DataFrame, order: list[Column], value: str) -> tuple[Dat
 
 @dataclass(frozen=True)
 class Collection:
-    """Items of a report: rows in a total order, and how much JSON each takes."""
+    """Items of a report: rows in a total order, and how much JSON each takes.
+
+    In ``fill_sections`` ``rows`` may be a function of the rows that earlier sections keep, by name.
+    """
 
     name: str
-    rows: DataFrame
+    rows: DataFrame | Callable[[dict[str, DataFrame]], DataFrame]
     order: list[Column]
     size: Column
 
@@ -213,9 +217,10 @@ def fill_sections(sections: list[Collection], tokens: int) -> tuple[dict[str, Da
     comma, all others do; so it is looked for by itself, and the rest are taken by rounds of running
     totals over the section (``budget.fitting_rounds``).  The driver holds what is left of the budget.
     """
-    spark, left, kept, counts = sections[0].rows.sparkSession, 4 * tokens - frame_size([s.name for s in sections]), {}, {}
+    left, kept, counts = 4 * tokens - frame_size([s.name for s in sections]), {}, {}
     for s in sections:
-        ranked, _ = write_stage(s.rows.withColumn("__size", s.size).orderBy(*s.order).withColumn("__place", F.monotonically_increasing_id()), s.name)
+        rows = s.rows(kept) if callable(s.rows) else s.rows
+        ranked, _ = write_stage(rows.withColumn("__size", s.size).orderBy(*s.order).withColumn("__place", F.monotonically_increasing_id()), s.name)
         first = ranked.filter(F.col("__size") <= left).agg(F.min(F.struct("__place", "__size")).alias("first")).first()["first"] if left > 0 else None
         if first is None:
             own = ranked.filter(F.lit(False))
@@ -233,4 +238,4 @@ def fill_sections(sections: list[Collection], tokens: int) -> tuple[dict[str, Da
             own = ranked.filter(F.col("__place") == first["__place"]).unionByName(more.drop("__cost"))
         kept[s.name] = own.drop("__size", "__place")
         counts[s.name] = (ranked.count(), own.count())
-    return kept, _counts(spark, {n: t for n, (t, _) in counts.items()}, {n: k for n, (_, k) in counts.items()}, "token_budget")
+    return kept, _counts(rows.sparkSession, {n: t for n, (t, _) in counts.items()}, {n: k for n, (_, k) in counts.items()}, "token_budget")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.paths import ancestors, is_test_path
 from marlstone.functions.stage import write_stage
 from marlstone.functions.text import stable_id, token_estimate
-from marlstone.operators import budget, changes, edges, graph, history, reading, search, topology
+from marlstone.operators import bounding, budget, changes, edges, graph, history, reading, search, topology
 
 SCHEMA_VERSION = 1
 
@@ -181,6 +181,44 @@ def context(f: Facts, text: str, tokens: int = 1_000) -> DataFrame:
     return budget.skip_greedy(found, search.result_order(), token_estimate(row), tokens)
 
 
+#: Items of small sections of a task's context at most (fixed values).
+CONTEXT_RISKS, CONTEXT_UNCERTAINTIES, CONTEXT_OMISSIONS = 4, 4, 8
+
+
+def task_context(f: Facts, tokens: int = 1_000, omissions: DataFrame | None = None, ranks: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """``(sections, summary)`` of what a task needs, under one token budget that sections take from in their order.
+
+    What is uncertain and risky first, then the files of the reading plan, the tests among them, the relations that touch
+    them, what the history says, what was left out (``omissions(path, reason)``), and plan files that did not fit.
+    """
+    spark = f.files.sparkSession
+    plan = [(p["order"], p["purpose"], p["path"], p["score"], p["confidence"]) for p in reading_plan(f, ranks=ranks)]
+    picks = spark.createDataFrame(plan, "order int, purpose string, path string, score long, confidence string")
+    partial = f.files.filter(F.col("status") != "analyzed").select(F.lit("partial_file").alias("kind"), "path")
+    risks = edges.ambiguity_findings(f.edges).select("candidate_group", "source", "symbol")
+    said = history_report(f, list(f.bug_words), list(f.fire_words))["observations"].select("kind", "paths", "detail", "value", "of")
+    left_out = spark.createDataFrame([], "path string, reason string") if omissions is None else omissions.select("path", "reason")
+
+    def touching(kept: dict[str, DataFrame]) -> DataFrame:
+        own = F.broadcast(kept["files"].select(F.col("path").alias("own")).distinct())  # a plan's files
+        return f.edges.select("source", "target", "symbol", "confidence").distinct().join(own, (F.col("source") == F.col("own")) | (F.col("target") == F.col("own")), "left_semi")
+
+    def section(name: str, rows, columns: list[str], order: list) -> bounding.Collection:
+        return bounding.Collection(name, rows, order, bounding.json_chars(*columns))
+
+    shown = ["order", "purpose", "path", "score", "confidence"]
+    return bounding.fill_sections([
+        section("uncertainty", budget.first_rows(partial, [F.asc("path")], CONTEXT_UNCERTAINTIES), ["kind", "path"], [F.asc("path")]),
+        section("risks", budget.first_rows(risks, [F.asc("candidate_group")], CONTEXT_RISKS), ["candidate_group", "source", "symbol"], [F.asc("candidate_group")]),
+        section("files", picks, shown, [F.asc("order")]),
+        section("relevant_tests", lambda kept: kept["files"].filter("purpose = 'tests'").select("path", "confidence"), ["path", "confidence"], [F.asc("path")]),
+        section("relationships", touching, ["source", "target", "symbol", "confidence"], [F.asc("source"), F.asc("symbol"), F.asc("target"), F.asc("confidence")]),
+        section("history", said, ["kind", "paths", "detail", "value", "of"], [F.asc("kind")]),
+        section("omissions", budget.first_rows(left_out, [F.asc("path")], CONTEXT_OMISSIONS), ["path", "reason"], [F.asc("path"), F.asc("reason")]),
+        section("next_reads", lambda kept: picks.join(kept["files"].select("path"), "path", "left_anti").select(*shown), shown, [F.asc("order")]),
+    ], tokens)
+
+
 REACH_RANK = {"direct": 3, "transitive": 2, "inferred": 1}
 #: What a test of the changed project scores, by its place alone (fixed value).
 LIKELY_TEST = 1_000_000_000

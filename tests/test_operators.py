@@ -366,6 +366,11 @@ def test_reports(spark):
     assert reports.review_facts(facts).count() > 3
     assert {r["issue"] for r in reports.quality_issues(facts).collect()} == {"partial_files"}
     assert reports.context(facts, "go").count() > 0
+    sections, said = reports.task_context(facts, 600, spark.createDataFrame([("dist/x.js", "classified")], "path string, reason string"))
+    assert [r["path"] for r in sections["uncertainty"].collect()] == ["tests/a.rs"] and sections["relationships"].count() == 1 and sections["omissions"].count() == 1
+    assert {r["path"] for r in sections["relevant_tests"].collect()} == {"tests/a.rs"} and not any(r["truncated"] for r in said.collect())
+    few = {r["name"]: r["returned"] for r in reports.task_context(facts, 70)[1].collect()}
+    assert few["uncertainty"] == 1 and few["files"] + few["next_reads"] < 3
     assert reports.explain(facts, "src/main.rs")["definitions"].count() == 1
     assert reports.map_report(facts)["summaries"].count() == 7
     assert reports.history_report(facts, ["bug"], ["hotfix"])["bugs"].first()["path"] == "src/main.rs"
