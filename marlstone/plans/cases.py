@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from marlstone.functions import paths as P
 from marlstone.functions import text as X
 from marlstone.functions.stage import write_stage
-from marlstone.operators import changes, edges, graph, history, ranking, relationships, reports, search, topology
+from marlstone.operators import changes, edges, graph, history, ranking, relationships, reports, topology
 from marlstone.plans.registry import query
 from marlstone.plans.tables import table
 
