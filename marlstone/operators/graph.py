@@ -1,8 +1,8 @@
 """Walks over edges: neighbourhoods, shortest paths, impact, proximity, rank.
 
 ``edges(src, dst, kind, confidence, ambiguous, id)``.  Walks run level by level;
-each level is one join of the frontier with the edges and one distributed top-k
-in the order of discovery, so no more rows than the work limit ever meet in one
+each level is one join of the frontier with the edges and one distributed top-k or sort
+in the order of discovery, so no more rows than the greatest work limit ever meet in one
 task.  The state of each level is written to the shared folder.
 """
 
@@ -66,29 +66,46 @@ def numbered(df: DataFrame, order: list, name: str) -> tuple[DataFrame, str]:
     return write_stage(df.orderBy(*order).withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
-def _level(front: DataFrame, links: DataFrame, room: int) -> tuple[DataFrame, int]:
-    """The first ``room`` edges of a level in order of discovery, numbered, and how many there are."""
+def counted(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Rows with the numbers from 1 on in an order: a distributed sort, and for each of its parts how many rows lie before it."""
+    rows, _ = numbered(df, order, "__id")
+    part = F.shiftright("__id", 33)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # one row a part of the sort
+    before, starts = 0, []
+    for r in sizes:
+        starts.append((r["part"], before))
+        before += r["n"]
+    starts = df.sparkSession.createDataFrame(starts, "__part long, __before long")
+    return rows.join(F.broadcast(starts), part == F.col("__part")).withColumn(name, F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__id", "__part", "__before")
+
+
+def _level(front: DataFrame, links: DataFrame, room: int | None) -> tuple[DataFrame, int]:
+    """The first ``room`` edges of a level in order of discovery (all without a room), numbered, and how many there are."""
     if front.count() <= WORK_MOST:
         front = F.broadcast(front)
     joined, where = write_stage(links.join(front, links["node"] == front["at"]).drop("at"), "level")
     total = joined.count()
     order = ["parent_rank", confidence_rank(F.col("confidence")), F.col("ambiguous").cast("int"), kind_rank(F.col("kind")), "id", "other"]
-    first = joined.orderBy(*order).limit(room)
-    first, _ = write_stage(first.withColumn("work", F.row_number().over(Window.orderBy(*order))), "first")  # WORK_MOST rows at most
+    taken = total if room is None else min(total, room)
+    if taken > WORK_MOST:  # only without a room
+        first, _ = write_stage(counted(joined, order, "work"), "first")
+    else:
+        first = joined.orderBy(*order).limit(taken)
+        first, _ = write_stage(first.withColumn("work", F.row_number().over(Window.orderBy(*order))), "first")  # WORK_MOST rows at most
     drop_stage(links.sparkSession, where)
     return first, total
 
 
-def walk(edges: DataFrame, anchors: DataFrame, direction: str = "out", depth: int = 1, work: int = WORK_DEFAULT, kinds: list[str] | None = None, projects: DataFrame | None = None, until=None) -> Walk:
+def walk(edges: DataFrame, anchors: DataFrame, direction: str = "out", depth: int = 1, work: int | None = WORK_DEFAULT, kinds: list[str] | None = None, projects: DataFrame | None = None, until=None) -> Walk:
     """Breadth-first discovery from ``anchors(node)``, in queue order.
 
     A node's parent is the edge that met it first: parents in order of their own
     discovery, then each one's edges by confidence, ambiguity, kind and id.
     Every edge looked at is work, also to nodes already met; the walk stops
-    inside a level when the work limit is reached.  ``projects(node, root)``
+    inside a level when the work limit is reached; with ``None`` there is no limit.  ``projects(node, root)``
     keeps a walk inside the anchors' project and counts the edges that leave it.
     """
-    if not 0 <= depth <= DEPTH_MOST or not 1 <= work <= WORK_MOST:
+    if not 0 <= depth <= DEPTH_MOST or not (work is None or 1 <= work <= WORK_MOST):
         raise ValueError("depth or work out of bounds")
     links = adjacency(of_kinds(edges, kinds), direction)
     start, _ = numbered(anchors.select("node").distinct(), ["node"], "rank")
@@ -106,12 +123,14 @@ def walk(edges: DataFrame, anchors: DataFrame, direction: str = "out", depth: in
         if level == depth:
             depth_limited = True
             break
-        if used >= work:
+        room = None if work is None else work - used
+        if room == 0:
             work_limited = True
             break
         front = now.select(F.col("node").alias("at"), F.col("rank").alias("parent_rank"))
-        first, total = _level(front, links, work - used)
-        work_limited = work_limited or total > work - used
+        first, total = _level(front, links, room)
+        looked = total if room is None else min(total, room)
+        work_limited = looked < total
         if projects is not None:
             boundaries += first.filter(F.col("__from") != F.col("__to")).count()
             first = first.filter(F.col("__from") == F.col("__to"))
@@ -122,7 +141,7 @@ def walk(edges: DataFrame, anchors: DataFrame, direction: str = "out", depth: in
         met, new = write_stage(met.unionByName(added), "walk")
         drop_stage(edges.sparkSession, where)
         where = new
-        used += min(total, work - used)
+        used += looked
         level += 1
         if work_limited:
             break
@@ -135,7 +154,7 @@ def neighbours(edges: DataFrame, anchors: DataFrame, results: int = RESULTS_MOST
     return found.orderBy("rank").limit(results).orderBy("depth", "node")
 
 
-def path_search(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int = DEPTH_MOST, work: int = WORK_MOST, direction: str = "out") -> tuple[DataFrame, Walk]:
+def path_search(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int = DEPTH_MOST, work: int | None = WORK_MOST, direction: str = "out") -> tuple[DataFrame, Walk]:
     """``(step, node, parent, via, confidence, ambiguous)`` of the path met first, empty if there is none, and the walk that looked for it.
 
     Parents are followed back by one join a step over the nodes met.
@@ -152,7 +171,7 @@ def path_search(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth:
     return path.select(F.col("depth").alias("step"), "node", "parent", "via", "confidence", "ambiguous").orderBy("step"), walked
 
 
-def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int = DEPTH_MOST, work: int = WORK_MOST, direction: str = "out") -> DataFrame:
+def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int = DEPTH_MOST, work: int | None = WORK_MOST, direction: str = "out") -> DataFrame:
     """The path of ``path_search``."""
     return path_search(edges, sources, targets, depth, work, direction)[0]
 
@@ -173,7 +192,7 @@ class Impact:
     work_limited: bool
 
 
-def impact_walk(edges: DataFrame, seeds: DataFrame, depth: int = IMPACT_DEPTH, work: int = IMPACT_WORK, paths: DataFrame | None = None) -> Impact:
+def impact_walk(edges: DataFrame, seeds: DataFrame, depth: int = IMPACT_DEPTH, work: int | None = IMPACT_WORK, paths: DataFrame | None = None) -> Impact:
     """What depends on ``seeds(node)``.
 
     First all edges of the seeds are looked at, in order of seed, incoming before
@@ -181,13 +200,15 @@ def impact_walk(edges: DataFrame, seeds: DataFrame, depth: int = IMPACT_DEPTH, w
     are seeds or, by ``paths(node, path)``, lie in the seed's own file.  Then
     against the edges: direct at depth one, transitive beyond, inferred from an
     ambiguous or weak edge on.  Every edge looked at is work; the walk stops where
-    it is used up.  Depth-limited is a walk with nodes at the greatest depth.
+    it is used up, with ``None`` nowhere.  Depth-limited is a walk with nodes at the greatest depth.
     """
     start, where = numbered(seeds.select("node").distinct(), ["node"], "rank")
     links = adjacency(edges, "in")
     around = links.withColumn("way", F.lit(0)).unionByName(adjacency(edges, "out").withColumn("way", F.lit(1))).join(start.select("node"), "node", "left_semi")
     around, looked = write_stage(around, "around")
-    first = around.orderBy("node", "way", confidence_rank(F.col("confidence")), F.col("ambiguous").cast("int"), kind_rank(F.col("kind")), "id", "other").limit(work)
+    first = around
+    if work is not None:
+        first = around.orderBy("node", "way", confidence_rank(F.col("confidence")), F.col("ambiguous").cast("int"), kind_rank(F.col("kind")), "id", "other").limit(work)
     out = first.filter((F.col("way") == 1) & (F.col("other") != F.col("node")))
     if paths is not None:
         here, there = paths.select("node", F.col("path").alias("__here")), paths.select(F.col("node").alias("other"), F.col("path").alias("__there"))
@@ -195,7 +216,7 @@ def impact_walk(edges: DataFrame, seeds: DataFrame, depth: int = IMPACT_DEPTH, w
     related, _ = write_stage(out.select(F.col("other").alias("node")).distinct().join(start.select("node"), "node", "left_anti").select("node", F.lit(1).alias("depth"), F.lit("inferred").alias("reach")), "related")
     total = around.count()
     drop_stage(edges.sparkSession, looked)
-    left, stopped, deep = work - min(work, total), total > work, False
+    used, stopped, deep = total if work is None else min(work, total), work is not None and total > work, False
     state, where = write_stage(start.select("node", F.lit(0).alias("depth"), F.lit("seed").alias("reach"), "rank"), "impact")
     for level in range(depth + 1):
         now = state.filter(F.col("depth") == level)
@@ -205,9 +226,10 @@ def impact_walk(edges: DataFrame, seeds: DataFrame, depth: int = IMPACT_DEPTH, w
             deep = True
             break
         front = now.select(F.col("node").alias("at"), F.col("rank").alias("parent_rank"), F.col("reach").alias("parent_reach"))
+        left = None if work is None else work - used
         ranked, total = _level(front, links, left)
-        stopped = total > left
-        left -= min(left, total)
+        stopped = left is not None and total > left
+        used += left if stopped else total
         weak = F.col("ambiguous") | (F.col("confidence") == "low") | (F.col("parent_reach") == "inferred")
         reach = F.when(weak, "inferred").when(F.lit(level == 0), "direct").otherwise("transitive")
         fresh = ranked.join(state.select("node"), ranked["other"] == state["node"], "left_anti")
@@ -217,10 +239,10 @@ def impact_walk(edges: DataFrame, seeds: DataFrame, depth: int = IMPACT_DEPTH, w
         drop_stage(edges.sparkSession, where)
         where = new
     met = state.select("node", "depth", "reach")
-    return Impact(met.unionByName(related.join(met.select("node"), "node", "left_anti")), work - left, deep, stopped)
+    return Impact(met.unionByName(related.join(met.select("node"), "node", "left_anti")), used, deep, stopped)
 
 
-def impact(edges: DataFrame, seeds: DataFrame, depth: int = IMPACT_DEPTH, work: int = IMPACT_WORK) -> DataFrame:
+def impact(edges: DataFrame, seeds: DataFrame, depth: int = IMPACT_DEPTH, work: int | None = IMPACT_WORK) -> DataFrame:
     """``(node, depth, reach)`` of ``impact_walk``."""
     return impact_walk(edges, seeds, depth, work).nodes
 

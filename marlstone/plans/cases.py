@@ -362,7 +362,7 @@ def _at(spark: SparkSession, sf_dir: str, *nodes: str) -> DataFrame:
 @case("node VARCHAR, depth INTEGER, reach VARCHAR", [("f{g}", 0, "seed"), ("c{g}", 1, "direct"), ("b{g}", 1, "inferred"), ("a{g}", 2, "transitive")])
 def impact_reach(spark, sf_dir):
     """An unsure edge makes what it reaches inferred; the seed's own target is met by the walk as well, which tells how."""
-    return graph.impact(_links(spark, sf_dir), _at(spark, sf_dir, "f{g}"))
+    return graph.impact(_links(spark, sf_dir), _at(spark, sf_dir, "f{g}"), work=None)
 
 
 @case("node VARCHAR", [("a{g}",), ("b{g}",)])
