@@ -369,7 +369,7 @@ def impact_reach(spark, sf_dir):
 def walk_in_project(spark, sf_dir):
     """Edges that leave the project are counted, not followed."""
     p = spread(spark, sf_dir, [("a{g}", "x"), ("b{g}", "x"), ("c{g}", "y"), ("d{g}", "y"), ("e{g}", "y"), ("f{g}", "y"), ("g{g}", "x")], "node string, root string")
-    w = graph.walk(_links(spark, sf_dir), _at(spark, sf_dir, "a{g}"), depth=4, projects=p)
+    w = graph.walk(_links(spark, sf_dir), _at(spark, sf_dir, "a{g}"), depth=4, work=None, projects=p)
     return w.nodes.select("node").filter(F.lit(w.omitted_boundaries > 0))
 
 

@@ -20,6 +20,10 @@ def test_impact_of_many_seeds(spark, suppliers):
     assert rows_of_spark(QUERIES["impact_reach"](spark, suppliers)) == rows_of_sql(connect(suppliers), SQL["impact_reach"])
 
 
+def test_project_walk_of_many_anchors(spark, suppliers):
+    assert rows_of_spark(QUERIES["walk_in_project"](spark, suppliers)) == rows_of_sql(connect(suppliers), SQL["walk_in_project"])
+
+
 def test_rows_are_counted_over_all_parts_of_a_sort(spark):
     rows = spark.range(1000).select((F.col("id") * 389 % 1000).alias("x")).repartition(7)
     got = {r["x"]: r["n"] for r in graph.counted(rows, ["x"], "n").collect()}
