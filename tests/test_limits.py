@@ -24,6 +24,19 @@ def test_project_walk_of_many_anchors(spark, suppliers):
     assert rows_of_spark(QUERIES["walk_in_project"](spark, suppliers)) == rows_of_sql(connect(suppliers), SQL["walk_in_project"])
 
 
+def test_path_through_a_wide_level(spark, tmp_path):
+    """A first level of 110 000 edges, and a second one that ends at the last part."""
+    order = spark.range(1, 110_001).select(F.col("id").alias("k"))
+    last = order.select(F.lit(1).cast("long").alias("l_linenumber"), F.lit(1).cast("long").alias("l_partkey"), F.col("k").alias("l_orderkey"))
+    to = order.select(F.lit(2).cast("long"), F.col("k") + 1, F.col("k"))
+    end = order.filter("k = 9").select(F.lit(3).cast("long"), F.lit(200_000).cast("long"), F.col("k"))
+    line = last.union(to).union(end).withColumns({c: F.lit(1).cast("long") for c in ("l_suppkey", "l_quantity", "l_extendedprice")})
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(200_000, 200_001).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    got = rows_of_spark(QUERIES["shortest_path"](spark, str(tmp_path)))
+    assert got == rows_of_sql(connect(str(tmp_path)), SQL["shortest_path"]) and got[1] == [(2, False)]
+
+
 def test_rows_are_counted_over_all_parts_of_a_sort(spark):
     rows = spark.range(1000).select((F.col("id") * 389 % 1000).alias("x")).repartition(7)
     got = {r["x"]: r["n"] for r in graph.counted(rows, ["x"], "n").collect()}
