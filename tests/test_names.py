@@ -47,3 +47,8 @@ def test_lists_do_not_travel_with_references(symbols):
     """What is shuffled has no column of arrays but the lists themselves, once."""
     plan = edges.resolve_names(symbols, 5)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list") == 1
+
+
+def test_ambiguous_groups_by_name(symbols):
+    want = edges.ambiguity_findings(edges.describe(edges.answers(plain(symbols), symbols, 5)))
+    assert rows(edges.ambiguous_by_name(symbols, 5).select(*want.columns)) == rows(want) != []
