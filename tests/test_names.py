@@ -52,3 +52,15 @@ def test_lists_do_not_travel_with_references(symbols):
 def test_ambiguous_groups_by_name(symbols):
     want = edges.ambiguity_findings(edges.describe(edges.answers(plain(symbols), symbols, 5)))
     assert rows(edges.ambiguous_by_name(symbols, 5).select(*want.columns)) == rows(want) != []
+
+
+def test_update_by_name_equals_a_cold_build(symbols):
+    changed = symbols.filter("path like 'd1/%'").select("path").distinct()
+    before = symbols.join(changed, "path", "left_anti")
+    cold = edges.resolve_names(symbols)
+    kept, fresh = edges.update_edges_by_name(edges.resolve_names(before), symbols, changed, before)
+    assert rows(kept.unionByName(fresh)) == rows(cold)
+    want = edges.update_edges(general(before, 32), symbols, changed, before)[1].filter("ord >= 0").join(plain(symbols).select("source", "symbol").distinct(), ["source", "symbol"], "left_semi")
+    asked = symbols.filter("role = 'reference'").select(F.col("path").alias("source"), "ord")
+    want = want.join(asked, ["source", "ord"], "left_semi")
+    assert rows(fresh.select("source", "ord", "symbol", "target")) == rows(want.select("source", "ord", "symbol", "target"))
