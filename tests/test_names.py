@@ -64,3 +64,8 @@ def test_update_by_name_equals_a_cold_build(symbols):
     asked = symbols.filter("role = 'reference'").select(F.col("path").alias("source"), "ord")
     want = want.join(asked, ["source", "ord"], "left_semi")
     assert rows(fresh.select("source", "ord", "symbol", "target")) == rows(want.select("source", "ord", "symbol", "target"))
+
+
+def test_counts_by_name(symbols):
+    want = edges.reference_counts(general(symbols))
+    assert rows(edges.reference_counts_by_name(symbols, 5)) == rows(want)
