@@ -9,7 +9,7 @@ from marlstone.functions.stage import write_stage
 from marlstone.operators import budget, changes, edges, graph, history, index, ranking, reports, search, topology
 from marlstone.operators.bounding import placed
 from marlstone.plans import tables as T
-from marlstone.plans.queries import BUGS, CHURN, CLASSED, COMMITS, FILES, NAMED, SYMBOLS, TOKEN_EDGES, WINDOW_DAYS, _named, _token_edges, _word_sql
+from marlstone.plans.queries import BUGS, CHURN, CLASSED, COMMITS, FILES, NAMED, SYMBOLS, TOKEN_EDGES, WINDOW_DAYS, _named, _token_questions, _token_symbols, _word_sql
 from marlstone.plans.registry import query
 
 SCOPE = "Brand#11"
@@ -175,7 +175,9 @@ def symbol_caps(spark, sf_dir):
 @query(f"WITH {TOKEN_EDGES} SELECT DISTINCT source, target FROM (SELECT source, target FROM edges ORDER BY source, ord, target LIMIT 5000)")
 def edge_cap(spark, sf_dir):
     """The cap counts edges before repeats are dropped."""
-    return edges.first_edges(_token_edges(spark, sf_dir), 5000).select("source", "target").distinct()
+    s = _token_symbols(spark, sf_dir)
+    some = edges.first_edges_by_name(s, 5000) if edges.by_name_alone(s) else edges.first_edges(edges.resolve(s, asked=_token_questions(s)), 5000)
+    return some.select("source", "target").distinct()
 
 
 @query(f"WITH {COMMITS} SELECT path, size, CAST(row_number() OVER (ORDER BY size DESC, path) AS INT) AS ordinal FROM part_paths ORDER BY size DESC, path LIMIT 50")

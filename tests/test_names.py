@@ -69,3 +69,9 @@ def test_update_by_name_equals_a_cold_build(symbols):
 def test_counts_by_name(symbols):
     want = edges.reference_counts(general(symbols))
     assert rows(edges.reference_counts_by_name(symbols, 5)) == rows(want)
+
+
+@pytest.mark.parametrize("cap", [1, 7, 100])
+def test_first_edges_by_name(symbols, cap):
+    want = edges.first_edges(general(symbols), cap)
+    assert rows(edges.first_edges_by_name(symbols, cap, 5).select(*want.columns)) == rows(want)
