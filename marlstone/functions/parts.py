@@ -2,7 +2,8 @@
 
 A bucket's part is never changed: a new one lies beside it under the next
 generation, and a small table says which generation of each bucket holds.  It is
-written last, so an update that fails leaves the table as it was.
+written last, so an update that fails leaves the table as it was.  Rows are not
+shuffled: a bucket has a file of each task that holds some of it, however large it is.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ class BucketedTable:
 
     def _write(self, rows: DataFrame, generation: int, parts: dict[int, int]) -> list[int]:
         where = f"{self.path}/g={generation}"
-        rows.repartition("bucket").sortWithinPartitions("bucket", *self.order).write.mode("overwrite").partitionBy("bucket").parquet(where)  # what a failed update left goes
+        rows.sortWithinPartitions("bucket", *self.order).write.mode("overwrite").partitionBy("bucket").parquet(where)  # what a failed update left goes
         made = sorted(r[0] for r in self.spark.read.schema(self.schema).parquet(where).select("bucket").distinct().collect())  # numbers, one a bucket
         rows = sorted((parts | {b: generation for b in made}).items())
         self.spark.createDataFrame(rows, "bucket int, generation int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/parts={generation}")

@@ -2,7 +2,8 @@
 
 Postings are ``(bucket, trigram, path, positions)``: where a trigram (three bytes of the
 text with ASCII letters in lower case, as one number) begins in a file.  They are stored by
-bucket of trigram, positions as deltas.  A search meets postings at shifted positions and reads no text.
+bucket of trigram, positions as deltas: a row for each bucket and file (``packed``), so that a path stands once
+a bucket and not at every trigram, written where it is made.  A search meets postings at shifted positions and reads no text.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.parts import BucketedTable
-from marlstone.functions.stage import import_on_workers
+from marlstone.functions.stage import import_on_workers, write_stage
 from marlstone.functions.text import folded
 
 BUCKETS = 256
 _POSTINGS = "bucket int, trigram int, path string, positions array<int>"
+_PACKED = "bucket int, path string, trigrams array<int>, sizes array<int>, positions array<int>"
+FILES_AT_ONCE = 64
 _IS_CAPITAL = np.zeros(256, np.uint8)
 _IS_CAPITAL[65:91] = 32
 
@@ -55,6 +58,57 @@ def postings(files: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return files.select("path", "text").mapInArrow(run, _POSTINGS)
 
 
+def packed(files: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """``postings`` with one row a bucket and file: its ``trigrams``, how many positions each has, and all positions as deltas.  Nothing is shuffled."""
+    import_on_workers(files.sparkSession)
+
+    def one(path: str, text: str) -> pa.RecordBatch | None:
+        grams = _grams(text)
+        if not len(grams):
+            return None
+        key = (grams.astype(np.int64) % buckets << 24) | grams
+        at = np.argsort(key, kind="stable").astype(np.int32)
+        first = np.flatnonzero(np.diff(key[at], prepend=-1))
+        deltas = np.diff(at, prepend=np.int32(0))
+        deltas[first] = at[first]
+        own = grams[at[first]]
+        begin = np.flatnonzero(np.diff(own % buckets, prepend=-1))
+        within, lists = pa.array(np.append(begin, len(own)), pa.int32()), np.append(first[begin], len(at))
+        columns = [pa.array(own[begin] % buckets, pa.int32()), pa.array([path] * len(begin), pa.string())]
+        columns += [pa.ListArray.from_arrays(within, pa.array(own, pa.int32())), pa.ListArray.from_arrays(within, pa.array(np.diff(np.append(first, len(at))), pa.int32()))]
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(deltas, pa.int32()))], ["bucket", "path", "trigrams", "sizes", "positions"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, FILES_AT_ONCE):
+                some = batch.slice(k, FILES_AT_ONCE)
+                made = [m for path, text in zip(some.column(0), some.column(1), strict=True) if (m := one(path.as_py(), text.as_py() or ""))]
+                if made:
+                    yield from pa.Table.from_batches(made).combine_chunks().to_batches()
+
+    return files.select("path", "text").mapInArrow(run, _PACKED)
+
+
+def unpacked(rows: DataFrame, trigrams: list[int]) -> DataFrame:
+    """``(trigram, path, positions)`` of some trigrams in rows of ``packed``."""
+    import_on_workers(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, sizes, positions = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            which = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            keep = np.flatnonzero(np.isin(grams, trigrams))
+            if not len(keep):
+                continue
+            length, begin = sizes[keep].astype(np.int64), (np.cumsum(sizes, dtype=np.int64) - sizes)[keep]
+            ends = np.cumsum(length)
+            taken = positions[np.repeat(begin - (ends - length), length) + np.arange(ends[-1])]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(taken, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(grams[keep], pa.int32()), batch.column(0).take(pa.array(which[keep])), lists], ["trigram", "path", "positions"])
+
+    return rows.select("path", "trigrams", "sizes", "positions").mapInArrow(run, "trigram int, path string, positions array<int>")
+
+
 def trigram_counts(files: DataFrame) -> DataFrame:
     """``(trigram, files)`` as hex: how many texts hold each; counted in batches before they are added up."""
     import_on_workers(files.sparkSession)
@@ -113,17 +167,17 @@ class StoredIndex:
     """Postings in a folder, in buckets of trigrams; an update writes the touched buckets anew and no others."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.table, self.buckets = BucketedTable(spark, path, _POSTINGS, ["trigram", "path"]), buckets
+        self.table, self.buckets = BucketedTable(spark, path, _PACKED, ["path"]), buckets
 
     def create(self, files: DataFrame) -> list[int]:
         """Index ``files(path, text)``, whose paths are unique; returns the buckets."""
-        return self.table.create(postings(files, self.buckets))
+        return self.table.create(packed(files, self.buckets))
 
     def search(self, query: str) -> DataFrame:
         """Paths whose text holds the query, from its trigrams' buckets alone."""
         raw = folded(query).encode()
-        buckets = {((raw[k] << 16) | (raw[k + 1] << 8) | raw[k + 2]) % self.buckets for k in range(len(raw) - 2)}
-        return find_in_postings(self.table.read(sorted(buckets)).drop("bucket"), query)
+        grams = sorted({(raw[k] << 16) | (raw[k + 1] << 8) | raw[k + 2] for k in range(len(raw) - 2)})
+        return find_in_postings(unpacked(self.table.read(sorted({g % self.buckets for g in grams})), grams), query)
 
     def update(self, added: DataFrame, removed: DataFrame | None = None) -> list[int]:
         """Take in the files ``added(path, text)`` (in place of older ones) and drop the paths ``removed``; returns the buckets rewritten.
@@ -131,7 +185,8 @@ class StoredIndex:
         A file's old postings are looked for by its path, which reads the paths of all parts but writes only the touched ones.
         """
         gone = added.select("path") if removed is None else added.select("path").unionByName(removed.select("path"))
-        gone, fresh = gone.distinct(), postings(added, self.buckets)
+        gone, _ = write_stage(gone.distinct(), "gone")  # of known size, so few paths are broadcast and the postings stay where they are
+        fresh = packed(added, self.buckets)
         hit = self.table.read().join(gone, "path", "left_semi").select("bucket").unionByName(fresh.select("bucket")).distinct()
         touched = sorted(r[0] for r in hit.collect())  # numbers of buckets
         self.table.replace(touched, self.table.read(touched).join(gone, "path", "left_anti").unionByName(fresh))

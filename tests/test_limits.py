@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import graph
+from marlstone.operators import graph, index
 from marlstone.plans.registered import QUERIES, SQL
 from tests.oracle import connect, rows_of_spark, rows_of_sql
 
@@ -41,3 +41,21 @@ def test_rows_are_counted_over_all_parts_of_a_sort(spark):
     rows = spark.range(1000).select((F.col("id") * 389 % 1000).alias("x")).repartition(7)
     got = {r["x"]: r["n"] for r in graph.counted(rows, ["x"], "n").collect()}
     assert got == {x: x + 1 for x in range(1000)}
+
+
+def test_index_is_not_shuffled(spark, tmp_path, monkeypatch):
+    """A path stands once a bucket, and neither a new index nor an update sends postings to another task."""
+    f = spark.createDataFrame([(f"p{k}", f"Many words {k * 7919} of many words") for k in range(200)], "path string, text string")
+    written = []
+    ix = index.StoredIndex(spark, str(tmp_path / "ix"), buckets=4)
+    write = ix.table._write
+    monkeypatch.setattr(ix.table, "_write", lambda rows, *a: (written.append(rows._jdf.queryExecution().executedPlan().toString()), write(rows, *a))[1])
+    ix.create(f.filter("path <> 'p7'"))
+    ix.update(f.filter("path in ('p7', 'p8')"), f.filter("path = 'p9'"))
+    assert len(written) == 2 and not any("hashpartitioning" in p for p in written)
+    rows = ix.table.read()
+    assert rows.count() == rows.select("bucket", "path").distinct().count() > 0
+    got = index.unpacked(rows, list(range(1 << 24))).join(f, "path")
+    want = index.postings(f.filter("path <> 'p9'"), 4).select("trigram", "path", "positions")
+    assert rows_of_spark(got.select("trigram", "path", "positions")) == rows_of_spark(want)
+    assert len(ix.search("MANY w").collect()) == 199
