@@ -14,11 +14,17 @@ STATES = ["tracked", "untracked", "modified"]
 
 
 def deepest_root(paths: DataFrame, roots: DataFrame, column: str = "path") -> DataFrame:
-    """``paths`` with the deepest of ``roots(path)`` that holds each, or null: an equi-join on exploded ancestors."""
+    """``paths`` with the deepest of ``roots(path)`` that holds each, or null: an equi-join on exploded ancestors.
+
+    Ancestors are those of folders, each once; a path that is a root itself holds itself.
+    """
     known = roots.select(F.col("path").alias("__root")).distinct()
-    spread = paths.select(F.col(column).alias("__path")).distinct().select("__path", F.explode(ancestors(F.col("__path"))).alias("__root"))
-    best = spread.join(known, "__root").groupBy("__path").agg(F.max_by("__root", F.when(F.col("__root") == ".", 0).otherwise(F.length("__root"))).alias("project_root"))
-    return paths.join(best, F.col(column).eqNullSafe(F.col("__path")), "left").drop("__path")
+    folder = F.when(F.col(column).isNotNull(), parent(F.col(column)))
+    folders = paths.select(folder.alias("__folder")).distinct()
+    spread = folders.select("__folder", F.explode(ancestors(F.col("__folder"))).alias("__root"))
+    best = spread.join(known, "__root").groupBy(F.col("__folder").alias("__of")).agg(F.max_by("__root", F.when(F.col("__root") == ".", 0).otherwise(F.length("__root"))).alias("__best"))
+    met = paths.join(best, folder == F.col("__of"), "left").join(known.withColumnRenamed("__root", "__own"), F.col(column) == F.col("__own"), "left")
+    return met.withColumn("project_root", F.coalesce("__own", "__best")).drop("__of", "__best", "__own")
 
 
 def project_roots(files: DataFrame, roles: DataFrame | None = None, scope: str = ".") -> DataFrame:

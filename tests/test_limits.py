@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import graph, index
+from marlstone.operators import graph, index, topology
 from marlstone.plans.registered import QUERIES, SQL
 from tests.oracle import connect, rows_of_spark, rows_of_sql
 
@@ -59,3 +59,11 @@ def test_index_is_not_shuffled(spark, tmp_path, monkeypatch):
     want = index.postings(f.filter("path <> 'p9'"), 4).select("trigram", "path", "positions")
     assert rows_of_spark(got.select("trigram", "path", "positions")) == rows_of_spark(want)
     assert len(ix.search("MANY w").collect()) == 199
+
+
+def test_roots_are_looked_for_by_folder(spark):
+    """Folders meet roots, not paths; a root holds itself, and no path has no root."""
+    paths = spark.createDataFrame([(p,) for p in ("a/b/x", "a/b", "a/c/y", "z", "a/bc/x", None, "/r/x", "a/b/x")], "path string")
+    found = topology.deepest_root(paths, spark.createDataFrame([(".",), ("a",), ("a/b",), ("/r",), ("a",)], "path string"))
+    assert rows_of_spark(found)[1] == sorted([("a/b/x", "a/b")] * 2 + [("a/b", "a/b"), ("a/c/y", "a"), ("z", "."), ("a/bc/x", "a"), (None, None), ("/r/x", "/r")], key=repr)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [__folder") >= 1
