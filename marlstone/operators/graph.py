@@ -254,12 +254,15 @@ def impact_priority(reach: Column, depth: Column) -> Column:
 
 def seed_proximity(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(node, distance, seed, score)``: the nearest seed within two undirected steps, the smallest on ties."""
-    links = adjacency(edges, "both").select("node", "other").filter("node <> other").distinct()
+    pairs, where = write_stage(edges.select("src", "dst").filter("src <> dst"), "pairs")  # read by both steps; the least seed needs no distinct ones
+    links = adjacency(pairs, "both")
     zero = seeds.select("node", F.col("node").alias("seed")).distinct()
     one = zero.join(links, "node").groupBy(F.col("other").alias("node")).agg(F.min("seed").alias("seed"))
-    one = one.join(zero.select("node"), "node", "left_anti")
+    one, _ = write_stage(one.join(zero.select("node"), "node", "left_anti"), "one_step")
     two = one.join(links, "node").groupBy(F.col("other").alias("node")).agg(F.min("seed").alias("seed"))
     two = two.join(zero.select("node"), "node", "left_anti").join(one.select("node"), "node", "left_anti")
+    two, _ = write_stage(two, "two_steps")
+    drop_stage(edges.sparkSession, where)
     near = one.select("node", F.lit(1).alias("distance"), "seed", F.lit(NEARER).cast("long").alias("score"))
     return near.unionByName(two.select("node", F.lit(2).alias("distance"), "seed", F.lit(NEAR).cast("long").alias("score")))
 

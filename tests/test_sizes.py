@@ -1,7 +1,7 @@
 """Tasks that hold no more of a larger table, and work that is done once."""
 
 from marlstone.functions import stage
-from marlstone.operators import edges
+from marlstone.operators import edges, graph
 from marlstone.plans import tables as T
 
 
@@ -33,4 +33,12 @@ def times_run(spark, df, work):
 
 def test_edges_are_made_once(spark):
     links = spark.createDataFrame([(k % 7, k % 5 + 3) for k in range(40)], "src long, dst long").repartition(2)
+    seeds = spark.createDataFrame([(1,), (2,)], "node long")
     assert times_run(spark, links, lambda e: edges.degrees(e, "src", "dst")) == 1
+    assert times_run(spark, links, lambda e: graph.seed_proximity(e, seeds)) == 1
+
+
+def test_proximity_of_repeated_and_looping_edges(spark):
+    links = spark.createDataFrame([(1, 3), (3, 1), (1, 3), (2, 3), (3, 3), (3, 4), (4, 5), (2, 5), (1, 2), (5, 6)], "src long, dst long")
+    got = graph.seed_proximity(links, spark.createDataFrame([(1,), (2,), (1,)], "node long"))
+    assert rows_of(got.select("node", "distance", "seed")) == [(3, 1, 1), (4, 2, 1), (5, 1, 2), (6, 2, 2)]
