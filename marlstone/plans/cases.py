@@ -23,6 +23,8 @@ from marlstone.plans.registry import query
 from marlstone.plans.tables import table
 
 G = "{g}"
+#: Bytes of the texts that a task makes.
+PART_BYTES = 16 << 20
 
 
 def _literal(value) -> str:
@@ -57,10 +59,15 @@ def spread(spark: SparkSession, sf_dir: str, rows: list, schema: str) -> DataFra
     told = [dict(zip(kind.names, r, strict=True)) if not isinstance(r, dict) else r for r in rows]
     made = F.from_json(F.lit(json.dumps(told)), T.ArrayType(kind))
     key = F.col("s_suppkey").cast("string")
-    some = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(made).alias("r"))
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey")
+    # By bytes that are made, not by those that are read: a key becomes all texts of a case.
+    parts = -(-suppliers.count() * len(json.dumps(told)) // PART_BYTES)
+    some = (suppliers.repartition(parts, "s_suppkey") if parts > 1 else suppliers).select("s_suppkey", F.explode(made).alias("r"))
 
     def filled(f):
         c = F.col("r")[f.name]
+        if not any(G in json.dumps(r[f.name]) for r in told):
+            return c.alias(f.name)
         if f.dataType == T.StringType():
             return F.replace(c, F.lit(G), key).alias(f.name)
         if f.dataType == T.ArrayType(T.StringType()):

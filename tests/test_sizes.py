@@ -1,7 +1,10 @@
 """Tasks that hold no more of a larger table, and work that is done once."""
 
-from marlstone.functions import stage
+from pyspark.sql import functions as F
+
+from marlstone.functions import paths, stage
 from marlstone.operators import edges, graph
+from marlstone.plans import cases
 from marlstone.plans import tables as T
 
 
@@ -42,3 +45,18 @@ def test_proximity_of_repeated_and_looping_edges(spark):
     links = spark.createDataFrame([(1, 3), (3, 1), (1, 3), (2, 3), (3, 3), (3, 4), (4, 5), (2, 5), (1, 2), (5, 6)], "src long, dst long")
     got = graph.seed_proximity(links, spark.createDataFrame([(1,), (2,), (1,)], "node long"))
     assert rows_of(got.select("node", "distance", "seed")) == [(3, 1, 1), (4, 2, 1), (5, 1, 2), (6, 2, 2)]
+
+
+def test_breaks_at_the_end_are_lines(spark):
+    texts = [("x" * 2000 + "\n" * n, n <= 3) for n in range(6)]
+    got = spark.createDataFrame([(t,) for t, _ in texts], "t string").select(paths.looks_minified(F.lit("a.js"), F.col("t")).alias("hit"))
+    assert [r["hit"] for r in got.collect()] == [hit for _, hit in texts]
+
+
+def test_cases_are_dealt_by_what_they_make(spark, sf_dir, monkeypatch):
+    rows = [(1, "a{g}", ["{g}", "b"]), (2, "c", ["d"])]
+    whole = rows_of(cases.spread(spark, sf_dir, rows, "n int, x string, y array<string>"))
+    monkeypatch.setattr(cases, "PART_BYTES", 100)
+    dealt = cases.spread(spark, sf_dir, rows, "n int, x string, y array<string>")
+    assert dealt.rdd.getNumPartitions() > 1 and [repr(r) for r in rows_of(dealt)] == [repr(r) for r in whole]
+    assert (2, "c", ["d"]) in whole and (1, "a1", ["1", "b"]) in whole
