@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.stage import drop_stage, write_stage
+from marlstone.functions.stage import dealt, drop_stage, write_stage
 from marlstone.operators.budget import fitting_rounds
 
 #: The order in which collections give up items, at usual budgets and at those under ``SMALL_TOKENS`` (fixed values).
@@ -154,11 +154,12 @@ def evidence_bound(collections: list[Collection], symbols: Collection, key: str,
     """
     spark, names = collections[0].rows.sparkSession, [c.name for c in collections]
     files = next(c for c in collections if c.name == "files")
-    of_key = Window.partitionBy(key).orderBy(*symbols.order)
-    numbered = symbols.rows.select(key, (symbols.size + 1).alias("size"), F.row_number().over(of_key).alias("nth"))
-    per_file = numbered.groupBy(key).agg(F.count("*").alias("n"))
+    per_file = symbols.rows.groupBy(key).agg(F.count("*").alias("n"))
     per_file, per_path = write_stage(files.rows.select(key).join(per_file, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n")), "symbols_of_files")
-    most = per_file.agg(F.max("n")).first()[0] or 0
+    most, every = (x or 0 for x in per_file.agg(F.max("n"), F.sum("n")).first())
+    # Sizes are measured before symbols are dealt, so only these, keys and what orders them are sorted.
+    sizes = dealt(symbols.rows.withColumn("size", symbols.size + 1), every, key)
+    numbered = sizes.select(key, "size", F.row_number().over(Window.partitionBy(key).orderBy(*symbols.order)).alias("nth"))
     halved = _symbol_halvings(per_file, most)
     # A file after each step: its symbols up to the cut, a comma less than symbols.
     sized = numbered.join(halved, key).filter(F.col("nth") <= F.col("kept")).groupBy(key, "step").agg((F.sum("size") - 1).alias("symbols_size"))

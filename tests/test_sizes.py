@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from marlstone.functions import paths, stage
-from marlstone.operators import edges, graph
+from marlstone.operators import bounding, edges, graph
 from marlstone.plans import cases
 from marlstone.plans import tables as T
 
@@ -60,3 +60,16 @@ def test_cases_are_dealt_by_what_they_make(spark, sf_dir, monkeypatch):
     dealt = cases.spread(spark, sf_dir, rows, "n int, x string, y array<string>")
     assert dealt.rdd.getNumPartitions() > 1 and [repr(r) for r in rows_of(dealt)] == [repr(r) for r in whole]
     assert (2, "c", ["d"]) in whole and (1, "a1", ["1", "b"]) in whole
+
+
+def test_symbols_are_measured_before_they_are_dealt(spark, monkeypatch):
+    """What sorts symbols holds their sizes, not their names, and has as many parts as their number asks for."""
+    monkeypatch.setattr(stage, "PART_ROWS", 50)
+    seen = []
+    monkeypatch.setattr(bounding, "dealt", lambda df, rows, *keys: seen.append((rows, stage.dealt(df, rows, *keys))) or seen[-1][1])
+    files = bounding.Collection("files", spark.createDataFrame([(f"f{k}",) for k in range(30)], "path string"), [F.asc("path")], bounding.json_bytes("path"))
+    rows = spark.createDataFrame([(f"f{k % 30}", k, "name" * 9) for k in range(900)], "path string, ord long, name string")
+    got = bounding.evidence_bound([files], bounding.Collection("symbols", rows, [F.asc("ord")], bounding.json_bytes("name")), "path", 30_000)
+    assert [n for n, _ in seen] == [900] and seen[0][1].rdd.getNumPartitions() == 18
+    # 30 files keep 16 symbols each: 46 bytes a symbol, and the comma.
+    assert {r["name"]: (r["total"], r["returned"]) for r in got.collect()} == {"files": (30, 30), "symbols": (900, 480)}
