@@ -23,7 +23,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @whole_texts
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8) stays, the one with the smallest id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays, the one with the smallest id.
+
+    Operator 6's fingerprints and pivot tables link first, minimum hashes find what 64 bits leave apart.
+    """
     return near.similar_dedup(docs)
 
 

@@ -1,16 +1,19 @@
 """Near copies by exact shingle similarity: the pipeline's rule, five words and 0.8.
 
-A fingerprint of 64 bits can't hold this rule: at similarity 0.8 two texts
-differ in 10 bits on average and in up to 17, and no block choice is complete
-there.  So candidates come from minimum hashes, and every link is verified.
-
-1. Equal texts are one node.
+Operator 6 comes first: fingerprints of the shingles, met by its pivot distance
+tables.  64 bits can't hold the whole rule: at similarity 0.8 two texts differ in
+10 bits on average and in up to 17, and no block choice is complete there.  So
+minimum hashes find what the fingerprints leave apart, and every link is verified.
+
+1. Equal texts are one node.  Nodes of one fingerprint meet the least of them, and
+   these meet along the links of ``simhash.fingerprint_links``, where pivot tables
+   decide; those that are similar enough are linked.
 2. Each node has ``BANDS`` keys, each of ``ROWS`` minimum hashes of its shingles.
    Nodes with a key in common form a block.  A pair of similarity 0.8 shares no
    key with a probability of ``(1 - 0.8 ** ROWS) ** BANDS``, 3 in a million;
    closer pairs less.
-3. The least node of a block is its pivot.  All others are compared with it by
-   the similarity of their whole shingle sets.
+3. The least node of a block is its pivot.  All others that no link joins to it
+   yet are compared with it by the similarity of their whole shingle sets.
 4. Nodes that the pivots' links leave in different components of a block meet by
    filters that lose nothing.  Order all shingles, rare ones first (by a table of
    counts of a fixed size); two sets of similarity 0.8 have one of the first
@@ -39,7 +42,8 @@ from pyspark.sql import functions as F
 from marlstone.functions.stage import import_on_workers, write_stage
 from marlstone.llm.common import fresh, give_back_memory
 from marlstone.llm.components import connected_components
-from marlstone.llm.simhash import _UPPER, _WORD, SEED
+from marlstone.llm.simhash import _UPPER, _WORD, SEED, fingerprint_links, print_of
+from marlstone.llm.simhash import CHUNK as PRINT_CHUNK
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -80,6 +84,12 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def set_print(hashes: np.ndarray) -> int:
+    """The signed fingerprint of a set of hashes."""
+    bits = print_of((hashes[k : k + PRINT_CHUNK] for k in range(0, len(hashes), PRINT_CHUNK)), len(hashes))
+    return bits - (1 << 64) if bits >= 1 << 63 else bits
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
@@ -96,10 +106,14 @@ def _row(node: Column, doc_id: Column) -> Column:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [band_keys(shingles(t.as_py())) for t in batch.column(2)]
+        keys, prints = [], []
+        for t in batch.column(2):
+            own = shingles(t.as_py())
+            keys.append(band_keys(own))
+            prints.append(set_print(own))
         flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "node", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(prints, pa.int64())], ["doc_id", "node", "keys", "fp"])
     give_back_memory()
 
 
@@ -227,24 +241,40 @@ def _linked(distances: DataFrame) -> DataFrame:
     return distances.filter(F.col("d") <= 1 - SIMILARITY + 1e-9).select("a", "b")
 
 
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """``(a, b)`` of ``nodes(node, fp)``: the nodes of a fingerprint with the least of them, and these along the links that pivot tables give."""
+    prints, _ = write_stage(nodes.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    same = nodes.join(prints, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    links = fingerprint_links(prints.select("fp"), prints.count()).toDF("fp", "fp_1")
+    met = links.join(prints.withColumnRenamed("first", "node"), "fp").join(prints.toDF("fp_1", "node_1"), "fp_1")
+    return same.union(met.select(*_pair()))
+
+
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(node, least)`` for every distinct text of ``docs(doc_id, text)``, and ``(node, root)`` for those with a near copy."""
     import_on_workers(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _node().alias("node"), "text")
-    sketches, _ = write_stage(own.mapInArrow(_sketch, "doc_id long, node binary, keys array<long>"), "sketches")
-    nodes, _ = write_stage(sketches.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
+    sketches, _ = write_stage(own.mapInArrow(_sketch, "doc_id long, node binary, keys array<long>, fp long"), "sketches")
+    nodes, _ = write_stage(sketches.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), "nodes")
+    close = _distances(docs, nodes, print_pairs(nodes))
+    roots, _ = write_stage(connected_components(_linked(close)), "roots")
+
     dealt = sketches.select("node", F.explode("keys").alias("key"))
     blocks = dealt.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last").select("key", "pivot")
     members, _ = write_stage(dealt.join(blocks, "key").distinct(), "members")
 
-    stars = _distances(docs, nodes, members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    roots, _ = write_stage(connected_components(_linked(stars)), "roots")
+    apart = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    for end in ("a", "b"):
+        apart = apart.join(roots.toDF(end, f"root_{end}"), end, "left")
+    apart = apart.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    stars = _distances(docs, nodes, apart.join(close.select("a", "b"), ["a", "b"], "left_anti"))
+    links, known = _linked(close).union(_linked(stars)), close.union(stars).select("a", "b")
+    roots, _ = write_stage(connected_components(links), "roots")
 
     placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     # In a block of three or more nodes, pairs without the pivot are not compared yet.
     open_keys = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("size > 2 and low <> high").select("key")
     prefix = _prefixes(docs, nodes, placed.join(open_keys, "key").select("node").distinct())
-    links, known = _linked(stars), stars.select("a", "b")
     draw, last = 0, False
     while True:
         rooted = prefix.join(roots, "node", "left").select("h", "node", "n", "place", "bits", F.coalesce("root", "node").alias("root"))

@@ -24,7 +24,7 @@ fingerprints that differ in at most ``MAX_BITS`` bits.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -49,6 +49,14 @@ _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+def print_of(chunks: Iterable[np.ndarray], n: int) -> int:
+    """The unsigned fingerprint of ``n`` hashes, which come in chunks: the bits that over half of them have."""
+    ones = np.zeros(64, np.int64)
+    for h in chunks:
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """The unsigned fingerprint of one text; a text without words has zero."""
     raw = (text or "").encode("utf-8", "surrogatepass").translate(_UPPER)
@@ -64,12 +72,8 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
         pairs = [(0, len(joined))]
     else:
         pairs = list(zip(starts, ends[shingle - 1 :], strict=False))
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for k in range(0, len(pairs), CHUNK):
-        h = np.array([digest(joined[s:e], SEED) for s, e in pairs[k : k + CHUNK]], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(pairs), bitorder="little")
-    return int(bits.view(np.uint64)[0])
+    digest = xxhash.xxh64_intdigest
+    return print_of((np.array([digest(joined[s:e], SEED) for s, e in pairs[k : k + CHUNK]], np.uint64) for k in range(0, len(pairs), CHUNK)), len(pairs))
 
 
 def with_fingerprints(docs: DataFrame, name: str, shingle: int = 4) -> DataFrame:

@@ -95,3 +95,32 @@ def test_prefixes_and_bitmaps_lose_nothing():
             left = max(1 + min(len(x) - pa_[ha == h][0], len(y) - pb[hb == h][0]) for h in shared)
             need = (len(x) + len(y)) * 0.8 / 1.8 - 1e-9
             assert left >= need and (len(x) + len(y) - differ) / 2 >= need
+
+
+def test_fingerprints_and_pivot_tables_come_first(spark):
+    """Pairs of operator 6's step: its fingerprints at 4 bits give the same components as brute force."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(900)]
+    texts = []
+    for _ in range(6):
+        base = [rng.choice(words) for _ in range(400)]
+        for _ in range(60):  # over simhash.SMALL_BLOCK
+            w = list(base)
+            w[rng.randrange(400)] = rng.choice(words)
+            texts.append(" ".join(w))
+    sets = [near.shingles(t) for t in dict.fromkeys(texts)]
+    prints = [near.set_print(s) for s in sets]
+    nodes = spark.createDataFrame([(bytearray(k.to_bytes(4)), p) for k, p in enumerate(prints)], "node binary, fp long")
+    pairs = [tuple(int.from_bytes(x) for x in r) for r in near.print_pairs(nodes).collect()]
+    bits = lambda a, b: ((prints[a] ^ prints[b]) & ((1 << 64) - 1)).bit_count()
+    assert pairs and all(a < b and bits(a, b) <= 4 and near.similarity(sets[a], sets[b]) >= 0.8 for a, b in pairs)
+
+    def parts(links):
+        root = list(range(len(sets)))
+        for a, b in links:
+            x, y = root[a], root[b]
+            root = [x if r == y else r for r in root]
+        return {frozenset(k for k, r in enumerate(root) if r == x) for x in root}
+
+    assert parts(pairs) == parts([(a, b) for a in range(len(sets)) for b in range(a) if bits(a, b) <= 4])
+    assert len(pairs) < len(sets) * 16  # forests of blocks, not all pairs
