@@ -10,6 +10,8 @@ from marlstone.plans.registry import query
 from marlstone.sources.files import extract_symbols
 
 LANGUAGES = ["rust", "javascript", "typescript", "go", "java", "csharp", "ruby", "lua", "zig"]
+#: Texts that a task reads.
+TASK_TEXTS = 1 << 13
 #: Head, method and end of a text in each language; ``{o}`` is the order, ``{n}`` the line, ``{p}`` the part.
 TEXTS = {
     "rust": ("pub struct Order{o};\nimpl Order{o} {\n", "    pub fn line{n}(&self) { part{p}(); }\n", "}\n"),
@@ -25,9 +27,11 @@ TEXTS = {
 
 
 def source_files(spark, sf_dir) -> DataFrame:
-    """``(path, language, text)``: a text for each order."""
-    line = T.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items"))
-    own = T.table(spark, sf_dir, "orders").select("o_orderkey").join(line, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    """``(path, language, text)``: a text for each order, dealt by their number: reading them is work for Python, far more than their bytes tell."""
+    orders = T.table(spark, sf_dir, "orders").select("o_orderkey")
+    parts = max(1, -(-orders.count() // TASK_TEXTS))  # by the files' footers
+    line = T.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition(parts, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items"))
+    own = orders.repartition(parts, "o_orderkey").join(line, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     key = F.col("o_orderkey").cast("string")
     empty = F.array().cast("array<struct<l_linenumber:int,l_partkey:bigint>>")
 
@@ -67,7 +71,7 @@ SYMBOLS_SQL = f"""WITH o AS (SELECT o_orderkey AS k, ['{"','".join(LANGUAGES)}']
 @query(SYMBOLS_SQL + "SELECT language || '/order' || k AS path, name, kind, evidence, scope, CAST(line AS INT) AS line, visibility FROM found")
 def lexed_symbols(spark, sf_dir):
     """Definitions and calls that the lexer finds in texts of nine languages, with the definitions around them."""
-    found = extract_symbols(source_files(spark, sf_dir)).filter(F.col("evidence").isin("declaration", "call"))
+    found = extract_symbols(source_files(spark, sf_dir), columns=["path", "name", "kind", "scope", "line", "visibility", "evidence"], evidence=("declaration", "call"))
     return found.select("path", "name", "kind", "evidence", F.array_join("scope", "/").alias("scope"), "line", "visibility")
 
 
@@ -77,5 +81,5 @@ UNION ALL SELECT language || '/order' || k, 'Order' || k, CASE language WHEN 'go
   CAST(CASE language WHEN 'lua' THEN 1 WHEN 'go' THEN 3 WHEN 'rust' THEN 1 ELSE 2 + (SELECT count(*) FROM l WHERE l.k = o.k) * """ + _of(_EACH, "1") + """ END AS INT) FROM o""")
 def lexed_extents(spark, sf_dir):
     """Where each definition begins and ends."""
-    found = extract_symbols(source_files(spark, sf_dir)).filter("evidence = 'declaration' and kind <> 'module'")
+    found = extract_symbols(source_files(spark, sf_dir), columns=["path", "name", "kind", "line", "end_line"], evidence=("declaration",)).filter("kind <> 'module'")
     return found.select("path", "name", "line", "end_line")

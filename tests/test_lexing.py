@@ -95,3 +95,23 @@ def test_long_text_takes_linear_time():
     text = "fn f() { g(h.x); }\n" * 30_000
     found, whole = lexed_symbols(text, "rust")
     assert whole and len(found) == 4 * 30_000
+
+
+def test_texts_are_dealt_by_their_number(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from marlstone.plans import sources
+
+    n = sources.TASK_TEXTS * 3
+    spark.range(n).select(F.col("id").alias("o_orderkey")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(9).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.col("id").alias("l_partkey")).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    sizes = [r["count"] for r in sources.source_files(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n and max(sizes) < n / 2
+
+
+def test_asked_columns_and_evidence(spark):
+    texts = spark.createDataFrame([(f"a.{n}", n, t) for n, t in TEXTS.items()] + [("b", "java", ""), ("c", "python", "def")], "path string, language string, text string")
+    columns, evidence = ["path", "ord", "name", "scope", "status"], ("declaration", "call")
+    whole = files.extract_symbols(texts, 5).filter("evidence in ('declaration', 'call')").select(*columns)
+    some = files.extract_symbols(texts, 5, columns, evidence)
+    assert some.schema.names == columns and sorted(some.collect()) == sorted(whole.collect()) != []
