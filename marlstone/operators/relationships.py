@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.paths import is_test_path
-from marlstone.functions.stage import write_stage
+from marlstone.functions.stage import growing, write_stage
 from marlstone.functions.text import ascii_lower, folded, query_path
 from marlstone.operators.budget import page
 from marlstone.operators.edges import TARGET_KINDS, import_names
@@ -41,7 +41,7 @@ def symbol_node() -> Column:
 def nodes(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """``(id, kind, path, name, scope, role, language, partial)`` of all files and symbols."""
     f = files.select(file_node(F.col("path")).alias("id"), F.lit("file").alias("kind"), "path", F.lit(None).cast("string").alias("name"), F.lit(None).cast("array<string>").alias("scope"), F.lit(None).cast("string").alias("role"), "language", (F.col("status") == "partial").alias("partial"))
-    own = _placed(symbols).drop("language").join(files.select("path", "language", (F.col("status") == "partial").alias("partial")), "path")
+    own = _placed(symbols).drop("language").join(growing(files.select("path", "language", (F.col("status") == "partial").alias("partial"))), "path")
     return f.unionByName(own.select(symbol_node().alias("id"), F.lit("symbol").alias("kind"), "path", "name", "scope", "role", "language", "partial").dropDuplicates(["id"]))
 
 
@@ -50,7 +50,7 @@ def call_owners(symbols: DataFrame) -> DataFrame:
     own = _placed(symbols)
     calls = own.filter("role = 'reference' and evidence = 'call'").select("path", "ord", F.posexplode("scope").alias("depth", "name"))
     defs = own.filter((F.col("role") == "definition") & F.col("kind").isin(TARGET_KINDS)).groupBy("path", "name").agg(F.min_by(symbol_node(), "ord").alias("owner"))
-    return calls.join(defs, ["path", "name"]).groupBy("path", "ord").agg(F.max_by("owner", "depth").alias("owner"))
+    return calls.join(growing(defs), ["path", "name"]).groupBy("path", "ord").agg(F.max_by("owner", "depth").alias("owner"))
 
 
 def build(files: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -66,21 +66,21 @@ def build(files: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
     edges, _ = write_stage(edges, "edges")  # read several times
     own = _placed(symbols)
     known = files.select("path", (F.col("status") == "partial").alias("partial"))
-    some = edges.join(known.select(F.col("path").alias("source"), F.col("partial").alias("__a")), "source").join(known.select(F.col("path").alias("target"), F.col("partial").alias("__b")), "target")
+    some = edges.join(growing(known.select(F.col("path").alias("source"), F.col("partial").alias("__a"))), "source").join(growing(known.select(F.col("path").alias("target"), F.col("partial").alias("__b"))), "target")
     imports = own.filter("role = 'definition' and evidence = 'import'")
     taken = imports.select(F.col("path").alias("source"), F.col("name").alias("symbol"), F.explode(import_names(F.col("name"), F.coalesce("context", F.lit("")), F.array(F.regexp_replace(F.regexp_replace(F.regexp_extract(F.coalesce("context", F.lit("")), "[\"']([^\"']*)[\"']", 1), r"^(\./)*(\.\./)*", ""), r"(\.js)*(\.ts)*(\.py)*(\.rs)*$", "")))).alias("wanted")).filter("wanted <> ''").distinct()
     named = imports.select(F.col("path").alias("source"), F.col("name").alias("symbol")).distinct().withColumn("__imports", F.lit(True))
-    told = some.join(named, ["source", "symbol"], "left")
+    told = some.join(growing(named), ["source", "symbol"], "left")
     kept = ["symbol", "ambiguous", "candidates", "candidate_group", "resolution_reason", "confidence", "__a", "__b"]
     kind = F.when(F.coalesce("__imports", F.lit(False)), "import").otherwise("dependency")
     between_files = told.select(file_node(F.col("source")).alias("from"), file_node(F.col("target")).alias("to"), F.col("source").alias("source_path"), F.col("target").alias("target_path"), kind.alias("kind"), *kept)
 
     by_evidence = F.when(F.col("evidence") == "import", "import").when(F.col("evidence") == "call", "call").when(F.col("evidence") == "type_reference", "type_reference").otherwise("reference")
-    refs = own.filter("role = 'reference' or (role = 'definition' and evidence = 'import')").join(call_owners(symbols), ["path", "ord"], "left")
+    refs = own.filter("role = 'reference' or (role = 'definition' and evidence = 'import')").join(growing(call_owners(symbols)), ["path", "ord"], "left")
     refs = refs.select(F.col("path").alias("source"), F.col("name").alias("symbol"), by_evidence.alias("kind"), F.coalesce("owner", symbol_node()).alias("from"))
     defs = own.filter((F.col("role") == "definition") & F.col("kind").isin(TARGET_KINDS)).select(F.col("path").alias("target"), F.col("name").alias("wanted"), symbol_node().alias("to"))
     names = some.select("source", "symbol").distinct().withColumn("wanted", F.col("symbol")).unionByName(taken).distinct()
-    met = some.join(names, ["source", "symbol"]).join(defs, ["target", "wanted"]).drop("wanted").join(refs, ["source", "symbol"])
+    met = some.join(growing(names), ["source", "symbol"]).join(growing(defs), ["target", "wanted"]).drop("wanted").join(growing(refs), ["source", "symbol"])
     between_symbols = met.select("from", "to", F.col("source").alias("source_path"), F.col("target").alias("target_path"), "kind", *kept)
 
     every = between_files.unionByName(between_symbols)
@@ -160,7 +160,7 @@ def candidates(all_nodes: DataFrame, relationships: DataFrame, operation: str, t
     at = (named(all_nodes, target, "definition") if relation in ("caller", "callee") else file_anchors(all_nodes, target)).select(F.col("id").alias("node")).distinct()
     links = adjacency(of_kinds(as_graph(relationships), kinds), "in" if back else "out").join(at, "node", "left_semi")
     links = links.join(at.select(F.col("node").alias("other")), "other", "left_anti")
-    met = links.select("other", F.col("id").alias("relationship"), "confidence", "ambiguous").join(node(all_nodes), F.col("other") == F.col("node"))
+    met = links.select("other", F.col("id").alias("relationship"), "confidence", "ambiguous").join(growing(node(all_nodes)), F.col("other") == F.col("node"))
     if relation == "test":
         met = met.filter(is_test_path(F.col("path")))
     sure = F.when(F.col("partial") & (F.col("confidence") == "high"), "medium").otherwise(F.col("confidence"))

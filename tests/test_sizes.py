@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from marlstone.functions import paths, stage
-from marlstone.operators import bounding, edges, graph
+from marlstone.operators import bounding, edges, graph, relationships
 from marlstone.plans import cases
 from marlstone.plans import tables as T
 
@@ -73,3 +73,20 @@ def test_symbols_are_measured_before_they_are_dealt(spark, monkeypatch):
     assert [n for n, _ in seen] == [900] and seen[0][1].rdd.getNumPartitions() == 18
     # 30 files keep 16 symbols each: 46 bytes a symbol, and the comma.
     assert {r["name"]: (r["total"], r["returned"]) for r in got.collect()} == {"files": (30, 30), "symbols": (900, 480)}
+
+
+def test_no_growing_table_is_sent_by_the_driver(spark, sf_dir, monkeypatch):
+    """The keys of a small table become all rows of a tree, so Spark takes sides of joins for small that grow with it."""
+    plans = []
+
+    def noted(df, label, write=stage.write_stage):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return write(df, label)
+
+    for module in (edges, relationships, cases):
+        monkeypatch.setattr(module, "write_stage", noted)
+    n, r = cases._graph(spark, sf_dir)
+    steps = relationships.candidates(n, r, "imports", "src/app1.ts")
+    assert [x["node"] for x in steps.collect()] == ["file:src/util1.ts"]
+    assert len(plans) > 8 and sum(p.count("Join") for p in plans) > 20
+    assert [x for p in plans for x in p.splitlines() if "Broadcast" in x] == []
