@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.paths import is_test_path
-from marlstone.functions.stage import drop_stage, write_stage
+from marlstone.functions import stage
+from marlstone.functions.stage import by_some_keys, drop_buckets, drop_stage, write_buckets, write_stage
 
 # Limits of walks and constants of the ranks (fixed values).
 DEPTH_MOST, WORK_DEFAULT, WORK_MOST, RESULTS_MOST = 64, 10_000, 100_000, 256
@@ -275,7 +276,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, personal: DataFrame | None = No
     without edges goes back by ``personal(node, p)`` (uniform by default).
 
     Each round is one join and one grouping of the ranks before it, which are
-    written; the loose rank is read off them as one number.
+    written; the loose rank is read off them as one number.  Nodes lie in blocks of
+    neighbours by their order; shares are written once by the block of their source, so a round
+    shuffles no edges but, from each block, one sum for each node that it flows to.
     """
     spark, total = nodes.sparkSession, Window.partitionBy("src")
     n = nodes.count()
@@ -284,20 +287,28 @@ def pagerank(nodes: DataFrame, edges: DataFrame, personal: DataFrame | None = No
     shares = summed.withColumn("share", F.col("w") / F.sum("w").over(total))
     shares, _ = write_stage(shares, "shares")
     base = p.join(shares.select(F.col("src").alias("node")).distinct().withColumn("flows", F.lit(True)), "node", "left").select("node", "p", F.coalesce("flows", F.lit(False)).alias("flows"))
-    base, _ = write_stage(base, "personal")
-    shares, _ = write_stage(shares.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "share"), "shares")
+    parts = max(1, -(-(shares.count() + n) // stage.PART_ROWS))
+    base, _ = write_stage(base.repartitionByRange(parts, "node").withColumn("block", F.spark_partition_id()), "personal")
+    placed = base.select(F.col("node").alias("src"), "block").distinct()
+    kept = shares.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").join(placed, "src").select("block", "src", "dst", "share")
+    links, table, place = write_buckets(kept, parts, "block", "shares")
     rank, where = base.withColumn("score", F.col("p")), None
-    for _ in range(iterations):
-        loose = rank.filter("not flows").agg(F.sum("score")).first()[0] or 0.0
-        flow = rank.join(shares, rank["node"] == shares["src"]).select(F.col("dst").alias("node"), (F.col("score") * F.col("share")).alias("got"))
-        own = base.select("node", (((1 - damping) + damping * loose) * F.col("p")).alias("held"), "p", "flows")
-        # A node's own row and what flows to it meet in one grouping.
-        rows = own.select("node", "held", F.lit(0.0).alias("got"), "p", "flows").unionByName(flow.select("node", F.lit(0.0).alias("held"), "got", F.lit(None).cast("double").alias("p"), F.lit(None).cast("boolean").alias("flows")))
-        after = rows.groupBy("node").agg(F.max("p").alias("p"), F.max("flows").alias("flows"), (F.sum("held") + damping * F.sum("got")).alias("score"))
-        rank, new = write_stage(after, "rank")
-        if where:
-            drop_stage(spark, where)
-        where = new
+    try:
+        for _ in range(iterations):
+            loose = rank.filter("not flows").agg(F.sum("score")).first()[0] or 0.0
+            # A block's nodes are few enough to be hashed; its links, which lie in one bucket, pass by.
+            at = rank.select("block", "node", "score").repartition(parts, "block").hint("shuffle_hash")
+            flow = at.join(links, (at["block"] == links["block"]) & (at["node"] == links["src"])).select(F.col("dst").alias("node"), (F.col("score") * F.col("share")).alias("got"))
+            # A node's own row and what flows to it meet in one grouping.
+            rows = base.select("node", "p", "flows", "block", F.lit(None).cast("double").alias("got")).unionByName(flow, allowMissingColumns=True)
+            score = F.lit((1 - damping) + damping * loose) * F.sum("p") + damping * F.coalesce(F.sum("got"), F.lit(0.0))
+            with by_some_keys(spark):
+                rank, new = write_stage(rows.groupBy("node").agg(F.max("flows").alias("flows"), F.max("block").alias("block"), score.alias("score")), "rank")
+            if where:
+                drop_stage(spark, where)
+            where = new
+    finally:
+        drop_buckets(spark, table, place)
     return rank.select("node", "score")
 
 

@@ -1,5 +1,6 @@
 """Tasks that hold no more of a larger table, and work that is done once."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import paths, stage
@@ -90,3 +91,36 @@ def test_no_growing_table_is_sent_by_the_driver(spark, sf_dir, monkeypatch):
     assert [x["node"] for x in steps.collect()] == ["file:src/util1.ts"]
     assert len(plans) > 8 and sum(p.count("Join") for p in plans) > 20
     assert [x for p in plans for x in p.splitlines() if "Broadcast" in x] == []
+
+
+def test_rounds_of_ranks_shuffle_no_edges(spark, monkeypatch):
+    """In several blocks, with ends outside the nodes on both sides, ranks are as by hand; a round shuffles ranks and their sums only."""
+    pairs = [(k, (k * 7 + j * j) % 43) for k in range(43) for j in range(5)]
+    links = spark.createDataFrame([(a, b, 1 + (a + b) % 3) for a, b in pairs if a % 11], "src long, dst long, weight int")
+    inside = [k for k in range(40) if k != 5]
+    monkeypatch.setattr(stage, "PART_ROWS", 40)
+    plans = []
+
+    def noted(df, label, write=stage.write_stage):
+        if label == "rank":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(graph, "write_stage", noted)
+    found = graph.pagerank(spark.createDataFrame([(k,) for k in inside], "node long"), links, iterations=6)
+    assert len(plans) == 6
+    for p in plans:
+        assert p.count("Exchange hashpartitioning") == 2 and "Bucketed: true" in p
+
+    out, weights = {}, {}
+    for a, b in pairs:
+        if a % 11:
+            out[a] = out.get(a, 0) + 1 + (a + b) % 3
+            weights[a, b] = weights.get((a, b), 0) + 1 + (a + b) % 3
+    score = dict.fromkeys(inside, 1 / len(inside))
+    for _ in range(6):
+        loose = sum(v for k, v in score.items() if k not in out)
+        score = {k: (0.15 + 0.85 * loose) / len(inside) + 0.85 * sum(score[a] * w / out[a] for (a, b), w in weights.items() if b == k and a in score) for k in inside}
+    assert {r["node"]: r["score"] for r in found.collect()} == pytest.approx(score)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("marlstone_")]
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
