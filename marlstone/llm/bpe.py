@@ -8,6 +8,8 @@ allows exact appends (new prefixes are filled on) and re-encoding near an edit
 (prefixes before it stay).
 
 Pieces are the matches of the pre-tokenizer's pattern, each encoded on its own.
+New short pieces of a batch fill their tables side by side: an automaton over all
+tokens names the longest one that ends at each byte, and those it holds.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import hashlib
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,15 +30,92 @@ from marlstone.llm.common import give_back_memory
 
 #: Distinct pieces a worker remembers, twice: when the newer memory is full it becomes the older one.
 #: Prefixes are kept as they come; a full memory starts anew after many that found no room.
-PIECE_MEMORY = 1 << 17
+PIECE_MEMORY = 1 << 18
 PAIR_MEMORY = 1 << 18
 PREFIX_MEMORY = 1 << 18
+#: Bytes of a piece whose table is filled beside others', pieces that are filled at once, and places of the pairs they remember (a power of two).
+SHORT_PIECE = 48
+SIDE_BY_SIDE = 1 << 14
+PAIR_PLACES = 1 << 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def read_ranks(lines: Iterator[bytes]) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
+class Automaton:
+    """States are the prefixes of all tokens; each knows the longest token that ends it.
+
+    Steps are kept in an open table of places, not one for each state and byte.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        steps: dict[int, int] = {}
+        token, depth, levels = [-1], [0], []
+        for spelled, rank in ranks.items():
+            state = 0
+            for k, byte in enumerate(spelled):
+                key = state << 8 | byte
+                state = steps.get(key, 0)
+                if not state:
+                    state = steps[key] = len(token)
+                    token.append(-1)
+                    depth.append(k + 1)
+            token[state] = rank
+        self.token, self.depth = np.array(token, np.int32), np.array(depth, np.int32)
+        self.bits = np.uint64(64 - max(8, 2 * len(steps)).bit_length())
+        self.keys = np.full(1 << int(np.uint64(64) - self.bits), -1, np.int64)
+        self.to = np.zeros(len(self.keys), np.int32)
+        keys, to = np.fromiter(steps.keys(), np.int64, len(steps)), np.fromiter(steps.values(), np.int32, len(steps))
+        at, left = self._place(keys), np.arange(len(keys))
+        while left.size:
+            free = left[self.keys[at[left]] < 0]
+            self.keys[at[free]] = keys[free]
+            self.to[at[free]] = to[free]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+        #: The state of the longest proper end that is a prefix of a token, and of the longest end that is a token.
+        self.fail = np.zeros(len(token), np.int32)
+        self.out = np.where(self.token >= 0, np.arange(len(token), dtype=np.int32), 0).astype(np.int32)
+        levels = self.depth[to]
+        for level in range(1, int(levels.max(initial=0)) + 1):
+            some = np.flatnonzero(levels == level)
+            state, above, byte = to[some], (keys[some] >> 8).astype(np.int32), keys[some] & 255
+            if level > 1:
+                self.fail[state] = self.step(self.fail[above], byte)
+            self.out[state] = np.where(self.token[state] >= 0, state, self.out[self.fail[state]])
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _ODD) >> self.bits).astype(np.int64)
+
+    def _child(self, states: np.ndarray, bytes_: np.ndarray) -> np.ndarray:
+        keys = (states.astype(np.int64) << 8) | bytes_
+        at = self._place(keys)
+        held = self.keys[at]
+        found = np.where(held == keys, self.to[at], 0)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        while left.size:
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+            held = self.keys[at[left]]
+            hit = held == keys[left]
+            found[left[hit]] = self.to[at[left[hit]]]
+            left = left[~hit & (held >= 0)]
+        return found
+
+    def step(self, states: np.ndarray, bytes_: np.ndarray) -> np.ndarray:
+        """The states after one more byte each."""
+        out = self._child(states, bytes_)
+        left = np.flatnonzero((out == 0) & (states != 0))
+        back = states[left]
+        while left.size:
+            back = self.fail[back]
+            out[left] = self._child(back, bytes_[left])
+            on = (out[left] == 0) & (back != 0)
+            left, back = left[on], back[on]
+        return out
+
+
 class PrefixBPE:
     """Encodes and decodes by the ranks of a byte-level vocabulary."""
 
@@ -58,6 +138,8 @@ class PrefixBPE:
         self.prefixes: dict[int, int] = {}
         self.prefix_last: list[int] = [-1]
         self.passed = 0
+        #: Made when pieces are first filled side by side: the automaton, lengths of tokens, which of them merging makes (-1: not known yet), pairs and whether they stay apart.
+        self.automaton: Automaton | None = None
 
     def _merge(self, piece: bytes, below: int) -> list[bytes]:
         """Merging by rank, lowest first and leftmost on ties, of pairs ranked under ``below``."""
@@ -199,6 +281,106 @@ class PrefixBPE:
         known, rest = self.pieces.get, self.encode_piece
         return list(chain.from_iterable([known(p) or rest(p) for p in self.split(text)]))
 
+    def _side_by_side(self) -> Automaton:
+        if self.automaton is None:
+            most = max(self.spelled) + 1
+            self.lengths = np.zeros(most, np.int32)
+            self.lengths[list(self.spelled)] = [len(b) for b in self.spelled.values()]
+            self.made = np.full(most, -1, np.int8)
+            self.pair_keys, self.pair_apart = np.full(PAIR_PLACES, -1, np.int64), np.zeros(PAIR_PLACES, bool)
+            self.automaton = Automaton(self.ranks)
+        return self.automaton
+
+    def _all_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``may_follow`` of many pairs; each place remembers the last pair that fell on it."""
+        keys = (left.astype(np.int64) << 32) | right
+        at = ((keys.astype(np.uint64) * _ODD) >> np.uint64(65 - PAIR_PLACES.bit_length())).astype(np.int64)
+        fits = self.pair_apart[at]
+        new = np.flatnonzero(self.pair_keys[at] != keys)
+        if new.size:
+            some, where = np.unique(keys[new], return_inverse=True)
+            told = np.array([self.may_follow(k >> 32, k & 0xFFFFFFFF) for k in some.tolist()], bool)
+            fits[new] = told[where]
+            self.pair_keys[at[new]] = keys[new]
+            self.pair_apart[at[new]] = self._last_written(at[new], keys[new], fits[new])
+        return fits
+
+    def _last_written(self, at: np.ndarray, keys: np.ndarray, fits: np.ndarray) -> np.ndarray:
+        """For each place the answer of the pair whose key stands there, where several pairs fell on one."""
+        stands = self.pair_keys[at] == keys
+        self.pair_apart[at[stands]] = fits[stands]
+        return self.pair_apart[at]
+
+    def _all_made(self, tokens: np.ndarray) -> np.ndarray:
+        for t in np.unique(tokens[self.made[tokens] < 0]).tolist():
+            self.made[t] = self._reachable(t)
+        return self.made[tokens] > 0
+
+    def encode_many(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """``encode_bytes`` of short pieces that are no token: the last tokens of all their prefixes of a length are found together."""
+        if not pieces:
+            return []
+        auto = self._side_by_side()
+        sizes = np.array([len(p) for p in pieces])
+        order = np.argsort(-sizes, kind="stable")
+        sizes = sizes[order]
+        most, n = int(sizes[0]), len(pieces)
+        flat = np.frombuffer(b"".join(pieces[k].ljust(most, b"\0") for k in order.tolist()), np.uint8).reshape(n, most).T.astype(np.int64)
+        last, state = np.zeros((most, n), np.int32), np.zeros(n, np.int32)
+        live = np.searchsorted(-sizes, -np.arange(most), side="left")  # pieces longer than each place
+        for end in range(most):
+            m = int(live[end])
+            state = auto.step(state[:m], flat[end, :m])
+            todo, node = np.arange(m), auto.out[state]
+            while todo.size:
+                if not node.all():
+                    raise ValueError("a byte has no token")
+                token, before = auto.token[node], end - auto.depth[node]
+                fits, inner = np.zeros(len(todo), bool), before >= 0
+                fits[~inner] = self._all_made(token[~inner])
+                fits[inner] = self._all_apart(last[before[inner], todo[inner]], token[inner])
+                last[end, todo[fits]] = token[fits]
+                todo, node = todo[~fits], auto.out[auto.fail[node[~fits]]]
+        at, who, found = sizes - 1, np.arange(n), []
+        while who.size:
+            token = last[at, who]
+            found.append((who, token))
+            at = at - self.lengths[token]
+            who, at = who[at >= 0], at[at >= 0]
+        owner, tokens = np.concatenate([w for w, _ in found[::-1]]), np.concatenate([t for _, t in found[::-1]])
+        tokens = tokens[np.argsort(owner, kind="stable")].tolist()
+        ends = np.cumsum(np.bincount(owner, minlength=n)).tolist()
+        out: list[tuple[int, ...]] = [()] * n
+        for k, start, stop in zip(order.tolist(), [0, *ends[:-1]], ends, strict=True):
+            out[k] = tuple(tokens[start:stop])
+        return out
+
+    def encode_texts(self, texts: list[str]) -> Iterator[list[int]]:
+        """``encode`` of each text; short pieces that are new to the memory are encoded together first."""
+        cut = list(map(self.split, texts))
+        known, older, ranks = self.pieces, self.older, self.ranks
+        met: dict[str, tuple[int, ...]] = {}
+        new: list[tuple[str, bytes]] = []
+        for p in set().union(*cut).difference(known):
+            if (got := older.get(p)) is None:
+                spelled = p.encode("utf-8", "surrogatepass")
+                if spelled not in ranks and len(spelled) <= SHORT_PIECE:
+                    new.append((p, spelled))
+                    continue
+                got = self.encode_bytes(spelled)
+            met[p] = got
+        new.sort(key=lambda x: len(x[1]))
+        for k in range(0, len(new), SIDE_BY_SIDE):
+            some = new[k : k + SIDE_BY_SIDE]
+            met.update(zip([p for p, _ in some], self.encode_many([b for _, b in some]), strict=True))
+        known.update(met)
+        for pieces in cut:
+            yield list(chain.from_iterable(map(known.__getitem__, pieces)))
+        for p in [p for p in met if len(p) >= 256]:
+            del known[p]
+        if len(known) >= PIECE_MEMORY:
+            self.older, self.pieces = known, {}
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.spelled.__getitem__, ids))
 
@@ -264,15 +446,17 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: b
         for batch in batches:
             for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
                 counts, digests, decoded, kept = [], [], [], []
-                for text in part.column(1):
-                    ids = bpe.encode(text.as_py() or "")
+                for ids in bpe.encode_texts([text or "" for text in part.column(1).to_pylist()]):
                     counts.append(len(ids))
                     digests.append(hashlib.sha256(" ".join(map(names, ids)).encode()).hexdigest())
                     decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                     if with_ids:
                         kept.append(ids)
                 columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * with_ids, fields)
+                if with_ids:
+                    ends = np.cumsum([0, *counts], dtype=np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(kept), np.int32, int(ends[-1])))))
+                yield pa.RecordBatch.from_arrays(columns, fields)
         give_back_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

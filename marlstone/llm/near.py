@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.stage import import_on_workers, write_stage
+from marlstone.functions.stage import drop_buckets, import_on_workers, write_buckets, write_stage
 from marlstone.llm.common import fresh, give_back_memory
 from marlstone.llm.components import connected_components
-from marlstone.llm.simhash import _UPPER, _WORD, SEED, fingerprint_links, print_of
+from marlstone.llm.simhash import _UPPER, SEED, fingerprint_links, print_of
 from marlstone.llm.simhash import CHUNK as PRINT_CHUNK
 
 SHINGLE = 5
@@ -55,7 +56,7 @@ COUNTS, SLICE, BITS = 1 << 20, 1 << 14, 1024
 #: Sums that tasks' tables of counts go into before these are added.
 LIMBS = 256
 #: Shingles that meet all hash functions at once.
-CHUNK = 1 << 11
+CHUNK = 1 << 9
 _rng = np.random.default_rng(20_062)
 _MASKS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None]
 _FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
@@ -64,19 +65,20 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles; a text with fewer words has one."""
-    words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_UPPER))
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[: max(0, len(words) - shingle)].tolist()]
-    stops = (ends[shingle - 1 :] - 1).tolist() if len(words) > shingle else [len(joined)]
-    return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, stops, strict=False)], np.uint64))
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_UPPER).split()  # of bytes: at space and the controls 9 to 13
+    joined = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) > shingle else [b" ".join(words)]
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(SEED)), np.uint64)
+    hashes.sort()
+    return hashes[np.concatenate([[True], hashes[1:] != hashes[:-1]])]
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """The keys of a set of hashes, one a band."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(hashes), CHUNK):
-        np.minimum(least, ((hashes[None, k : k + CHUNK] ^ _MASKS) * _FACTORS).min(axis=1), out=least)
+        mixed = hashes[None, k : k + CHUNK] ^ _MASKS
+        mixed *= _FACTORS
+        np.minimum(least, mixed.min(axis=1), out=least)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD
     for column in least.reshape(BANDS, ROWS).T:
         key = (key ^ column) * _ODD
@@ -125,18 +127,23 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back_memory()
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(node, text)``, written, of the nodes ``wanted(node)``: one row of each is read."""
-    some = nodes.join(wanted, "node", "left_semi")
+def _all_texts(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, str, str]:
+    """``(node, text)`` of one row of each node, in buckets by node, with its name and path: steps that want some texts read them all but shuffle none."""
     rows = docs.select(_row(_node(), F.col("doc_id").cast("long")).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = rows.join(some.select(_row(F.col("node"), F.col("least")).alias("row"), "node"), "row").dropDuplicates(["row"])
-    return write_stage(texts.select("node", "text"), "texts")[0]
+    one = rows.join(nodes.select("node", _row(F.col("node"), F.col("least")).alias("row")), "row").dropDuplicates(["row"])
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return write_buckets(one.select("node", "text"), parts, "node", "texts")
 
 
-def _distances(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(node, text)``, written, of the nodes ``wanted(node)``, whose names alone are shuffled."""
+    return write_stage(texts.join(wanted.hint("shuffle_hash"), "node", "left_semi"), "texts")[0]
+
+
+def _distances(every: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(a, b, d)``: the exact distance of each pair of nodes, written."""
     pairs, _ = write_stage(pairs.distinct(), "pairs")
-    texts = _texts(docs, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    texts = _texts(every, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     met = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return write_stage(met.mapInArrow(_measure, "a binary, b binary, d double"), "distances")[0]
 
@@ -185,10 +192,10 @@ def prefix_of(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return some + 1, hashes[order][some]
 
 
-def _prefixes(docs: DataFrame, nodes: DataFrame, live: DataFrame) -> DataFrame:
+def _prefixes(every: DataFrame, live: DataFrame) -> DataFrame:
     """``(h, node, n, place, bits)``, written: of each node the first shingles, one of which it shares with any node that is similar enough; ``n`` shingles in all."""
-    texts = _texts(docs, nodes, live)
-    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(texts))  # a fixed size
+    texts = _texts(every, live)
+    counts = every.sparkSession.sparkContext.broadcast(shingle_counts(texts))  # a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,7 +263,8 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _node().alias("node"), "text")
     sketches, _ = write_stage(own.mapInArrow(_sketch, "doc_id long, node binary, keys array<long>, fp long"), "sketches")
     nodes, _ = write_stage(sketches.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), "nodes")
-    close = _distances(docs, nodes, print_pairs(nodes))
+    every, name, path = _all_texts(docs, nodes)
+    close = _distances(every, print_pairs(nodes))
     roots, _ = write_stage(connected_components(_linked(close)), "roots")
 
     dealt = sketches.select("node", F.explode("keys").alias("key"))
@@ -267,19 +275,19 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for end in ("a", "b"):
         apart = apart.join(roots.toDF(end, f"root_{end}"), end, "left")
     apart = apart.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    stars = _distances(docs, nodes, apart.join(close.select("a", "b"), ["a", "b"], "left_anti"))
+    stars = _distances(every, apart.join(close.select("a", "b"), ["a", "b"], "left_anti"))
     links, known = _linked(close).union(_linked(stars)), close.union(stars).select("a", "b")
     roots, _ = write_stage(connected_components(links), "roots")
 
     placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     # In a block of three or more nodes, pairs without the pivot are not compared yet.
     open_keys = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("size > 2 and low <> high").select("key")
-    prefix = _prefixes(docs, nodes, placed.join(open_keys, "key").select("node").distinct())
+    prefix = _prefixes(every, placed.join(open_keys, "key").select("node").distinct())
     draw, last = 0, False
     while True:
         rooted = prefix.join(roots, "node", "left").select("h", "node", "n", "place", "bits", F.coalesce("root", "node").alias("root"))
         pairs = _open_pairs(rooted) if last else _drawn_pairs(rooted, draw)
-        more = _distances(docs, nodes, pairs.join(known, ["a", "b"], "left_anti"))
+        more = _distances(every, pairs.join(known, ["a", "b"], "left_anti"))
         found = _linked(more)
         links, known = links.union(found), known.union(more.select("a", "b"))
         met, joined = more.count(), found.count()
@@ -288,6 +296,7 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if last:
             break
         draw, last = draw + 1, joined < PAYS * met or met < WORTH
+    drop_buckets(docs.sparkSession, name, path)
     return nodes, roots
 
 
