@@ -1,5 +1,6 @@
 import pytest
 
+from marlstone.functions import stage
 from marlstone.operators import edges
 from marlstone.plans import queries
 from marlstone.plans import tables as T
@@ -46,6 +47,23 @@ def test_marks_equal_symbols(spark, tmp_path):
     assert sorted(map(tuple, marked.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_tokens_are_not_written_and_edges_are_not_shuffled(spark, tmp_path, monkeypatch):
+    where, labels = write(spark, tmp_path, corpus()), []
+    for module in (queries, edges):
+        monkeypatch.setattr(module, "write_stage", lambda df, label: labels.append(label) or stage.write_stage(df, label))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if changed names were many
+    try:
+        plan = queries.incremental_merged(spark, where)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "tokens" not in labels
+    lines = plan.splitlines()
+    # Lists of targets are taken apart above all shuffles and joins of their references.
+    taken = [k for k, x in enumerate(lines) if "Generate explode(" in x]
+    assert taken and not any("Exchange" in x or "Join" in x for x in lines[: taken[0]])
+
+
 def test_paths_that_repeat_take_the_general_way(spark, tmp_path):
     """A line of one row defines names for the other row of its file."""
     where = write(spark, tmp_path, [*corpus(), (7, "fuword auword\nbuword", "en", "src"), (7, "dvword buword auword", "en", "src")])
