@@ -30,7 +30,7 @@ from marlstone.llm.common import give_back_memory
 
 #: Distinct pieces a worker remembers, twice: when the newer memory is full it becomes the older one.
 #: Prefixes are kept as they come; a full memory starts anew after many that found no room.
-PIECE_MEMORY = 1 << 18
+PIECE_MEMORY = 1 << 17
 PAIR_MEMORY = 1 << 18
 PREFIX_MEMORY = 1 << 18
 #: Bytes of a piece whose table is filled beside others', pieces that are filled at once, and places of the pairs they remember (a power of two).
@@ -284,6 +284,7 @@ class PrefixBPE:
     def _side_by_side(self) -> Automaton:
         if self.automaton is None:
             most = max(self.spelled) + 1
+            self.shared = list(range(most))  # one object a token, whatever the pieces that are remembered
             self.lengths = np.zeros(most, np.int32)
             self.lengths[list(self.spelled)] = [len(b) for b in self.spelled.values()]
             self.made = np.full(most, -1, np.int8)
@@ -348,7 +349,7 @@ class PrefixBPE:
             at = at - self.lengths[token]
             who, at = who[at >= 0], at[at >= 0]
         owner, tokens = np.concatenate([w for w, _ in found[::-1]]), np.concatenate([t for _, t in found[::-1]])
-        tokens = tokens[np.argsort(owner, kind="stable")].tolist()
+        tokens = list(map(self.shared.__getitem__, tokens[np.argsort(owner, kind="stable")].tolist()))
         ends = np.cumsum(np.bincount(owner, minlength=n)).tolist()
         out: list[tuple[int, ...]] = [()] * n
         for k, start, stop in zip(order.tolist(), [0, *ends[:-1]], ends, strict=True):
@@ -444,7 +445,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: b
         bpe = load(vocabulary, pattern)
         names = {t: str(t) for t in bpe.spelled}.__getitem__
         for batch in batches:
-            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
+            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
                 counts, digests, decoded, kept = [], [], [], []
                 for ids in bpe.encode_texts([text or "" for text in part.column(1).to_pylist()]):
                     counts.append(len(ids))
